@@ -106,7 +106,8 @@ def solution_steps(response) -> Column:
 
 
 def sliding_windows_sql(text_sql: str, size: int = C.WINDOW, overlap: int = C.OVERLAP) -> str:
-    """SQL for the raw windows (not yet stripped) of a text.
+    """SQL for the raw windows (not yet stripped) of a text, as
+    array<struct<start:int, text:string>>.
 
     A window is `size` characters from the current start; unless it reaches
     the end, it is cut after the last sentence end when that end starts past
@@ -118,19 +119,22 @@ def sliding_windows_sql(text_sql: str, size: int = C.WINDOW, overlap: int = C.OV
     half = size // 2
     min_step = max(1, half + 1 - overlap)
     t = f"({text_sql})"
+    pat = LAST_SENTENCE_END.replace(chr(92), chr(92) * 2)
     return f"""
 aggregate(
   sequence(0, int(length({t}) / {min_step}) + 1),
-  named_struct('s', 0, 'out', cast(array() as array<string>)),
+  named_struct('s', 0, 'out', cast(array() as array<struct<start:int, text:string>>)),
   (st, i) -> CASE WHEN st.s >= length({t}) THEN st ELSE
     element_at(transform(array(substring({t}, st.s + 1, {size})), w ->
       element_at(transform(array(
           CASE WHEN st.s + {size} < length({t})
-               THEN length(regexp_extract(w, '{LAST_SENTENCE_END.replace(chr(92), chr(92) * 2)}', 1))
+               THEN length(regexp_extract(w, '{pat}', 1))
                ELSE -1 END), cut ->
         CASE WHEN cut > {half}
-             THEN named_struct('s', st.s + cut + 1 - {overlap}, 'out', array_append(st.out, substring(w, 1, cut + 1)))
-             ELSE named_struct('s', st.s + {size} - {overlap}, 'out', array_append(st.out, w)) END), 1)), 1)
+             THEN named_struct('s', st.s + cut + 1 - {overlap},
+                               'out', array_append(st.out, named_struct('start', st.s, 'text', substring(w, 1, cut + 1))))
+             ELSE named_struct('s', st.s + {size} - {overlap},
+                               'out', array_append(st.out, named_struct('start', st.s, 'text', w))) END), 1)), 1)
   END,
   st -> st.out)"""
 
@@ -154,12 +158,27 @@ def merge_short_parts(parts, min_part: int = C.MIN_PART) -> Column:
 
 
 def steps_for_response(response_name: str, size: int = C.WINDOW, overlap: int = C.OVERLAP,
-                       min_part: int = C.MIN_PART) -> Column:
+                       min_part: int = C.MIN_PART, split_name: str | None = None) -> Column:
     """Final solution steps of the column named `response_name`: marker split,
     or the stripped windows of the raw text when the split yields at most one
-    part; then the short-part merge."""
-    r = F.col(response_name)
-    split = solution_steps(r)
-    windows = F.transform(sliding_windows(f"coalesce(`{response_name}`, '')", size, overlap), strip)
+    part; then the short-part merge.
+
+    `split_name` names a column that already holds `solution_steps(response)`;
+    pass it so the split is computed once per row (expressions inside
+    higher-order functions are not de-duplicated by the optimizer)."""
+    split = F.col(split_name) if split_name else solution_steps(F.col(response_name))
+    windows = F.transform(sliding_windows(f"coalesce(`{response_name}`, '')", size, overlap),
+                          lambda w: strip(w["text"]))
     parts = F.when(F.size(split) <= 1, windows).otherwise(split)
     return merge_short_parts(parts, min_part)
+
+
+def explode_rows(df, keep: list, arr: Column, pos: str, val: str):
+    """posexplode that evaluates `arr` once.
+
+    A plain (pos)explode makes the optimizer add `size(arr) > 0` as a filter
+    and push it below the projections, which evaluates a costly array
+    expression twice.  The outer form gets no such filter; empty and null
+    arrays give one null row, dropped here."""
+    return (df.select(*keep, F.posexplode_outer(arr).alias(pos, val))
+            .filter(F.col(pos).isNotNull()))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as X
-from ..operators import prep
+from ..operators import chunking, ids, prep
 from ..sources import corpus as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,7 +118,7 @@ def math_spans(spark, sf_dir):
         F.struct(F.lit("query").alias("field"), F.col("query").alias("t")),
         F.struct(F.lit("response").alias("field"), F.col("response").alias("t"))).alias("f"))
     f = fields.select("sample_id", F.explode("f").alias("f")).select("sample_id", "f.field", "f.t")
-    return f.select("sample_id", "field", F.posexplode(X.math_spans("t")).alias("pos", "span")) \
+    return X.explode_rows(f, ["sample_id", "field"], X.math_spans("t"), "pos", "span") \
         .select("sample_id", "field", F.col("pos").cast("long").alias("pos"), "span")
 
 
@@ -126,4 +126,59 @@ def math_spans(spark, sf_dir):
 def valid_messages(spark, sf_dir):
     conv = src.read_table(spark, sf_dir, "conversations")
     return conv.filter(~X.is_blank("text")).select("conv_id", "turn", "role", "text")
+
+
+# --- 3. chunking -----------------------------------------------------------------
+
+def chunks_df(spark, sf_dir) -> DataFrame:
+    return chunking.chunk_samples(qa_vi(spark, sf_dir))
+
+
+def chunk_ids_df(spark, sf_dir) -> DataFrame:
+    """Chunks with dense ids = position in the concatenation of all samples'
+    chunks (bucket offsets, no global window)."""
+    return ids.dense_positions(chunks_df(spark, sf_dir), ids.id_bucket("sample_id"),
+                               [F.col("sample_id"), F.col("chunk_pos")], "chunk_id")
+
+
+@query("solution_steps")
+def solution_steps(spark, sf_dir):
+    return chunking.split_parts(qa_vi(spark, sf_dir))
+
+
+@query("sliding_windows")
+def sliding_windows(spark, sf_dir):
+    docs = src.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunking.text_windows(docs, "doc_id", "text")
+
+
+@query("merged_steps")
+def merged_steps(spark, sf_dir):
+    return chunking.final_steps(qa_vi(spark, sf_dir))
+
+
+@query("chunks")
+def chunks(spark, sf_dir):
+    return chunks_df(spark, sf_dir)
+
+
+@query("chunk_type_counts")
+def chunk_type_counts(spark, sf_dir):
+    return chunks_df(spark, sf_dir).groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@query("chunk_ids")
+def chunk_ids(spark, sf_dir):
+    return chunk_ids_df(spark, sf_dir).select("chunk_id", "sample_id", "chunk_pos", "chunk_type")
+
+
+@query("batch_manifest")
+def batch_manifest(spark, sf_dir):
+    """Index batches of 256 consecutive chunk ids."""
+    c = chunk_ids_df(spark, sf_dir)
+    return (c.groupBy(F.floor(F.col("chunk_id") / C.INDEX_BATCH).cast("long").alias("batch_id"))
+            .agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_id"),
+                 F.max("chunk_id").alias("last_id")))
+
+
 FLAGSHIP = "training_texts"

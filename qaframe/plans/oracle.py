@@ -74,7 +74,7 @@ qa_vi AS (
 
 def with_qa(body: str, *extra_ctes: str) -> str:
     ctes = [QA_CTE.strip()] + [c.strip() for c in extra_ctes]
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
 
 
 CLEAN_CTE = f"""
@@ -141,3 +141,113 @@ WHERE span IS NOT NULL""")
 
 ORACLE["valid_messages"] = f"""
 SELECT conv_id, turn, role, text FROM conversations WHERE coalesce({strip('text')}, '') <> ''"""
+
+
+# --- chunking ---------------------------------------------------------------------
+
+WS2 = WS[:-1] + r"\x02]"          # whitespace or the newline guard
+WS12 = WS[:-1] + r"\x01\x02]"     # ... or a split sentinel
+
+
+def split_parts(e: str) -> str:
+    """Marker split without lookahead: put a guard (chr 2) before every
+    newline so that a marker ending in whitespace cannot swallow the newline
+    that starts the next marker, mark every split point with chr 1, then split
+    on chr 1, strip, and drop empty parts."""
+    g = f"replace(coalesce({e}, ''), chr(10), chr(2) || chr(10))"
+    line_markers = (r"(\n(?:Vậy|Do đó|Ta có|Thay)" + WS2 + r"|\nGiải:|\n" + WS2 + r"*\d+[.)]" + WS2 + ")")
+    g = f"regexp_replace({g}, {lit(line_markers)}, chr(1) || '\\1', 'g')"
+    g = f"regexp_replace({g}, {lit('(Bước' + WS12 + r'*\d)')}, chr(1) || '\\1', 'g')"
+    g = f"replace({g}, chr(2), '')"
+    return (f"list_filter(list_transform(string_split({g}, chr(1)), lambda x: {strip('x')}), "
+            f"lambda x: x <> '')")
+
+
+def windows_cte(name: str, source_sql: str, size: int = C.WINDOW, overlap: int = C.OVERLAP) -> str:
+    """Recursive windows of (k, text) rows: one row per window with its start."""
+    half = size // 2
+    return f"""
+{name}(k, text, n, idx, start, win, nxt) AS (
+  SELECT k, text, length(text), CAST(-1 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT)
+  FROM ({source_sql}) src
+  UNION ALL
+  SELECT k, text, n, idx + 1, nxt,
+         CASE WHEN cut > {half} THEN substr(c, 1, cut + 1) ELSE c END,
+         CASE WHEN cut > {half} THEN nxt + cut + 1 - {overlap} ELSE nxt + {size} - {overlap} END
+  FROM (SELECT k, text, n, idx, nxt, substr(text, nxt + 1, {size}) AS c,
+               CASE WHEN nxt + {size} < n
+                    THEN length(regexp_extract(substr(text, nxt + 1, {size}), {lit(X.LAST_SENTENCE_END)}, 1))
+                    ELSE -1 END AS cut
+        FROM {name} WHERE nxt < n) t)"""
+
+
+STEPS_CTES = [f"""
+split_raw AS (
+  SELECT sample_id, response, {split_parts('response')} AS parts FROM qa_vi WHERE NOT {absent('response')})""",
+windows_cte("resp_windows", "SELECT sample_id AS k, response AS text FROM split_raw WHERE len(parts) <= 1"),
+f"""
+parts_final AS (
+  SELECT sample_id, unnest(range(0, len(parts))) AS part_idx, unnest(parts) AS part
+  FROM split_raw WHERE len(parts) > 1
+  UNION ALL
+  SELECT k, idx, {strip('win')} FROM resp_windows WHERE idx >= 0)""",
+"""
+islands AS (
+  SELECT sample_id, part_idx, part,
+         sum(CASE WHEN part_idx = 0 OR length(part) >= 30 THEN 1 ELSE 0 END)
+           OVER (PARTITION BY sample_id ORDER BY part_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp
+  FROM parts_final)""",
+"""
+steps AS (
+  SELECT sample_id, CAST(grp - 1 AS BIGINT) AS step_idx, string_agg(part, ' ' ORDER BY part_idx) AS step
+  FROM islands GROUP BY sample_id, grp)""",
+"""
+step_counts AS (SELECT sample_id, count(*) AS n_steps FROM steps GROUP BY sample_id)""",
+]
+
+CHUNKS_CTE = f"""
+chunks AS (
+  SELECT sample_id, CAST(0 AS INTEGER) AS chunk_pos, 'question' AS chunk_type, CAST(NULL AS INTEGER) AS step_idx,
+         {lit(C.QUESTION_PREFIX)} || query AS text, math_type, left(query, {C.QUERY_REF_MAX}) AS query_ref
+  FROM qa_vi WHERE NOT {absent('query')}
+  UNION ALL
+  SELECT s.sample_id, CAST((CASE WHEN {absent('q.query')} THEN 0 ELSE 1 END) + s.step_idx AS INTEGER),
+         'solution', CAST(s.step_idx AS INTEGER),
+         {lit(C.SOLUTION_PREFIX)} || (s.step_idx + 1) || '/' || c.n_steps || '] ' || s.step,
+         q.math_type, left(coalesce(q.query, ''), {C.QUERY_REF_MAX})
+  FROM steps s JOIN step_counts c ON s.sample_id = c.sample_id JOIN qa_vi q ON s.sample_id = q.sample_id
+  UNION ALL
+  SELECT sample_id, CAST(1 + n_steps AS INTEGER), 'full', CAST(NULL AS INTEGER),
+         CASE WHEN length(f) > {C.FULL_MAX} THEN left(f, {C.FULL_MAX - 3}) || '...' ELSE f END,
+         math_type, left(query, {C.QUERY_REF_MAX})
+  FROM (SELECT q.*, {lit(C.FULL_PREFIX)} || q.query || {lit(C.FULL_SEPARATOR)} || q.response AS f, c.n_steps
+        FROM qa_vi q JOIN step_counts c ON q.sample_id = c.sample_id
+        WHERE NOT {absent('q.query')} AND NOT {absent('q.response')}) fq)"""
+
+CHUNK_IDS_CTE = """
+chunk_ids AS (
+  SELECT row_number() OVER (ORDER BY sample_id, chunk_pos) - 1 AS chunk_id, * FROM chunks)"""
+
+
+def with_chunks(body: str, *extra: str) -> str:
+    return with_qa(body, *STEPS_CTES, CHUNKS_CTE, *extra)
+
+
+ORACLE["solution_steps"] = with_qa(f"""
+SELECT sample_id, unnest(range(0, len(parts))) AS part_idx, unnest(parts) AS part
+FROM (SELECT sample_id, {split_parts('response')} AS parts FROM qa_vi)""")
+
+ORACLE["sliding_windows"] = ("WITH RECURSIVE " + windows_cte("w", "SELECT doc_id AS k, text FROM documents").strip()
+                             + "\nSELECT k AS doc_id, idx, start, win AS window FROM w WHERE idx >= 0")
+
+ORACLE["merged_steps"] = with_qa("SELECT sample_id, step_idx, step FROM steps", *STEPS_CTES)
+
+ORACLE["chunks"] = with_chunks("SELECT * FROM chunks")
+
+ORACLE["chunk_type_counts"] = with_chunks("SELECT chunk_type, count(*) AS n_chunks FROM chunks GROUP BY chunk_type")
+
+ORACLE["chunk_ids"] = with_chunks("SELECT chunk_id, sample_id, chunk_pos, chunk_type FROM chunk_ids", CHUNK_IDS_CTE)
+
+ORACLE["batch_manifest"] = with_chunks(f"""
+SELECT chunk_id // {C.INDEX_BATCH} AS batch_id, count(*) AS n_chunks, min(chunk_id) AS first_id, max(chunk_id) AS last_id
+FROM chunk_ids GROUP BY 1""", CHUNK_IDS_CTE)
