@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as X
-from ..operators import chunking, ids, prep
+from ..operators import chunking, ids, prep, retrieval, search, vectors
 from ..sources import corpus as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,4 +181,125 @@ def batch_manifest(spark, sf_dir):
                  F.max("chunk_id").alias("last_id")))
 
 
-FLAGSHIP = "training_texts"
+
+
+# --- 4. vectors --------------------------------------------------------------------
+
+def points_df(spark, sf_dir) -> DataFrame:
+    """The chunk index: dense chunk ids, hashed vectors, payload columns.
+    Written once to the shared checkpoint folder, so search and the payload
+    join read it instead of chunking twice."""
+    pts = vectors.hash_embed(chunk_ids_df(spark, sf_dir), "text", "vector")
+    return pts.select("chunk_id", "vector", "sample_id", "chunk_type", "step_idx", "text", "math_type",
+                      "query_ref").checkpoint(eager=True)
+
+
+def questions_df(spark, sf_dir) -> DataFrame:
+    b = src.read_table(spark, sf_dir, "benchmark")
+    return vectors.hash_embed(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")),
+                              "question", "vector")
+
+
+def hits_df(spark, sf_dir) -> DataFrame:
+    """Top-5 chunks per benchmark question (floor 0.45) with their payload."""
+    pts = points_df(spark, sf_dir)
+    top = search.search_topk(questions_df(spark, sf_dir), pts, C.TOP_K, C.FLOOR, key="chunk_id")
+    payload = pts.select(F.col("chunk_id").alias("id"), "sample_id", "chunk_type", "text")
+    return top.join(payload, "id")
+
+
+@query("hash_embed")
+def hash_embed(spark, sf_dir):
+    docs = src.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    e = vectors.sparse_entries(vectors.hash_embed(docs, "text"), "doc_id")
+    return e.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@query("l2_normalize")
+def l2_normalize(spark, sf_dir):
+    """Unit direction of the summed vectors of each label."""
+    emb = src.read_table(spark, sf_dir, "embeddings")
+    e = X.explode_rows(emb, ["label"], F.col("embedding"), "pos", "x")
+    sums = e.groupBy("label", "pos").agg(F.sum(F.col("x").cast("double")).alias("s"))
+    vec = sums.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("_v"))
+    unit = vec.select("label", vectors.l2_normalize(F.transform("_v", lambda x: x["s"])).alias("u"))
+    out = X.explode_rows(unit, ["label"], F.col("u"), "pos", "value")
+    return out.select(F.col("label").cast("long").alias("label"), F.col("pos").cast("long").alias("pos"),
+                      F.round("value", 6).alias("value"))
+
+
+@query("vector_contract_violations")
+def vector_contract_violations(spark, sf_dir):
+    emb = src.read_table(spark, sf_dir, "embeddings")
+    return emb.select("vec_id", F.size("embedding").cast("long").alias("dim"),
+                      F.round(vectors.norm("embedding"), 6).alias("norm"),
+                      vectors.contract_status("embedding", 64).alias("status"))
+
+
+@query("search_topk")
+def search_topk(spark, sf_dir):
+    """Every stored vector searched against the whole collection."""
+    emb = src.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search.search_topk(emb, emb, C.TOP_K, C.FLOOR, query_key="vec_id", query_vec="embedding",
+                              key="vec_id", vec="embedding") \
+        .select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+# --- 5. retrieval -------------------------------------------------------------------
+
+@query("search_chunks")
+def search_chunks(spark, sf_dir):
+    h = hits_df(spark, sf_dir)
+    return h.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score", "sample_id", "chunk_type")
+
+
+@query("dedup_hits")
+def dedup_hits(spark, sf_dir):
+    d = retrieval.dedup_hits(hits_df(spark, sf_dir))
+    return d.select("query_id", "sample_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("build_context")
+def build_context(spark, sf_dir):
+    return retrieval.build_context(retrieval.dedup_hits(hits_df(spark, sf_dir)))
+
+
+@query("route_questions")
+def route_questions(spark, sf_dir):
+    return retrieval.route(questions_df(spark, sf_dir), hits_df(spark, sf_dir))
+
+
+@query("answer_sources")
+def answer_sources(spark, sf_dir):
+    h = hits_df(spark, sf_dir)
+    s = retrieval.sources(h)
+    q = questions_df(spark, sf_dir).select("query_id")
+    j = q.join(s, "query_id", "left")
+    return j.select("query_id", F.coalesce(F.size("sources"), F.lit(0)).cast("long").alias("n_hits"),
+                    F.coalesce(F.array_join("sources", "\n"), F.lit("")).alias("sources"))
+
+
+def answered_df(spark, sf_dir) -> DataFrame:
+    """question, context ('' without hits) and route for every question."""
+    h = hits_df(spark, sf_dir)
+    q = questions_df(spark, sf_dir).select("query_id", "question")
+    ctx = retrieval.build_context(retrieval.dedup_hits(h))
+    r = retrieval.route(q, h)
+    return (q.join(ctx, "query_id", "left").join(r, "query_id")
+            .withColumn("context", F.coalesce("context", F.lit(""))))
+
+
+@query("generation_prompts")
+def generation_prompts(spark, sf_dir):
+    a = answered_df(spark, sf_dir)
+    return a.select("query_id", "use_web",
+                    retrieval.generation_prompt("question", "context", F.lit(None).cast("string")).alias("prompt"))
+
+
+@query("web_prompts")
+def web_prompts(spark, sf_dir):
+    a = answered_df(spark, sf_dir)
+    return a.filter("use_web").select("query_id", retrieval.web_search_query("question").alias("search_query"))
+
+
+FLAGSHIP = "route_questions"

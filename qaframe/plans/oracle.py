@@ -251,3 +251,126 @@ ORACLE["chunk_ids"] = with_chunks("SELECT chunk_id, sample_id, chunk_pos, chunk_
 ORACLE["batch_manifest"] = with_chunks(f"""
 SELECT chunk_id // {C.INDEX_BATCH} AS batch_id, count(*) AS n_chunks, min(chunk_id) AS first_id, max(chunk_id) AS last_id
 FROM chunk_ids GROUP BY 1""", CHUNK_IDS_CTE)
+
+
+# --- vectors and retrieval ------------------------------------------------------------
+
+def hash_vec_ctes(name: str, source_sql: str, dim: int = C.HASH_DIM) -> list[str]:
+    """Sparse hashed vectors (k, bucket, w) of (k, text) rows."""
+    return [f"""
+{name}_tok AS (
+  SELECT k, unnest(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+')) AS t FROM ({source_sql}) s)""",
+            f"""
+{name}_cnt AS (
+  SELECT k, (('0x' || substr(md5(t), 1, 8))::BIGINT) % {dim} AS bucket, count(*)::DOUBLE AS c
+  FROM {name}_tok WHERE t <> '' GROUP BY 1, 2)""",
+            f"""
+{name} AS (SELECT k, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY k)) AS w FROM {name}_cnt)"""]
+
+
+HITS_CTES = [CHUNK_IDS_CTE,
+             *hash_vec_ctes("pv", "SELECT chunk_id AS k, text FROM chunk_ids"),
+             *hash_vec_ctes("qv", "SELECT item_id AS k, text FROM benchmark"),
+             f"""
+scores AS (
+  SELECT q.k AS query_id, p.k AS id, round(sum(q.w * p.w), 6) AS score
+  FROM qv q JOIN pv p ON q.bucket = p.bucket GROUP BY 1, 2)""",
+             f"""
+hits AS (
+  SELECT r.query_id, r.rank, r.id, r.score, c.sample_id, c.chunk_type, c.text
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores) r
+  JOIN chunk_ids c ON c.chunk_id = r.id
+  WHERE r.rank <= {C.TOP_K} AND r.score >= {C.FLOOR})""",
+             """
+dedup AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(sample_id, -1) ORDER BY score DESC, rank) AS rr
+    FROM hits) WHERE rr = 1)"""]
+
+
+def type_rank_sql(e: str) -> str:
+    whens = " ".join(f"WHEN {e} = {lit(k)} THEN {v}" for k, v in C.TYPE_RANK.items())
+    return f"(CASE WHEN {e} IS NULL THEN {C.MISSING_TYPE_RANK} {whens} ELSE {C.UNKNOWN_TYPE_RANK} END)"
+
+
+def type_label_sql(e: str) -> str:
+    whens = " ".join(f"WHEN {e} = {lit(k)} THEN {lit(v)}" for k, v in C.TYPE_LABEL.items())
+    return f"(CASE {whens} ELSE {lit(C.DEFAULT_LABEL)} END)"
+
+
+CONTEXT_CTE = f"""
+context AS (
+  SELECT query_id, CASE WHEN length(ctx) > {C.CONTEXT_MAX} THEN left(ctx, {C.CONTEXT_MAX}) || '...' ELSE ctx END AS context
+  FROM (
+    SELECT query_id, string_agg(
+        {type_label_sql('chunk_type')} || ' (score=' ||
+        CAST(CAST(round(CAST(score AS DECIMAL(10,6)), 2) AS DECIMAL(10,2)) AS VARCHAR) || '):' || chr(10) || coalesce(text, ''),
+        {lit(C.CONTEXT_SEPARATOR)} ORDER BY {type_rank_sql('chunk_type')}, score DESC, rank) AS ctx
+    FROM dedup GROUP BY query_id))"""
+
+ROUTE_CTE = f"""
+route AS (
+  SELECT b.item_id AS query_id, coalesce(a.best, 0.0) AS best_score, coalesce(a.n, 0) AS n_hits,
+         (coalesce(a.best, 0.0) < {C.GATE} OR coalesce(a.n, 0) < {C.MIN_HITS}) AS use_web
+  FROM benchmark b LEFT JOIN (SELECT query_id, max(score) AS best, count(*) AS n FROM hits GROUP BY 1) a
+  ON a.query_id = b.item_id)"""
+
+ANSWERED_CTE = """
+answered AS (
+  SELECT r.query_id, b.text AS question, coalesce(c.context, '') AS context, r.use_web
+  FROM route r JOIN benchmark b ON b.item_id = r.query_id LEFT JOIN context c ON c.query_id = r.query_id)"""
+
+
+def with_hits(body: str, *extra: str) -> str:
+    return with_chunks(body, *HITS_CTES, *extra)
+
+
+ORACLE["hash_embed"] = ("WITH " + ",\n".join(c.strip() for c in hash_vec_ctes("hv", "SELECT doc_id AS k, text FROM documents"))
+                        + "\nSELECT k AS doc_id, bucket, round(w, 6) AS weight FROM hv")
+
+ORACLE["l2_normalize"] = """
+WITH e AS (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+s AS (SELECT label, pos, sum(x) AS s FROM e GROUP BY 1, 2),
+n AS (SELECT label, sqrt(sum(s * s)) AS nrm FROM s GROUP BY 1)
+SELECT s.label::BIGINT AS label, s.pos::BIGINT AS pos,
+       round(CASE WHEN n.nrm = 0 THEN 0.0 ELSE s.s / n.nrm END, 6) AS value
+FROM s JOIN n ON s.label = n.label"""
+
+ORACLE["vector_contract_violations"] = """
+SELECT vec_id, len(embedding)::BIGINT AS dim, round(nrm, 6) AS norm,
+       CASE WHEN embedding IS NULL OR len(embedding) <> 64 THEN 'wrong_size'
+            WHEN nrm = 0 THEN 'zero' WHEN abs(nrm - 1) > 0.001 THEN 'not_unit' ELSE 'ok' END AS status
+FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS nrm
+      FROM embeddings)"""
+
+ORACLE["search_topk"] = f"""
+SELECT query_id, id, score, rank FROM (
+  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM (SELECT a.vec_id AS query_id, b.vec_id AS id,
+               round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+        FROM embeddings a, embeddings b))
+WHERE rank <= {C.TOP_K} AND score >= {C.FLOOR}"""
+
+ORACLE["search_chunks"] = with_hits("SELECT query_id, rank, id, score, sample_id, chunk_type FROM hits")
+
+ORACLE["dedup_hits"] = with_hits("SELECT query_id, sample_id, id, score, rank FROM dedup")
+
+ORACLE["build_context"] = with_hits("SELECT query_id, context FROM context", CONTEXT_CTE)
+
+ORACLE["route_questions"] = with_hits("SELECT query_id, best_score, n_hits, use_web FROM route", ROUTE_CTE)
+
+ORACLE["answer_sources"] = with_hits("""
+SELECT b.item_id AS query_id, coalesce(s.n, 0) AS n_hits, coalesce(s.src, '') AS sources
+FROM benchmark b LEFT JOIN (
+  SELECT query_id, count(*) AS n, string_agg(left(coalesce(text, ''), 120), chr(10) ORDER BY rank) AS src
+  FROM hits GROUP BY 1) s ON s.query_id = b.item_id""")
+
+ORACLE["generation_prompts"] = with_hits(f"""
+SELECT query_id, use_web,
+  CASE WHEN context <> '' THEN {lit(C.CONTEXT_HEADER)} || context || chr(10) || chr(10) || {lit(C.QUESTION_HEADER)} || question
+       ELSE {lit(C.QUESTION_HEADER)} || question END AS prompt
+FROM answered""", CONTEXT_CTE, ROUTE_CTE, ANSWERED_CTE)
+
+ORACLE["web_prompts"] = with_hits(f"""
+SELECT query_id, {lit(C.WEB_QUERY_PREFIX)} || question AS search_query FROM answered WHERE use_web""",
+                                  CONTEXT_CTE, ROUTE_CTE, ANSWERED_CTE)
