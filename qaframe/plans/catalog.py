@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as X
-from ..operators import chunking, ids, prep, retrieval, search, vectors
+from ..operators import batches, chunking, ids, prep, retrieval, search, sessions, vectors
 from ..sources import corpus as src
+from ..sources import points as pts_src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -302,4 +303,111 @@ def web_prompts(spark, sf_dir):
     return a.filter("use_web").select("query_id", retrieval.web_search_query("question").alias("search_query"))
 
 
+
+
+# --- 6. tables over time --------------------------------------------------------------
+
+@query("upsert_points")
+def upsert_points(spark, sf_dir):
+    """Two loads of the collection: labels 0-6 stored, labels 3-9 arriving
+    with a new payload; 3-6 are replaced, 0-2 kept, 7-9 inserted."""
+    emb = src.read_table(spark, sf_dir, "embeddings")
+    existing = emb.filter(F.col("label") <= 6).select("vec_id", F.col("label").cast("long").alias("label"))
+    incoming = emb.filter(F.col("label") >= 3).select("vec_id", (F.col("label") + 100).cast("long").alias("label"))
+    return pts_src.upsert(existing, incoming, "vec_id")
+
+
+@query("resume_pending")
+def resume_pending(spark, sf_dir):
+    """Chunks still to index when the chunks of English documents were
+    indexed by an earlier run (resume by key, not by a row count)."""
+    c = chunk_ids_df(spark, sf_dir)
+    en = src.read_table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select(F.col("doc_id").alias("sample_id"))
+    done = c.join(en, "sample_id", "left_semi").select("chunk_id")
+    return pts_src.pending(c, done, "chunk_id").select("chunk_id", "sample_id", "chunk_type")
+
+
+# --- 7. sessions -------------------------------------------------------------------------
+
+def messages_df(spark, sf_dir) -> DataFrame:
+    return sessions.messages_from_conversations(src.read_table(spark, sf_dir, "conversations"))
+
+
+@query("session_memory")
+def session_memory(spark, sf_dir):
+    """Last 3 messages per conversation (no test conversation reaches 20)."""
+    return sessions.last_n(messages_df(spark, sf_dir), 3).select("session_id", "seq", "role", "content")
+
+
+@query("session_memory_events")
+def session_memory_events(spark, sf_dir):
+    """Last 20 events per user, in time order."""
+    ev = src.read_table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    return (ev.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= C.SESSION_MEMORY)
+            .select("user_id", "event_id", "event_type", "value"))
+
+
+@query("session_history")
+def session_history(spark, sf_dir):
+    mem = sessions.last_n(messages_df(spark, sf_dir), C.SESSION_MEMORY)
+    return sessions.history(mem)
+
+
+@query("session_after_clear")
+def session_after_clear(spark, sf_dir):
+    """A system row clears its conversation; keep what follows (last 20)."""
+    m = messages_df(spark, sf_dir)
+    kept = sessions.after_last_clear(m, F.col("role") == "system")
+    return sessions.last_n(kept, C.SESSION_MEMORY).select("session_id", "seq", "role", "content")
+
+
+@query("session_titles")
+def session_titles(spark, sf_dir):
+    return sessions.titles(messages_df(spark, sf_dir))
+
+
+@query("session_count")
+def session_count(spark, sf_dir):
+    return sessions.session_count(messages_df(spark, sf_dir))
+
+
+# --- 8. dataset preparation -----------------------------------------------------------------
+
+def accepted_ids(spark, sf_dir) -> DataFrame:
+    return prep.accepted_pairs(qa_vi(spark, sf_dir)).select("sample_id")
+
+
+@query("train_eval_split")
+def train_eval_split(spark, sf_dir):
+    return batches.train_eval_split(accepted_ids(spark, sf_dir)).select("sample_id", "split")
+
+
+@query("limited_splits")
+def limited_splits(spark, sf_dir):
+    return batches.limited_splits(accepted_ids(spark, sf_dir), 50).select("sample_id", "split", "pos")
+
+
+WORD = r"[\p{L}\p{N}]+"
+
+
+def word_lengths(spark, sf_dir) -> DataFrame:
+    t = prep.training_texts(qa_vi(spark, sf_dir))
+    return t.select("sample_id", F.size(F.regexp_extract_all("text", F.lit(WORD), 0)).cast("long").alias("n_tokens"))
+
+
+@query("token_length_stats")
+def token_length_stats(spark, sf_dir):
+    w = word_lengths(spark, sf_dir)
+    return w.agg(F.count(F.lit(1)).alias("n_texts"), F.round(F.avg("n_tokens"), 6).alias("avg_len"),
+                 F.max("n_tokens").alias("max_len"), F.min("n_tokens").alias("min_len"))
+
+
+@query("padded_batches")
+def padded_batches(spark, sf_dir):
+    w = word_lengths(spark, sf_dir).withColumn("n_tokens", F.least("n_tokens", F.lit(C.MAX_SEQ_LEN)).cast("long"))
+    tr = batches.train_positions(w)
+    return batches.padded_lengths(tr, "n_tokens").select("sample_id", "batch_id", "n_tokens", "padded_len", "n_pad")
+
+
 FLAGSHIP = "route_questions"

@@ -374,3 +374,82 @@ FROM answered""", CONTEXT_CTE, ROUTE_CTE, ANSWERED_CTE)
 ORACLE["web_prompts"] = with_hits(f"""
 SELECT query_id, {lit(C.WEB_QUERY_PREFIX)} || question AS search_query FROM answered WHERE use_web""",
                                   CONTEXT_CTE, ROUTE_CTE, ANSWERED_CTE)
+
+
+# --- tables over time, sessions, dataset preparation ---------------------------------------
+
+ORACLE["upsert_points"] = """
+WITH ex AS (SELECT vec_id, label::BIGINT AS label FROM embeddings WHERE label <= 6),
+inc AS (SELECT vec_id, (label + 100)::BIGINT AS label FROM embeddings WHERE label >= 3)
+SELECT * FROM ex WHERE vec_id NOT IN (SELECT vec_id FROM inc)
+UNION ALL SELECT * FROM inc"""
+
+ORACLE["resume_pending"] = with_chunks("""
+SELECT chunk_id, sample_id, chunk_type FROM chunk_ids
+WHERE sample_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')""", CHUNK_IDS_CTE)
+
+MSGS = """msgs AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role, text AS content FROM conversations)"""
+
+
+def last_n_sql(src: str, n: int) -> str:
+    return f"""SELECT session_id, seq, role, content FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS r FROM {src}) WHERE r <= {n}"""
+
+
+ORACLE["session_memory"] = f"WITH {MSGS}\n" + last_n_sql("msgs", 3)
+
+ORACLE["session_memory_events"] = f"""
+SELECT user_id, event_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+WHERE r <= {C.SESSION_MEMORY}"""
+
+ORACLE["session_history"] = f"""
+WITH {MSGS}, mem AS ({last_n_sql('msgs', C.SESSION_MEMORY)})
+SELECT session_id, count(*) AS n_messages,
+       string_agg(CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END || ': ' || coalesce(content, ''),
+                  chr(10) ORDER BY seq) AS transcript
+FROM mem GROUP BY session_id"""
+
+ORACLE["session_after_clear"] = f"""
+WITH {MSGS},
+lc AS (SELECT session_id, max(seq) AS last_clear FROM msgs WHERE role = 'system' GROUP BY 1),
+kept AS (SELECT m.* FROM msgs m LEFT JOIN lc ON lc.session_id = m.session_id
+         WHERE m.role <> 'system' AND m.seq > coalesce(lc.last_clear, -1))
+{last_n_sql('kept', C.SESSION_MEMORY)}"""
+
+ORACLE["session_titles"] = f"""
+WITH {MSGS}
+SELECT session_id, CASE WHEN length(f) > {C.TITLE_MAX} THEN left(f, {C.TITLE_MAX}) || {lit(C.TITLE_ELLIPSIS)} ELSE f END AS title
+FROM (SELECT session_id, arg_min(content, seq) AS f FROM msgs WHERE role = 'user' GROUP BY 1)"""
+
+ORACLE["session_count"] = f"WITH {MSGS}\nSELECT count(DISTINCT session_id) AS n_sessions FROM msgs"
+
+PERM_CTES = [CLEAN_CTE, TRAINING_CTE, """
+perm AS (
+  SELECT sample_id, row_number() OVER (ORDER BY md5('42:' || CAST(sample_id AS VARCHAR)), sample_id) - 1 AS g
+  FROM training)""", """
+sizes AS (SELECT count(*) AS n, CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS n_eval FROM training)"""]
+
+ORACLE["train_eval_split"] = with_qa("""
+SELECT sample_id, CASE WHEN g < n_eval THEN 'eval' ELSE 'train' END AS split FROM perm, sizes""", *PERM_CTES)
+
+ORACLE["limited_splits"] = with_qa("""
+SELECT sample_id, 'eval' AS split, g AS pos FROM perm, sizes
+WHERE g < least(greatest(1, least(50, n - n_eval) // 20), n_eval)
+UNION ALL
+SELECT sample_id, 'train', g - n_eval FROM perm, sizes WHERE g >= n_eval AND g < n_eval + least(50, n - n_eval)""",
+                                   *PERM_CTES)
+
+WORDS_CTE = r"""
+words AS (SELECT sample_id, len(regexp_extract_all(text, '[\p{L}\p{N}]+'))::BIGINT AS n_tokens FROM training)"""
+
+ORACLE["token_length_stats"] = with_qa("""
+SELECT count(*) AS n_texts, round(avg(n_tokens), 6) AS avg_len, max(n_tokens) AS max_len, min(n_tokens) AS min_len
+FROM words""", CLEAN_CTE, TRAINING_CTE, WORDS_CTE)
+
+ORACLE["padded_batches"] = with_qa(f"""
+SELECT sample_id, batch_id, n_tokens, padded_len, padded_len - n_tokens AS n_pad FROM (
+  SELECT *, (ceil(max(n_tokens) OVER (PARTITION BY batch_id) / 8.0) * 8)::BIGINT AS padded_len FROM (
+    SELECT p.sample_id, (p.g - s.n_eval) // 2 AS batch_id, least(w.n_tokens, {C.MAX_SEQ_LEN})::BIGINT AS n_tokens
+    FROM perm p, sizes s, words w WHERE w.sample_id = p.sample_id AND p.g >= s.n_eval))""",
+                                   *PERM_CTES, WORDS_CTE)
