@@ -257,7 +257,7 @@ FROM chunk_ids GROUP BY 1""", CHUNK_IDS_CTE)
 
 def hash_vec_ctes(name: str, source_sql: str, dim: int = C.HASH_DIM) -> list[str]:
     """Sparse hashed vectors (k, bucket, w) of (k, text) rows."""
-    return [f"""
+    return [rf"""
 {name}_tok AS (
   SELECT k, unnest(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+')) AS t FROM ({source_sql}) s)""",
             f"""
