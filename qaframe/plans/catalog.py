@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as X
-from ..operators import batches, chunking, ids, prep, retrieval, search, sessions, vectors
+from ..operators import batches, bpe, chunking, ids, prep, retrieval, search, sessions, vectors
 from ..sources import corpus as src
 from ..sources import points as pts_src
+from ..session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -410,4 +411,121 @@ def padded_batches(spark, sf_dir):
     return batches.padded_lengths(tr, "n_tokens").select("sample_id", "batch_id", "n_tokens", "padded_len", "n_pad")
 
 
+
+
+# --- 9. byte-level BPE ------------------------------------------------------------------------
+# Rows-only in the driver (NFKC and the pre-token lookahead have no DuckDB
+# form); tests check parity with the public `tokenizers` package.
+
+BPE_VOCAB = 512          # vocabulary of the registered queries (267 base tokens + merges)
+
+
+def training_texts_df(spark, sf_dir) -> DataFrame:
+    return prep.training_texts(qa_vi(spark, sf_dir))
+
+
+def bpe_model(spark, sf_dir, vocab_size: int = BPE_VOCAB) -> tuple[DataFrame, DataFrame]:
+    """Learn once and save (vocab, merges) under the shared checkpoint folder;
+    later calls load the saved tables, like a saved tokenizer folder."""
+    import hashlib
+    tag = hashlib.md5(f"{sf_dir}|{vocab_size}|{C.MIN_FREQUENCY}".encode()).hexdigest()[:12]
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/bpe-{tag}"
+    if pts_src._fs_exists(spark, base + "/_DONE"):
+        return spark.read.parquet(base + "/vocab"), spark.read.parquet(base + "/merges")
+    vocab, merges = bpe.learn_bpe(spark, training_texts_df(spark, sf_dir), vocab_size=vocab_size)
+    vocab.write.mode("overwrite").parquet(base + "/vocab")
+    merges.write.mode("overwrite").parquet(base + "/merges")
+    spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(base + "/_DONE")
+    return spark.read.parquet(base + "/vocab"), spark.read.parquet(base + "/merges")
+
+
+@query("nfkc_texts")
+def nfkc_texts(spark, sf_dir):
+    t = training_texts_df(spark, sf_dir)
+    return t.select("sample_id", bpe.nfkc(F.col("text")).alias("text"))
+
+
+@query("pretoken_counts")
+def pretoken_counts(spark, sf_dir):
+    return bpe.pretoken_counts(training_texts_df(spark, sf_dir))
+
+
+@query("bpe_merges")
+def bpe_merges(spark, sf_dir):
+    vocab, merges = bpe.learn_bpe(spark, training_texts_df(spark, sf_dir), vocab_size=BPE_VOCAB)
+    return merges.join(vocab, "id").select("rank", "left", "right", "id", "token")
+
+
+@query("encode_texts")
+def encode_texts(spark, sf_dir):
+    vocab, merges = bpe_model(spark, sf_dir)
+    e = bpe.encode(training_texts_df(spark, sf_dir), "sample_id", "text", vocab, merges)
+    return e.select("sample_id", "n_ids", "truncated", (F.col("labels") == F.col("input_ids")).alias("labels_equal"),
+                    F.array_join(F.slice("input_ids", 1, 20), " ").alias("head_ids"))
+
+
+@query("roundtrip_mismatches")
+def roundtrip_mismatches(spark, sf_dir):
+    """decode(encode(text)) against the NFKC text; only truncated texts may differ."""
+    vocab, merges = bpe_model(spark, sf_dir)
+    t = training_texts_df(spark, sf_dir)
+    e = bpe.encode(t, "sample_id", "text", vocab, merges)
+    d = bpe.decode(e, "sample_id", vocab).withColumnRenamed("text", "decoded")
+    j = e.select("sample_id", "n_ids", "truncated").join(d, "sample_id") \
+        .join(t.select("sample_id", bpe.nfkc(F.col("text")).alias("norm")), "sample_id")
+    return j.select("sample_id", "n_ids", "truncated", (F.col("decoded") == F.col("norm")).alias("roundtrip_ok"))
+
+
+@query("vocab_specials")
+def vocab_specials(spark, sf_dir):
+    vocab, _ = bpe_model(spark, sf_dir)
+    specials = vocab.filter(F.col("token").isin(C.SPECIAL_TOKENS)).select("token", F.col("id").cast("long").alias("id"))
+    size = vocab.agg(F.count(F.lit(1)).alias("id")).select(F.lit("<vocab_size>").alias("token"), "id")
+    return specials.unionByName(size)
+
+
+
+
+# --- 10. streams ---------------------------------------------------------------------------------
+
+def _conv_schema(spark, sf_dir):
+    return src.read_table(spark, sf_dir, "conversations").schema
+
+
+@query("session_memory_stream")
+def session_memory_stream(spark, sf_dir):
+    """session_memory computed by a Structured Streaming job with per-session state."""
+    from ..streaming import sessions as S
+    mem = S.run_memory_stream(spark, sf_dir, "conversations.parquet", _conv_schema(spark, sf_dir),
+                              sessions.messages_from_conversations, 3)
+    return mem.select("session_id", "seq", "role", "content")
+
+
+@query("session_after_clear_stream")
+def session_after_clear_stream(spark, sf_dir):
+    """session_after_clear on a stream: a system row clears the session state."""
+    from ..streaming import sessions as S
+    mem = S.run_memory_stream(spark, sf_dir, "conversations.parquet", _conv_schema(spark, sf_dir),
+                              sessions.messages_from_conversations, C.SESSION_MEMORY, clear_role="system")
+    return mem.select("session_id", "seq", "role", "content")
+
+
+@query("index_stream")
+def index_stream(spark, sf_dir):
+    """Chunk + embed + upsert as a stream over the corpus, run twice (the
+    second run re-reads everything into a fresh checkpoint): the point table
+    must equal the batch chunk table."""
+    from ..session import scratch_dir
+    from ..streaming import index as I
+    base = scratch_dir(spark, "index-stream")
+    schema = src.read_table(spark, sf_dir, "documents").schema
+    for run in range(2):
+        stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+                  .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+        I.run_index_stream(spark, stream, base + "/points", base + f"/checkpoint-{run}",
+                           lambda b: src.project_lang(src.qa_from_documents(b), "vi"), n_buckets=16)
+    p = spark.read.parquet(base + "/points")
+    return p.select("sample_id", "chunk_pos", "chunk_type", "step_idx", "text", "math_type", "query_ref")
+
+
 FLAGSHIP = "route_questions"

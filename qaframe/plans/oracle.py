@@ -453,3 +453,8 @@ SELECT sample_id, batch_id, n_tokens, padded_len, padded_len - n_tokens AS n_pad
     SELECT p.sample_id, (p.g - s.n_eval) // 2 AS batch_id, least(w.n_tokens, {C.MAX_SEQ_LEN})::BIGINT AS n_tokens
     FROM perm p, sizes s, words w WHERE w.sample_id = p.sample_id AND p.g >= s.n_eval))""",
                                    *PERM_CTES, WORDS_CTE)
+
+ORACLE["session_memory_stream"] = ORACLE["session_memory"]
+ORACLE["session_after_clear_stream"] = ORACLE["session_after_clear"]
+ORACLE["index_stream"] = ORACLE["chunks"].replace("SELECT * FROM chunks",
+    "SELECT sample_id, chunk_pos, chunk_type, step_idx, text, math_type, query_ref FROM chunks")

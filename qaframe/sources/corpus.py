@@ -21,11 +21,15 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def qa_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The `qa` adapter over `documents`: first line = question, the rest =
+    return qa_from_documents(read_table(spark, sf_dir, "documents"))
+
+
+def qa_from_documents(documents: DataFrame) -> DataFrame:
+    """The `qa` adapter over `documents` (batch or stream): first line = question, the rest =
     answer, with absent values, CRLF runs, double spaces and step markers
     planted by a rule on the id so that every operator path is exercised.
     All rows are kept; the id rule only chooses which variant a row gets."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = documents.select("doc_id", "text", "source")
     nl = F.lit("\n")
     has_nl = F.instr("text", "\n") > 0
     b = d.select(
