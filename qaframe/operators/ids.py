@@ -45,6 +45,20 @@ def id_bucket(key: str, bucket_rows: int = 8192) -> Column:
     return F.floor(F.col(key) / F.lit(bucket_rows)).cast("long")
 
 
+def bucket_width(keys: DataFrame, key: str, per_core: int = 4, max_buckets: int = 1_000_000) -> int:
+    """Width of key buckets so that there are about `per_core` buckets per
+    core (enough parallel rank tasks) and never more than `max_buckets`
+    (the offset table stays small).  One aggregate over the key column only.
+    Keys are unique, so a bucket never holds more than `width` keys."""
+    r = keys.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    if r["lo"] is None:
+        return 1
+    span = int(r["hi"]) - int(r["lo"]) + 1
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    n_buckets = min(max_buckets, max(1, per_core * cores))
+    return max(1, math.ceil(span / n_buckets))
+
+
 def hash_bucket(hex_col: str, digits: int = 4) -> Column:
     """Bucket from the leading hex digits of a uniform hash (16**digits buckets,
     so the offset table has a fixed upper size)."""

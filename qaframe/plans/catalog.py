@@ -139,7 +139,8 @@ def chunks_df(spark, sf_dir) -> DataFrame:
 def chunk_ids_df(spark, sf_dir) -> DataFrame:
     """Chunks with dense ids = position in the concatenation of all samples'
     chunks (bucket offsets, no global window)."""
-    return ids.dense_positions(chunks_df(spark, sf_dir), ids.id_bucket("sample_id"),
+    width = ids.bucket_width(src.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k")), "k")
+    return ids.dense_positions(chunks_df(spark, sf_dir), ids.id_bucket("sample_id", width),
                                [F.col("sample_id"), F.col("chunk_pos")], "chunk_id")
 
 
@@ -150,7 +151,7 @@ def solution_steps(spark, sf_dir):
 
 @query("sliding_windows")
 def sliding_windows(spark, sf_dir):
-    docs = src.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = src.read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     return chunking.text_windows(docs, "doc_id", "text")
 
 
@@ -212,7 +213,7 @@ def hits_df(spark, sf_dir) -> DataFrame:
 
 @query("hash_embed")
 def hash_embed(spark, sf_dir):
-    docs = src.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = src.read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     e = vectors.sparse_entries(vectors.hash_embed(docs, "text"), "doc_id")
     return e.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 

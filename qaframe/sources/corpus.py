@@ -15,13 +15,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Give per-row-heavy text work at least one partition per core.
+
+    A scan yields one partition per file split (a single-row-group file is
+    one task).  Only when the scan has fewer partitions than the session's
+    parallelism is it hash-repartitioned (deterministic on retry); a large
+    input already has far more splits than cores and is left untouched."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
+def read_text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows carry long texts (documents, pages, conversations)."""
+    return spread(read_table(spark, sf_dir, name), key)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Scan a saved corpus (parquet with the corpus schema); no inference."""
     return spark.read.schema(S.CORPUS).parquet(path)
 
 
 def qa_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qa_from_documents(read_table(spark, sf_dir, "documents"))
+    return qa_from_documents(read_text_table(spark, sf_dir, "documents", "doc_id"))
 
 
 def qa_from_documents(documents: DataFrame) -> DataFrame:
