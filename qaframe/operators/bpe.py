@@ -159,14 +159,15 @@ def learn_bpe(spark: SparkSession, texts: DataFrame, text: str = "text", vocab_s
         raise ValueError("vocab_size must stay below 1,000,000 (pair keys are packed in one bigint)")
     counts = pretoken_counts(texts, text)
     words = counts.select(initial_symbols(F.col("token")).alias("s"), F.col("freq").cast("long").alias("f"))
-    words = words.filter(F.size("s") >= 1).checkpoint(eager=True)
+    # a single-symbol word never yields a pair again: only longer words are kept
+    words = words.filter(F.size("s") >= 2).checkpoint(eager=True)
 
     vocab_strings = list(C.SPECIAL_TOKENS) + ALPHABET
     token_id = {t: i for i, t in enumerate(vocab_strings)}
     merges: list[tuple[int, int, int]] = []
     rounds = 0
     while len(vocab_strings) < vocab_size:
-        pairs = (words.filter(F.size("s") >= 2)
+        pairs = (words.filter(F.size("s") >= 2)      # sequence(1, 0) would count down
                  .select(F.explode(F.expr(_pairs_sql("s"))).alias("p"), "f")
                  .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("f").alias("c")))
         top = pairs.orderBy(F.col("c").desc(), "a", "b").limit(candidates).collect()
@@ -192,7 +193,7 @@ def learn_bpe(spark: SparkSession, texts: DataFrame, text: str = "text", vocab_s
         # cached block is recomputed from lineage); lineage itself is cut by
         # a reliable checkpoint every few rounds
         if rounds % checkpoint_every == 0:
-            words = words.checkpoint(eager=True)
+            words = words.filter(F.size("s") >= 2).checkpoint(eager=True)
         else:
             words = words.persist()
         prev.unpersist()

@@ -30,7 +30,10 @@ def dense_positions(df: DataFrame, bucket: Column, order: list[Column], name: st
     table joins on the same key.  It is not hinted for broadcast: its size
     grows with the key range, so AQE decides at run time from its measured
     size (spark.sql.adaptive.autoBroadcastJoinThreshold) and otherwise joins
-    it on the existing bucket partitioning."""
+    it on the existing bucket partitioning.
+
+    The input is read twice (counts, then rows): pass a materialised table
+    when it is expensive to compute."""
     b = df.withColumn("_bucket", bucket)
     offsets = _offsets(b, "_bucket").select("_bucket", "_offset")
     w = Window.partitionBy("_bucket").orderBy(*order)

@@ -140,7 +140,10 @@ def chunk_ids_df(spark, sf_dir) -> DataFrame:
     """Chunks with dense ids = position in the concatenation of all samples'
     chunks (bucket offsets, no global window)."""
     width = ids.bucket_width(src.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k")), "k")
-    return ids.dense_positions(chunks_df(spark, sf_dir), ids.id_bucket("sample_id", width),
+    # the chunk table is written once to the shared checkpoint folder (the
+    # chunk checkpoint of the index build); counting and ranking read it
+    chunks = chunks_df(spark, sf_dir).checkpoint(eager=True)
+    return ids.dense_positions(chunks, ids.id_bucket("sample_id", width),
                                [F.col("sample_id"), F.col("chunk_pos")], "chunk_id")
 
 
@@ -477,6 +480,24 @@ def roundtrip_mismatches(spark, sf_dir):
     return j.select("sample_id", "n_ids", "truncated", (F.col("decoded") == F.col("norm")).alias("roundtrip_ok"))
 
 
+@query("padded_encoded_batches")
+def padded_encoded_batches(spark, sf_dir):
+    """Training batches of 2 over the encoded train split: ids padded with
+    [PAD], labels with -100, attention mask with 0, to a multiple of 8."""
+    vocab, merges = bpe_model(spark, sf_dir)
+    e = bpe.encode(training_texts_df(spark, sf_dir), "sample_id", "text", vocab, merges)
+    tr = batches.train_positions(e)
+    b = batches.padded_lengths(tr, "n_ids")
+    ids_p, lab_p, mask_p = batches.pad_arrays("input_ids", "labels", "attention_mask", "padded_len",
+                                              C.SPECIAL_TOKENS.index(C.PAD_TOKEN))
+    out = b.select("sample_id", "batch_id", "n_ids", "padded_len", ids_p.alias("ids"), lab_p.alias("lab"),
+                   mask_p.alias("mask"))
+    return out.select("sample_id", "batch_id", "n_ids", "padded_len",
+                      F.size("ids").cast("long").alias("ids_len"),
+                      F.size(F.filter("lab", lambda x: x == C.LABEL_PAD)).cast("long").alias("n_label_pad"),
+                      F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n_attended"))
+
+
 @query("vocab_specials")
 def vocab_specials(spark, sf_dir):
     vocab, _ = bpe_model(spark, sf_dir)

@@ -64,6 +64,20 @@ def materialize_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame
     return spark.read.parquet(path)
 
 
+def fingerprint(df: DataFrame) -> str:
+    """Order-independent fingerprint of a table's content: row count and the
+    sum of 64-bit row hashes (one distributed aggregate)."""
+    r = df.agg(F.count(F.lit(1)).alias("n"),
+               F.sum(F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")).alias("h")).first()
+    return f"{int(r['n']):x}-{int(r['h'] or 0) & ((1 << 64) - 1):016x}"
+
+
+def chunk_sink(spark: SparkSession, corpus: DataFrame, make_chunks, base: str) -> DataFrame:
+    """Chunk table cached on disk under a fingerprint of its input: a changed
+    corpus gets a new folder instead of silently reusing stale chunks."""
+    return materialize_once(spark, make_chunks(corpus), f"{base.rstrip('/')}/chunks-{fingerprint(corpus)}")
+
+
 def write_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
     """One folder per split (split=train, split=eval)."""
     df.write.mode("overwrite").partitionBy(split_col).parquet(path)

@@ -94,3 +94,15 @@ def test_materialize_once_and_split_sink(spark):
         ["split=eval", "split=train"]
     back = spark.read.parquet(os.path.join(base, "splits")).filter(F.col("split") == "train")
     assert [r["id"] for r in back.collect()] == [1]
+
+
+def test_chunk_sink_fingerprint(spark):
+    base = tempfile.mkdtemp(prefix="qaframe-chunks-")
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, v string")
+    b = spark.createDataFrame([(1, "x"), (2, "z")], "id long, v string")
+    assert points.fingerprint(a) == points.fingerprint(a.repartition(2).orderBy(F.desc("id")))
+    assert points.fingerprint(a) != points.fingerprint(b)
+    first = points.chunk_sink(spark, a, lambda d: d.withColumn("n", F.length("v")), base)
+    second = points.chunk_sink(spark, b, lambda d: d.withColumn("n", F.length("v")), base)
+    assert sorted(r["v"] for r in first.collect()) == ["x", "y"]
+    assert sorted(r["v"] for r in second.collect()) == ["x", "z"]     # changed input, new chunks
