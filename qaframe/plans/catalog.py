@@ -545,7 +545,8 @@ def index_stream(spark, sf_dir):
         stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
                   .option("maxFilesPerTrigger", 1).parquet(sf_dir))
         I.run_index_stream(spark, stream, base + "/points", base + f"/checkpoint-{run}",
-                           lambda b: src.project_lang(src.qa_from_documents(b), "vi"), n_buckets=16)
+                           lambda b: src.project_lang(src.qa_from_documents(src.spread(b, "doc_id")), "vi"),
+                           n_buckets=16)
     p = spark.read.parquet(base + "/points")
     return p.select("sample_id", "chunk_pos", "chunk_type", "step_idx", "text", "math_type", "query_ref")
 
