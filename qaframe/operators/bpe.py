@@ -15,10 +15,8 @@ round:
   lowers counts of pairs that involve its symbols and any new pair's count is
   at most the count of the pair it came from).
 
-Words are kept as space-delimited id strings and rewritten by one
-lookaround `regexp_replace` per accepted pair (the accepted pairs share no
-symbol, so their order inside the round does not matter); pairs come from
-`arrays_zip` of two slices.  Both stay in generated code.  Lineage is cut by
+Words are rewritten by one fold per round (the accepted pairs share no
+symbol, so their order inside the round does not matter).  Lineage is cut by
 `checkpoint()` into the shared checkpoint folder every few rounds.
 
 Encoding.  Special tokens are split off first, the rest is NFKC-normalised
@@ -30,7 +28,6 @@ by the vocabulary size), token characters back to bytes, bytes to UTF-8.
 
 from __future__ import annotations
 
-import time
 import unicodedata
 
 import pandas as pd
@@ -108,22 +105,19 @@ def pretoken_counts(texts: DataFrame, text: str = "text") -> DataFrame:
 
 # ------------------------------------------------------------------------- learning
 
-def _word_pairs(w: Column) -> Column:
-    """Adjacent symbol pairs of a word stored as ' id id id ' (built-in
-    array functions only, so the stage stays in generated code)."""
-    sy = F.split(F.trim(w), " ")
-    n = F.size(sy)
-    return F.arrays_zip(F.slice(sy, F.lit(1), n - 1), F.slice(sy, F.lit(2), n - 1))
+def _pairs_sql(col: str) -> str:
+    return (f"transform(sequence(1, size({col}) - 1), i -> "
+            f"named_struct('a', element_at({col}, i), 'b', element_at({col}, i + 1)))")
 
 
-def _apply_merges(w: Column, batch: list[tuple[int, int, int]]) -> Column:
-    """Merge every (a, b) of the batch into t, left to right without overlap.
-    The lookarounds keep the separating spaces out of the match, so
-    ' 5 6 5 6 ' -> ' t t ' and ' 5 5 5 ' -> ' t 5 '.  Pairs of one batch
-    share no symbol, so applying them one after another is exact."""
-    for a, b, t in batch:
-        w = F.regexp_replace(w, f"(?<= ){a} {b}(?= )", str(t))
-    return w
+def _apply_sql(col: str, batch: list[tuple[int, int, int]]) -> str:
+    """One left-to-right pass merging every (a, b) of the batch into t."""
+    keys = ", ".join(f"{a * 1_000_000 + b}L, {t}" for a, b, t in batch)
+    m = f"map({keys})"
+    return (f"aggregate({col}, cast(array() as array<int>), (out, x) -> "
+            f"CASE WHEN size(out) > 0 AND map_contains_key({m}, cast(element_at(out, -1) as bigint) * 1000000 + x) "
+            f"THEN concat(slice(out, 1, size(out) - 1), array(element_at({m}, cast(element_at(out, -1) as bigint) * 1000000 + x))) "
+            f"ELSE array_append(out, x) END)")
 
 
 def _select_batch(cands, vocab_strings, token_id, room, min_frequency, complete):
@@ -164,29 +158,28 @@ def learn_bpe(spark: SparkSession, texts: DataFrame, text: str = "text", vocab_s
     if vocab_size >= 1_000_000:
         raise ValueError("vocab_size must stay below 1,000,000 (pair keys are packed in one bigint)")
     counts = pretoken_counts(texts, text)
-    syms = initial_symbols(F.col("token"))
-    # words are kept as ' id id id ' strings (see _apply_merges); a word of
-    # one symbol never yields a pair again, so only longer words are kept
-    words = counts.filter(F.size(syms) >= 2).select(
-        F.concat(F.lit(" "), F.array_join(syms, " "), F.lit(" ")).alias("w"), F.col("freq").cast("long").alias("f"))
+    words = counts.select(initial_symbols(F.col("token")).alias("s"), F.col("freq").cast("long").alias("f"))
+    # a single-symbol word never yields a pair again: only longer words are kept
     # the distinct-word table may come out of the aggregate as one partition
     # (AQE coalesces small results); every round works on it, so give it one
     # partition per core at least
     target = spark.sparkContext.defaultParallelism
+    words = words.filter(F.size("s") >= 2)
     words = words.repartition(max(target, words.rdd.getNumPartitions())).checkpoint(eager=True)
 
     vocab_strings = list(C.SPECIAL_TOKENS) + ALPHABET
     token_id = {t: i for i, t in enumerate(vocab_strings)}
     merges: list[tuple[int, int, int]] = []
     rounds = 0
-    collect_secs = 0.0
+    stale: list[DataFrame] = []
     while len(vocab_strings) < vocab_size:
-        p = words.select(F.explode(_word_pairs(F.col("w"))).alias("p"), "f")
-        pairs = (p.groupBy(F.col("p")["0"].cast("int").alias("a"), F.col("p")["1"].cast("int").alias("b"))
-                 .agg(F.sum("f").alias("c")))
-        _t0 = time.perf_counter()
+        pairs = (words.filter(F.size("s") >= 2)      # sequence(1, 0) would count down
+                 .select(F.explode(F.expr(_pairs_sql("s"))).alias("p"), "f")
+                 .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("f").alias("c")))
         top = pairs.orderBy(F.col("c").desc(), "a", "b").limit(candidates).collect()
-        collect_secs += time.perf_counter() - _t0
+        for d in stale:
+            d.unpersist()
+        stale.clear()
         cands = [(int(r["a"]), int(r["b"]), int(r["c"])) for r in top]
         if not cands or cands[0][2] < min_frequency:
             break
@@ -203,19 +196,23 @@ def learn_bpe(spark: SparkSession, texts: DataFrame, text: str = "text", vocab_s
             merges.append((a, b, t))
             applied.append((a, b, t))
         prev = words
-        words = words.withColumn("w", _apply_merges(F.col("w"), applied))
+        words = words.withColumn("s", F.expr(_apply_sql("s", applied)))
         rounds += 1
         # each round reads the previous round's words from memory (a lost
         # cached block is recomputed from lineage); lineage itself is cut by
         # a reliable checkpoint every few rounds
         if rounds % checkpoint_every == 0:
-            words = words.filter(F.instr(F.trim("w"), " ") > 0).checkpoint(eager=True)
+            words = words.filter(F.size("s") >= 2).checkpoint(eager=True)
         else:
             words = words.persist()
-        prev.unpersist()
+        # the previous cache is released only after the next round's job has
+        # filled the new one from it (releasing it earlier makes every round
+        # recompute all merges since the last checkpoint)
+        stale.append(prev)
+    for d in stale:
+        d.unpersist()
     words.unpersist()
     learn_bpe.last_rounds = rounds
-    learn_bpe.last_collect_secs = collect_secs
     vocab = spark.createDataFrame(list(zip(vocab_strings, range(len(vocab_strings)))), "token string, id int")
     merge_df = spark.createDataFrame([(i, a, b, t) for i, (a, b, t) in enumerate(merges)],
                                      "rank int, left int, right int, id int")
