@@ -191,13 +191,25 @@ def batch_manifest(spark, sf_dir):
 
 # --- 4. vectors --------------------------------------------------------------------
 
-def points_df(spark, sf_dir) -> DataFrame:
-    """The chunk index: dense chunk ids, hashed vectors, payload columns.
-    Written once to the shared checkpoint folder, so search and the payload
-    join read it instead of chunking twice."""
+def build_points(spark, sf_dir) -> DataFrame:
+    """The chunk index: dense chunk ids, hashed vectors, payload columns."""
     pts = vectors.hash_embed(chunk_ids_df(spark, sf_dir), "text", "vector")
     return pts.select("chunk_id", "vector", "sample_id", "chunk_type", "step_idx", "text", "math_type",
-                      "query_ref").checkpoint(eager=True)
+                      "query_ref")
+
+
+def points_df(spark, sf_dir) -> DataFrame:
+    """The chunk index, built once per corpus content and saved in the shared
+    checkpoint folder (the original builds its index in a separate job and
+    answers from it); keyed by a content fingerprint of `documents`, so a
+    changed corpus gets a new index."""
+    docs = src.read_table(spark, sf_dir, "documents")
+    tag = f"{pts_src.fingerprint(docs)}-{C.HASH_DIM}"
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/index-{tag}"
+    if not pts_src._fs_exists(spark, base + "/_DONE"):
+        build_points(spark, sf_dir).write.mode("overwrite").parquet(base + "/points")
+        spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(base + "/_DONE")
+    return spark.read.parquet(base + "/points")
 
 
 def questions_df(spark, sf_dir) -> DataFrame:
@@ -214,6 +226,15 @@ def hits_df(spark, sf_dir) -> DataFrame:
     return top.join(payload, "id")
 
 
+@query("index_points")
+def index_points(spark, sf_dir):
+    """A fresh build of the chunk index (chunk -> dense id -> hashed vector)."""
+    p = build_points(spark, sf_dir)
+    return p.select("chunk_id", "sample_id", "chunk_type",
+                    F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("n_terms"),
+                    F.round(vectors.norm("vector"), 6).alias("norm"))
+
+
 @query("hash_embed")
 def hash_embed(spark, sf_dir):
     docs = src.read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")

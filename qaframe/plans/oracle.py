@@ -458,3 +458,7 @@ ORACLE["session_memory_stream"] = ORACLE["session_memory"]
 ORACLE["session_after_clear_stream"] = ORACLE["session_after_clear"]
 ORACLE["index_stream"] = ORACLE["chunks"].replace("SELECT * FROM chunks",
     "SELECT sample_id, chunk_pos, chunk_type, step_idx, text, math_type, query_ref FROM chunks")
+
+ORACLE["index_points"] = with_hits("""
+SELECT c.chunk_id, c.sample_id, c.chunk_type, coalesce(v.n, 0) AS n_terms, round(coalesce(v.nrm, 0.0), 6) AS norm
+FROM chunk_ids c LEFT JOIN (SELECT k, count(*) AS n, sqrt(sum(w * w)) AS nrm FROM pv GROUP BY k) v ON v.k = c.chunk_id""")
