@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaframe.llm.common import table
+from qaframe.llm.idstore import read_ids, write_ids
 from qaframe.llm.line_dedup import line_dedup
+from qaframe.llm.minhash import near_duplicates
+from qaframe.llm.packing import pack
 from qaframe.llm.quality import quality
 from qaframe.llm.sharding import shard_by_bytes
 
@@ -16,6 +19,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer file; a parameter of the operators, never part of this repository."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_ids(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return read_ids(manifest).select(
+        "doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -27,8 +47,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_token_ids": op3_token_ids,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_sharding": op5_sharding,
     "op6_line_dedup": op6_line_dedup,
+    "op8_packing": op8_packing,
 }
