@@ -32,6 +32,7 @@ MENU_WORDS = ["home", "login", "log in", "sign in", "sign up", "register", "sear
 BOILERPLATE = ["all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy",
                "use cookies", "uses cookies", "enable javascript", "lorem ipsum", "licensed under", "released under",
                "copyright ©", "copyright (c)", "subscribe to our newsletter"]
+NOTICE_CHARS = 300       # legal notices are lines of at most so many characters
 CLOSING = '.!?…:;。！？"”»\')]'
 
 
@@ -47,46 +48,74 @@ class QualityRules:
     min_kept_percent: int = 60        # characters that must survive the line rules
 
 
-def _count_chars(c: Column, chars: str) -> Column:
-    return F.length(c) - F.length(F.translate(c, chars, ""))
-
-
-def line_fails(line: Column, r: QualityRules) -> Column:
-    """True for a line that one of the rules removes (never for a blank line)."""
-    s = F.btrim(line, F.lit(WS_CHARS))
-    low = F.lower(s)
-    words = F.length(s) - F.length(F.translate(s, " ", "")) + 1
-    symbols = _count_chars(s, SYMBOLS)
-    seps = _count_chars(s, SEPARATORS)
-    shouting = (s == F.upper(s)) & (s != low) & (words >= r.shout_words)
-    fragment = (words < r.fragment_words) & (F.instr(F.lit(CLOSING), F.right(s, F.lit(1))) == 0)
-    punctuation = (symbols * 100 > F.length(s) * r.max_symbol_percent) | shouting | fragment
-    navigation = ((seps >= r.separators) & (seps * r.words_per_separator >= words)) | low.isin(MENU_WORDS)
-    boilerplate = F.lit(False)
+def _class(chars: str) -> Column:
+    """A regular expression for one of these characters."""
+    return F.lit("[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]")
+
+
+def line_facts(lines: Column, marked: Column) -> Column:
+    """Per line: its stripped text, how many rule characters it has, and its
+    lower-cased text if it is short enough for a notice.  `marked` tells whether
+    the whole text has a rule character at all."""
+    edge = lambda c: F.instr(F.lit(WS_CHARS), c) > 0
+    spaces_off = F.transform(lines, lambda x: F.trim(x))
+    stripped = F.transform(spaces_off, lambda s: F.when(
+        edge(F.left(s, F.lit(1))) | edge(F.right(s, F.lit(1))), F.btrim(s, F.lit(WS_CHARS))).otherwise(s))
+    def facts(count: bool) -> Column:
+        return F.transform(stripped, lambda s: F.struct(
+            s.alias("s"), (F.regexp_count(s, _class(SYMBOLS + SEPARATORS)) if count else F.lit(0)).alias("marks"),
+            F.when(F.length(s) <= NOTICE_CHARS, F.lower(s)).alias("low")))
+
+    # decided per text: inside the lambda it would be evaluated for every line
+    return F.when(marked, facts(True)).otherwise(facts(False))
+
+
+def line_fails(e: Column, r: QualityRules) -> Column:
+    """True for a line (of `line_facts`) that a rule removes, never for a blank
+    one.  Cheap conditions come first: the rest is not evaluated after them."""
+    s = e["s"]
+    words = F.regexp_count(s, F.lit(" ")) + 1
+    symbols = F.regexp_count(s, _class(SYMBOLS))
+    seps = F.regexp_count(s, _class(SEPARATORS))
+    soup = (e["marks"] > 0) & (symbols * 100 > F.length(s) * r.max_symbol_percent)
+    fragment = (F.instr(F.lit(CLOSING), F.right(s, F.lit(1))) == 0) & (words < r.fragment_words)
+    shouting = (s == F.upper(s)) & (s != F.lower(s)) & (words >= r.shout_words)
+    navigation = (e["marks"] >= r.separators) & (seps >= r.separators) & (seps * r.words_per_separator >= words)
+    menu = F.coalesce(e["low"].isin(MENU_WORDS), F.lit(False))
+    notice = F.lit(False)
     for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(low, F.lit(phrase))
-    return (s != "") & (boilerplate | navigation | punctuation)
-
-
-def _repeated_window_words(words: Column, grams: Column) -> Column:
-    """Word positions covered by a 3-word window that occurs twice or more.
-
-    The window hashes are paired with their positions and sorted; a window
-    repeats when a neighbour in that order has the same hash.  The covered
-    positions are summed over the sorted starts: a start covers three words,
-    less what the next start covers already."""
-    pairs = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    none = F.array(F.lit(None).cast("struct<g:bigint,i:int>"))
-    with_prev = F.zip_with(pairs, F.concat(none, pairs),
-                           lambda a, b: F.struct(a["g"].alias("g"), a["i"].alias("i"),
-                                                 F.coalesce(a["g"] == b["g"], F.lit(False)).alias("same")))
-    # `same` of the next entry says whether this one equals its successor
-    both = F.zip_with(with_prev, F.slice(with_prev, 2, 1 << 30),
-                      lambda a, b: F.when(a["same"] | F.coalesce(b["same"], F.lit(False)), a["i"]))
-    starts = F.sort_array(F.array_compact(both))
-    covered = F.zip_with(starts, F.slice(starts, 2, 1 << 30), lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3))))
+        notice = notice | F.contains(e["low"], F.lit(phrase))
+    boilerplate = e["low"].isNotNull() & notice
+    return (s != "") & (soup | navigation | fragment | menu | boilerplate | shouting)
+
+
+def _repeats(df: DataFrame) -> DataFrame:
+    """Replace `grams`, the hashes of the 3-word windows, by `n_repeat_words`: word
+    positions covered by a window that occurs twice or more.
+
+    Only texts with a repeated hash go on.  Their windows are sorted as longs of
+    the upper hash bits and the position, so that equal windows are neighbours;
+    neighbours are compared by their whole hashes.  The covered positions are
+    summed over the sorted starts: a start covers three words, less what the next
+    start covers already.  Steps are columns of their own, so none is evaluated
+    twice."""
+    rest = [c for c in df.columns if c != "grams"]
+    mask = F.expr("shiftleft(1L, cast(ceil(log2(size(grams) + 1)) as int)) - 1")
+    repeated = F.size(F.array_distinct("grams")) < F.size("grams")
+    df = df.select(*rest, "grams", F.when(repeated, mask).alias("mask"))
+    df = df.select(*rest, "grams", "mask", F.when(F.col("mask").isNotNull(), F.sort_array(F.transform(
+        "grams", lambda g, i: g.bitwiseAND(F.bitwise_not("mask")).bitwiseOR(i.cast("bigint"))))).alias("pairs"))
+    at = lambda p: F.get("grams", p.bitwiseAND(F.col("mask")).cast("int"))
+    df = df.select(*rest, "mask", "pairs", F.when(F.col("mask").isNotNull(), F.zip_with(
+        "pairs", F.slice("pairs", 2, 1 << 30),
+        lambda a, b: F.when(a.bitwiseXOR(b).between(0, F.col("mask")), at(a) == at(b)))).alias("same"))
+    position = lambda p, s: F.when(s, p.bitwiseAND(F.col("mask")))
+    starts = F.sort_array(F.array_compact(F.array_union(
+        F.zip_with("pairs", "same", position), F.zip_with(F.slice("pairs", 2, 1 << 30), "same", position))))
+    df = df.select(*rest, F.when(F.col("mask").isNotNull(), starts).alias("starts"))
+    covered = F.zip_with("starts", F.slice("starts", 2, 1 << 30), lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3))))
     total = F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("bigint")).otherwise(total)
+    return df.select(*rest, F.coalesce(total, F.lit(0)).cast("bigint").alias("n_repeat_words"))
 
 
 def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id",
@@ -96,35 +125,38 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str =
     `n_lines`, `n_failed_lines`, `kept_percent` and `cleaned` come from the
     line rules; `kept` is false when the base rules fail or when less than
     `min_kept_percent` of the text's characters survive."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col), text.alias("t"))
-    split = base.select(
-        id_col, "t",
-        F.filter(F.split("t", f"[{WS}]+"), lambda w: w != "").alias("words"),
-        F.split("t", "\n").alias("lines"))
+    ident = F.col(id_col).alias("id")
+    base = docs.select(ident, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    split = base.select("id", "t", F.array_remove(F.split("t", f"[{WS}]+"), "").alias("words"),
+                        F.split("t", "\n").alias("lines"))
     grams = F.slice(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))),
                     F.lit(1), F.greatest(F.size("words") - 2, F.lit(0)))
     wordy = F.filter("lines", lambda x: x.rlike(f"[^{WS}]"))
-    marked = split.select(
-        id_col, "t", F.size("words").cast("bigint").alias("n_words"),
-        F.col("words"), grams.alias("grams"), wordy.alias("wordy"), F.size("lines").cast("bigint").alias("n_lines"),
-        F.filter("lines", lambda x: ~line_fails(x, rules)).alias("good"))
-    counted = marked.select(
-        id_col, "t", "n_words", "n_lines",
-        F.length(F.translate("t", WS_CHARS, "")).cast("bigint").alias("word_chars"),
-        _count_chars(F.col("t"), SYMBOLS).cast("bigint").alias("n_symbols"),
+    marked = F.col("n_symbols") > 0
+    for c in SEPARATORS:
+        if c not in SYMBOLS:
+            marked = marked | F.contains("t", F.lit(c))
+    split = split.withColumn("n_symbols", F.regexp_count("t", _class(SYMBOLS)).cast("bigint")).withColumn("marked", marked)
+    facts = split.select(
+        "id", "t", "lines", F.size("words").cast("bigint").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
+        "n_symbols", grams.alias("grams"), wordy.alias("wordy"), line_facts(F.col("lines"), F.col("marked")).alias("facts"))
+    judged = _repeats(facts.select(
+        "id", "t", "lines", "n_words", "word_chars", "n_symbols", "grams",
         (F.size("wordy") - F.size(F.array_distinct("wordy"))).cast("bigint").alias("n_dup_lines"),
-        _repeated_window_words(F.col("words"), F.col("grams")).alias("n_repeat_words"),
-        (F.col("n_lines") - F.size("good")).alias("n_failed_lines"),
-        F.array_join("good", "\n").alias("cleaned"))
+        F.transform("facts", lambda e: line_fails(e, rules)).alias("fails")))
+    good = F.array_join(F.array_compact(F.zip_with("lines", "fails", lambda x, f: F.when(~f, x))), "\n")
+    cleaned = judged.select(
+        "*", F.size(F.filter("fails", lambda f: f)).cast("bigint").alias("n_failed_lines"),
+        F.when(F.exists("fails", lambda f: f), good).otherwise(F.col("t")).alias("cleaned"))
+    left = F.when(F.col("n_failed_lines") == 0, F.col("word_chars")).otherwise(
+        F.length(F.regexp_replace("cleaned", f"[{WS}]+", "")).cast("bigint"))
     failed = ((F.col("n_words") < rules.min_words)
               | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
-    left = F.length(F.translate("cleaned", WS_CHARS, "")).cast("bigint")
-    enough = left * 100 >= F.col("word_chars") * rules.min_kept_percent
-    return counted.select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    enough = F.col("left") * 100 >= F.col("word_chars") * rules.min_kept_percent
+    return cleaned.withColumn("left", left).select(
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & enough).alias("kept"),
-        "n_lines", "n_failed_lines", (left * 100).alias("_l"), "cleaned").select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_lines", "n_failed_lines",
-        F.when(F.col("word_chars") > 0, F.floor(F.col("_l") / F.col("word_chars"))).alias("kept_percent"), "cleaned")
+        F.size("lines").cast("bigint").alias("n_lines"), "n_failed_lines",
+        F.when(F.col("word_chars") > 0, F.floor(F.col("left") * 100 / F.col("word_chars"))).alias("kept_percent"),
+        "cleaned")
