@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaframe.llm.common import table
+from qaframe.llm.embeddings import near_vectors
 from qaframe.llm.idstore import read_ids, write_ids
 from qaframe.llm.line_dedup import line_dedup
 from qaframe.llm.minhash import near_duplicates
@@ -52,6 +53,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_ids": op3_token_ids,
@@ -59,4 +64,5 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_line_dedup": op6_line_dedup,
     "op8_packing": op8_packing,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
