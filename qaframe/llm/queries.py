@@ -14,6 +14,8 @@ from qaframe.llm.minhash import near_duplicates
 from qaframe.llm.packing import pack
 from qaframe.llm.quality import quality
 from qaframe.llm.sharding import shard_by_bytes
+from qaframe.llm.urls import UrlRule, judge_urls
+from qaframe.llm.warc import read_packages, write_packages
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +50,32 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+URL_RULES = [UrlRule("allow", "org", "/"), UrlRule("block", "example.org", "/es/"),
+             UrlRule("block", "example.org", "/en/1"), UrlRule("allow", "com", "/fr/"), UrlRule("block", "com", "/de/")]
+
+
+def listed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block list of the query: URLs of pages whose document is labelled toxic."""
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    return table(spark, sf_dir, "pages").join(toxic, "page_id", "left_semi").select("url")
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), listed_urls(spark, sf_dir), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "canonical_url", "listed")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_packages(table(spark, sf_dir, "pages"))
+    return read_packages(manifest, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +86,8 @@ QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_sharding": op5_sharding,
     "op6_line_dedup": op6_line_dedup,
+    "op7_url_filters": op7_url_filters,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
