@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaframe.llm.common import table
+from qaframe.llm.common import stage, table, workdir
 from qaframe.llm.embeddings import near_vectors
 from qaframe.llm.idstore import read_ids, write_ids
 from qaframe.llm.line_dedup import line_dedup
 from qaframe.llm.minhash import near_duplicates
 from qaframe.llm.packing import pack
+from qaframe.llm.pieces import decode_pieces, encode_pieces
 from qaframe.llm.quality import quality
 from qaframe.llm.sharding import shard_by_bytes
 from qaframe.llm.urls import UrlRule, judge_urls
@@ -28,6 +29,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, decoded again: a digest of both directions."""
+    model = tokenizer("piece_bpe_32k.model")
+    encoded = stage(encode_pieces(table(spark, sf_dir, "documents"), model), workdir(spark, "pieces"))
+    digest = encoded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "n_bytes",
+                            F.crc32("ids").alias("ids_crc32"), "ids")
+    # decoded from the stored ids alone, in the same row order
+    texts = decode_pieces(digest.select(F.struct("doc_id", "n_tokens", "n_bytes", "ids_crc32").alias("row"), "ids"),
+                          model, id_col="row")
+    return texts.select("row.*", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_ids(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return read_ids(manifest).select(
@@ -82,6 +95,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_token_ids": op3_token_ids,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_sharding": op5_sharding,
