@@ -22,6 +22,8 @@ Only the id and text columns are read.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,10 +120,11 @@ class LineRuns:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20,
-               min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+               min_docs: int = 3, batches: int = 4, fanout: int = 3, carry: Sequence[str] = ()) -> DataFrame:
     """Lines found in `min_docs` documents or more stay only in the largest id.
 
-    Returns per input row: id, n_lines, n_dropped, kept_text.  The documents
+    Returns per input row: id, n_lines, n_dropped, kept_text, and the columns
+    of `carry` in a struct `carried`.  The documents
     are ingested into the runs in `batches` batches by a hash of the id, so a
     document belongs to one batch and the counts of the runs add up.
     """
@@ -134,18 +137,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = LineRuns(spark, f"{path}/runs", fanout)
     for b in range(batches):
         runs.add(hashes.where(F.col("batch") == b))
-    listed = runs.totals().where(F.col("n_docs") >= min_docs)
+    listed = stage(runs.totals().where(F.col("n_docs") >= min_docs), f"{path}/listed")
     # positions of the lines to drop; a common line is split by the skew join
     drops = (hashes.join(listed, ["h1", "h2"]).where("d <> max_doc")
              .groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col), F.lit(NULL_ID)).alias("d"),
+                       F.struct(*carry).alias("carried") if carry else F.struct(F.lit(None)).alias("carried"),
                        _text(text_col).alias("t")).withColumn("th", F.xxhash64("t"))
-    lines = rows.join(drops, ["d", "th"], "left").select("id", "t", "gone", F.split("t", "\n").alias("lines"))
+    lines = rows.join(drops, ["d", "th"], "left").select("id", "carried", "t", "gone", F.split("t", "\n").alias("lines"))
     # what stays are the slices between the dropped positions: linear in the text
     starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda p: p + 1))
     ends = F.concat(F.col("gone"), F.array(F.size("lines")))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("lines", a + 1, b - a)))
     return lines.select(
-        F.col("id").alias(id_col), F.size("lines").cast("bigint").alias("n_lines"),
+        F.col("id").alias(id_col), *(["carried"] if carry else []), F.size("lines").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
         F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n")).alias("kept_text"))

@@ -154,9 +154,12 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str =
     failed = ((F.col("n_words") < rules.min_words)
               | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
     enough = F.col("left") * 100 >= F.col("word_chars") * rules.min_kept_percent
+    # always true, but not deterministic for the optimizer: a filter on `kept` stays
+    # above these columns instead of being pushed down with copies of them all
+    here = F.spark_partition_id() >= 0
     return cleaned.withColumn("left", left).select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & enough).alias("kept"),
+        failed.alias("base_failed"), (~failed & enough & here).alias("kept"),
         F.size("lines").cast("bigint").alias("n_lines"), "n_failed_lines",
         F.when(F.col("word_chars") > 0, F.floor(F.col("left") * 100 / F.col("word_chars"))).alias("kept_percent"),
         "cleaned")
