@@ -2,47 +2,76 @@
 its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a frame that `run` writes
-as Parquet and rereads as the next stage's docs.
+as Parquet and rereads as the next stage's docs.  All stages but the last return
+the columns of `documents`, in their order; `n_chars` follows the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaframe.llm.common import stage, table, workdir
 from qaframe.llm.line_dedup import line_dedup
+from qaframe.llm.minhash import BROADCAST_IDS, near_duplicates
+from qaframe.llm.packing import pack
 from qaframe.llm.quality import quality
+from qaframe.llm.queries import tokenizer
+
+
+def _with_text(docs: DataFrame, rows: DataFrame, text: str, row: str) -> DataFrame:
+    """The columns of docs out of the struct `row`, with another text."""
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col(text).alias("text")
+        if name == "n_chars":
+            return F.length(text).cast("bigint").alias("n_chars")
+        return F.col(f"{row}.`{name}`").alias(name)
+    return rows.select(*[column(c) for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; the others lose their failing lines."""
-    judged = quality(docs.withColumn("_row", F.struct(*docs.columns)), id_col="_row")
-    cleaned = judged.where("kept").select("_row.*", "cleaned")
-    return cleaned.select(*[_replaced(c, "cleaned") for c in docs.columns])
+    rest = [c for c in docs.columns if c != "text"]
+    judged = quality(docs.select(F.struct(*rest).alias("row"), "text"), id_col="row").where("kept")
+    return _with_text(docs, judged, "cleaned", "row")
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in three documents or more stay in the largest id only."""
+    rest = [c for c in docs.columns if c != "text"]
+    return _with_text(docs, line_dedup(docs, carry=rest), "kept_text", "carried")
+
 
+def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: that with the smallest id.  Of rows that
+    share this id one stays; rows without an id belong to no group and stay."""
+    found = stage(near_duplicates(docs, words=5), workdir(spark, "pipeline-near"))
+    losers = found.where(~F.col("kept")).select("doc_id").distinct()
+    if losers.count() <= BROADCAST_IDS:
+        losers = F.broadcast(losers)
+    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    twice = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if twice.isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
-def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat across documents stay in the largest id only."""
-    lines = line_dedup(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
-    return lines.select(*[_replaced(c, "kept_text") for c in docs.columns])
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: a row per piece of a document, with its ids."""
+    return pack(docs, tokenizer("byte_bpe_50k.json"))
 
-def _replaced(name: str, text: str):
-    if name == "text":
-        return F.col(text).alias("text")
-    if name == "n_chars":
-        return F.length(text).cast("bigint").alias("n_chars")
-    return F.col(name)
 
+STAGES = [("quality_rules", quality_rules), ("line_dedup", repeated_lines),
+          ("minhash_near_dedup", near_duplicate_documents), ("packing", packing)]
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_duplicates)]
+# ids by a tokenizer file have no SQL form; tests/llm compares the stages with brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = workdir(spark, "pipeline")
-    for name, fn in STAGES[:-1]:
+    for name, fn in STAGES:
         docs = stage(fn(spark, docs, sf_dir), f"{path}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
