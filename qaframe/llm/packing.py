@@ -116,7 +116,9 @@ def _packer(path: str, end_id: int, rules: PackingRules):
                     tokens += len(ids) // 4
                     if tokens >= rules.block_tokens:
                         yield flush(False)
-        if waiting:
+        if tokens >= rules.capacity:
+            yield flush(False)
+        if waiting:                          # less than one sequence
             yield flush(True)
 
     return run

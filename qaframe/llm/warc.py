@@ -99,7 +99,7 @@ class ZipPackage:
         self.r = reader
         tail_at = max(0, reader.size - 65_557)          # end record and longest comment
         tail = reader.read(tail_at, reader.size - tail_at)
-        at = tail.rfind(b"PK\x05\x06")
+        at = tail.rfind(b"PK\x05\x06", 0, len(tail) - 18)     # the record has 22 bytes at least
         while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
             at = tail.rfind(b"PK\x05\x06", 0, at)
         if at < 0:
