@@ -7,12 +7,14 @@
    expanded into its pairs: every member is compared with the bucket's hub, the
    member that shares most buckets, and again with a second hub for members that
    are not yet connected.
-3. What is still not connected inside a bucket is compared exhaustively, but by
-   signatures in bounded tiles and only across components, and only pairs whose
-   signatures agree are emitted.  So no link between candidates is lost, and a
+3. What is still not connected inside a bucket is compared exhaustively, in tiles
+   of bounded blocks and only across components: by signatures first, each pair in
+   the first band that it shares, and the members of agreeing pairs by their full
+   sets in a second pass.  A tile emits at most one link for every two components
+   that it joins, never its pairs.  So no link between candidates is lost, and a
    bucket of k connected members costs k comparisons.
-4. A compared pair is first verified by its signatures (agreement far below the
-   threshold ends it), then confirmed on the full shingle sets.
+4. A pair compared with a hub is first verified by its signatures (agreement far
+   below the threshold ends it), then confirmed on the full shingle sets.
 5. Confirmed links are closed by alternating large-star and small-star.
 
 Defined results: a null or empty text, or one without words, has no shingles
@@ -38,7 +40,8 @@ from qaframe.llm.tokens import text_slices
 
 SIGNED = "id long, n long, s1 long, s2 long, bands array<long>, sig array<int>"
 BROADCAST_IDS = 2_000_000      # 16 bytes each; more ids than that are joined by a shuffle
-TILE = 1024
+TILE = 1024                     # members, and
+TILE_SHINGLES = 500_000        # shingles of a block
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -110,36 +113,92 @@ class _Verifier:
                 .select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
 
 
-def _agreeing(least: int):
+def _minors(comp: np.ndarray) -> np.ndarray:
+    """Members outside the largest component of a tile: every pair of different
+    components has one of them."""
+    _, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    return np.flatnonzero(inverse != counts.argmax())
+
+
+def _across(tile: pd.DataFrame) -> np.ndarray | None:
+    """Block of each member in a tile of two blocks, which compares across them."""
+    side = tile["side"].to_numpy()
+    return side if int(tile["i"].iloc[0]) != int(tile["j"].iloc[0]) else None
+
+
+INVOLVED = "key long, i int, j int, side int, id long, comp long"
+
+
+def _agreeing(least: int, b: Bands):
     def run(tile: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different components whose signatures agree.  Every such pair
-        has a member outside the tile's largest component."""
-        ids, comp = tile["id"].to_numpy(), tile["comp"].to_numpy()
-        side = tile["side"].to_numpy()
+        """Members of pairs of different components that share this band first and
+        whose signatures agree."""
+        comp, side, band = tile["comp"].to_numpy(), _across(tile), int(tile["band"].iloc[0])
         sigs = np.stack(tile["sig"].to_numpy())
-        names, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        minor = np.flatnonzero(inverse != counts.argmax())
-        out = set()
-        for i in minor:
-            # tile of two blocks: across them; tile of one block: inside it
-            other = (comp != comp[i]) & ((side != side[i]) if side.min() != side.max() else True)
-            at = np.flatnonzero(other)
-            for j in at[(sigs[at] == sigs[i]).sum(axis=1) >= least]:
-                out.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+        involved = np.zeros(len(tile), dtype=bool)
+        for m in _minors(comp):
+            at = np.flatnonzero((comp != comp[m]) if side is None else (comp != comp[m]) & (side != side[m]))
+            same = sigs[at] == sigs[m]
+            near = same.sum(axis=1) >= least
+            if near.any():
+                at, same = at[near], same[near].reshape(-1, b.bands, b.rows)
+                at = at[~same[:, :band].all(axis=2).any(axis=1)]
+                if len(at):
+                    involved[at] = True
+                    involved[m] = True
+        return tile.loc[involved, ["key", "i", "j", "side", "id", "comp"]]
+    return run
+
+
+def _linking(percent: int):
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        """Links between components by exact comparison of full sets."""
+        ids, comp, side = tile["id"].to_numpy(), tile["comp"].to_numpy(), _across(tile)
+        sets = list(tile["shingles"])
+        n = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), n)
+        _, shingle, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = df[shingle] > 1
+        owner, shingle = owner[shared], shingle[shared]
+        order = np.argsort(shingle, kind="stable")              # postings: owners by shingle
+        postings = owner[order]
+        start = np.concatenate(([0], np.cumsum(np.bincount(shingle, minlength=len(df)))))
+        mine = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(sets)))))
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for m in _minors(comp):
+            own = shingle[mine[m]:mine[m + 1]]
+            lo, size = start[own], start[own + 1] - start[own]
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+            both = np.bincount(postings[at], minlength=len(sets))
+            linked = (100 * both >= percent * (n[m] + n - both)) & (comp != comp[m])
+            if side is not None:
+                linked &= side != side[m]
+            for c, x in zip(*np.unique(comp[linked], return_index=True)):
+                if find(int(c)) != find(int(comp[m])):
+                    root[find(int(c))] = find(int(comp[m]))
+                    out.append((int(ids[m]), int(ids[np.flatnonzero(linked)[x]])))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
     return run
 
 
-def _tiles(live: DataFrame, sigs: DataFrame) -> DataFrame:
+def _tiles(live: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, dealt to tiles of at
-    most two blocks of about TILE members."""
-    open_buckets = live.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-                                           ).where("lo <> hi").select("key", F.ceil(F.col("c") / TILE).cast("int").alias("nb"))
+    most two blocks."""
+    blocks = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int")
+    open_buckets = (live.groupBy("key").agg(blocks.alias("nb"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                    .where("lo <> hi").select("key", "nb"))
     rows = live.join(open_buckets, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "key", "id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
+        "key", "band", "id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    return tiles.join(sigs.select("id", "sig"), "id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: Bands = Bands(),
@@ -156,11 +215,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: B
 
     # one signature per class; the key of its band bucket names the candidates
     sigs = named.join(classes.select(F.col("rep").alias("id"), *sets), ["id", *sets], "left_semi")
-    keyed = sigs.select("id", F.explode("bands").alias("key"))
+    keyed = sigs.select("id", "n", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     live = stage(keyed.join(shared, "key"), f"{path}/live")
     degree = live.groupBy("id").agg(F.sum("c").alias("degree"))
-    live = stage(live.select("key", "id").join(degree, "id").withColumn("comp", F.col("id")), f"{path}/ranked")
+    live = stage(live.select("key", "band", "id", "n").join(degree, "id").withColumn("comp", F.col("id")), f"{path}/ranked")
     live_ids = stage(live.select("id").distinct(), f"{path}/live-ids")
     n_live = live_ids.count()
     sigs = stage(_only_ids(sigs.select("id", "sig"), live_ids, n_live), f"{path}/sigs")
@@ -194,12 +253,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: B
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = links.unionByName(stage(verifier.links(pairs), f"{path}/links-{i}"))
         live = relabel(components(links), f"comps-{i}")
-    rest = (_tiles(live, sigs).groupBy("key", "i", "j")
-            .applyInPandas(_agreeing(verifier.least), "a long, b long").distinct()
-            .join(tested, ["a", "b"], "left_anti"))
-    rest = stage(rest, f"{path}/pairs-rest")
-    if not rest.isEmpty():
-        links = links.unionByName(stage(verifier.links(rest), f"{path}/links-rest"))
+    agreeing = stage(_tiles(live).join(sigs, "id").groupBy("key", "i", "j")
+                     .applyInPandas(_agreeing(verifier.least, bands), INVOLVED), f"{path}/agreeing")
+    rest = stage(agreeing.join(full, "id").groupBy("key", "i", "j")
+                 .applyInPandas(_linking(percent), "u long, v long"), f"{path}/links-rest")
+    links = links.unionByName(rest)
     labels = stage(components(links), f"{path}/labels")
 
     class_label = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
