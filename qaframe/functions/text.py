@@ -1,13 +1,14 @@
 """Column expressions for text: cleaning, stripping, truncation, templates,
 step splitting, sliding windows and short-part merging.
 
-Everything here is a built-in Spark SQL expression, so it runs inside the JVM
-(whole-stage codegen where Spark allows it; higher-order functions are
-interpreted but stay in the JVM and never leave the row).
+Built-in Spark SQL expressions, which stay in the JVM, except the sliding
+windows and the step merge: as folds they are quadratic in the text, so they are
+linear Arrow UDFs.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +24,6 @@ STRIP_PATTERN = r"\A" + WS + r"+|" + WS + r"+\z"
 # Zero-width split before each step marker.
 STEP_SPLIT_PATTERN = "(?U)(?=" + "|".join(m.replace(r"\s", WS) for m in C.STEP_MARKERS) + ")"
 
-# Greedy prefix up to the last sentence end: length(group 1) = the largest
-# index at which any sentence end starts (0 when there is none).
-LAST_SENTENCE_END = r"(?s)^(.*)(\. |\.\n|! |\? )"
-
 # Math spans in delimiter priority order; lazy bodies.
 MATH_SPAN_PATTERN = (r"\$\$[\s\S]*?\$\$|\$[\s\S]*?\$|\\\[[\s\S]*?\\\]|\\\([\s\S]*?\\\)")
 
@@ -105,72 +102,69 @@ def solution_steps(response) -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
-def sliding_windows_sql(text_sql: str, size: int = C.WINDOW, overlap: int = C.OVERLAP) -> str:
-    """SQL for the raw windows (not yet stripped) of a text, as
-    array<struct<start:int, text:string>>.
-
-    A window is `size` characters from the current start; unless it reaches
-    the end, it is cut after the last sentence end when that end starts past
-    half the window.  The next start is always `end - overlap`, also after the
-    last window (so short redundant tails appear, as in the original).
-    Every step advances by at least size//2 + 1 - overlap characters, which
-    bounds the number of fold steps.
-    """
-    half = size // 2
-    min_step = max(1, half + 1 - overlap)
-    t = f"({text_sql})"
-    pat = LAST_SENTENCE_END.replace(chr(92), chr(92) * 2)
-    return f"""
-aggregate(
-  sequence(0, int(length({t}) / {min_step}) + 1),
-  named_struct('s', 0, 'out', cast(array() as array<struct<start:int, text:string>>)),
-  (st, i) -> CASE WHEN st.s >= length({t}) THEN st ELSE
-    element_at(transform(array(substring({t}, st.s + 1, {size})), w ->
-      element_at(transform(array(
-          CASE WHEN st.s + {size} < length({t})
-               THEN length(regexp_extract(w, '{pat}', 1))
-               ELSE -1 END), cut ->
-        CASE WHEN cut > {half}
-             THEN named_struct('s', st.s + cut + 1 - {overlap},
-                               'out', array_append(st.out, named_struct('start', st.s, 'text', substring(w, 1, cut + 1))))
-             ELSE named_struct('s', st.s + {size} - {overlap},
-                               'out', array_append(st.out, named_struct('start', st.s, 'text', w))) END), 1)), 1)
-  END,
-  st -> st.out)"""
-
-
-def sliding_windows(text_sql: str, size: int = C.WINDOW, overlap: int = C.OVERLAP) -> Column:
-    return F.expr(sliding_windows_sql(text_sql, size, overlap))
-
-
-def merge_short_parts(parts, min_part: int = C.MIN_PART) -> Column:
-    """Append every part shorter than `min_part` (except the first) to the
+def windows_of(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
+    """(start, window) of a text.  A window is `size` characters from the current
+    start; unless it reaches the end, it is cut after the last sentence end when
+    that starts past half the window.  The next start is always `end - overlap`,
+    also after the last window (so short redundant tails appear, as in the
+    original).  Linear in the text."""
+    out, start = [], 0
+    while start < len(text):
+        window = text[start:start + size]
+        end = start + size
+        if end < len(text):
+            cut = max(window.rfind(e) for e in C.SENTENCE_ENDS)
+            if cut > size // 2:
+                window, end = window[:cut + 1], start + cut + 1
+        out.append((start, window))
+        start = end - overlap
+    return out
+
+
+def sliding_windows(text, size: int = C.WINDOW, overlap: int = C.OVERLAP) -> Column:
+    """array<struct<start:int, text:string>> of the raw windows (not stripped);
+    null for a null text.  An Arrow UDF: a fold of SQL expressions reads the text
+    from its start for every window, which is quadratic in its length."""
+    @F.pandas_udf("array<struct<start:int, text:string>>")
+    def windows(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [
+            {"start": s, "text": w} for s, w in windows_of(t, size, overlap)])
+    return windows(col_(text))
+
+
+def merged(parts: list[str], min_part: int) -> list[str]:
+    """Every part shorter than `min_part` (except the first) is appended to the
     previous merged part with one space."""
-    empty = F.array().cast("array<string>")
-
-    def step(acc, p):
-        glue = (F.size(acc) > 0) & (F.length(p) < min_part)
-        last = F.element_at(acc, -1)
-        glued = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), p)))
-        return F.when(glue, glued).otherwise(F.array_append(acc, p))
-
-    return F.aggregate(col_(parts), empty, step)
+    groups: list[list[str]] = []
+    for p in parts:
+        if groups and len(p) < min_part:
+            groups[-1].append(p)
+        else:
+            groups.append([p])
+    return [" ".join(g) for g in groups]
 
 
 def steps_for_response(response_name: str, size: int = C.WINDOW, overlap: int = C.OVERLAP,
                        min_part: int = C.MIN_PART, split_name: str | None = None) -> Column:
     """Final solution steps of the column named `response_name`: marker split,
     or the stripped windows of the raw text when the split yields at most one
-    part; then the short-part merge.
+    part; then the short-part merge.  Linear in the text; null for a null text.
 
-    `split_name` names a column that already holds `solution_steps(response)`;
-    pass it so the split is computed once per row (expressions inside
-    higher-order functions are not de-duplicated by the optimizer)."""
+    `split_name` names a column that already holds `solution_steps(response)`."""
     split = F.col(split_name) if split_name else solution_steps(F.col(response_name))
-    windows = F.transform(sliding_windows(f"coalesce(`{response_name}`, '')", size, overlap),
-                          lambda w: strip(w["text"]))
-    parts = F.when(F.size(split) <= 1, windows).otherwise(split)
-    return merge_short_parts(parts, min_part)
+
+    @F.pandas_udf("array<string>")
+    def steps(splits: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for parts, t in zip(splits, texts):
+            if t is None:
+                out.append(None)
+                continue
+            if len(parts) <= 1:
+                parts = [w.strip() for _, w in windows_of(t, size, overlap)]
+            out.append(merged(list(parts), min_part))
+        return pd.Series(out, dtype=object)
+    return steps(split, F.col(response_name))
 
 
 def explode_rows(df, keep: list, arr: Column, pos: str, val: str):

@@ -21,6 +21,12 @@ def with_shuffle_key(df: DataFrame, key: str = "sample_id", seed: int = C.SPLIT_
     return df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """Narrow rows (a key and a few numbers) are written once: the count, the bucket
+    offsets and the ranks read them again without repeating the work behind them."""
+    return df.checkpoint(eager=True)
+
+
 def eval_size(n: int, fraction: float = C.EVAL_FRACTION) -> int:
     return int(math.ceil(fraction * n))
 
@@ -29,6 +35,7 @@ def train_eval_split(df: DataFrame, key: str = "sample_id", fraction: float = C.
                      seed: int = C.SPLIT_SEED, digits: int = 4) -> DataFrame:
     """Exact split: the first ceil(fraction * n) rows of the seeded order are
     'eval', the rest 'train'.  Adds column `split`."""
+    df = _once(df)
     n = df.count()
     h = with_shuffle_key(df, key, seed)
     out = I.first_n_by_rank(h, "_h", key, eval_size(n, fraction), "eval", "train", "split", digits)
@@ -54,6 +61,7 @@ def limited_splits(df: DataFrame, max_samples: int | None, key: str = "sample_id
     """Head limits of the split: train keeps its first min(max_samples, |train|)
     rows, eval its first max(1, n // 20) rows (never more than it has).
     0 or None means no limit.  Adds `split` and `pos` (position in the split)."""
+    df = _once(df)
     n = df.count()
     n_eval = eval_size(n, fraction)
     n_train = n - n_eval
@@ -73,6 +81,7 @@ def limited_splits(df: DataFrame, max_samples: int | None, key: str = "sample_id
 def train_positions(df: DataFrame, key: str = "sample_id", fraction: float = C.EVAL_FRACTION,
                     seed: int = C.SPLIT_SEED, digits: int = 4) -> DataFrame:
     """Train rows with their position in the train split."""
+    df = _once(df)
     n = df.count()
     n_eval = eval_size(n, fraction)
     h = with_shuffle_key(df, key, seed)

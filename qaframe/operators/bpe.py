@@ -19,18 +19,19 @@ Words are rewritten by one fold per round (the accepted pairs share no
 symbol, so their order inside the round does not matter).  Lineage is cut by
 `checkpoint()` into the shared checkpoint folder every few rounds.
 
-Encoding.  Special tokens are split off first, the rest is NFKC-normalised
-and pre-tokenised; every distinct pre-token is encoded once (Arrow UDF that
-applies the merges by rank) and joined back; ids are reassembled in order and
-truncated.  Decoding maps ids to token strings (broadcast vocabulary, bounded
-by the vocabulary size), token characters back to bytes, bytes to UTF-8.
+Encoding.  Special tokens are split off first, the rest is NFKC-normalised and
+pre-tokenised, and every pre-token is merged by rank, all inside one Arrow UDF.
+Decoding maps ids to bytes and bytes to UTF-8, likewise.  Both tables are
+broadcast; their size is bounded by the vocabulary size.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,7 +64,6 @@ N_SPECIAL = len(C.SPECIAL_TOKENS)
 CHAR_ID = {c: N_SPECIAL + i for i, c in enumerate(ALPHABET)}
 BYTE_ID = [CHAR_ID[c] for c in BYTE_CHARS]            # byte value -> initial id
 SPECIAL_ALT = "|".join(t.replace("[", r"\[").replace("]", r"\]").replace("/", r"\/") for t in C.SPECIAL_TOKENS)
-PIECE_PATTERN = f"{SPECIAL_ALT}|(?s:(?:(?!{SPECIAL_ALT}).)+)"
 
 
 def _map_literal(pairs) -> Column:
@@ -75,10 +75,6 @@ def hex_to_id() -> Column:
     return _map_literal([(f"{b:02X}", BYTE_ID[b]) for b in range(256)])
 
 
-def char_to_hex() -> Column:
-    return _map_literal([(BYTE_CHARS[b], f"{b:02X}") for b in range(256)])
-
-
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC normalisation (no SQL built-in); Arrow batches."""
@@ -112,11 +108,11 @@ def _pairs_sql(col: str) -> str:
 
 def _apply_sql(col: str, batch: list[tuple[int, int, int]]) -> str:
     """One left-to-right pass merging every (a, b) of the batch into t."""
-    keys = ", ".join(f"{a * 1_000_000 + b}L, {t}" for a, b, t in batch)
+    keys = ", ".join(f"{(a << 32) + b}L, {t}" for a, b, t in batch)
     m = f"map({keys})"
     return (f"aggregate({col}, cast(array() as array<int>), (out, x) -> "
-            f"CASE WHEN size(out) > 0 AND map_contains_key({m}, cast(element_at(out, -1) as bigint) * 1000000 + x) "
-            f"THEN concat(slice(out, 1, size(out) - 1), array(element_at({m}, cast(element_at(out, -1) as bigint) * 1000000 + x))) "
+            f"CASE WHEN size(out) > 0 AND map_contains_key({m}, shiftleft(cast(element_at(out, -1) as bigint), 32) + x) "
+            f"THEN concat(slice(out, 1, size(out) - 1), array(element_at({m}, shiftleft(cast(element_at(out, -1) as bigint), 32) + x))) "
             f"ELSE array_append(out, x) END)")
 
 
@@ -127,15 +123,19 @@ def _select_batch(cands, vocab_strings, token_id, room, min_frequency, complete)
     bound = None
     for a, b, cnt in cands:
         if cnt < min_frequency or len(batch) >= room:
-            bound = cnt
+            bound = max(bound or 0, cnt)
             break
         s = vocab_strings[a] + vocab_strings[b]
         t = token_id.get(s)
         existing = t is not None or s in new_strings
         if batch and (a in touched or b in touched or existing):
-            bound = cnt               # every later pair has a count <= cnt
+            bound = max(bound or 0, cnt)          # every later pair has a count <= cnt
             break
         batch.append((a, b, t, s, cnt))
+        if a == b:
+            # a run of one symbol: the new pairs (aa, aa) and (aa, a) come from the
+            # accepted pair itself; two new tokens need two of its occurrences
+            bound = max(bound or 0, cnt // 2)
         touched.update((a, b))
         new_strings.add(s)
         if existing:
@@ -145,7 +145,7 @@ def _select_batch(cands, vocab_strings, token_id, room, min_frequency, complete)
             break
     else:
         if not complete and cands:
-            bound = cands[-1][2]      # pairs not listed have at most this count
+            bound = max(bound or 0, cands[-1][2])      # pairs not listed have at most this count
     if bound is not None:
         batch = batch[:1] + [x for x in batch[1:] if x[4] > bound]
     return batch
@@ -155,17 +155,14 @@ def learn_bpe(spark: SparkSession, texts: DataFrame, text: str = "text", vocab_s
               min_frequency: int = C.MIN_FREQUENCY, candidates: int = 256,
               checkpoint_every: int = 10) -> tuple[DataFrame, DataFrame]:
     """Learn merges.  Returns (vocab(token, id), merges(rank, left, right, id))."""
-    if vocab_size >= 1_000_000:
-        raise ValueError("vocab_size must stay below 1,000,000 (pair keys are packed in one bigint)")
     counts = pretoken_counts(texts, text)
     words = counts.select(initial_symbols(F.col("token")).alias("s"), F.col("freq").cast("long").alias("f"))
     # a single-symbol word never yields a pair again: only longer words are kept
     # the distinct-word table may come out of the aggregate as one partition
     # (AQE coalesces small results); every round works on it, so give it one
     # partition per core at least
-    target = spark.sparkContext.defaultParallelism
-    words = words.filter(F.size("s") >= 2)
-    words = words.repartition(max(target, words.rdd.getNumPartitions())).checkpoint(eager=True)
+    target = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = words.filter(F.size("s") >= 2).repartition(target).checkpoint(eager=True)
 
     vocab_strings = list(C.SPECIAL_TOKENS) + ALPHABET
     token_id = {t: i for i, t in enumerate(vocab_strings)}
@@ -221,91 +218,85 @@ def learn_bpe(spark: SparkSession, texts: DataFrame, text: str = "text", vocab_s
 
 # ------------------------------------------------------------------------- encoding
 
+# the pre-token pattern for Python's `regex` module, with the Unicode white space of (?U)
+_PRETOKEN = regex.compile(PRETOKEN_PATTERN.removeprefix("(?U)").replace(r"[^\s", r"[^\p{White_Space}")
+                          .replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}"))
+_SPECIALS = regex.compile(f"({SPECIAL_ALT})")
+WORD_MEMORY = 200_000          # words a Python worker remembers
+
+
+def _encode_word(token: str, ranks: dict) -> list[int]:
+    """Merge the adjacent pair of lowest rank, everywhere, until none is left."""
+    sym = [BYTE_ID[b] for b in token.encode("utf-8")]
+    while len(sym) > 1:
+        known = [r for r in (ranks.get(p) for p in zip(sym, sym[1:])) if r]
+        if not known:
+            break
+        rank, new = min(known)
+        out, i = [], 0
+        while i < len(sym):
+            if i + 1 < len(sym) and ranks.get((sym[i], sym[i + 1]), (None,))[0] == rank:
+                out.append(new)
+                i += 2
+            else:
+                out.append(sym[i])
+                i += 1
+        sym = out
+    return sym
+
+
 def encode(texts: DataFrame, key: str, text: str, vocab: DataFrame, merges: DataFrame,
-           max_len: int = C.MAX_SEQ_LEN) -> DataFrame:
-    """(key, input_ids, attention_mask, labels, n_ids, truncated)."""
-    spark = texts.sparkSession
+           max_len: int | None = C.MAX_SEQ_LEN) -> DataFrame:
+    """(key, input_ids, attention_mask, labels, n_ids, truncated); `max_len` None: never cut.
+
+    Each text is encoded where it is, in Arrow batches: no exchange, so neither a
+    frequent token nor a long text meets others.  A worker remembers a bounded
+    number of words."""
     # bounded by the vocabulary size: the merge table is broadcast to the tasks
-    m = merges.orderBy("rank").collect()
-    ranks = {(r["left"], r["right"]): (r["rank"], r["id"]) for r in m}
-    bc = spark.sparkContext.broadcast(ranks)
+    ranks = {(r["left"], r["right"]): (r["rank"], r["id"]) for r in merges.collect()}
+    bc = texts.sparkSession.sparkContext.broadcast(ranks)
     special_ids = {t: i for i, t in enumerate(C.SPECIAL_TOKENS)}
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def bpe_word(tokens: pd.Series) -> pd.Series:
-        table = bc.value
-        out = []
-        for tok in tokens:
-            sym = [BYTE_ID[b] for b in tok.encode("utf-8")]
-            while len(sym) > 1:
-                best, pos = None, -1
-                for i in range(len(sym) - 1):
-                    r = table.get((sym[i], sym[i + 1]))
-                    if r is not None and (best is None or r[0] < best[0]):
-                        best, pos = r, i
-                if best is None:
-                    break
-                a, b = sym[pos], sym[pos + 1]
-                merged, i = [], 0
-                while i < len(sym):
-                    if i < len(sym) - 1 and sym[i] == a and sym[i + 1] == b:
-                        merged.append(best[1])
-                        i += 2
-                    else:
-                        merged.append(sym[i])
-                        i += 1
-                sym = merged
-            out.append(sym)
-        return pd.Series(out)
-
-    pieces = X.explode_rows(texts.select(key, text), [key], F.regexp_extract_all(F.col(text), F.lit(PIECE_PATTERN), 0),
-                            "piece_idx", "piece")
-    special_map = _map_literal(list(special_ids.items()))
-    is_special = F.map_contains_key(special_map, F.col("piece"))
-    specials = pieces.filter(is_special).select(key, "piece_idx", F.lit(0).alias("tok_idx"),
-                                                F.array(F.element_at(special_map, F.col("piece"))).alias("ids"))
-    plain = pieces.filter(~is_special).select(key, "piece_idx", pretokens(nfkc(F.col("piece"))).alias("_toks"))
-    toks = X.explode_rows(plain, [key, "piece_idx"], F.col("_toks"), "tok_idx", "token")
-    distinct = toks.select("token").distinct()
-    encoded = distinct.select("token", bpe_word(F.col("token")).alias("ids"))
-    ids_rows = toks.join(encoded, "token").select(key, "piece_idx", "tok_idx", "ids")
-    allrows = ids_rows.unionByName(specials.select(key, "piece_idx", F.col("tok_idx").cast("int"), "ids"))
-    g = allrows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("piece_idx", "tok_idx", "ids"))).alias("_p"))
-    full = F.flatten(F.transform("_p", lambda x: x["ids"]))
-    res = g.select(key, full.alias("_all"))
-    ids = F.slice("_all", 1, max_len)
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table, words = bc.value, {}
+        for batch in batches:
+            out = []
+            for t in batch:
+                ids: list[int] = []
+                for piece in _SPECIALS.split(t or ""):
+                    if piece in special_ids:
+                        ids.append(special_ids[piece])
+                        continue
+                    for token in _PRETOKEN.findall(unicodedata.normalize("NFKC", piece)):
+                        if token not in words:
+                            if len(words) >= WORD_MEMORY:
+                                words.clear()
+                            words[token] = _encode_word(token, table)
+                        ids += words[token]
+                out.append(ids)
+            yield pd.Series(out)
+
+    res = texts.select(key, ids_of(F.col(text)).alias("_all"))
+    ids = F.col("_all") if max_len is None else F.slice("_all", 1, max_len)
     return res.select(key, ids.alias("input_ids"),
                       F.transform(ids, lambda x: F.lit(1)).alias("attention_mask"),
                       ids.alias("labels"),
                       F.size(ids).cast("long").alias("n_ids"),
-                      (F.size("_all") > max_len).alias("truncated"))
-
-
-def _complete_utf8(hx: Column) -> Column:
-    """Hex of a byte string without an incomplete UTF-8 sequence at its end
-    (a cut id list can stop inside a character); the cut part becomes one
-    U+FFFD, as a lossy decoder does.  Only the last three bytes are looked at."""
-    n = F.length(hx)
-
-    def byte(k):  # k-th byte from the end (1 = last), -1 when absent
-        return F.when(n >= 2 * k, F.conv(F.substring(hx, n - 2 * k + 1, 2), 16, 10).cast("int")).otherwise(F.lit(-1))
-
-    b1, b2, b3 = byte(1), byte(2), byte(3)
-    cont = lambda b: (b >= 0x80) & (b < 0xC0)
-    cut = (F.when(b1 >= 0xC0, F.lit(1))
-           .when(cont(b1) & (b2 >= 0xE0), F.lit(2))
-           .when(cont(b1) & cont(b2) & (b3 >= 0xF0), F.lit(3))
-           .otherwise(F.lit(0)))
-    keep = F.substring(hx, 1, n - 2 * cut)
-    return F.when(cut > 0, F.concat(keep, F.lit("EFBFBD"))).otherwise(hx)
+                      (F.size("_all") > F.size(ids)).alias("truncated"))
 
 
 def decode(encoded: DataFrame, key: str, vocab: DataFrame, ids_col: str = "input_ids") -> DataFrame:
-    """(key, text): ids -> token strings -> bytes -> UTF-8 (specials kept as text)."""
-    e = X.explode_rows(encoded.select(key, ids_col), [key], F.col(ids_col), "pos", "id")
-    j = e.join(F.broadcast(vocab), "id")          # vocabulary: bounded by its size parameter
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
-    chars = F.concat_ws("", F.transform("_t", lambda x: x["token"]))
-    c2h = char_to_hex()
-    hx = F.array_join(F.transform(F.split(chars, ""), lambda ch: F.element_at(c2h, ch)), "")
-    return g.select(key, F.decode(F.unhex(_complete_utf8(hx)), "UTF-8").alias("text"))
+    """(key, text): ids -> token characters -> bytes -> UTF-8 (specials kept as
+    text; a character cut at the end becomes U+FFFD).  No exchange."""
+    byte_of = {c: b for b, c in enumerate(BYTE_CHARS)}
+    surface = {r["id"]: (r["token"].encode() if r["id"] < N_SPECIAL else bytes(byte_of[c] for c in r["token"]))
+               for r in vocab.collect()}             # bounded by the vocabulary size
+    bc = encoded.sparkSession.sparkContext.broadcast(surface)
+
+    @F.pandas_udf(T.StringType())
+    def text_of(ids: pd.Series) -> pd.Series:
+        table = bc.value
+        return ids.map(lambda x: b"".join(table[int(i)] for i in x).decode("utf-8", "replace"))
+
+    return encoded.select(key, text_of(F.col(ids_col)).alias("text"))

@@ -30,9 +30,9 @@ def with_steps(df: DataFrame, response: str = "response", window: int = C.WINDOW
     instead of re-running split, windows and merge (the optimizer keeps
     projections apart when collapsing them would repeat a costly expression)."""
     d = df.withColumn("_split", X.solution_steps(F.col(response)))
-    d = d.withColumn(name, F.when(X.present(response),
-                                  X.steps_for_response(response, window, overlap, min_part, split_name="_split")))
-    return d.drop("_split")
+    d = d.withColumn("_present", F.when(X.present(response), F.col(response)))
+    d = d.withColumn(name, X.steps_for_response("_present", window, overlap, min_part, split_name="_split"))
+    return d.drop("_split", "_present")
 
 
 def chunk_array(query: str = "query", response: str = "response", steps_col: str = "_steps",
@@ -80,7 +80,7 @@ def split_parts(df: DataFrame, response: str = "response") -> DataFrame:
 def text_windows(df: DataFrame, key: str, text: str, window: int = C.WINDOW,
                  overlap: int = C.OVERLAP) -> DataFrame:
     """Raw sliding windows of every text: key, idx, start, window."""
-    w = X.sliding_windows(f"coalesce(`{text}`, '')", window, overlap)
+    w = X.sliding_windows(F.coalesce(F.col(text), F.lit("")), window, overlap)
     return (X.explode_rows(df, [key], w, "idx", "w")
             .select(key, F.col("idx").cast("long").alias("idx"),
                     F.col("w.start").cast("long").alias("start"), F.col("w.text").alias("window")))

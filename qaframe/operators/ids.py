@@ -9,8 +9,6 @@ only after its row count has been checked.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,18 +46,23 @@ def id_bucket(key: str, bucket_rows: int = 8192) -> Column:
     return F.floor(F.col(key) / F.lit(bucket_rows)).cast("long")
 
 
-def bucket_width(keys: DataFrame, key: str, per_core: int = 4, max_buckets: int = 1_000_000) -> int:
-    """Width of key buckets so that there are about `per_core` buckets per
-    core (enough parallel rank tasks) and never more than `max_buckets`
-    (the offset table stays small).  One aggregate over the key column only.
-    Keys are unique, so a bucket never holds more than `width` keys."""
-    r = keys.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if r["lo"] is None:
-        return 1
-    span = int(r["hi"]) - int(r["lo"]) + 1
-    cores = keys.sparkSession.sparkContext.defaultParallelism
-    n_buckets = min(max_buckets, max(1, per_core * cores))
-    return max(1, math.ceil(span / n_buckets))
+def prefix_starts(df: DataFrame, order: list[str], weight: str, name: str = "start") -> DataFrame:
+    """Add `name` = sum of `weight` over all rows before this one in `order`.
+
+    For narrow rows.  They are range-partitioned by the order itself, so the
+    partitions are even however the keys are spaced; partition totals (one small
+    row each) give the offsets, a running sum inside the partition the rest.  The
+    ranges are checkpointed, so partition numbers hold for both reads."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.checkpoint().repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn("_part", F.spark_partition_id()).checkpoint())
+    totals = ranged.groupBy("_part").agg(F.sum(weight).alias("_w"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (ranged.join(F.broadcast(offsets), "_part")          # one row per partition
+            .withColumn(name, F.col("_offset") + F.sum(weight).over(inside) - F.col(weight))
+            .drop("_part", "_offset"))
 
 
 def hash_bucket(hex_col: str, digits: int = 4) -> Column:
@@ -88,7 +91,3 @@ def first_n_by_rank(df: DataFrame, hex_col: str, tie: str, n_first: int, label_f
     edge = edge.withColumn(name, F.when(F.col("_offset") + F.row_number().over(w) <= n_first,
                                         F.lit(label_first)).otherwise(F.lit(label_rest)))
     return decided.unionByName(edge).drop("_bucket", "_offset", "_cnt")
-
-
-def ceil_fraction(n: int, fraction: float) -> int:
-    return int(math.ceil(fraction * n))

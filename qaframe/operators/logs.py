@@ -22,9 +22,11 @@ def append_log(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").json(path)
 
 
-def _num(c):
-    """Python-like text of a number (the cast keeps `2.0`, `0.1234`)."""
-    return F.col(c).cast("string")
+def _num(c: str):
+    """A rounded metric as plain decimal text: `2.0`, `0.1234`, `0.0002`, never
+    an exponent, and at least one digit after the point."""
+    text = F.regexp_replace(F.col(c).cast("decimal(30,4)").cast("string"), "0+$", "")
+    return F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text)
 
 
 def log_report(log: DataFrame) -> DataFrame:

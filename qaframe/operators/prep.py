@@ -43,7 +43,3 @@ def training_texts(df: DataFrame, system_prompt: str = C.SYSTEM_PROMPT_VI) -> Da
 
 def inference_prompts(df: DataFrame, system_prompt: str = C.SYSTEM_PROMPT_VI) -> DataFrame:
     return df.select("sample_id", X.inference_prompt(X.clean_text("query"), system_prompt).alias("prompt"))
-
-
-def validate_texts(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("valid", X.has_template_tags(text))

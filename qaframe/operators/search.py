@@ -7,12 +7,9 @@ per query.  Those partial lists (k rows per query per task) are the only
 thing shuffled, by query id, where a row_number window (with Spark's
 WindowGroupLimit) keeps the final k.
 
-* Query block small enough (checked: rows x dim x 8 bytes): the block is
-  broadcast and the corpus is read by `mapInPandas`, with no corpus shuffle.
-* Larger: queries and corpus are both cut into blocks of bounded size and
-  every (query block, corpus block) pair meets in one cogroup task.  The
-  replication (queries x corpus blocks, corpus x query blocks) is the
-  classic block nested loop; no group exceeds the block size.
+The queries are cut into blocks of bounded size (rows x dim x 8 bytes).  Each
+block is broadcast, and the corpus is read in place by `mapInPandas`, once per
+block: it is neither shuffled nor replicated.
 
 Scores are computed in double and rounded to `decimals` before ranking; ties
 go to the smaller corpus id, so results do not depend on partitioning.
@@ -20,7 +17,6 @@ go to the smaller corpus id, so results do not depend on partitioning.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,60 +77,56 @@ def _score_block(qids: np.ndarray, Q: np.ndarray, batches, k: int, decimals: int
 
 
 def _matrix(series: pd.Series, dim: int) -> np.ndarray:
+    """Unit rows (zero vectors stay zero); a vector of another size is an error."""
     if len(series) == 0:
         return np.zeros((0, dim))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
+    if any(v is None or len(v) != dim for v in series):
+        raise ValueError(f"a vector has not the declared size {dim}; list them with vectors.contract_status")
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
 def search_topk(queries: DataFrame, corpus: DataFrame, k: int = C.TOP_K, floor: float | None = C.FLOOR,
                 query_key: str = "query_id", query_vec: str = "vector", key: str = "id",
-                vec: str = "vector", decimals: int = 6, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """Top-k corpus rows per query by cosine (unit vectors: dot product).
-
-    Returns (query_id, id, score, rank); rank starts at 1.  `floor` is
-    applied after the top-k cut, as in the original search."""
+                vec: str = "vector", decimals: int = 6, max_block_bytes: int = MAX_BLOCK_BYTES,
+                dim: int = C.HASH_DIM) -> DataFrame:
+    """Top-k corpus rows per query by cosine; a zero vector scores 0.
+
+    `dim` is the collection's declared size: a null vector or one of another
+    size on either side is an error, never left out.  Returns (query_id, id,
+    score, rank); rank starts at 1.  `floor` is applied after the top-k cut, as
+    in the original search."""
     spark = queries.sparkSession
     q = queries.select(F.col(query_key).cast("long").alias("query_id"),
                        F.col(query_vec).cast("array<double>").alias("qv"))
     c = corpus.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("cv"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("dim")).first()
-    n_q, dim = int(stats["n"]), int(stats["dim"] or 0)
-    q = q.filter(F.size("qv") == dim)
-    c = c.filter(F.size("cv") == dim)
+    wrong = F.coalesce(F.size("qv") != dim, F.lit(True))
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("wrong")).first()
+    n_q = int(stats["n"])
+    if stats["wrong"]:
+        raise ValueError(f"{stats['wrong']} queries have not the declared size {dim}")
     if n_q == 0:
         return spark.createDataFrame([], PARTIAL_SCHEMA.add("rank", T.IntegerType(), False))
-    q_bytes = n_q * dim * 8
+    n_blocks = max(1, -(-n_q * dim * 8 // max_block_bytes))
 
-    if q_bytes <= max_block_bytes:
-        # size checked above: the query block is bounded by max_block_bytes
-        qpdf = q.toPandas()
-        qids = qpdf["query_id"].to_numpy(np.int64)
-        bc = spark.sparkContext.broadcast((qids, _matrix(qpdf["qv"], dim)))
+    def scored(block: pd.DataFrame) -> DataFrame:
+        """Partial top-k of one query block: the corpus is read where it is."""
+        bc = spark.sparkContext.broadcast((block["query_id"].to_numpy(np.int64), _matrix(block["qv"], dim)))
 
         def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            bq_ids, bQ = bc.value
+            ids, Q = bc.value
             batches = ((pdf["id"].to_numpy(np.int64), _matrix(pdf["cv"], dim)) for pdf in it)
-            yield _score_block(bq_ids, bQ, batches, k, decimals)
-
-        parts = c.mapInPandas(partial, PARTIAL_SCHEMA)
-    else:
-        n_c = c.count()
-        qb = max(1, math.ceil(q_bytes / max_block_bytes))
-        cb = max(1, math.ceil(n_c * dim * 8 / max_block_bytes))
-        qrep = (q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
-                .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-        crep = (c.withColumn("_cb", F.pmod(F.xxhash64("id"), F.lit(cb)))
-                .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-
-        def block(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-            if len(qpdf) == 0:
-                return pd.DataFrame({"query_id": [], "id": [], "score": []})
-            batches = [(cpdf["id"].to_numpy(np.int64), _matrix(cpdf["cv"], dim))]
-            return _score_block(qpdf["query_id"].to_numpy(np.int64), _matrix(qpdf["qv"], dim),
-                                batches, k, decimals)
-
-        parts = (qrep.groupBy("_qb", "_cb").cogroup(crep.groupBy("_qb", "_cb"))
-                 .applyInPandas(block, PARTIAL_SCHEMA))
+            yield _score_block(ids, Q, batches, k, decimals)
+
+        return c.mapInPandas(partial, PARTIAL_SCHEMA)
+
+    # a block's size is bounded by max_block_bytes, up to the evenness of the hash
+    parts = None
+    for i in range(n_blocks):
+        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).toPandas()
+        if len(block):
+            parts = scored(block) if parts is None else parts.unionByName(scored(block))
 
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     ranked = parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

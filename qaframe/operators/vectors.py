@@ -1,8 +1,8 @@
 """Embedding, normalisation and vector-table checks.
 
-The default embedder is a deterministic hashed bag of words computed by one
-SQL expression inside the row: tokens -> md5 bucket -> counts -> L2 unit
-vector.  No shuffle, no Python.  A model-backed embedder plugs in through
+The default embedder is a deterministic hashed bag of words computed inside the
+row: tokens -> md5 buckets (SQL expressions) -> counts -> L2 unit vector (an Arrow
+UDF, linear in the tokens whatever the dimension).  No shuffle.  A model-backed embedder plugs in through
 `embed_with_model`, an Arrow iterator UDF that loads the model once per task.
 """
 
@@ -22,19 +22,24 @@ from ..functions import text as X
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def hash_embed_sql(text_sql: str, dim: int = C.HASH_DIM) -> str:
-    """array<double>(dim): L2-normalised counts of md5-hashed lower-case word
-    tokens.  Each intermediate is bound once through a one-element transform,
-    so the token array is built once per row, not once per bucket."""
-    pat = TOKEN_SPLIT.replace("\\", "\\\\")
-    return f"""
-element_at(transform(array(
-    transform(filter(split(lower(coalesce({text_sql}, '')), '{pat}'), t -> t != ''),
-              t -> pmod(cast(conv(substring(md5(t), 1, 8), 16, 10) as bigint), {dim}))), bks ->
-  element_at(transform(array(
-      transform(sequence(0, {dim - 1}), b -> cast(size(filter(bks, x -> x = b)) as double))), cnt ->
-    element_at(transform(array(sqrt(aggregate(cnt, 0D, (a, c) -> a + c * c))), nrm ->
-      transform(cnt, c -> CASE WHEN nrm = 0 THEN 0D ELSE c / nrm END)), 1)), 1)), 1)"""
+def token_buckets(text: Column, dim: int) -> Column:
+    """array<int>: the md5 bucket of every lower-case word token."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
+    return F.transform(tokens, lambda t: F.pmod(
+        F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
+
+
+def unit_counts(buckets: Column, dim: int) -> Column:
+    """array<double>(dim): L2-normalised counts; each token is counted once."""
+    @F.pandas_udf(T.ArrayType(T.DoubleType(), False))
+    def counts(rows: pd.Series) -> pd.Series:
+        out = []
+        for r in rows:
+            c = np.bincount(np.asarray(r, dtype=np.int64), minlength=dim).astype(np.float64)
+            n = np.sqrt((c * c).sum())
+            out.append(c / n if n > 0 else c)
+        return pd.Series(out, dtype=object)
+    return counts(buckets)
 
 
 def hash_embed(df: DataFrame, text: str, out: str = "vector", dim: int = C.HASH_DIM,
@@ -43,8 +48,8 @@ def hash_embed(df: DataFrame, text: str, out: str = "vector", dim: int = C.HASH_
     `prefix` ("passage: " / "query: ") is prepended when given; the hashed
     embedder leaves it off by default, since it adds the same token to every
     text."""
-    src = f"`{text}`" if prefix is None else f"concat('{prefix}', `{text}`)"
-    return df.withColumn(out, F.expr(hash_embed_sql(src, dim)))
+    source = F.col(text) if prefix is None else F.concat(F.lit(prefix), F.coalesce(F.col(text), F.lit("")))
+    return df.withColumn(out, unit_counts(token_buckets(source, dim), dim))
 
 
 def sparse_entries(df: DataFrame, key: str, vector: str = "vector") -> DataFrame:

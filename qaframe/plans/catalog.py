@@ -136,15 +136,18 @@ def chunks_df(spark, sf_dir) -> DataFrame:
     return chunking.chunk_samples(qa_vi(spark, sf_dir))
 
 
+def with_chunk_ids(rows: DataFrame) -> DataFrame:
+    """Dense chunk ids = position in the concatenation of all samples' chunks:
+    the start of the sample plus the position inside it.  Only one narrow row per
+    sample is ranked."""
+    counts = rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    starts = ids.prefix_starts(counts, ["sample_id"], "n").drop("n")
+    return rows.join(starts, "sample_id").withColumn("chunk_id", F.col("start") + F.col("chunk_pos")).drop("start")
+
+
 def chunk_ids_df(spark, sf_dir) -> DataFrame:
-    """Chunks with dense ids = position in the concatenation of all samples'
-    chunks (bucket offsets, no global window)."""
-    width = ids.bucket_width(src.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k")), "k")
-    # the chunk table is written once to the shared checkpoint folder (the
-    # chunk checkpoint of the index build); counting and ranking read it
-    chunks = chunks_df(spark, sf_dir).checkpoint(eager=True)
-    return ids.dense_positions(chunks, ids.id_bucket("sample_id", width),
-                               [F.col("sample_id"), F.col("chunk_pos")], "chunk_id")
+    """(chunk_id, sample_id, chunk_pos, chunk_type): chunked once, without texts."""
+    return with_chunk_ids(chunks_df(spark, sf_dir).select("sample_id", "chunk_pos", "chunk_type").checkpoint(eager=True))
 
 
 @query("solution_steps")
@@ -193,23 +196,29 @@ def batch_manifest(spark, sf_dir):
 
 def build_points(spark, sf_dir) -> DataFrame:
     """The chunk index: dense chunk ids, hashed vectors, payload columns."""
-    pts = vectors.hash_embed(chunk_ids_df(spark, sf_dir), "text", "vector")
-    return pts.select("chunk_id", "vector", "sample_id", "chunk_type", "step_idx", "text", "math_type",
-                      "query_ref")
+    c = chunks_df(spark, sf_dir)
+    counts = c.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    starts = ids.prefix_starts(counts, ["sample_id"], "n").drop("n")
+    pts = vectors.hash_embed(c, "text", "vector").join(starts, "sample_id")
+    return pts.select((F.col("start") + F.col("chunk_pos")).alias("chunk_id"), "vector", "sample_id", "chunk_type",
+                      "step_idx", "text", "math_type", "query_ref")
+
+
+INDEX_VERSION = 2        # raise when the chunks or vectors of unchanged texts change
 
 
 def points_df(spark, sf_dir) -> DataFrame:
     """The chunk index, built once per corpus content and saved in the shared
     checkpoint folder (the original builds its index in a separate job and
-    answers from it); keyed by a content fingerprint of `documents`, so a
-    changed corpus gets a new index."""
-    docs = src.read_table(spark, sf_dir, "documents")
-    tag = f"{pts_src.fingerprint(docs)}-{C.HASH_DIM}"
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/index-{tag}"
-    if not pts_src._fs_exists(spark, base + "/_DONE"):
-        build_points(spark, sf_dir).write.mode("overwrite").parquet(base + "/points")
-        spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(base + "/_DONE")
-    return spark.read.parquet(base + "/points")
+    answers from it).  Its folder is named by the content of the columns it is
+    made of and by every parameter, so a changed corpus gets a new index."""
+    docs = src.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    tag = "-".join(map(str, (pts_src.fingerprint(docs), INDEX_VERSION, C.HASH_DIM, C.WINDOW, C.OVERLAP, C.MIN_PART,
+                             C.FULL_MAX, C.QUERY_REF_MAX)))
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/index-{tag}"
+    if not pts_src._complete(spark, path):
+        build_points(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def questions_df(spark, sf_dir) -> DataFrame:
@@ -228,11 +237,12 @@ def hits_df(spark, sf_dir) -> DataFrame:
 
 @query("index_points")
 def index_points(spark, sf_dir):
-    """A fresh build of the chunk index (chunk -> dense id -> hashed vector)."""
-    p = build_points(spark, sf_dir)
-    return p.select("chunk_id", "sample_id", "chunk_type",
-                    F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("n_terms"),
-                    F.round(vectors.norm("vector"), 6).alias("norm"))
+    """A fresh build of the chunk index (chunk -> vector -> dense id)."""
+    p = vectors.hash_embed(chunks_df(spark, sf_dir), "text", "vector")
+    narrow = p.select("sample_id", "chunk_pos", "chunk_type",
+                      F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("n_terms"),
+                      F.round(vectors.norm("vector"), 6).alias("norm"))
+    return with_chunk_ids(narrow.checkpoint(eager=True)).select("chunk_id", "sample_id", "chunk_type", "n_terms", "norm")
 
 
 @query("hash_embed")
@@ -242,15 +252,18 @@ def hash_embed(spark, sf_dir):
     return e.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
-@query("l2_normalize")
-def l2_normalize(spark, sf_dir):
-    """Unit direction of the summed vectors of each label."""
+def label_directions(spark, sf_dir) -> DataFrame:
+    """(label, u): unit direction of the summed vectors of each label."""
     emb = src.read_table(spark, sf_dir, "embeddings")
     e = X.explode_rows(emb, ["label"], F.col("embedding"), "pos", "x")
     sums = e.groupBy("label", "pos").agg(F.sum(F.col("x").cast("double")).alias("s"))
     vec = sums.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("_v"))
-    unit = vec.select("label", vectors.l2_normalize(F.transform("_v", lambda x: x["s"])).alias("u"))
-    out = X.explode_rows(unit, ["label"], F.col("u"), "pos", "value")
+    return vec.select("label", vectors.l2_normalize(F.transform("_v", lambda x: x["s"])).alias("u"))
+
+
+@query("l2_normalize")
+def l2_normalize(spark, sf_dir):
+    out = X.explode_rows(label_directions(spark, sf_dir), ["label"], F.col("u"), "pos", "value")
     return out.select(F.col("label").cast("long").alias("label"), F.col("pos").cast("long").alias("pos"),
                       F.round("value", 6).alias("value"))
 
@@ -263,15 +276,25 @@ def vector_contract_violations(spark, sf_dir):
                       vectors.contract_status("embedding", 64).alias("status"))
 
 
-@query("search_topk")
-def search_topk(spark, sf_dir):
-    """Every stored vector searched against the whole collection."""
+def search_directions(spark, sf_dir, **blocks) -> DataFrame:
     emb = src.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return search.search_topk(emb, emb, C.TOP_K, C.FLOOR, query_key="vec_id", query_vec="embedding",
-                              key="vec_id", vec="embedding") \
+    return search.search_topk(label_directions(spark, sf_dir), emb, C.TOP_K, C.FLOOR, query_key="label", query_vec="u",
+                              key="vec_id", vec="embedding", **blocks) \
         .select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("search_topk")
+def search_topk(spark, sf_dir):
+    """The direction of every label searched in the whole collection."""
+    return search_directions(spark, sf_dir)
+
+
+@query("search_topk_blocks")
+def search_topk_blocks(spark, sf_dir):
+    """The same with query blocks of about three vectors."""
+    return search_directions(spark, sf_dir, max_block_bytes=3 * 64 * 8)
+
+
 # --- 5. retrieval -------------------------------------------------------------------
 
 @query("search_chunks")
@@ -451,16 +474,15 @@ def training_texts_df(spark, sf_dir) -> DataFrame:
 
 def bpe_model(spark, sf_dir, vocab_size: int = BPE_VOCAB) -> tuple[DataFrame, DataFrame]:
     """Learn once and save (vocab, merges) under the shared checkpoint folder;
-    later calls load the saved tables, like a saved tokenizer folder."""
-    import hashlib
-    tag = hashlib.md5(f"{sf_dir}|{vocab_size}|{C.MIN_FREQUENCY}".encode()).hexdigest()[:12]
+    later calls load the saved tables, like a saved tokenizer folder.  The folder
+    is named by the content of the texts and by the parameters."""
+    texts = training_texts_df(spark, sf_dir)
+    tag = f"{pts_src.fingerprint(texts)}-{vocab_size}-{C.MIN_FREQUENCY}"
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/bpe-{tag}"
-    if pts_src._fs_exists(spark, base + "/_DONE"):
-        return spark.read.parquet(base + "/vocab"), spark.read.parquet(base + "/merges")
-    vocab, merges = bpe.learn_bpe(spark, training_texts_df(spark, sf_dir), vocab_size=vocab_size)
-    vocab.write.mode("overwrite").parquet(base + "/vocab")
-    merges.write.mode("overwrite").parquet(base + "/merges")
-    spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(base + "/_DONE")
+    if not pts_src._complete(spark, base + "/merges"):
+        vocab, merges = bpe.learn_bpe(spark, texts, vocab_size=vocab_size)
+        vocab.write.mode("overwrite").parquet(base + "/vocab")
+        merges.write.mode("overwrite").parquet(base + "/merges")       # the last one written
     return spark.read.parquet(base + "/vocab"), spark.read.parquet(base + "/merges")
 
 
@@ -486,19 +508,18 @@ def encode_texts(spark, sf_dir):
     vocab, merges = bpe_model(spark, sf_dir)
     e = bpe.encode(training_texts_df(spark, sf_dir), "sample_id", "text", vocab, merges)
     return e.select("sample_id", "n_ids", "truncated", (F.col("labels") == F.col("input_ids")).alias("labels_equal"),
-                    F.array_join(F.slice("input_ids", 1, 20), " ").alias("head_ids"))
+                    F.array_join("input_ids", " ").alias("ids"))
 
 
 @query("roundtrip_mismatches")
 def roundtrip_mismatches(spark, sf_dir):
-    """decode(encode(text)) against the NFKC text; only truncated texts may differ."""
+    """decode(encode(text)) against the NFKC text, whole texts."""
     vocab, merges = bpe_model(spark, sf_dir)
     t = training_texts_df(spark, sf_dir)
-    e = bpe.encode(t, "sample_id", "text", vocab, merges)
-    d = bpe.decode(e, "sample_id", vocab).withColumnRenamed("text", "decoded")
-    j = e.select("sample_id", "n_ids", "truncated").join(d, "sample_id") \
-        .join(t.select("sample_id", bpe.nfkc(F.col("text")).alias("norm")), "sample_id")
-    return j.select("sample_id", "n_ids", "truncated", (F.col("decoded") == F.col("norm")).alias("roundtrip_ok"))
+    both = t.select(F.struct("sample_id", bpe.nfkc(F.col("text")).alias("norm")).alias("row"), "text")
+    e = bpe.encode(both, "row", "text", vocab, merges, max_len=None)
+    d = bpe.decode(e, "row", vocab)
+    return d.select("row.sample_id", (F.col("text") == F.col("row.norm")).alias("roundtrip_ok"))
 
 
 @query("padded_encoded_batches")
@@ -507,16 +528,15 @@ def padded_encoded_batches(spark, sf_dir):
     [PAD], labels with -100, attention mask with 0, to a multiple of 8."""
     vocab, merges = bpe_model(spark, sf_dir)
     e = bpe.encode(training_texts_df(spark, sf_dir), "sample_id", "text", vocab, merges)
-    tr = batches.train_positions(e)
+    # only the ids are ranked; the encoded rows meet their positions afterwards
+    tr = e.join(batches.train_positions(accepted_ids(spark, sf_dir)), "sample_id")
     b = batches.padded_lengths(tr, "n_ids")
     ids_p, lab_p, mask_p = batches.pad_arrays("input_ids", "labels", "attention_mask", "padded_len",
                                               C.SPECIAL_TOKENS.index(C.PAD_TOKEN))
     out = b.select("sample_id", "batch_id", "n_ids", "padded_len", ids_p.alias("ids"), lab_p.alias("lab"),
                    mask_p.alias("mask"))
-    return out.select("sample_id", "batch_id", "n_ids", "padded_len",
-                      F.size("ids").cast("long").alias("ids_len"),
-                      F.size(F.filter("lab", lambda x: x == C.LABEL_PAD)).cast("long").alias("n_label_pad"),
-                      F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n_attended"))
+    return out.select("sample_id", "batch_id", "n_ids", "padded_len", *[
+        F.array_join(c, " ").alias(c) for c in ("ids", "lab", "mask")])
 
 
 @query("vocab_specials")

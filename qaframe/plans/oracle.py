@@ -8,7 +8,6 @@ characters or gaps-and-islands.
 from __future__ import annotations
 
 from .. import constants as C
-from ..functions import text as X
 
 ORACLE: dict[str, str] = {}
 
@@ -17,11 +16,15 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-WS = X.WS  # the same character class text is valid RE2
+# white space of Unicode and the four information separators
+SPACE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]"
+# a greedy run up to the last place where a sentence ends
+SENTENCE_END = "(?s)^(.*)(?:[.!?] |\\.\\n)"
+DOLLAR_OR_BRACKET_MATH = "(?s)\\$\\$.*?\\$\\$|\\$.*?\\$|\\\\\\[.*?\\\\\\]|\\\\\\(.*?\\\\\\)"
 
 
 def strip(e: str) -> str:
-    return f"regexp_replace({e}, {lit(X.STRIP_PATTERN)}, '', 'g')"
+    return f"regexp_replace({e}, {lit('^' + SPACE + '+|' + SPACE + '+$')}, '', 'g')"
 
 
 def clean(e: str) -> str:
@@ -134,9 +137,9 @@ SELECT sample_id, kind, {tags_ok('text')} AS valid FROM (
 ORACLE["math_spans"] = with_qa(f"""
 SELECT sample_id, field, pos, span FROM (
   SELECT sample_id, field, unnest(range(0, len(spans))) AS pos, unnest(spans) AS span FROM (
-    SELECT sample_id, 'query' AS field, regexp_extract_all(query, {lit(X.MATH_SPAN_PATTERN)}) AS spans FROM qa_vi
+    SELECT sample_id, 'query' AS field, regexp_extract_all(query, {lit(DOLLAR_OR_BRACKET_MATH)}) AS spans FROM qa_vi
     UNION ALL
-    SELECT sample_id, 'response', regexp_extract_all(response, {lit(X.MATH_SPAN_PATTERN)}) FROM qa_vi))
+    SELECT sample_id, 'response', regexp_extract_all(response, {lit(DOLLAR_OR_BRACKET_MATH)}) FROM qa_vi))
 WHERE span IS NOT NULL""")
 
 ORACLE["valid_messages"] = f"""
@@ -145,8 +148,8 @@ SELECT conv_id, turn, role, text FROM conversations WHERE coalesce({strip('text'
 
 # --- chunking ---------------------------------------------------------------------
 
-WS2 = WS[:-1] + r"\x02]"          # whitespace or the newline guard
-WS12 = WS[:-1] + r"\x01\x02]"     # ... or a split sentinel
+WS2 = SPACE[:-1] + r"\x02]"          # whitespace or the newline guard
+WS12 = SPACE[:-1] + r"\x01\x02]"     # ... or a split sentinel
 
 
 def split_parts(e: str) -> str:
@@ -176,7 +179,7 @@ def windows_cte(name: str, source_sql: str, size: int = C.WINDOW, overlap: int =
          CASE WHEN cut > {half} THEN nxt + cut + 1 - {overlap} ELSE nxt + {size} - {overlap} END
   FROM (SELECT k, text, n, idx, nxt, substr(text, nxt + 1, {size}) AS c,
                CASE WHEN nxt + {size} < n
-                    THEN length(regexp_extract(substr(text, nxt + 1, {size}), {lit(X.LAST_SENTENCE_END)}, 1))
+                    THEN length(regexp_extract(substr(text, nxt + 1, {size}), {lit(SENTENCE_END)}, 1))
                     ELSE -1 END AS cut
         FROM {name} WHERE nxt < n) t)"""
 
@@ -344,12 +347,18 @@ FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x
       FROM embeddings)"""
 
 ORACLE["search_topk"] = f"""
+WITH e AS (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+s AS (SELECT label, pos, sum(x) AS s FROM e GROUP BY 1, 2),
+q AS (SELECT label, list(s ORDER BY pos) AS v, sqrt(sum(s * s)) AS nrm FROM s GROUP BY 1),
+c AS (SELECT vec_id, embedding::DOUBLE[] AS v,
+             sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS nrm FROM embeddings)
 SELECT query_id, id, score, rank FROM (
   SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
-  FROM (SELECT a.vec_id AS query_id, b.vec_id AS id,
-               round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
-        FROM embeddings a, embeddings b))
+  FROM (SELECT q.label::BIGINT AS query_id, c.vec_id AS id,
+               round(CASE WHEN q.nrm * c.nrm = 0 THEN 0.0 ELSE list_dot_product(q.v, c.v) / (q.nrm * c.nrm) END, 6) AS score
+        FROM q, c))
 WHERE rank <= {C.TOP_K} AND score >= {C.FLOOR}"""
+ORACLE["search_topk_blocks"] = ORACLE["search_topk"]
 
 ORACLE["search_chunks"] = with_hits("SELECT query_id, rank, id, score, sample_id, chunk_type FROM hits")
 
@@ -462,3 +471,7 @@ ORACLE["index_stream"] = ORACLE["chunks"].replace("SELECT * FROM chunks",
 ORACLE["index_points"] = with_hits("""
 SELECT c.chunk_id, c.sample_id, c.chunk_type, coalesce(v.n, 0) AS n_terms, round(coalesce(v.nrm, 0.0), 6) AS norm
 FROM chunk_ids c LEFT JOIN (SELECT k, count(*) AS n, sqrt(sum(w * w)) AS nrm FROM pv GROUP BY k) v ON v.k = c.chunk_id""")
+
+# whole texts come back; a word of NFKC text is never lost
+ORACLE["roundtrip_mismatches"] = with_qa(
+    "SELECT sample_id, true AS roundtrip_ok FROM training", CLEAN_CTE, TRAINING_CTE)

@@ -13,38 +13,6 @@ CORPUS = T.StructType([
     T.StructField("type", T.StringType()),
 ])
 
-CHUNK = T.StructType([
-    T.StructField("sample_id", T.LongType(), False),
-    T.StructField("chunk_pos", T.IntegerType(), False),
-    T.StructField("chunk_type", T.StringType(), False),
-    T.StructField("step_idx", T.IntegerType(), True),
-    T.StructField("text", T.StringType(), False),
-    T.StructField("math_type", T.StringType(), True),
-    T.StructField("query_ref", T.StringType(), True),
-])
-
-PAYLOAD = T.StructType([
-    T.StructField("text", T.StringType()),
-    T.StructField("chunk_type", T.StringType()),
-    T.StructField("sample_id", T.LongType()),
-    T.StructField("math_type", T.StringType()),
-    T.StructField("step_idx", T.IntegerType()),
-    T.StructField("query_ref", T.StringType()),
-])
-
-POINT = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("vector", T.ArrayType(T.FloatType(), containsNull=False)),
-    T.StructField("payload", PAYLOAD),
-])
-
-MESSAGE = T.StructType([
-    T.StructField("session_id", T.StringType(), False),
-    T.StructField("seq", T.LongType(), False),
-    T.StructField("role", T.StringType()),
-    T.StructField("content", T.StringType()),
-])
-
 TRAINING_LOG = T.StructType([
     T.StructField("step", T.LongType()),
     T.StructField("epoch", T.DoubleType()),

@@ -25,12 +25,20 @@ DEFAULT_CONF = {
 }
 
 
+# number of partitions for text tables; unset: the input's own splits
+TEXT_PARTITIONS = "spark.qaframe.textPartitions"
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "qaframe", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", "8g")
+    if master.startswith("local["):
+        # the test tables are single row groups, that is one task each
+        cores = master[6:-1]
+        conf[TEXT_PARTITIONS] = str(4 * (os.cpu_count() or 1 if cores == "*" else int(cores)))
     if extra:
         conf.update(extra)
     for k, v in conf.items():
@@ -45,8 +53,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets this to a shared file system.  Only when it is unset (local
-    tests) do we create a private scratch folder.
+    A cluster sets this to a shared file system.  Only when it is unset on a
+    local master (tests) do we create a private scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="qaframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

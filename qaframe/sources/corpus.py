@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import TEXT_PARTITIONS
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -15,39 +16,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _input_bytes(df: DataFrame) -> int:
-    """Total size of the files behind a DataFrame (file-system metadata only)."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return total
-
-
-SPREAD_BYTES_PER_CORE = 128 * 1024 * 1024
-
-
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give per-row-heavy text work several partitions per core.
-
-    A Parquet row group is read by one task, whatever the byte-range splits
-    say, so a small table written as one row group is one task of text work.
-    When the input is small (under 128 MB per core) a hash repartition is
-    cheap next to that work and is done; a large input already has many row
-    groups and splits, and is left untouched."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        small = _input_bytes(df) < SPREAD_BYTES_PER_CORE * cores
-    except Exception:  # noqa: BLE001 - no file listing (e.g. in-memory data)
-        small = df.rdd.getNumPartitions() < cores
-    if not small:
+    """Deal the rows of a text table to `spark.qaframe.textPartitions`
+    partitions, if the caller's session says so.
+
+    A Parquet row group is read by one task, whatever the byte-range splits say:
+    a table written as one row group is one task of text work.  Only the caller
+    knows how the input was written, so the scan's own splits are the default."""
+    n = int(df.sparkSession.conf.get(TEXT_PARTITIONS, "0"))
+    if n <= 0:
         return df
-    # several partitions per core: per-row work on texts is very uneven
-    target = 4 * cores
-    return df.repartition(target, key) if key else df.repartition(target)
+    return df.repartition(n, key) if key else df.repartition(n)
 
 
 def read_text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:

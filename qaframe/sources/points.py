@@ -15,11 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    """Insert-or-replace by key: the incoming row wins.  The anti join reads
-    only the incoming keys, so AQE can broadcast them when the batch is small."""
-    keep = existing.join(incoming.select(key), key, "left_anti")
-    return keep.unionByName(incoming)
+def last_by_key(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key: the one with the largest `order`, and among equals (or
+    without an order) the largest by all columns, so the choice does not depend
+    on partitioning.  Partial aggregation: a hot key sends one row per task."""
+    everything = F.struct(*[F.col(c) for c in rows.columns])
+    rank = F.struct(F.col(order), everything) if order else everything
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(everything, rank).alias("_row")).select("_row.*")
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Insert-or-replace by key: the incoming row wins, and of several incoming
+    rows with one key the last by `order`.  The anti join reads only the incoming
+    keys, so AQE can broadcast them when the batch is small."""
+    last = last_by_key(incoming, key, order)
+    keep = existing.join(last.select(key), key, "left_anti")
+    return keep.unionByName(last.select(*existing.columns))
 
 
 def pending(chunks: DataFrame, done: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -34,16 +45,26 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """A written table, not the remains of a write that failed."""
+    return _fs_exists(spark, path.rstrip("/") + "/_SUCCESS")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def id_bucket(key: str, n_buckets: int):
     return F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int")
 
 
 def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, key: str = "id",
-                 n_buckets: int = 64) -> None:
+                 n_buckets: int = 64, order: str | None = None) -> None:
     """Upsert `incoming` into the Parquet table at `path` (created if absent)."""
-    inc = incoming.withColumn("id_bucket", id_bucket(key, n_buckets))
-    if not _fs_exists(spark, path):
-        inc.write.mode("errorifexists").partitionBy("id_bucket").parquet(path)
+    inc = last_by_key(incoming, key, order).withColumn("id_bucket", id_bucket(key, n_buckets))
+    if not _complete(spark, path):
+        inc.write.mode("overwrite").partitionBy("id_bucket").parquet(path)
         return
     existing = spark.read.parquet(path)
     touched = inc.select("id_bucket").distinct()
@@ -54,21 +75,25 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, key: str =
     merged.write.partitionBy("id_bucket").parquet(staging)
     (spark.read.parquet(staging).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("id_bucket").parquet(path))
+    _delete(spark, staging)
 
 
 def materialize_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Write `df` to `path` unless something is there already, then read the
-    copy back (fetch once, then always load the saved copy)."""
-    if not _fs_exists(spark, path):
-        df.write.mode("ignore").parquet(path)
+    """Write `df` to `path` unless a complete copy is there already, then read
+    the copy back (fetch once, then always load the saved copy).  The remains of
+    a failed write are written again."""
+    if not _complete(spark, path):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def fingerprint(df: DataFrame) -> str:
     """Order-independent fingerprint of a table's content: row count and the
-    sum of 64-bit row hashes (one distributed aggregate)."""
+    sum of 64-bit row hashes (one distributed aggregate).  Nulls are hashed as
+    such: (null, 'a') and ('a', null) differ."""
+    cells = [x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]
     r = df.agg(F.count(F.lit(1)).alias("n"),
-               F.sum(F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")).alias("h")).first()
+               F.sum(F.xxhash64(*cells).cast("decimal(38,0)")).alias("h")).first()
     return f"{int(r['n']):x}-{int(r['h'] or 0) & ((1 << 64) - 1):016x}"
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -47,19 +47,24 @@ def _memory_fn(n: int, clear_role: str | None):
             cur = pd.DataFrame({"seq": list(seq), "role": list(role), "content": list(content)})
         else:
             cur, cleared_at, version = pd.DataFrame({"seq": [], "role": [], "content": []}), -1, 0
-        parts = [cur] + [p[["seq", "role", "content"]] for p in pdfs]
-        allm = pd.concat(parts, ignore_index=True)
-        if clear_role is not None:
-            clears = allm.loc[allm["role"] == clear_role, "seq"]
-            if len(clears):
-                cleared_at = max(int(cleared_at), int(clears.max()))
-            allm = allm[(allm["role"] != clear_role) & (allm["seq"] > cleared_at)]
-        allm = allm.sort_values("seq").tail(n)
+        # folded part by part: never more than n rows and one part are held
+        for p in pdfs:
+            cur = pd.concat([cur, p[["seq", "role", "content"]]], ignore_index=True)
+            if clear_role is not None:
+                clears = cur.loc[cur["role"] == clear_role, "seq"]
+                if len(clears):
+                    cleared_at = max(int(cleared_at), int(clears.max()))
+                cur = cur[(cur["role"] != clear_role) & (cur["seq"] > cleared_at)]
+            cur = cur.sort_values("seq").tail(n)
         version += 1
-        state.update((allm["seq"].astype("int64").tolist(), allm["role"].tolist(), allm["content"].tolist(),
+        state.update((cur["seq"].astype("int64").tolist(), cur["role"].tolist(), cur["content"].tolist(),
                       int(cleared_at), int(version)))
-        yield pd.DataFrame({"session_id": key[0], "seq": allm["seq"].astype("int64"), "role": allm["role"],
-                            "content": allm["content"], "version": version})
+        if len(cur):
+            yield pd.DataFrame({"session_id": key[0], "seq": cur["seq"].astype("int64"), "role": cur["role"],
+                                "content": cur["content"], "version": version})
+        else:   # a tombstone: the new version of the session is empty
+            yield pd.DataFrame({"session_id": [key[0]], "seq": pd.array([None], dtype="Int64"), "role": [None],
+                                "content": [None], "version": [version]})
     return fn
 
 
@@ -70,10 +75,10 @@ def memory_stream(messages: DataFrame, n: int = C.SESSION_MEMORY, clear_role: st
 
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
-    """Current memory: rows of the highest version of each session."""
-    w = Window.partitionBy("session_id")
-    return (snapshots.withColumn("_v", F.max("version").over(w)).filter(F.col("version") == F.col("_v"))
-            .drop("_v", "version"))
+    """Current memory: rows of the highest version of each session.  A version
+    that emptied a session is one row without a seq, dropped here."""
+    newest = snapshots.groupBy("session_id").agg(F.max("version").alias("version"))
+    return snapshots.join(newest, ["session_id", "version"], "left_semi").where("seq is not null").drop("version")
 
 
 def run_memory_stream(spark: SparkSession, source_dir: str, file_glob: str, schema: T.StructType,

@@ -11,11 +11,13 @@ from qaframe import constants as C
 from qaframe.operators import bpe, logs
 from qaframe.sources import points
 
-TEXTS = [
+# FIXED VALUES: the three inputs of the original's encode/decode inspection
+INSPECTED = [
     "Tính diện tích hình tròn bán kính 5 cm.",
     "Giải phương trình $x^2 - 5x + 6 = 0$",
     "The answer is $\\frac{{3}}{{4}}$.",
-] + [f"[SYS]Bạn là trợ lý.[/SYS][USR]Bài {i}: tính {i} + {i * 3} bằng bao nhiêu?[/USR]"
+]
+TEXTS = INSPECTED + [f"[SYS]Bạn là trợ lý.[/SYS][USR]Bài {i}: tính {i} + {i * 3} bằng bao nhiêu?[/USR]"
      f"[AST]Ta có {i} + {i * 3} = {i * 4}. Vậy đáp số là {i * 4}.[/AST][EOS]" for i in range(60)]
 
 
@@ -58,6 +60,60 @@ def test_bpe_parity(spark):
         assert dec[i] == hf.decode(ids, skip_special_tokens=False)
 
 
+SELF_PAIRS = [(["aaaa"] * 100 + ["cd"] * 90 + ["ef"] * 40, 4), (["aaa"] * 50 + ["xy"] * 40 + ["----"] * 30 + ["======="] * 20, 9),
+              (["0000000"] * 7 + ["00"] * 9 + ["10"] * 8 + ["ab0"] * 5, 6)]
+
+
+@pytest.mark.parametrize("words,n", SELF_PAIRS)
+def test_bpe_runs_of_one_symbol(spark, words, n):
+    """A merge of a symbol with itself makes pairs of its own result."""
+    size = 267 + n
+    vocab, merges = bpe.learn_bpe(spark, spark.createDataFrame([(w,) for w in words], "text string"), vocab_size=size)
+    v = {r["id"]: r["token"] for r in vocab.collect()}
+    model = json.loads(hf_tokenizer(words, size).to_str())["model"]
+    hf_merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    assert [(v[r["left"]], v[r["right"]]) for r in merges.orderBy("rank").collect()] == hf_merges
+
+
+def test_registered_bpe_queries_equal_the_library(spark):
+    """Whole corpus of the smallest data: counts, merges, ids, padded arrays."""
+    import __spark_entry__ as E
+    from qaframe.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    texts = {r["sample_id"]: r["text"] for r in catalog.training_texts_df(spark, sf).collect()}
+    hf = hf_tokenizer([texts[k] for k in sorted(texts)], catalog.BPE_VOCAB)
+    q = {n: E.queries()[n](spark, sf) for n in ("nfkc_texts", "pretoken_counts", "bpe_merges", "encode_texts",
+                                                "padded_encoded_batches", "vocab_specials")}
+    import collections
+    import unicodedata
+    norm = {k: unicodedata.normalize("NFKC", t) for k, t in texts.items()}
+    assert {r["sample_id"]: r["text"] for r in q["nfkc_texts"].collect()} == norm
+    pre = collections.Counter()
+    for t in norm.values():
+        pre.update(t[a:b] for _, (a, b) in hf.pre_tokenizer.pre_tokenize_str(t))
+    assert {r["token"]: r["freq"] for r in q["pretoken_counts"].collect()} == dict(pre)
+    model = json.loads(hf.to_str())["model"]
+    merges = {r["token"]: r["id"] for r in q["bpe_merges"].collect()}
+    assert merges.items() <= model["vocab"].items() and len(merges) == len(model["merges"])
+    ids = {k: hf.encode(t).ids for k, t in texts.items()}
+    got = {r["sample_id"]: r for r in q["encode_texts"].collect()}
+    assert {k: r["ids"] for k, r in got.items()} == {k: " ".join(map(str, v[:C.MAX_SEQ_LEN])) for k, v in ids.items()}
+    assert {k: r["truncated"] for k, r in got.items()} == {k: len(v) > C.MAX_SEQ_LEN for k, v in ids.items()}
+    by_batch = collections.defaultdict(list)
+    for r in q["padded_encoded_batches"].collect():
+        by_batch[r["batch_id"]].append(r)
+    for rows in by_batch.values():
+        want = -(-max(len(ids[r["sample_id"]][:C.MAX_SEQ_LEN]) for r in rows) // 8) * 8
+        for r in rows:
+            x = ids[r["sample_id"]][:C.MAX_SEQ_LEN]
+            pad = want - len(x)
+            assert (r["ids"], r["lab"], r["mask"]) == tuple(" ".join(map(str, x2)) for x2 in (
+                x + [0] * pad, x + [-100] * pad, [1] * len(x) + [0] * pad))
+    specials = {r["token"]: r["id"] for r in q["vocab_specials"].collect()}
+    assert specials.pop("<vocab_size>") == len(model["vocab"])
+    assert specials == {t: model["vocab"][t] for t in C.SPECIAL_TOKENS}
+
+
 def test_special_ids_and_byte_map():
     assert bpe.CHAR_ID[bpe.ALPHABET[0]] == len(C.SPECIAL_TOKENS)
     assert len(set(bpe.BYTE_CHARS)) == 256
@@ -76,6 +132,10 @@ def test_training_log(spark):
     rep = {r["step"]: r for r in logs.log_report(log).collect()}
     assert rep[10]["message"] == "step=    10 | epoch=0.1 | loss=1.2346 | lr=0.0"
     assert rep[10]["learning_rate_raw"] == 1e-5
+    odd = spark.createDataFrame([(1, 2.0, 12345678.9, 0.0, 2e-4, "t"), (2, 0.5, 10.0, 100.25, 1.0, "t")], log.schema)
+    assert [r["message"] for r in logs.log_report(odd).orderBy("step").collect()] == [
+        "step=     1 | epoch=2.0 | loss=12345678.9 | eval_loss=0.0 | lr=0.0002",
+        "step=     2 | epoch=0.5 | loss=10.0 | eval_loss=100.25 | lr=1.0"]
     assert rep[20]["message"] == "step=    20 | epoch=0.2 | eval_loss=0.0"
     best = logs.best_checkpoint(log).first()
     assert best["best_step"] == 20 and best["best_eval_loss"] == 0.0
@@ -88,6 +148,8 @@ def test_materialize_once_and_split_sink(spark):
     p = os.path.join(base, "corpus")
     assert [r["id"] for r in points.materialize_once(spark, a, p).collect()] == [1]
     assert [r["id"] for r in points.materialize_once(spark, b, p).collect()] == [1]   # saved copy wins
+    os.remove(os.path.join(p, "_SUCCESS"))                    # the remains of a failed write are written again
+    assert [r["id"] for r in points.materialize_once(spark, b, p).collect()] == [2]
     s = spark.createDataFrame([(1, "train"), (2, "eval")], "id long, split string")
     points.write_splits(s, os.path.join(base, "splits"))
     assert sorted(x for x in os.listdir(os.path.join(base, "splits")) if x.startswith("split=")) == \
@@ -102,6 +164,8 @@ def test_chunk_sink_fingerprint(spark):
     b = spark.createDataFrame([(1, "x"), (2, "z")], "id long, v string")
     assert points.fingerprint(a) == points.fingerprint(a.repartition(2).orderBy(F.desc("id")))
     assert points.fingerprint(a) != points.fingerprint(b)
+    swapped = [spark.createDataFrame([r], "p string, q string") for r in ((None, "a"), ("a", None))]
+    assert points.fingerprint(swapped[0]) != points.fingerprint(swapped[1])
     first = points.chunk_sink(spark, a, lambda d: d.withColumn("n", F.length("v")), base)
     second = points.chunk_sink(spark, b, lambda d: d.withColumn("n", F.length("v")), base)
     assert sorted(r["v"] for r in first.collect()) == ["x", "y"]

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from qaframe.operators import retrieval, search
@@ -42,6 +43,7 @@ def test_generation_prompt(spark):
 
 def brute_topk(Q, M, k):
     out = {}
+    Q = Q / np.linalg.norm(Q, axis=1, keepdims=True)
     for qi, q in enumerate(Q):
         s = np.round(M @ q, 6)
         order = sorted(range(len(M)), key=lambda j: (-s[j], j))[:k]
@@ -59,8 +61,8 @@ def test_search_paths_agree_with_brute_force(spark):
         .repartition(7)
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(Q)], "query_id long, vector array<double>")
     want = brute_topk(Q, M, 5)
-    for max_bytes in (1 << 30, 256):   # broadcast path, then block (cogroup) path
-        res = search.search_topk(queries, corpus, k=5, floor=None, max_block_bytes=max_bytes).collect()
+    for max_bytes in (1 << 30, 256):   # one query block, then many
+        res = search.search_topk(queries, corpus, k=5, floor=None, max_block_bytes=max_bytes, dim=8).collect()
         got = {}
         for r in res:
             got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
@@ -68,3 +70,15 @@ def test_search_paths_agree_with_brute_force(spark):
             g = [(i, s) for _, i, s in sorted(got[qi])]
             assert [i for i, _ in g] == [i for i, _ in lst], (max_bytes, qi)
             assert all(math.isclose(a, b, abs_tol=1e-9) for (_, a), (_, b) in zip(g, lst))
+
+
+def test_search_is_a_cosine_and_drops_nothing(spark):
+    corpus = spark.createDataFrame([(1, [5.0, 0.0]), (2, [0.0, 0.0]), (3, [-1.0, 1.0])], "id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [3.0, 0.0]), (2, [0.0, 0.0])], "query_id long, vector array<double>")
+    got = {(r["query_id"], r["id"]): r["score"] for r in search.search_topk(queries, corpus, floor=None, dim=2).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 0.0, (1, 3): -0.707107, (2, 1): 0.0, (2, 2): 0.0, (2, 3): 0.0}
+    other = spark.createDataFrame([(9, [1.0, 2.0, 3.0])], "query_id long, vector array<double>")
+    with pytest.raises(ValueError):
+        search.search_topk(queries.unionByName(other), corpus, dim=2)
+    with pytest.raises(Exception, match="declared size"):
+        search.search_topk(queries, corpus.unionByName(other.withColumnRenamed("query_id", "id")), dim=2).collect()

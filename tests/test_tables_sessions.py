@@ -70,6 +70,49 @@ def test_upsert_twice_is_once(spark):
     assert once == [(i, f"a{i}") for i in range(10)] + [(i, f"b{i}") for i in range(10, 30)]
 
 
+def test_upsert_keeps_the_last_of_equal_keys(spark):
+    old = spark.createDataFrame([(1, 0, "old"), (2, 0, "kept")], "id long, seq long, p string")
+    new = spark.createDataFrame([(1, 1, "z first"), (1, 2, "a last"), (3, 1, "x"), (3, 1, "x")], "id long, seq long, p string")
+    want = [(1, 2, "a last"), (2, 0, "kept"), (3, 1, "x")]
+    assert sorted(tuple(r) for r in points.upsert(old, new.repartition(3), "id", "seq").collect()) == want
+    path = os.path.join(tempfile.mkdtemp(prefix="qaframe-test-"), "t")
+    points.upsert_table(spark, path, new, "id", 4, "seq")
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("id", "seq", "p").collect()) == [want[0], want[2]]
+    points.upsert_table(spark, path, old, "id", 4, "seq")
+    assert [d for d in os.listdir(os.path.dirname(path)) if "staging" in d] == []
+
+
+def test_prefix_starts_with_sparse_keys(spark):
+    rows = [(i, i % 3) for i in range(500)] + [(1 << 40, 2), (-5, 7)]
+    got = {r["k"]: r["start"] for r in ids.prefix_starts(
+        spark.createDataFrame(rows, "k long, w long"), ["k"], "w").collect()}
+    at = 0
+    for k, w in sorted(rows):
+        assert got[k] == at
+        at += w
+
+
+def test_stream_clear_over_many_files(spark):
+    """Each file is a micro-batch; a clear that empties a session must show."""
+    import random
+    from qaframe.streaming import sessions as S
+    rows = [("a", 1, "user", "x"), ("a", 2, "assistant", "y"), ("b", 1, "user", "p"), ("a", 3, "system", ""), ("c", 1, "user", "q"),
+            ("c", 2, "system", ""), ("c", 3, "user", "r"), ("b", 2, "assistant", "s")]
+    schema = exchanges(spark, 1).schema
+    want = {("b", 1), ("b", 2), ("c", 3)}
+    for order in (rows, random.Random(1).sample(rows, len(rows)), random.Random(2).sample(rows, len(rows))):
+        d = tempfile.mkdtemp(prefix="qaframe-stream-")
+        for i, r in enumerate(order):
+            spark.createDataFrame([r], schema).coalesce(1).write.parquet(f"{d}/part-{i}")
+        flat = tempfile.mkdtemp(prefix="qaframe-stream-")
+        for i in range(len(order)):
+            f = next(x for x in os.listdir(f"{d}/part-{i}") if x.endswith(".parquet"))
+            os.link(f"{d}/part-{i}/{f}", f"{flat}/{i:02d}.parquet")
+            os.utime(f"{flat}/{i:02d}.parquet", (1000 + i, 1000 + i))
+        got = S.run_memory_stream(spark, flat, "*.parquet", schema, lambda x: x, 20, clear_role="system").collect()
+        assert {(r["session_id"], r["seq"]) for r in got} == want
+
+
 def exchanges(spark, n_ex):
     rows = []
     for i in range(n_ex):
