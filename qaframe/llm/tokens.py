@@ -17,11 +17,12 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 _UNSAFE = re.compile(r"\s \s")
+MARKS = ".,;:!?"
 _PER_PROCESS: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # one task, one thread
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -29,10 +30,11 @@ class ChunkEncoder:
         self.remembered = remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}               # ends of chunks, from a mark or line break on
         self.vocab_size = self.tokenizer.get_vocab_size()
 
     @classmethod
-    def of(cls, path: str, remembered: int = 400_000) -> "ChunkEncoder":
+    def of(cls, path: str, remembered: int = 600_000) -> "ChunkEncoder":
         """The encoder of this worker process; workers are reused over tasks."""
         key = (path, remembered)
         if key not in _PER_PROCESS:
@@ -45,7 +47,11 @@ class ChunkEncoder:
                 yield array("I", e.ids).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        """Put the ids of all these chunks (without their leading space) into `young`."""
+        """Put the ids of all these chunks (without their leading space) into `young`.
+
+        A chunk that ends in a mark after a letter or digit, or holds a line break
+        between two visible characters, is cut there first: a word ends at these
+        places whatever follows, and the parts are far fewer than the chunks."""
         need = chunks.difference(self.young)
         if len(self.young) + len(need) > self.remembered:
             self.old, self.young = self.young, {}
@@ -54,9 +60,32 @@ class ChunkEncoder:
             known = need & self.old.keys()
             self.young.update((c, self.old[c]) for c in known)
             need = need - known
-        if need:
-            need = sorted(need)
-            self.young.update(zip(need, self._plain([" " + c for c in need])))
+        if not need:
+            return
+        if len(self.parts) > self.remembered // 4:
+            self.parts = {}
+        words, parts, cut = set(), set(), {}
+        for c in need:
+            rest = []
+            at = c.find("\n")
+            if 0 < at < len(c) - 1 and not c[at - 1].isspace() and not c[at + 1].isspace():
+                rest.append(c[at:])
+                base = c[:at]
+            else:
+                base = c
+            if len(base) > 1 and base[-1] in MARKS and base[-2].isalnum():
+                rest.append(base[-1])
+                base = base[:-1]
+            if rest:
+                cut[c] = (base, rest[::-1])
+                parts.update(rest)
+            if base not in self.young:
+                words.add(base)
+        words, parts = sorted(words), sorted(parts.difference(self.parts))
+        self.young.update(zip(words, self._plain([" " + w for w in words])))
+        self.parts.update(zip(parts, self._plain(parts)))
+        for c, (base, rest) in cut.items():
+            self.young[c] = self.young[base] + b"".join(self.parts[r] for r in rest)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
