@@ -1,8 +1,8 @@
 """Parameters and fixed values.
 
 FIXED VALUES: the strings, labels and limits below must equal those of the
-original corpus tool for results to match; they are stated here verbatim and
-in their natural order.
+original corpus tool for results to match; they are stated here in their
+natural order.
 """
 
 # --- FIXED VALUES: sizes and thresholds -------------------------------------
@@ -18,7 +18,6 @@ MIN_HITS = 2
 CONTEXT_MAX = 1500
 SESSION_MEMORY = 20
 TITLE_MAX = 28
-VECTOR_DIM = 1024       # declared size of the reference's collection
 HASH_DIM = 64           # size of the default hashed embedding
 VOCAB_SIZE = 32000
 MIN_FREQUENCY = 2
@@ -27,7 +26,6 @@ EVAL_FRACTION = 0.2
 SPLIT_SEED = 42
 INDEX_BATCH = 256
 TRAIN_BATCH = 2
-GRAD_ACCUM = 8
 PAD_MULTIPLE = 8
 LABEL_PAD = -100
 
@@ -86,6 +84,20 @@ WEB_QUERY_PREFIX = "Toán học: Cách giải "
 WEB_SUMMARY_PROBLEM = "Bài toán: "
 WEB_SUMMARY_RESULTS = "\n\nKết quả tìm kiếm từ Internet:\n"
 WEB_SUMMARY_ASK = "\n\nHãy tóm tắt thông tin hữu ích để giải bài toán trên."
+RAG_SYSTEM_PROMPT = (
+    "Bạn là trợ lý toán học thông minh. "
+    "Hãy giải các bài toán chính xác, trình bày từng bước rõ ràng bằng tiếng Việt. "
+    "Chỉ dùng thông tin từ ngữ cảnh được cung cấp và kiến thức toán học của bạn."
+    "Khi gặp các bài toán có chứa các con số lớn (như hàng trăm nghìn, hàng triệu), hãy chủ động quy đổi đơn vị (ví dụ: chuyển sang đơn vị 'nghìn đồng', 'triệu đồng') để đơn giản hóa biểu thức số học trước khi thực hiện lấy đạo hàm hoặc giải phương trình. Hãy kiểm tra lại các bước nhân chia trước khi đưa ra đáp số cuối cùng."
+)
+WEB_SYSTEM_PROMPT = (
+    "Bạn là chuyên gia toán học. "
+    "Với bài toán được đưa ra và kết quả tìm kiếm từ internet, hãy: "
+    "1) Xác định dạng toán và công thức liên quan. "
+    "2) Tóm tắt các thông tin hữu ích từ kết quả tìm kiếm. "
+    "3) Gợi ý hướng giải ngắn gọn. "
+    "Trả lời bằng tiếng Việt, KHÔNG giải hoàn chỉnh — chỉ cung cấp context."
+)
 PASSAGE_PREFIX = "passage: "
 QUERY_PREFIX = "query: "
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import text as X
 
 
 def type_rank(chunk_type) -> Column:
@@ -96,3 +97,11 @@ def web_summary_prompt(question, raw_results) -> Column:
     q = F.col(question) if isinstance(question, str) else question
     r = F.col(raw_results) if isinstance(raw_results, str) else raw_results
     return F.concat(F.lit(C.WEB_SUMMARY_PROBLEM), q, F.lit(C.WEB_SUMMARY_RESULTS), r, F.lit(C.WEB_SUMMARY_ASK))
+
+
+def web_request(question, raw_results) -> Column:
+    """What is sent after a web search: the summary prompt, or the bare question
+    when the search found nothing (blank results)."""
+    q = F.col(question) if isinstance(question, str) else question
+    r = F.col(raw_results) if isinstance(raw_results, str) else raw_results
+    return F.when(X.is_blank(r), q).otherwise(web_summary_prompt(q, r))

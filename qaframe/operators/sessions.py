@@ -46,6 +46,23 @@ def after_last_clear(messages: DataFrame, is_clear, session: str = "session_id",
             .drop("_clear", "_last_clear"))
 
 
+def completed_pairs(messages: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:
+    """Messages of completed exchanges: a user message and the assistant message
+    that follows it.  Questions without an answer are never remembered."""
+    w = Window.partitionBy(session).orderBy(seq)
+    m = messages.withColumn("_next", F.lead("role").over(w)).withColumn("_before", F.lag("role").over(w))
+    asked = (F.col("role") == "user") & (F.col("_next") == "assistant")
+    answered = (F.col("role") == "assistant") & (F.col("_before") == "user")
+    return m.where(asked | answered).drop("_next", "_before")
+
+
+def lookup_history(requests: DataFrame, memory: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:
+    """History of each requested session; an unknown one is empty."""
+    h = requests.select(session).distinct().join(history(memory, session, seq), session, "left")
+    return h.select(session, F.coalesce("n_messages", F.lit(0)).cast("long").alias("n_messages"),
+                    F.coalesce("transcript", F.lit("")).alias("transcript"))
+
+
 def history(memory: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:
     """One row per session: message count and the transcript in order
     (`role: content` lines).  Groups are already cut to N messages."""

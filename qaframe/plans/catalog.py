@@ -339,19 +339,42 @@ def answered_df(spark, sf_dir) -> DataFrame:
             .withColumn("context", F.coalesce("context", F.lit(""))))
 
 
+def web_results(spark, sf_dir) -> DataFrame:
+    """(query_id, raw): what a web search returned for a question.  Stands in for
+    the search engine: the address of the page with the question's number, for
+    every seventh question a blank result."""
+    p = src.read_table(spark, sf_dir, "pages")
+    return p.select(F.col("page_id").alias("query_id"),
+                    F.when(F.col("page_id") % 7 == 0, F.lit(" \n")).otherwise(F.col("url")).alias("raw"))
+
+
 @query("generation_prompts")
 def generation_prompts(spark, sf_dir):
-    a = answered_df(spark, sf_dir)
-    return a.select("query_id", "use_web",
-                    retrieval.generation_prompt("question", "context", F.lit(None).cast("string")).alias("prompt"))
+    """System and user message; questions routed to the web carry a hint."""
+    a = answered_df(spark, sf_dir).join(web_results(spark, sf_dir), "query_id", "left")
+    hint = F.when(F.col("use_web"), X.strip("raw"))
+    return a.select("query_id", "use_web", F.lit(C.RAG_SYSTEM_PROMPT).alias("system"),
+                    retrieval.generation_prompt("question", "context", hint).alias("prompt"))
 
 
 @query("web_prompts")
 def web_prompts(spark, sf_dir):
-    a = answered_df(spark, sf_dir)
-    return a.filter("use_web").select("query_id", retrieval.web_search_query("question").alias("search_query"))
+    """Search query, and what is sent with its results to be summarised."""
+    a = answered_df(spark, sf_dir).filter("use_web").join(web_results(spark, sf_dir), "query_id", "left")
+    return a.select("query_id", retrieval.web_search_query("question").alias("search_query"),
+                    F.lit(C.WEB_SYSTEM_PROMPT).alias("system"),
+                    retrieval.web_request("question", F.coalesce("raw", F.lit(""))).alias("request"))
 
 
+@query("prefixed_embeddings")
+def prefixed_embeddings(spark, sf_dir):
+    """Passages and queries embedded with their prefixes."""
+    docs = src.read_text_table(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text")
+    asked = src.read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    def entries(df, kind, prefix):
+        e = vectors.sparse_entries(vectors.hash_embed(df, "text", prefix=prefix), "id")
+        return e.select(F.lit(kind).alias("kind"), "id", "bucket", F.round("weight", 6).alias("weight"))
+    return entries(docs, "passage", C.PASSAGE_PREFIX).unionByName(entries(asked, "query", C.QUERY_PREFIX))
 
 
 # --- 6. tables over time --------------------------------------------------------------
@@ -376,6 +399,20 @@ def resume_pending(spark, sf_dir):
     return pts_src.pending(c, done, "chunk_id").select("chunk_id", "sample_id", "chunk_type")
 
 
+@query("collection_state")
+def collection_state(spark, sf_dir):
+    """A collection created when absent, filled, and opened again."""
+    from ..session import scratch_dir
+    emb = src.read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"),
+                                                             F.lit(0).alias("id_bucket"))
+    path = scratch_dir(spark, "collection")
+    was_empty = pts_src.is_empty(pts_src.ensure_collection(spark, path, emb.schema, 64))
+    emb.write.mode("append").parquet(path)
+    again = pts_src.ensure_collection(spark, path, emb.schema, 64)
+    return again.agg(F.lit(was_empty).alias("was_empty"), F.count(F.lit(1)).alias("n_points"),
+                     F.count_if(vectors.contract_status("vector", 64) != "ok").alias("n_violations"))
+
+
 # --- 7. sessions -------------------------------------------------------------------------
 
 def messages_df(spark, sf_dir) -> DataFrame:
@@ -411,6 +448,20 @@ def session_after_clear(spark, sf_dir):
     return sessions.last_n(kept, C.SESSION_MEMORY).select("session_id", "seq", "role", "content")
 
 
+@query("session_pairs")
+def session_pairs(spark, sf_dir):
+    """Memory of completed exchanges only (question and answer), last 3 of them."""
+    return sessions.last_n(sessions.completed_pairs(messages_df(spark, sf_dir)), 6).select("session_id", "seq", "role", "content")
+
+
+@query("session_lookup")
+def session_lookup(spark, sf_dir):
+    """Every known session and as many unknown ones; those are empty."""
+    m = messages_df(spark, sf_dir)
+    asked = m.select("session_id").unionByName(m.select(F.concat(F.lit("unknown-"), "session_id").alias("session_id")))
+    return sessions.lookup_history(asked, sessions.last_n(m, C.SESSION_MEMORY))
+
+
 @query("session_titles")
 def session_titles(spark, sf_dir):
     return sessions.titles(messages_df(spark, sf_dir))
@@ -549,7 +600,43 @@ def vocab_specials(spark, sf_dir):
 
 
 
-# --- 10. streams ---------------------------------------------------------------------------------
+@query("bpe_length_stats")
+def bpe_length_stats(spark, sf_dir):
+    """Token length of the encoded training texts (cut to the maximum)."""
+    vocab, merges = bpe_model(spark, sf_dir)
+    e = bpe.encode(training_texts_df(spark, sf_dir), "sample_id", "text", vocab, merges)
+    return e.agg(F.count(F.lit(1)).alias("n_texts"), F.round(F.avg("n_ids"), 6).alias("avg_len"),
+                 F.max("n_ids").alias("max_len"), F.min("n_ids").alias("min_len"))
+
+
+# --- 10. training log ---------------------------------------------------------------------------
+
+def training_log_df(spark, sf_dir) -> DataFrame:
+    """A training log derived from `events`: views and clicks log a loss, errors an
+    evaluation, the others neither; the learning rate decays with the step."""
+    e = src.read_table(spark, sf_dir, "events")
+    kind, step = F.col("event_type"), F.col("event_id")
+    return e.select(
+        step.cast("long").alias("step"), (step / 1000).cast("double").alias("epoch"),
+        F.when(kind.isin("view", "click"), F.col("value") / 7).alias("loss"),
+        F.when(kind == "error", F.col("value") / 11).alias("eval_loss"),
+        F.when(kind != "signup", F.lit(2e-4) * (1 + F.pmod(step, F.lit(9)))).alias("learning_rate"),
+        F.date_format("ts", "HH:mm:ss").alias("timestamp"))
+
+
+@query("training_log_report")
+def training_log_report(spark, sf_dir):
+    from ..operators import logs
+    return logs.log_report(training_log_df(spark, sf_dir)).select("step", "message")
+
+
+@query("best_checkpoint")
+def best_checkpoint(spark, sf_dir):
+    from ..operators import logs
+    return logs.best_checkpoint(training_log_df(spark, sf_dir)).select("best_step", F.round("best_eval_loss", 6).alias("best_eval_loss"))
+
+
+# --- 11. streams ---------------------------------------------------------------------------------
 
 def _conv_schema(spark, sf_dir):
     return src.read_table(spark, sf_dir, "conversations").schema

@@ -374,18 +374,36 @@ FROM benchmark b LEFT JOIN (
   SELECT query_id, count(*) AS n, string_agg(left(coalesce(text, ''), 120), chr(10) ORDER BY rank) AS src
   FROM hits GROUP BY 1) s ON s.query_id = b.item_id""")
 
+WEB_CTE = """
+found AS (
+  SELECT a.*, p.url, p.page_id IS NOT NULL AND p.page_id % 7 <> 0 AS hit
+  FROM answered a LEFT JOIN pages p ON p.page_id = a.query_id)"""
+
 ORACLE["generation_prompts"] = with_hits(f"""
-SELECT query_id, use_web,
-  CASE WHEN context <> '' THEN {lit(C.CONTEXT_HEADER)} || context || chr(10) || chr(10) || {lit(C.QUESTION_HEADER)} || question
-       ELSE {lit(C.QUESTION_HEADER)} || question END AS prompt
-FROM answered""", CONTEXT_CTE, ROUTE_CTE, ANSWERED_CTE)
+SELECT query_id, use_web, {lit(C.RAG_SYSTEM_PROMPT)} AS system,
+  concat_ws(chr(10) || chr(10),
+    CASE WHEN context <> '' THEN {lit(C.CONTEXT_HEADER)} || context END,
+    CASE WHEN use_web AND hit AND url <> '' THEN {lit(C.WEB_HINT_HEADER)} || url END,
+    {lit(C.QUESTION_HEADER)} || question) AS prompt
+FROM found""", CONTEXT_CTE, ROUTE_CTE, ANSWERED_CTE, WEB_CTE)
 
 ORACLE["web_prompts"] = with_hits(f"""
-SELECT query_id, {lit(C.WEB_QUERY_PREFIX)} || question AS search_query FROM answered WHERE use_web""",
-                                  CONTEXT_CTE, ROUTE_CTE, ANSWERED_CTE)
-
-
-# --- tables over time, sessions, dataset preparation ---------------------------------------
+SELECT query_id, {lit(C.WEB_QUERY_PREFIX)} || question AS search_query, {lit(C.WEB_SYSTEM_PROMPT)} AS system,
+  CASE WHEN hit AND url <> '' THEN {lit(C.WEB_SUMMARY_PROBLEM)} || question || {lit(C.WEB_SUMMARY_RESULTS)} || url
+       || {lit(C.WEB_SUMMARY_ASK)} ELSE question END AS request
+FROM found WHERE use_web""", CONTEXT_CTE, ROUTE_CTE, ANSWERED_CTE, WEB_CTE)
+
+ORACLE["prefixed_embeddings"] = ("WITH " + ",\n".join(c.strip() for c in [
+    *hash_vec_ctes("dv", f"SELECT doc_id AS k, {lit(C.PASSAGE_PREFIX)} || coalesce(text, '') AS text FROM documents"),
+    *hash_vec_ctes("bv", f"SELECT item_id AS k, {lit(C.QUERY_PREFIX)} || coalesce(text, '') AS text FROM benchmark")])
+    + "\nSELECT 'passage' AS kind, k AS id, bucket, round(w, 6) AS weight FROM dv"
+    + "\nUNION ALL SELECT 'query', k, bucket, round(w, 6) FROM bv")
+
+ORACLE["collection_state"] = """
+SELECT true AS was_empty, count(*) AS n_points,
+       count(*) FILTER (WHERE len(embedding) <> 64 OR abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) > 0.001)
+         AS n_violations
+FROM embeddings"""
 
 ORACLE["upsert_points"] = """
 WITH ex AS (SELECT vec_id, label::BIGINT AS label FROM embeddings WHERE label <= 6),
@@ -475,3 +493,39 @@ FROM chunk_ids c LEFT JOIN (SELECT k, count(*) AS n, sqrt(sum(w * w)) AS nrm FRO
 # whole texts come back; a word of NFKC text is never lost
 ORACLE["roundtrip_mismatches"] = with_qa(
     "SELECT sample_id, true AS roundtrip_ok FROM training", CLEAN_CTE, TRAINING_CTE)
+
+ORACLE["session_pairs"] = f"""
+WITH {MSGS},
+near AS (SELECT *, lead(role) OVER w AS after, lag(role) OVER w AS before FROM msgs WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+paired AS (SELECT * FROM near WHERE (role = 'user' AND after = 'assistant') OR (role = 'assistant' AND before = 'user'))
+{last_n_sql('paired', 6)}"""
+
+ORACLE["session_lookup"] = f"""
+WITH known AS ({ORACLE["session_history"]})
+SELECT * FROM known
+UNION ALL SELECT DISTINCT 'unknown-' || CAST(conv_id AS VARCHAR), 0::BIGINT, '' FROM conversations"""
+
+
+def number_text(e: str) -> str:
+    """At most four decimals, at least one."""
+    return f"regexp_replace(regexp_replace(CAST(CAST(round({e}, 4) AS DECIMAL(30,4)) AS VARCHAR), '0+$', ''), '[.]$', '.0')"
+
+
+LOG_CTE = """
+log AS (
+  SELECT event_id AS step, round(event_id / 1000.0::DOUBLE, 3) AS epoch,
+         CASE WHEN event_type IN ('view', 'click') THEN value / 7 END AS loss,
+         CASE WHEN event_type = 'error' THEN value / 11 END AS eval_loss,
+         CASE WHEN event_type <> 'signup' THEN 0.0002::DOUBLE * (1 + event_id % 9) END AS lr FROM events)"""
+
+ORACLE["training_log_report"] = f"""
+WITH {LOG_CTE}
+SELECT step, 'step=' || lpad(CAST(step AS VARCHAR), greatest(6, length(CAST(step AS VARCHAR)))::INT, ' ') || ' | epoch=' || {number_text('epoch')}
+  || CASE WHEN loss IS NULL THEN '' ELSE ' | loss=' || {number_text('loss')} END
+  || CASE WHEN eval_loss IS NULL THEN '' ELSE ' | eval_loss=' || {number_text('eval_loss')} END
+  || CASE WHEN lr IS NULL THEN '' ELSE ' | lr=' || {number_text('lr')} END AS message
+FROM log"""
+
+ORACLE["best_checkpoint"] = f"""
+WITH {LOG_CTE}
+SELECT step AS best_step, round(eval_loss, 6) AS best_eval_loss FROM log WHERE eval_loss IS NOT NULL ORDER BY eval_loss, step LIMIT 1"""

@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def last_by_key(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -78,6 +79,23 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, key: str =
     _delete(spark, staging)
 
 
+def ensure_collection(spark: SparkSession, path: str, schema: T.StructType, dim: int, vec: str = "vector") -> DataFrame:
+    """The collection at `path`, created empty if absent.  Its declared vector size
+    is kept with it; opening it with another size is an error."""
+    declared = path.rstrip("/") + "__declared"
+    if not _complete(spark, path):
+        spark.createDataFrame([(vec, dim)], "vector string, dim int").write.mode("overwrite").parquet(declared)
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    found = spark.read.parquet(declared).first()
+    if (found["vector"], found["dim"]) != (vec, dim):
+        raise ValueError(f"the collection declares {found['vector']} of size {found['dim']}, not {vec} of size {dim}")
+    return spark.read.schema(schema).parquet(path)
+
+
+def is_empty(collection: DataFrame) -> bool:
+    return collection.isEmpty()
+
+
 def materialize_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """Write `df` to `path` unless a complete copy is there already, then read
     the copy back (fetch once, then always load the saved copy).  The remains of

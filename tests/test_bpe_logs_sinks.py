@@ -99,6 +99,10 @@ def test_registered_bpe_queries_equal_the_library(spark):
     got = {r["sample_id"]: r for r in q["encode_texts"].collect()}
     assert {k: r["ids"] for k, r in got.items()} == {k: " ".join(map(str, v[:C.MAX_SEQ_LEN])) for k, v in ids.items()}
     assert {k: r["truncated"] for k, r in got.items()} == {k: len(v) > C.MAX_SEQ_LEN for k, v in ids.items()}
+    n = [min(len(v), C.MAX_SEQ_LEN) for v in ids.values()]
+    stats = E.queries()["bpe_length_stats"](spark, sf).first()
+    assert (stats["n_texts"], stats["max_len"], stats["min_len"]) == (len(n), max(n), min(n))
+    assert abs(stats["avg_len"] - sum(n) / len(n)) < 1e-6
     by_batch = collections.defaultdict(list)
     for r in q["padded_encoded_batches"].collect():
         by_batch[r["batch_id"]].append(r)

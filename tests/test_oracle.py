@@ -18,7 +18,8 @@ def con():
 
 
 # compared with the public tokenizer library in test_bpe_logs_sinks.py
-BY_LIBRARY = {"nfkc_texts", "pretoken_counts", "bpe_merges", "encode_texts", "padded_encoded_batches", "vocab_specials"}
+BY_LIBRARY = {"nfkc_texts", "pretoken_counts", "bpe_merges", "encode_texts", "padded_encoded_batches", "vocab_specials",
+              "bpe_length_stats"}
 
 
 def test_every_query_is_compared():
