@@ -227,10 +227,17 @@ def questions_df(spark, sf_dir) -> DataFrame:
                               "question", "vector")
 
 
+MAX_BROADCAST_HITS = 1_000_000       # 32 bytes each
+
+
 def hits_df(spark, sf_dir) -> DataFrame:
     """Top-5 chunks per benchmark question (floor 0.45) with their payload."""
     pts = points_df(spark, sf_dir)
-    top = search.search_topk(questions_df(spark, sf_dir), pts, C.TOP_K, C.FLOOR, key="chunk_id")
+    asked = questions_df(spark, sf_dir)
+    top = search.search_topk(asked, pts, C.TOP_K, C.FLOOR, key="chunk_id")
+    # at most k rows per question: the payload of a large index is not shuffled for them
+    if asked.count() * C.TOP_K <= MAX_BROADCAST_HITS:
+        top = F.broadcast(top)
     payload = pts.select(F.col("chunk_id").alias("id"), "sample_id", "chunk_type", "text")
     return top.join(payload, "id")
 

@@ -29,8 +29,13 @@ def index_batch(corpus_vi: DataFrame) -> DataFrame:
 def run_index_stream(spark: SparkSession, stream: DataFrame, table_path: str, checkpoint: str,
                      to_corpus, n_buckets: int = 64) -> None:
     def write(batch: DataFrame, epoch_id: int) -> None:
-        pts = index_batch(to_corpus(batch)).withColumn("point_key", F.concat_ws(":", *[F.col(k).cast("string") for k in KEY]))
-        points.upsert_table(batch.sparkSession, table_path, pts, "point_key", n_buckets)
+        # the upsert reads the new points several times; they are chunked once
+        pts = index_batch(to_corpus(batch)).withColumn(
+            "point_key", F.concat_ws(":", *[F.col(k).cast("string") for k in KEY])).persist()
+        try:
+            points.upsert_table(batch.sparkSession, table_path, pts, "point_key", n_buckets)
+        finally:
+            pts.unpersist()
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
