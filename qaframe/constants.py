@@ -40,7 +40,7 @@ TITLE_ELLIPSIS = "…"
 # --- FIXED VALUES: step markers (a new step starts before each of these) ------
 STEP_MARKERS = [
     r"Bước\s*\d",
-    r"\n\s*\d+[.)]\s",
+    r"\n\s*\d+[\.\)]\s",
     r"\nVậy\s",
     r"\nDo đó\s",
     r"\nTa có\s",

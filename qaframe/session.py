@@ -37,7 +37,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     conf.setdefault("spark.driver.memory", "8g")
     if master.startswith("local["):
         # the test tables are single row groups, that is one task each
-        cores = master[6:-1]
+        cores = master[6:-1].split(",")[0]
         conf[TEXT_PARTITIONS] = str(4 * (os.cpu_count() or 1 if cores == "*" else int(cores)))
     if extra:
         conf.update(extra)
