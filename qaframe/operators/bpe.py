@@ -8,15 +8,16 @@ few candidate pairs (a bounded list) to the driver.  Several merges are taken
 in one round only when that provably gives the same order as one merge per
 round:
 
-  scan candidates by (count desc, left id, right id); accept a pair when none
-  of its symbols nor its result token was touched by a pair accepted before
-  it, and its count is strictly above every pair that involves a touched
-  symbol (the first such pair in the scan bounds them all, since a merge
-  lowers counts of pairs that involve its symbols and any new pair's count is
-  at most the count of the pair it came from).
-
-Words are rewritten by one fold per round (the accepted pairs share no
-symbol, so their order inside the round does not matter).  Lineage is cut by
+  scan candidates by (count desc, left id, right id).  Merging (x, y) changes only
+  the pairs that end in x or begin with y, since no other pair can overlap an
+  occurrence of it; accept a pair while neither it nor its result token is changed
+  by a pair accepted before it, and its count is strictly above the first changed
+  pair in the scan.  That one bounds all the others: a merge only lowers the counts
+  of existing pairs, and a new pair occurs at most as often as the changed pair it
+  came from.  A pair (x, x) also makes pairs of its own result, at most half as many.
+
+Words are rewritten by one fold per round (occurrences of the accepted pairs do not
+overlap, so their order inside the round does not matter).  Lineage is cut by
 `checkpoint()` into the shared checkpoint folder every few rounds.
 
 Encoding.  Special tokens are split off first, the rest is NFKC-normalised and
@@ -119,7 +120,7 @@ def _apply_sql(col: str, batch: list[tuple[int, int, int]]) -> str:
 def _select_batch(cands, vocab_strings, token_id, room, min_frequency, complete):
     """Choose the merges of one round from candidates sorted by
     (count desc, a, b).  Returns [(a, b, existing_id_or_None, string, count)]."""
-    batch, touched, new_strings = [], set(), set()
+    batch, firsts, seconds, new_strings = [], set(), set(), set()
     bound = None
     for a, b, cnt in cands:
         if cnt < min_frequency or len(batch) >= room:
@@ -128,7 +129,8 @@ def _select_batch(cands, vocab_strings, token_id, room, min_frequency, complete)
         s = vocab_strings[a] + vocab_strings[b]
         t = token_id.get(s)
         existing = t is not None or s in new_strings
-        if batch and (a in touched or b in touched or existing):
+        # merging (x, y) changes only pairs that end in x or begin with y
+        if batch and (b in firsts or a in seconds or existing):
             bound = max(bound or 0, cnt)          # every later pair has a count <= cnt
             break
         batch.append((a, b, t, s, cnt))
@@ -136,7 +138,8 @@ def _select_batch(cands, vocab_strings, token_id, room, min_frequency, complete)
             # a run of one symbol: the new pairs (aa, aa) and (aa, a) come from the
             # accepted pair itself; two new tokens need two of its occurrences
             bound = max(bound or 0, cnt // 2)
-        touched.update((a, b))
+        firsts.add(a)
+        seconds.add(b)
         new_strings.add(s)
         if existing:
             # the result is an existing token: pairs around it may gain
