@@ -10,11 +10,13 @@ round:
 
   scan candidates by (count desc, left id, right id).  Merging (x, y) changes only
   the pairs that end in x or begin with y, since no other pair can overlap an
-  occurrence of it; accept a pair while neither it nor its result token is changed
-  by a pair accepted before it, and its count is strictly above the first changed
-  pair in the scan.  That one bounds all the others: a merge only lowers the counts
-  of existing pairs, and a new pair occurs at most as often as the changed pair it
-  came from.  A pair (x, x) also makes pairs of its own result, at most half as many.
+  occurrence of it; accept a pair q while neither it nor its result token is changed
+  by a pair accepted before it.  The first changed pair r ends the round.  Nothing
+  can come before q: a merge only lowers the counts of existing pairs, and a new pair
+  (x, new) or (new, z) occurs at most as often as the changed pair (x, y) or (y, z) it
+  came from, which is r or a later one.  At the same count it is still after q, as
+  (x, y) is, because `new` is the largest id.  A pair (x, x) also makes pairs of its
+  own result, at most half as many, which bound the round as well.
 
 Words are rewritten by one fold per round (occurrences of the accepted pairs do not
 overlap, so their order inside the round does not matter).  Lineage is cut by
@@ -150,7 +152,7 @@ def _select_batch(cands, vocab_strings, token_id, room, min_frequency, complete)
         if not complete and cands:
             bound = max(bound or 0, cands[-1][2])      # pairs not listed have at most this count
     if bound is not None:
-        batch = batch[:1] + [x for x in batch[1:] if x[4] > bound]
+        batch = batch[:1] + [x for x in batch[1:] if x[4] >= bound]
     return batch
 
 

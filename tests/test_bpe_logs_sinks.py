@@ -75,6 +75,20 @@ def test_bpe_runs_of_one_symbol(spark, words, n):
     assert [(v[r["left"]], v[r["right"]]) for r in merges.orderBy("rank").collect()] == hf_merges
 
 
+def test_bpe_order_with_many_ties(spark):
+    """Small counts: most pairs tie, and whole runs of them are merged in one round."""
+    import random
+    rng = random.Random(3)
+    syllables = ["ba", "ce", "di", "fo", "gu", "ha", "je", "ki"]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(400)] + ["aa" * 3, "zz" * 5] * 3
+    size = 267 + 400
+    vocab, merges = bpe.learn_bpe(spark, spark.createDataFrame([(" ".join(words),)], "text string"), vocab_size=size)
+    v = {r["id"]: r["token"] for r in vocab.collect()}
+    model = json.loads(hf_tokenizer([" ".join(words)], size).to_str())["model"]
+    hf_merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    assert [(v[r["left"]], v[r["right"]]) for r in merges.orderBy("rank").collect()] == hf_merges
+
+
 def test_registered_bpe_queries_equal_the_library(spark):
     """Whole corpus of the smallest data: counts, merges, ids, padded arrays."""
     import __spark_entry__ as E
