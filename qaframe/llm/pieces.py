@@ -74,10 +74,10 @@ class DoubleArrayTrie:
         self.value = np.full(size, -1, dtype=np.int32)
         self.check[0] = -2                           # taken, and nobody's child
         self.free_from = [1, 1]                      # where single children and families look for room
-        todo = [(0, 0, len(keys), 0)]                # node, key range, depth
+        todo = [(0, 0, len(keys), 0)] if keys else []      # node, key range, depth
         while todo:
             node, lo, hi, depth = todo.pop()
-            if len(keys[lo][0]) == depth:
+            while lo < hi and len(keys[lo][0]) == depth:
                 self.value[node] = keys[lo][1]
                 lo += 1
             children = []
@@ -256,6 +256,8 @@ class UnigramModel:
             return [i.astype("<u4").tobytes() for i in self.segment(escaped)]
         split = []
         for t in texts:
+            if MARK in t:                        # reads as a space, also in a run of them
+                t = t.replace(MARK, " ")
             if not t:
                 split.append([])
             elif "  " in t or t[0] == " " or t[-1] == " ":
@@ -271,7 +273,8 @@ class UnigramModel:
     def decode(self, ids: bytes) -> str:
         """Text of little-endian unsigned 32-bit ids, without the leading marker."""
         joined = b"".join(map(self.surface.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return joined.decode("utf-8", "replace").removeprefix(" ")
+        # a marker that is no piece of the model came as bytes
+        return joined.replace(_MARK, b" ").decode("utf-8", "replace").removeprefix(" ")
 
 
 _MODELS: dict[str, UnigramModel] = {}

@@ -148,6 +148,19 @@ def pieces():
     return load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def path_score(pieces, model, ids):
+    """Score of a segmentation; characters in byte pieces count as unknown ones."""
+    score, run = 0.0, b""
+    for i in list(ids) + [None]:
+        if i is not None and pieces[i].kind == "byte":
+            run += bytes([int(pieces[i].text[3:-1], 16)])
+        else:
+            score += len(run.decode()) * model.unknown
+            run = b""
+            score += pieces[i].score if i is not None else 0
+    return score
+
+
 def test_unigram_equals_library(pieces, spark):
     """The library's own Unigram encoder over the same pieces and scores.  It adds
     32-bit floats, so a few near ties differ: their scores must agree."""
@@ -167,7 +180,7 @@ def test_unigram_equals_library(pieces, spark):
             mine, theirs = np.frombuffer(b, "<u4").tolist(), library.encode(t)
             if mine != theirs:
                 differ += 1
-                assert sum(pieces[i].score for i in mine) >= sum(pieces[i].score for i in theirs) - 1e-3
+                assert path_score(pieces, model, mine) >= path_score(pieces, model, theirs) - 1e-2, t[:80]
             assert model.decode(b) == library.decode(theirs)
             assert model.decode(b) == t.replace("▁", " ")
     assert differ <= 0.03 * len(texts)
@@ -194,14 +207,7 @@ def test_viterbi_is_optimal(text, vocabulary):
     pieces = [Piece(f"<0x{b:02X}>", 0.0, "byte") for b in range(256)] + [Piece(t, s / 4) for t, s in vocabulary.items()]
     model = UnigramModel(pieces)
     ids = np.frombuffer(model.encode([text])[0], "<u4").tolist()
-    score, run = 0.0, b""
-    for i in ids + [None]:
-        if i is not None and i < 256:
-            run += bytes([i])
-        else:
-            score += len(run.decode()) * model.unknown
-            run = b""
-            score += pieces[i].score if i is not None else 0
+    score = path_score(pieces, model, ids)
     want = brute_force(pieces, model.unknown, ("▁" + text.replace(" ", "▁")) if text else "")
     assert abs(score - want) < 1e-9
     assert model.decode(model.encode([text])[0]) == text
