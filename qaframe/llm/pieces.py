@@ -146,7 +146,7 @@ class DoubleArrayTrie:
 class UnigramModel:
     """Everything that encoding and decoding need; bounded by the vocabulary."""
 
-    def __init__(self, pieces: list[Piece], remembered: int = 400_000):
+    def __init__(self, pieces: list[Piece], remembered: int = 250_000):
         # multiples of 2^-20: sums are exact, so ties do not depend on rounding
         self.scores = np.round(np.array([p.score for p in pieces]) * 2.0 ** 20) / 2.0 ** 20
         normal = [(p.text.encode(), i) for i, p in enumerate(pieces) if p.kind == "normal"]

@@ -22,7 +22,7 @@ _PER_PROCESS: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # one task, one thread
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -34,7 +34,7 @@ class ChunkEncoder:
         self.vocab_size = self.tokenizer.get_vocab_size()
 
     @classmethod
-    def of(cls, path: str, remembered: int = 600_000) -> "ChunkEncoder":
+    def of(cls, path: str, remembered: int = 250_000) -> "ChunkEncoder":
         """The encoder of this worker process; workers are reused over tasks."""
         key = (path, remembered)
         if key not in _PER_PROCESS:
