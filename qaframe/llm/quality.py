@@ -32,7 +32,6 @@ MENU_WORDS = ["home", "login", "log in", "sign in", "sign up", "register", "sear
 BOILERPLATE = ["all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy",
                "use cookies", "uses cookies", "enable javascript", "lorem ipsum", "licensed under", "released under",
                "copyright ©", "copyright (c)", "subscribe to our newsletter"]
-NOTICE_CHARS = 300       # legal notices are lines of at most so many characters
 CLOSING = '.!?…:;。！？"”»\')]'
 
 
@@ -53,21 +52,23 @@ def _class(chars: str) -> Column:
     return F.lit("[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]")
 
 
-def line_facts(lines: Column, marked: Column) -> Column:
+def line_facts(lines: Column, marked: Column, noticed: Column) -> Column:
     """Per line: its stripped text, how many rule characters it has, and its
-    lower-cased text if it is short enough for a notice.  `marked` tells whether
-    the whole text has a rule character at all."""
+    lower-cased text if it can be a notice or a menu word.  `marked` tells whether
+    the whole text has a rule character at all, `noticed` whether it has a phrase."""
+    menu_chars = max(map(len, MENU_WORDS))
     edge = lambda c: F.instr(F.lit(WS_CHARS), c) > 0
     spaces_off = F.transform(lines, lambda x: F.trim(x))
     stripped = F.transform(spaces_off, lambda s: F.when(
         edge(F.left(s, F.lit(1))) | edge(F.right(s, F.lit(1))), F.btrim(s, F.lit(WS_CHARS))).otherwise(s))
-    def facts(count: bool) -> Column:
+    def facts(count: bool, lower: bool) -> Column:
         return F.transform(stripped, lambda s: F.struct(
             s.alias("s"), (F.regexp_count(s, _class(SYMBOLS + SEPARATORS)) if count else F.lit(0)).alias("marks"),
-            F.when(F.length(s) <= NOTICE_CHARS, F.lower(s)).alias("low")))
+            (F.lower(s) if lower else F.when(F.length(s) <= menu_chars, F.lower(s))).alias("low")))
 
     # decided per text: inside the lambda it would be evaluated for every line
-    return F.when(marked, facts(True)).otherwise(facts(False))
+    return (F.when(marked & noticed, facts(True, True)).when(marked, facts(True, False))
+            .when(noticed, facts(False, True)).otherwise(facts(False, False)))
 
 
 def line_fails(e: Column, r: QualityRules) -> Column:
@@ -136,11 +137,17 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str =
     for c in SEPARATORS:
         if c not in SYMBOLS:
             marked = marked | F.contains("t", F.lit(c))
-    split = split.withColumn("n_symbols", F.regexp_count("t", _class(SYMBOLS)).cast("bigint")).withColumn("marked", marked)
+    # a phrase has no line break and no blank at its ends: a line has it only if the text has it
+    noticed = F.lit(False)
+    for phrase in BOILERPLATE:
+        noticed = noticed | F.contains("low", F.lit(phrase))
+    split = split.withColumn("n_symbols", F.regexp_count("t", _class(SYMBOLS)).cast("bigint")).withColumn("low", F.lower("t"))
+    split = split.withColumn("marked", marked).withColumn("noticed", noticed)
     facts = split.select(
         "id", "t", "lines", F.size("words").cast("bigint").alias("n_words"),
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
-        "n_symbols", grams.alias("grams"), wordy.alias("wordy"), line_facts(F.col("lines"), F.col("marked")).alias("facts"))
+        "n_symbols", grams.alias("grams"), wordy.alias("wordy"),
+        line_facts(F.col("lines"), F.col("marked"), F.col("noticed")).alias("facts"))
     judged = _repeats(facts.select(
         "id", "t", "lines", "n_words", "word_chars", "n_symbols", "grams",
         (F.size("wordy") - F.size(F.array_distinct("wordy"))).cast("bigint").alias("n_dup_lines"),

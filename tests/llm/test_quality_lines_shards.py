@@ -71,6 +71,19 @@ def test_repeated_windows_random(make_docs):
     assert out == {i: base_counts(t)[4] for i, t in rows}
 
 
+def test_notices_of_any_length(make_docs):
+    rng = random.Random(7)
+    notice = prose(rng, 60) + " We USE cookies. " + prose(rng, 60)
+    clean = prose(rng, 200)
+    rows = [(0, clean + "\n" + notice), (1, notice), (2, clean + "\n" + clean[::-1] + "."),
+            (3, "# a mark\n" + notice + "\n" + clean), (4, clean + "\nAll rights\nreserved by the river and stone.")]
+    assert len(notice) > 300
+    out = {r.doc_id: r for r in quality(make_docs(rows)).collect()}
+    assert {i: (r.n_failed_lines, r.kept) for i, r in out.items()} == {
+        0: (1, True), 1: (1, False), 2: (0, True), 3: (2, True), 4: (1, True)}
+    assert out[0].cleaned == clean and out[1].cleaned == "" and out[1].kept_percent == 0
+
+
 def test_quality_is_native(make_docs):
     plan = quality(make_docs(quality_rows()))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Exchange", plan.split("== Physical Plan ==")[1])
