@@ -96,10 +96,11 @@ def _repeats(df: DataFrame) -> DataFrame:
 
     Only texts with a repeated hash go on.  Their windows are sorted as longs of
     the upper hash bits and the position, so that equal windows are neighbours;
-    neighbours are compared by their whole hashes.  The covered positions are
-    summed over the sorted starts: a start covers three words, less what the next
-    start covers already.  Steps are columns of their own, so none is evaluated
-    twice."""
+    neighbours are compared by their whole hashes.  Where two hashes share the
+    upper bits, equal windows may lie apart: such a text is sorted again, by the
+    whole hash and the position.  The covered positions are summed over the sorted
+    starts: a start covers three words, less what the next start covers already.
+    Steps are columns of their own, so none is evaluated twice."""
     rest = [c for c in df.columns if c != "grams"]
     mask = F.expr("shiftleft(1L, cast(ceil(log2(size(grams) + 1)) as int)) - 1")
     repeated = F.size(F.array_distinct("grams")) < F.size("grams")
@@ -107,9 +108,15 @@ def _repeats(df: DataFrame) -> DataFrame:
     df = df.select(*rest, "grams", "mask", F.when(F.col("mask").isNotNull(), F.sort_array(F.transform(
         "grams", lambda g, i: g.bitwiseAND(F.bitwise_not("mask")).bitwiseOR(i.cast("bigint"))))).alias("pairs"))
     at = lambda p: F.get("grams", p.bitwiseAND(F.col("mask")).cast("int"))
-    df = df.select(*rest, "mask", "pairs", F.when(F.col("mask").isNotNull(), F.zip_with(
-        "pairs", F.slice("pairs", 2, 1 << 30),
-        lambda a, b: F.when(a.bitwiseXOR(b).between(0, F.col("mask")), at(a) == at(b)))).alias("same"))
+    same = F.zip_with("pairs", F.slice("pairs", 2, 1 << 30),
+                      lambda a, b: F.when(a.bitwiseXOR(b).between(0, F.col("mask")), at(a) == at(b)))
+    df = df.select(*rest, "grams", "mask", "pairs", F.when(F.col("mask").isNotNull(), same).alias("same"))
+    mixed = F.coalesce(F.exists("same", lambda s: ~F.coalesce(s, F.lit(True))), F.lit(False))
+    df = df.select(*rest, "grams", "mask", "pairs", "same", mixed.alias("mixed"))
+    whole = F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.cast("bigint").alias("i"))))
+    df = df.select(*rest, "grams", "mask", "same", "mixed",
+                   F.when(F.col("mixed"), F.transform(whole, lambda e: e["i"])).otherwise(F.col("pairs")).alias("pairs"))
+    df = df.select(*rest, "mask", "pairs", F.when(F.col("mixed"), same).otherwise(F.col("same")).alias("same"))
     position = lambda p, s: F.when(s, p.bitwiseAND(F.col("mask")))
     starts = F.sort_array(F.array_compact(F.array_union(
         F.zip_with("pairs", "same", position), F.zip_with(F.slice("pairs", 2, 1 << 30), "same", position))))

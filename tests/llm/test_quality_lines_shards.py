@@ -10,7 +10,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from qaframe.llm.line_dedup import LineRuns, line_dedup, line_hashes
-from qaframe.llm.quality import QualityRules, quality
+from qaframe.llm.quality import QualityRules, _repeats, quality
 from qaframe.llm.sharding import shard_by_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,6 +71,14 @@ def test_repeated_windows_random(make_docs):
     assert out == {i: base_counts(t)[4] for i, t in rows}
 
 
+def test_repeats_with_shared_upper_bits(spark):
+    """Window hashes that differ in the lower bits only, in turn."""
+    a, b, c = (5 << 32) + 1, (5 << 32) + 2, -7
+    rows = [(0, [a, b, a]), (1, [b, a, c, c, b, c, a, a]), (2, [a, b, c]), (3, [a, c, a]), (4, [])]
+    out = _repeats(spark.createDataFrame(rows, "id int, grams array<bigint>")).collect()
+    assert {r.id: r.n_repeat_words for r in out} == {0: 5, 1: 10, 2: 0, 3: 5, 4: 0}
+
+
 def test_notices_of_any_length(make_docs):
     rng = random.Random(7)
     notice = prose(rng, 60) + " We USE cookies. " + prose(rng, 60)
