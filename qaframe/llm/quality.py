@@ -40,7 +40,8 @@ class QualityRules:
     min_words: int = 50
     max_repeat_percent: int = 50      # words in repeated 3-word windows
     max_symbol_percent: int = 10      # symbols per 100 characters of a line
-    fragment_words: int = 4           # a line of fewer words needs a closing mark
+    fragment_words: int = 4           # a line of fewer words needs a closing mark,
+    fragment_chars: int = 40          # if it has so many characters at most
     separators: int = 3               # menu separators that make a navigation line,
     words_per_separator: int = 6      # if there is one for so many words at least
     shout_words: int = 5
@@ -75,11 +76,12 @@ def line_fails(e: Column, r: QualityRules) -> Column:
     """True for a line (of `line_facts`) that a rule removes, never for a blank
     one.  Cheap conditions come first: the rest is not evaluated after them."""
     s = e["s"]
-    words = F.regexp_count(s, F.lit(" ")) + 1
+    words = F.regexp_count(s, F.lit(f"[{WS}]+")) + 1
     symbols = F.regexp_count(s, _class(SYMBOLS))
     seps = F.regexp_count(s, _class(SEPARATORS))
     soup = (e["marks"] > 0) & (symbols * 100 > F.length(s) * r.max_symbol_percent)
-    fragment = (F.instr(F.lit(CLOSING), F.right(s, F.lit(1))) == 0) & (words < r.fragment_words)
+    fragment = ((F.length(s) <= r.fragment_chars) & (F.instr(F.lit(CLOSING), F.right(s, F.lit(1))) == 0)
+                & (words < r.fragment_words))
     shouting = (s == F.upper(s)) & (s != F.lower(s)) & (words >= r.shout_words)
     navigation = (e["marks"] >= r.separators) & (seps >= r.separators) & (seps * r.words_per_separator >= words)
     menu = F.coalesce(e["low"].isin(MENU_WORDS), F.lit(False))

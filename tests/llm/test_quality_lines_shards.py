@@ -71,6 +71,17 @@ def test_repeated_windows_random(make_docs):
     assert out == {i: base_counts(t)[4] for i, t in rows}
 
 
+def test_fragments_are_short(make_docs):
+    rng = random.Random(13)
+    clean = prose(rng, 60)
+    kept = ["静かな川の石と光が谷を渡り遠い山へ続いていた" * 3 + "、", "แม่น้ำเงียบสงบไหลผ่านหุบเขา" * 4, "one\ttwo\tthree\tfour",
+            "river" * 20, "one two three four"]
+    gone = ["Shop now", "one  two   three", "静かな川"]
+    rows = [(i, clean + "\n" + x) for i, x in enumerate(kept + gone)]
+    out = {r.doc_id: (r.n_failed_lines, r.cleaned) for r in quality(make_docs(rows)).collect()}
+    assert out == {i: (0, t) if i < len(kept) else (1, clean) for i, t in rows}
+
+
 def test_repeats_with_shared_upper_bits(spark):
     """Window hashes that differ in the lower bits only, in turn."""
     a, b, c = (5 << 32) + 1, (5 << 32) + 2, -7
