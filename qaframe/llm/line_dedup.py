@@ -115,8 +115,14 @@ class LineRuns:
             k += 1
 
     def totals(self) -> DataFrame:
-        """(h1, h2, n_docs, max_doc) over all runs."""
-        return self._merged(self.runs()).select("h1", "h2", "n_docs", "max_doc")
+        """(h1, h2, n_docs, max_doc) over all runs: the row that brought a hash in
+        as new, brought forward by the rows of later batches that saw it again."""
+        rows = self._union(self.runs())
+        later = rows.where(~F.col("fresh")).groupBy("h1", "h2").agg(
+            F.sum("n_docs").alias("more"), F.max("max_doc").alias("later_doc"))
+        return rows.where("fresh").join(later, ["h1", "h2"], "left").select(
+            "h1", "h2", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"),
+            F.greatest("max_doc", "later_doc").alias("max_doc"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20,

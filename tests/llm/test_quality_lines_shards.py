@@ -164,6 +164,24 @@ def test_line_runs_are_levelled(make_docs, spark, tmp_path):
     assert runs.totals().agg(F.sum("n_docs")).first()[0] == hashes.where("first").count()
 
 
+def test_line_totals_follow_the_anti_join(make_docs, spark, tmp_path, monkeypatch):
+    """A hash is listed by the row that brought it in as new; without the anti-join
+    every batch brings its hashes in, and the totals show it."""
+    hashes = line_hashes(make_docs(line_rows()), "doc_id", "text", 20).cache()
+
+    def totals(name):
+        runs = LineRuns(spark, f"{tmp_path}/{name}", fanout=9)
+        for b in range(3):
+            runs.add(hashes.where(F.pmod("d", F.lit(3)) == b))
+        return collections.Counter(tuple(r) for r in runs.totals().collect())
+    want = hashes.groupBy("h1", "h2").agg(F.sum(F.col("first").cast("long")), F.max("d"))
+    assert totals("runs") == collections.Counter(tuple(r) for r in want.collect())
+    join = type(hashes).join
+    monkeypatch.setattr(type(hashes), "join", lambda self, other, on=None, how=None: self if how == "left_anti"
+                        else join(self, other, on, how))
+    assert sum(totals("without").values()) > want.count()
+
+
 def test_shards(make_docs):
     rng = random.Random(9)
     rows = [(i, prose(rng, rng.randrange(1, 80))) for i in range(500)]
