@@ -302,6 +302,15 @@ def search_topk_blocks(spark, sf_dir):
     return search_directions(spark, sf_dir, max_block_bytes=3 * 64 * 8)
 
 
+@query("search_vectors")
+def search_vectors(spark, sf_dir):
+    """Every stored vector whose id is divisible by 20 searched in the whole collection."""
+    emb = src.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search.search_topk(emb.where("vec_id % 20 = 0"), emb, C.TOP_K, C.FLOOR, query_key="vec_id",
+                              query_vec="embedding", key="vec_id", vec="embedding") \
+        .select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 # --- 5. retrieval -------------------------------------------------------------------
 
 @query("search_chunks")

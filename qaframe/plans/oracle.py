@@ -360,6 +360,16 @@ SELECT query_id, id, score, rank FROM (
 WHERE rank <= {C.TOP_K} AND score >= {C.FLOOR}"""
 ORACLE["search_topk_blocks"] = ORACLE["search_topk"]
 
+ORACLE["search_vectors"] = f"""
+WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS v,
+                  sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS nrm FROM embeddings)
+SELECT query_id, id, score, rank FROM (
+  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM (SELECT q.vec_id AS query_id, c.vec_id AS id,
+               round(CASE WHEN q.nrm * c.nrm = 0 THEN 0.0 ELSE list_dot_product(q.v, c.v) / (q.nrm * c.nrm) END, 6) AS score
+        FROM c q, c WHERE q.vec_id % 20 = 0))
+WHERE rank <= {C.TOP_K} AND score >= {C.FLOOR}"""
+
 ORACLE["search_chunks"] = with_hits("SELECT query_id, rank, id, score, sample_id, chunk_type FROM hits")
 
 ORACLE["dedup_hits"] = with_hits("SELECT query_id, sample_id, id, score, rank FROM dedup")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from qaframe.operators import retrieval, search
 
 
@@ -82,3 +83,11 @@ def test_search_is_a_cosine_and_drops_nothing(spark):
         search.search_topk(queries.unionByName(other), corpus, dim=2)
     with pytest.raises(Exception, match="declared size"):
         search.search_topk(queries, corpus.unionByName(other.withColumnRenamed("query_id", "id")), dim=2).collect()
+
+
+def test_search_of_stored_vectors(spark):
+    """Every twentieth vector is a query and finds itself first."""
+    sf = "/root/testdata/sf0.001"
+    asked = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    first = {r.query_id: r.id for r in E.queries()["search_vectors"](spark, sf).where("rank = 1").collect()}
+    assert first == {i: i for i in asked} and len(first) > 10
