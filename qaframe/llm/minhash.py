@@ -53,7 +53,7 @@ def _signer(k: int, b: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for lo, texts in text_slices(batch.column(1).to_pylist(), 1_000_000):
+            for lo, texts in text_slices(batch.column(1), 2_000_000):
                 hashes, offsets = shingle_sets(texts, k)
                 n = np.diff(offsets)
                 s1, s2 = set_keys(hashes, offsets)
@@ -72,7 +72,7 @@ def _shingler(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for lo, texts in text_slices(batch.column(1).to_pylist(), 1_000_000):
+            for lo, texts in text_slices(batch.column(1), 2_000_000):
                 hashes, offsets = shingle_sets(texts, k)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, len(texts)), _lists(hashes.view(np.int64), np.diff(offsets), pa.int64())],

@@ -109,7 +109,7 @@ def _packer(path: str, end_id: int, rules: PackingRules):
 
         for batch in batches:
             ids_col = batch.column(0).to_pylist()
-            for lo, texts in text_slices(batch.column(1).to_pylist(), 1_000_000):
+            for lo, texts in text_slices(batch.column(1), 2_000_000):
                 for doc, ids in zip(ids_col[lo:lo + len(texts)], encoder.encode(texts)):
                     ids += end
                     waiting.append((doc, 0, len(ids) // 4, ids))

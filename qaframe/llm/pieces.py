@@ -291,7 +291,7 @@ def _encoder(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_file)
         for batch in batches:
-            for lo, texts in text_slices(batch.column(1).to_pylist(), 1_000_000):
+            for lo, texts in text_slices(batch.column(1), 2_000_000):
                 ids = model.encode(texts)
                 fallback = [int(model.is_byte[np.frombuffer(i, "<u4")].sum()) for i in ids]
                 yield pa.RecordBatch.from_arrays(

@@ -1,40 +1,70 @@
 """Token ids of whole texts by a public tokenizer file.
 
 `ChunkEncoder` encodes a text as the concatenation of its space-separated
-chunks, each encoded once and remembered: byte-level and word-end BPE never
-merge across a space that starts a new word, so the ids equal those of the
-whole text.  A text with a run of three white-space characters around a space
-is the one case in which a chunk's ids depend on its neighbour; such a text is
-encoded whole.  The memory of chunks is bounded: two generations, the older one
-is dropped when the younger is full.
+chunks: byte-level and word-end BPE never merge across a space that starts a new
+word, so the ids equal those of the whole text.  Two kinds of text are encoded
+whole: those with three white-space characters in a row around a space, the one
+case in which a chunk's ids depend on its neighbour, and those that hold the
+string of an added (special) token, which the library cuts out first.
+
+Chunks that are not remembered are encoded together, thousands in one call, and
+parted by the ids themselves: a chunk of a byte-level vocabulary has one id that
+begins with the space; in a word-end vocabulary letters, and a mark after them,
+have one id each that ends a word, and between other chunks stands a private-use
+character.  Where the count does not come out, and for chunks with white space at
+an end, they are encoded one by one.
+
+A chunk is remembered when it is met the second time (a filter of hashed marks
+tells), so text that never repeats leaves the memory alone.  The memory is
+bounded in bytes: two generations, the older goes when the younger is full.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _UNSAFE = re.compile(r"\s \s")
 MARKS = ".,;:!?"
+_WORD = re.compile(rf"[^\W\d_]+[{MARKS}]?").fullmatch
+SIGN = "\ue000"                  # a private-use character, put between chunks
+REMEMBERED_BYTES = 48 << 20      # of one generation
+SEEN_BITS = 23                   # size of the filter of chunks met once: 2 ** SEEN_BITS marks
+_ENTRY = 240                     # bytes of a remembered chunk besides its text and ids
 _PER_PROCESS: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = REMEMBERED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # one task, one thread
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
+        self.vocab_size = self.tokenizer.get_vocab_size()
+        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        self.word_end = bool(suffix)
+        self.sign = next(iter(self.tokenizer.encode_batch_fast([SIGN], add_special_tokens=False))).ids
+        vocab = self.tokenizer.get_vocab()
+        self.parting = np.zeros(max(vocab.values()) + 1, dtype=bool)    # ids that begin with a space, or end a word
+        self.parting[[i for token, i in vocab.items()
+                      if (token.endswith(suffix) if suffix else token.startswith("Ġ"))]] = True
         self.remembered = remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}               # ends of chunks, from a mark or line break on
-        self.vocab_size = self.tokenizer.get_vocab_size()
+        self.size = 0                                    # bytes of the younger generation
+        self.seen = np.zeros(1 << SEEN_BITS, dtype=bool)
+        self.marked = 0
 
     @classmethod
-    def of(cls, path: str, remembered: int = 250_000) -> "ChunkEncoder":
+    def of(cls, path: str, remembered: int = REMEMBERED_BYTES) -> "ChunkEncoder":
         """The encoder of this worker process; workers are reused over tasks."""
         key = (path, remembered)
         if key not in _PER_PROCESS:
@@ -46,77 +76,116 @@ class ChunkEncoder:
             for e in self.tokenizer.encode_batch_fast(texts[lo:lo + 4096], add_special_tokens=False):
                 yield array("I", e.ids).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Put the ids of all these chunks (without their leading space) into `young`.
-
-        A chunk that ends in a mark after a letter or digit, or holds a line break
-        between two visible characters, is cut there first: a word ends at these
-        places whatever follows, and the parts are far fewer than the chunks."""
-        need = chunks.difference(self.young)
-        if len(self.young) + len(need) > self.remembered:
-            self.old, self.young = self.young, {}
-            need = chunks
-        if self.old:
-            known = need & self.old.keys()
-            self.young.update((c, self.old[c]) for c in known)
-            need = need - known
-        if not need:
-            return
-        if len(self.parts) > self.remembered // 4:
-            self.parts = {}
-        words, parts, cut = set(), set(), {}
-        for c in need:
-            rest = []
-            at = c.find("\n")
-            if 0 < at < len(c) - 1 and not c[at - 1].isspace() and not c[at + 1].isspace():
-                rest.append(c[at:])
-                base = c[:at]
+    def _together(self, chunks: list[str], own: list[int] | None = None) -> Iterator[bytes]:
+        """Ids of " " + chunk, thousands of chunks in one text.
+
+        With `own`, the least number of word ends of every chunk: if their sum is the
+        number of ends found, every chunk has just its own."""
+        for lo in range(0, len(chunks), 4096):
+            part = chunks[lo:lo + 4096]
+            between = " " if own or not self.word_end else f" {SIGN} "
+            text = " " + between.join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            good = True
+            if own:
+                ends = np.flatnonzero(self.parting[ids]) + 1
+                last = np.cumsum(own[lo:lo + 4096]) - 1
+                good = len(ends) == last[-1] + 1
+                ends = ends[last] if good else ends
+                starts = np.concatenate(([0], ends[:-1]))
+            elif self.word_end:                          # cut out the signs between chunks
+                at = np.flatnonzero(ids == self.sign[0])
+                starts = np.concatenate(([0], at + len(self.sign)))
+                ends = np.concatenate((at, [len(ids)]))
+                good = SIGN not in "".join(part) and all((ids[at + k] == s).all() for k, s in enumerate(self.sign))
             else:
-                base = c
-            if len(base) > 1 and base[-1] in MARKS and base[-2].isalnum():
-                rest.append(base[-1])
-                base = base[:-1]
-            if rest:
-                cut[c] = (base, rest[::-1])
-                parts.update(rest)
-            if base not in self.young:
-                words.add(base)
-        words, parts = sorted(words), sorted(parts.difference(self.parts))
-        self.young.update(zip(words, self._plain([" " + w for w in words])))
-        self.parts.update(zip(parts, self._plain(parts)))
-        for c, (base, rest) in cut.items():
-            self.young[c] = self.young[base] + b"".join(self.parts[r] for r in rest)
+                starts = np.flatnonzero(self.parting[ids])
+                ends = np.concatenate((starts[1:], [len(ids)]))
+            if not good or len(starts) != len(part):
+                yield from self._plain([" " + c for c in part])
+                continue
+            data = ids.tobytes()
+            yield from [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
+
+    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of " " + chunk."""
+        if self.word_end:
+            words = [c for c in chunks if _WORD(c)]
+            out = dict(zip(words, self._together(words, [1 + (c[-1] in MARKS) for c in words])))
+        else:
+            alone = [c for c in chunks if not c or c[0].isspace() or c[-1].isspace()]
+            out = dict(zip(alone, self._plain([" " + c for c in alone])))
+        rest = [c for c in chunks if c not in out]
+        out.update(zip(rest, self._together(rest)))
+        return out
+
+    def _remember(self, found: dict[str, bytes]) -> None:
+        """Keep those of these chunks that were met before."""
+        if self.marked > len(self.seen) // 4:
+            self.seen[:] = False
+            self.marked = 0
+        h = np.fromiter(map(hash, found), np.int64, len(found)) & (len(self.seen) - 1)
+        again = self.seen[h]
+        self.seen[h] = True
+        self.marked += len(h) - int(again.sum())
+        for c, hit in zip(found, again.tolist()):
+            if hit:
+                self._keep(c, found[c])
+
+    def _keep(self, chunk: str, ids: bytes) -> None:
+        size = _ENTRY + 2 * len(chunk) + len(ids)
+        if size > self.remembered // 1024:
+            return
+        if self.size + size > self.remembered:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[chunk] = ids
+        self.size += size
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of all these chunks (without their leading space)."""
+        here = {c: self.young[c] for c in chunks & self.young.keys()}
+        moved = {c: self.old[c] for c in (chunks & self.old.keys()) - here.keys()}
+        here.update(moved)
+        found = self._encode_chunks([c for c in chunks if c not in here]) if len(here) < len(chunks) else {}
+        here.update(found)
+        for c, ids in moved.items():
+            self._keep(c, ids)
+        if found:
+            self._remember(found)
+        return here
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         texts = list(texts)
         out: list[bytes | None] = [None] * len(texts)
-        firsts, parts, chunks = {}, {}, set()
+        firsts, parts, chunks, whole = {}, {}, set(), []
         for i, t in enumerate(texts):
-            if _UNSAFE.search(t):
-                out[i] = next(self._plain([t]))
+            low = t.lower()
+            if _UNSAFE.search(t) or any(s in low for s in self.special):
+                whole.append(i)
             else:
-                p = t.split(" ")
-                firsts[i] = p[0]
-                parts[i] = p[1:]
+                firsts[i], *parts[i] = t.split(" ")
                 chunks.update(parts[i])
-        self._learn(chunks)
-        head = dict(zip(sorted(set(firsts.values())), self._plain(sorted(set(firsts.values())))))
-        get = self.young.__getitem__
+        for i in whole:
+            out[i] = next(self._plain([texts[i]]))
+        get = self._learn(chunks).__getitem__
+        heads = list(set(firsts.values()))
+        head = dict(zip(heads, self._plain(heads)))
         for i, p in parts.items():
             out[i] = head[firsts[i]] + b"".join(map(get, p))
         return out
 
 
-def text_slices(texts: list[str | None], max_chars: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Cut a batch into slices of bounded size; a null text is empty."""
-    lo, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        t = t or ""
-        if held and size + len(t) > max_chars:
-            yield lo, held
-            lo, held, size = i, [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield lo, held
+def text_slices(column: pa.Array | list[str | None], max_bytes: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+    """Cut an Arrow column of texts into slices of bounded bytes, of which only one
+    at a time is a list of Python strings; a null text is empty.  A text beyond
+    the bound is a slice of its own."""
+    if not isinstance(column, (pa.Array, pa.ChunkedArray)):
+        column = pa.array(column, pa.string())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo, n = 0, len(column)
+    while lo < n:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
+        yield lo, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+        lo = hi
