@@ -4,14 +4,17 @@ A shard file holds, one after another (all little-endian):
 
   header   magic, id width, rows, null rows, keys, ids, buckets, hash seed
   payload  the ids of all rows, `width` bytes each, in ascending key order
-  rows     8-byte key and 8-byte start (in ids) of every row, then the total
-  index    displacement of every bucket (4 bytes), then per slot the
-           fingerprint (4 bytes) and the first row of its key (4 bytes)
-
-The index maps each distinct key to a slot of its own: a key's bucket gives a
-displacement, key and displacement give the slot.  A lookup reads the header,
-one displacement, one slot, two row entries and the payload range: constant
-work.  The stored fingerprint rejects keys that the shard does not hold.
+  starts   8-byte start (in ids) of every row, then the total
+  index    displacement of every bucket (4 bytes), then per slot the 64-bit
+           fingerprint of its key, and its first row and its number of rows (4 bytes each)
+
+The keys themselves are not stored.  The index maps each distinct key to a slot
+of its own: a key's bucket gives a displacement, key and displacement give the
+slot.  A lookup reads the header, one displacement, one slot, the starts of its
+rows and the payload range: constant work.  The stored fingerprint rejects keys
+that the shard does not hold: it is a one-to-one mixing of the key with a seed,
+so no other key has it.  `read_ids` fetches the documents it is asked for from the
+shards whose key range holds them, each by its key through the index.
 
 Shards are contiguous in key order: rows are range-partitioned and sorted, and a
 partition writes as many shards as its rows need (`shard_tokens`, `shard_rows`).
@@ -21,7 +24,9 @@ gives every shard its global start.
 Defined results: a null or empty text has the end id only.  Repeated keys are
 stored row by row; the index leads to the first of them and `get` returns all
 of the shard.  Rows with a null key come first and have no index entry.  Ids of 65,536
-and above are written 4 bytes wide.  Only the id and text columns are read.
+and above are written 4 bytes wide.  Equal keys are ordered by a hash of their
+text.  An empty table gives no shard and an empty manifest; a very long text is a
+shard of its own.  Only the id and text columns are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -31,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaframe.llm.common import shuffle_width, stage, workdir
-from qaframe.llm.files import RangeReader, write_file
+from qaframe.llm.files import RangeReader, resolve, write_file
 from qaframe.llm.tokens import ChunkEncoder, text_slices
 
 MAGIC = b"IDSHARD1"
@@ -107,7 +113,8 @@ def build_index(keys: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray
 
 
 def fingerprints(keys: np.ndarray, seed: int) -> np.ndarray:
-    return (_mix(keys.astype(np.int64).view(np.uint64), seed + 99) >> np.uint64(32)).astype("<u4")
+    """64-bit fingerprints; distinct keys have distinct ones, as every step of the mixing can be undone."""
+    return _mix(keys.astype(np.int64).view(np.uint64), seed + 99).astype("<u8")
 
 
 def shard_bytes(keys: list[int | None], rows: list[bytes], width: int) -> Iterator[bytes]:
@@ -117,18 +124,18 @@ def shard_bytes(keys: list[int | None], rows: list[bytes], width: int) -> Iterat
     own = np.array([0 if k is None else k for k in keys], dtype="<i8")
     starts = np.zeros(n + 1, dtype="<u8")
     np.cumsum([len(r) // 4 for r in rows], out=starts[1:])
-    distinct, first = np.unique(own[nulls:], return_index=True)
+    distinct, first, times = np.unique(own[nulls:], return_index=True, return_counts=True)
     seed, displacement = 7, np.zeros(0, dtype=np.int32)
-    prints = np.zeros(len(distinct), dtype="<u4")
-    to_row = np.zeros(len(distinct), dtype="<u4")
+    prints = np.zeros(len(distinct), dtype="<u8")
+    to_row = np.zeros((len(distinct), 2), dtype="<u4")
     if len(distinct):
         displacement, slots, seed = build_index(distinct)
         prints[slots] = fingerprints(distinct, seed)
-        to_row[slots] = first + nulls
+        to_row[slots, 0] = first + nulls
+        to_row[slots, 1] = times
     yield HEADER.pack(MAGIC, width, n, nulls, len(distinct), int(starts[-1]), len(displacement), seed)
     for r in rows:
         yield np.frombuffer(r, "<u4").astype(f"<u{width}").tobytes()
-    yield own.tobytes()
     yield starts.tobytes()
     yield displacement.astype("<i4").tobytes()
     yield prints.tobytes()
@@ -136,7 +143,7 @@ def shard_bytes(keys: list[int | None], rows: list[bytes], width: int) -> Iterat
 
 
 class IdShard:
-    """Keyed and sequential access to one shard file by range reads."""
+    """Keyed access to one shard file by range reads."""
 
     def __init__(self, uri: str):
         self.f = RangeReader(uri)
@@ -145,79 +152,82 @@ class IdShard:
         if magic != MAGIC:
             raise ValueError(f"{uri} is no id shard")
         self.at_payload = HEADER.size
-        self.at_keys = self.at_payload + self.ids * self.width
-        self.at_starts = self.at_keys + 8 * self.rows
+        self.at_starts = self.at_payload + self.ids * self.width
         self.at_disp = self.at_starts + 8 * (self.rows + 1)
         self.at_prints = self.at_disp + 4 * self.buckets
-        self.at_rows = self.at_prints + 4 * self.keys
-        if self.at_rows + 4 * self.keys != self.f.size:
+        self.at_rows = self.at_prints + 8 * self.keys
+        if self.at_rows + 8 * self.keys != self.f.size:
             raise ValueError(f"{uri}: its size does not agree with its header")
 
     def _array(self, at: int, dtype: str, n: int) -> np.ndarray:
         return np.frombuffer(self.f.read(at, n * np.dtype(dtype).itemsize), dtype)
 
-    def find(self, key: int) -> int | None:
-        """First row of a key, by one displacement and one slot."""
+    def _ids(self, start: int, end: int) -> np.ndarray:
+        return self._array(self.at_payload + start * self.width, f"<u{self.width}", end - start)
+
+    def find(self, key: int) -> tuple[int, int] | None:
+        """First row of a key and its number of rows, by one displacement and one slot."""
         if not self.keys:
             return None
         k = np.array([key], dtype=np.int64)
         bucket = int(_mix(k.view(np.uint64), self.seed)[0] % np.uint64(self.buckets))
         d = self._array(self.at_disp + 4 * bucket, "<i4", 1)
         slot = int(_slots(k.view(np.uint64), d, self.keys, self.seed)[0])
-        if self._array(self.at_prints + 4 * slot, "<u4", 1)[0] != fingerprints(k, self.seed)[0]:
+        if self._array(self.at_prints + 8 * slot, "<u8", 1)[0] != fingerprints(k, self.seed)[0]:
             return None
-        row = int(self._array(self.at_rows + 4 * slot, "<u4", 1)[0])
-        return row if self._array(self.at_keys + 8 * row, "<i8", 1)[0] == key else None
+        row, times = self._array(self.at_rows + 8 * slot, "<u4", 2)
+        return int(row), int(times)
 
     def get(self, key: int) -> list[np.ndarray]:
         """Ids of all rows of a key in this shard (empty if there is none)."""
-        out, row = [], self.find(key)
-        while row is not None and row < self.rows and self._array(self.at_keys + 8 * row, "<i8", 1)[0] == key:
-            lo, hi = self._array(self.at_starts + 8 * row, "<u8", 2)
-            out.append(self._array(self.at_payload + int(lo) * self.width, f"<u{self.width}", int(hi - lo)))
-            row += 1
-        return out
-
-    def find_all(self, keys: np.ndarray) -> np.ndarray:
-        """First rows of many keys at once; -1 where the shard has none."""
+        found = self.find(key)
+        if found is None:
+            return []
+        starts = self._array(self.at_starts + 8 * found[0], "<u8", found[1] + 1).astype(np.int64).tolist()
+        return [self._ids(lo, hi) for lo, hi in zip(starts, starts[1:])]
+
+    def find_all(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First rows and numbers of rows of many keys at once; -1 and 0 where the shard has none."""
         if not self.keys or not len(keys):
-            return np.full(len(keys), -1, dtype=np.int64)
+            return np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
         k = keys.astype(np.int64).view(np.uint64)
         disp = self._array(self.at_disp, "<i4", self.buckets)
         slot = _slots(k, disp[(_mix(k, self.seed) % np.uint64(self.buckets)).astype(np.int64)], self.keys, self.seed)
-        rows = self._array(self.at_rows, "<u4", self.keys)[slot].astype(np.int64)
-        good = self._array(self.at_prints, "<u4", self.keys)[slot] == fingerprints(keys, self.seed)
-        good &= self._array(self.at_keys, "<i8", self.rows)[rows] == keys
-        return np.where(good, rows, -1)
-
-    def scan(self, max_ids: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(key, start in the shard, ids) of every row in order.  The rows of
-        indexed keys are located through the index; the payload is read in
-        ranges of about `max_ids` ids."""
-        keys = self._array(self.at_keys, "<i8", self.rows)
+        good = self._array(self.at_prints, "<u8", self.keys)[slot] == fingerprints(keys, self.seed)
+        rows = self._array(self.at_rows, "<u4", 2 * self.keys).reshape(-1, 2)[slot].astype(np.int64)
+        return np.where(good, rows[:, 0], -1), np.where(good, rows[:, 1], 0)
+
+    def fetch(self, keys: np.ndarray, nulls: bool = False, max_ids: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(key, start in the shard, ids) of every row of the keys asked for, and of
+        the rows without a key if `nulls`.  The index gives every key's rows; their
+        payload is read in ranges of about `max_ids` ids that join neighbouring rows."""
+        asked = np.unique(np.asarray(keys, dtype=np.int64))
+        first, times = self.find_all(asked)
+        owner = np.repeat(np.arange(len(asked)), times)
+        row = np.repeat(first, times) + np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+        if nulls:
+            owner = np.concatenate((np.full(self.nulls, -1), owner))
+            row = np.concatenate((np.arange(self.nulls), row))
+        order = np.argsort(row, kind="stable")
+        owner, row = owner[order], row[order]
         starts = self._array(self.at_starts, "<u8", self.rows + 1).astype(np.int64)
-        own = keys[self.nulls:]
-        first = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, dtype=bool)
-        found = self.find_all(own)
-        expected = self.nulls + np.maximum.accumulate(np.where(first, np.arange(len(own)), 0)) if len(own) else found
-        if (found != expected).any():
-            raise ValueError("the index does not lead to every row")
-        row = 0
-        while row < self.rows:
-            end = max(row + 1, int(np.searchsorted(starts, starts[row] + max_ids, side="right")) - 1)
-            end = min(end, self.rows)
-            block = self._array(self.at_payload + int(starts[row]) * self.width, f"<u{self.width}",
-                                int(starts[end] - starts[row]))
-            for r in range(row, end):
-                yield (None if r < self.nulls else int(keys[r]), int(starts[r]),
-                       block[starts[r] - starts[row]:starts[r + 1] - starts[row]])
-            row = end
+        lo = 0
+        while lo < len(row):
+            # rows lo..hi are neighbours in the file and of bounded length
+            hi = lo + 1
+            base = int(starts[row[lo]])
+            while hi < len(row) and row[hi] == row[hi - 1] + 1 and starts[row[hi] + 1] - base <= max_ids:
+                hi += 1
+            block = self._ids(base, int(starts[row[hi - 1] + 1]))
+            for r, o in zip(row[lo:hi].tolist(), owner[lo:hi].tolist()):
+                yield None if o < 0 else int(asked[o]), int(starts[r]), block[starts[r] - base:starts[r + 1] - base]
+            lo = hi
 
     def close(self) -> None:
         self.f.close()
 
 
-MANIFEST = "part int, piece int, path string, first_key long, last_key long, n_rows long, n_ids long, n_bytes long"
+MANIFEST = "part int, piece int, path string, first_key long, last_key long, n_nulls long, n_rows long, n_ids long, n_bytes long"
 
 
 def _writer(tokenizer_path: str, end_id: int, folder: str, shard_tokens: int, shard_rows: int):
@@ -239,16 +249,16 @@ def _writer(tokenizer_path: str, end_id: int, folder: str, shard_tokens: int, sh
             known = [k for k in keys if k is not None]
             out = pa.RecordBatch.from_pylist([{
                 "part": part, "piece": piece, "path": path, "first_key": known[0] if known else None,
-                "last_key": known[-1] if known else None, "n_rows": len(rows), "n_ids": held, "n_bytes": size}],
+                "last_key": known[-1] if known else None, "n_nulls": len(keys) - len(known), "n_rows": len(rows), "n_ids": held, "n_bytes": size}],
                 schema=pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("path", pa.string()),
-                                  ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_rows", pa.int64()),
+                                  ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_nulls", pa.int64()), ("n_rows", pa.int64()),
                                   ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
             keys, rows, held, piece = [], [], 0, piece + 1
             return out
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for lo, texts in text_slices(batch.column(1).to_pylist(), 1_000_000):
+            for lo, texts in text_slices(batch.column(1), 2_000_000):
                 for key, enc in zip(ids[lo:lo + len(texts)], encoder.encode(texts)):
                     keys.append(key)
                     rows.append(enc + end)
@@ -264,44 +274,75 @@ def _writer(tokenizer_path: str, end_id: int, folder: str, shard_tokens: int, sh
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None,
               shard_tokens: int = 4_000_000, shard_rows: int = 50_000, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
-    """Write the shards; returns the manifest with every shard's global start
-    (the ids of all rows in earlier shards)."""
+    """Write the shards; returns the manifest (kept as a table in the same folder)
+    with every shard's global start, the ids of all rows in earlier shards."""
     spark = docs.sparkSession
     folder = folder or workdir(spark, "ids")
     rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
             .repartitionByRange(shuffle_width(spark), "id", F.xxhash64("text")).sortWithinPartitions("id"))
     manifest = stage(rows.mapInArrow(_writer(tokenizer_path, end_id, folder, shard_tokens, shard_rows), MANIFEST),
-                     f"{folder}/manifest")
-    before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-
-
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            shard = IdShard(path)
-            held: list[tuple] = []
-            size = 0
-
-            def out() -> pa.RecordBatch:
-                keys, starts, ids = zip(*held)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["id", "start", "ids"])
-
-            for key, start, ids in shard.scan():
-                held.append((key, base + start, ids.astype("<u4").tobytes()))
-                size += len(ids)
-                if size >= 1 << 20:
-                    yield out()
-                    held, size = [], 0
-            if held:
-                yield out()
-            shard.close()
-
-
-def read_ids(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per stored row: key, global start and its ids (little-endian unsigned 32-bit)."""
-    spark = manifest.sparkSession
-    shards = manifest.select("path", "start").repartition(shuffle_width(spark), "path")
-    return shards.mapInArrow(_reader, "id long, start long, ids binary").withColumnRenamed("id", id_col)
+                     f"{folder}/written")
+    before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)      # a row per shard
+    return stage(manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), f"{folder}/manifest")
+
+
+def _fetcher(folder: str):
+    """Keys in ascending order, null first, to their rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, place = resolve(f"{folder}/manifest")
+        opened: tuple[str, IdShard] | None = None
+
+        def shards(filters) -> list[dict]:
+            rows = pq.read_table(place, filesystem=fs, filters=filters,
+                                 columns=["path", "start", "first_key", "last_key"]).to_pylist()
+            return sorted(rows, key=lambda r: r["start"])
+
+        for batch in batches:
+            asked = batch.column(0)
+            keys = np.sort(asked.drop_null().to_numpy(zero_copy_only=False))
+            work = [(s, keys[:0], True) for s in shards([("n_nulls", ">", 0)])] if asked.null_count else []
+            if len(keys):
+                held = shards([("first_key", "<=", int(keys[-1])), ("last_key", ">=", int(keys[0]))])
+                work += [(s, keys[np.searchsorted(keys, s["first_key"]):np.searchsorted(keys, s["last_key"], "right")], False)
+                         for s in held]
+            rows, size = [], 0
+            for s, own, nulls in work:
+                if not len(own) and not nulls:
+                    continue
+                if opened is None or opened[0] != s["path"]:
+                    if opened:
+                        opened[1].close()
+                    opened = s["path"], IdShard(s["path"])
+                for key, start, ids in opened[1].fetch(own, nulls):
+                    rows.append((key, s["start"] + start, ids.astype("<u4").tobytes()))
+                    size += len(ids)
+                    if size >= 1 << 20:
+                        yield _fetched(rows)
+                        rows, size = [], 0
+            if rows:
+                yield _fetched(rows)
+        if opened:
+            opened[1].close()
+
+    return run
+
+
+def _fetched(rows: list[tuple]) -> pa.RecordBatch:
+    own, starts, ids = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(own, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["id", "start", "ids"])
+
+
+def read_ids(folder: str, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per stored row of the keys asked for: key, global start and its ids
+    (little-endian unsigned 32-bit).  A null among the keys asks for the rows
+    without a key; a key that no shard holds gives no row; a key asked for twice
+    counts once.
+
+    The keys are range-partitioned, so a task meets few shards: it reads those rows
+    of the manifest whose key range meets its own, opens these shards, and fetches
+    each key through their index."""
+    width = shuffle_width(keys.sparkSession)
+    asked = keys.select(F.col(id_col).cast("long").alias("id")).distinct()
+    placed = asked.repartitionByRange(width, "id").sortWithinPartitions("id")
+    return placed.mapInArrow(_fetcher(folder), "id long, start long, ids binary").withColumnRenamed("id", id_col)

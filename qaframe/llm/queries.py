@@ -42,8 +42,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_ids(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
-    return read_ids(manifest).select(
+    """All documents written, then every document fetched by its key."""
+    docs, folder = table(spark, sf_dir, "documents"), workdir(spark, "ids")
+    write_ids(docs, tokenizer("word_bpe_49k.json"), folder=folder)
+    return read_ids(folder, docs.select("doc_id")).select(
         "doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"))
 
