@@ -7,12 +7,13 @@ whole: those with three white-space characters in a row around a space, the one
 case in which a chunk's ids depend on its neighbour, and those that hold the
 string of an added (special) token, which the library cuts out first.
 
-Chunks that are not remembered are encoded together, thousands in one call, and
+Chunks that are not remembered and consist of Latin letters (and a mark, or a line
+break between two such) are put together from their words, each encoded by the
+library's model.  Others are encoded thousands in one call of the whole library, and
 parted by the ids themselves: a chunk of a byte-level vocabulary has one id that
-begins with the space; in a word-end vocabulary letters, and a mark after them,
-have one id each that ends a word, and between other chunks stands a private-use
-character.  Where the count does not come out, and for chunks with white space at
-an end, they are encoded one by one.
+begins with the space; between the chunks of a word-end vocabulary stands a
+private-use character.  Where the count does not come out, and for chunks with
+white space at an end, they are encoded one by one.
 
 A chunk is remembered when it is met the second time (a filter of hashed marks
 tells), so text that never repeats leaves the memory alone.  The memory is
@@ -33,11 +34,15 @@ import pyarrow.compute as pc
 
 _UNSAFE = re.compile(r"\s \s")
 MARKS = ".,;:!?"
-_WORD = re.compile(rf"[^\W\d_]+[{MARKS}]?").fullmatch
+_LATIN = "[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"    # but the capital I with a dot, whose small form is two characters
+_WORDS = re.compile(f"({_LATIN})([{MARKS}]?)(?:\n({_LATIN})([{MARKS}]?))?").fullmatch
 SIGN = "\ue000"                  # a private-use character, put between chunks
 REMEMBERED_BYTES = 48 << 20      # of one generation
 SEEN_BITS = 23                   # size of the filter of chunks met once: 2 ** SEEN_BITS marks
 _ENTRY = 240                     # bytes of a remembered chunk besides its text and ids
+# characters that byte-level vocabularies write for bytes: printable ones for themselves, the others from 256 on
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _PER_PROCESS: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
@@ -53,9 +58,11 @@ class ChunkEncoder:
         self.word_end = bool(suffix)
         self.sign = next(iter(self.tokenizer.encode_batch_fast([SIGN], add_special_tokens=False))).ids
         vocab = self.tokenizer.get_vocab()
-        self.parting = np.zeros(max(vocab.values()) + 1, dtype=bool)    # ids that begin with a space, or end a word
-        self.parting[[i for token, i in vocab.items()
-                      if (token.endswith(suffix) if suffix else token.startswith("Ġ"))]] = True
+        self.begins = np.zeros(max(vocab.values()) + 1, dtype=bool)     # ids that begin with a space
+        self.begins[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
+        self.model = self.tokenizer.model
+        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in MARKS + "\n"}
+        self.marks[""] = b""
         self.remembered = remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -76,51 +83,85 @@ class ChunkEncoder:
             for e in self.tokenizer.encode_batch_fast(texts[lo:lo + 4096], add_special_tokens=False):
                 yield array("I", e.ids).tobytes()
 
-    def _together(self, chunks: list[str], own: list[int] | None = None) -> Iterator[bytes]:
-        """Ids of " " + chunk, thousands of chunks in one text.
-
-        With `own`, the least number of word ends of every chunk: if their sum is the
-        number of ends found, every chunk has just its own."""
+    def _together(self, chunks: list[str]) -> Iterator[bytes]:
+        """Ids of " " + chunk, thousands of chunks in one text."""
         for lo in range(0, len(chunks), 4096):
             part = chunks[lo:lo + 4096]
-            between = " " if own or not self.word_end else f" {SIGN} "
-            text = " " + between.join(part)
+            text = " " + (f" {SIGN} " if self.word_end else " ").join(part)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            good = True
-            if own:
-                ends = np.flatnonzero(self.parting[ids]) + 1
-                last = np.cumsum(own[lo:lo + 4096]) - 1
-                good = len(ends) == last[-1] + 1
-                ends = ends[last] if good else ends
-                starts = np.concatenate(([0], ends[:-1]))
-            elif self.word_end:                          # cut out the signs between chunks
+            if self.word_end:                            # cut out the signs between chunks
                 at = np.flatnonzero(ids == self.sign[0])
                 starts = np.concatenate(([0], at + len(self.sign)))
                 ends = np.concatenate((at, [len(ids)]))
                 good = SIGN not in "".join(part) and all((ids[at + k] == s).all() for k, s in enumerate(self.sign))
             else:
-                starts = np.flatnonzero(self.parting[ids])
+                starts = np.flatnonzero(self.begins[ids])
                 ends = np.concatenate((starts[1:], [len(ids)]))
+                good = True
             if not good or len(starts) != len(part):
                 yield from self._plain([" " + c for c in part])
                 continue
             data = ids.tobytes()
             yield from [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
 
+    def _word(self, word: str, space: str) -> bytes:
+        """Ids of one pre-token of plain letters, by the library's model itself."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(space + word)]).tobytes()
+
     def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of " " + chunk."""
-        if self.word_end:
-            words = [c for c in chunks if _WORD(c)]
-            out = dict(zip(words, self._together(words, [1 + (c[-1] in MARKS) for c in words])))
-        else:
-            alone = [c for c in chunks if not c or c[0].isspace() or c[-1].isspace()]
-            out = dict(zip(alone, self._plain([" " + c for c in alone])))
-        rest = [c for c in chunks if c not in out]
-        out.update(zip(rest, self._together(rest)))
+        """Ids of " " + chunk.
+
+        Latin letters with a mark or nothing after them, and two such words around a
+        line break, are cut as every pattern of these vocabularies cuts them; their
+        words go to the model of the library without its text pipeline, which costs
+        more than the model."""
+        out: dict[str, bytes] = {}
+        rest = []
+        words: dict[str, bytes] = {}
+
+        def ids_of(word: str, space: str) -> bytes:
+            found = words.get(space + word)
+            if found is None:
+                found = words[space + word] = self._word(word, space)
+            return found
+
+        space = "" if self.word_end else "\u0120"
+        end = b"" if self.word_end else self.marks["\n"]
+        for c in chunks:
+            m = _WORDS(c)
+            if m is None:
+                rest.append(c)
+                continue
+            first, mark, second, mark2 = m.groups() if not self.word_end else [g and g.lower() for g in m.groups()]
+            ids = ids_of(first, space) + self.marks[mark]
+            if second:
+                ids += end + ids_of(second, "") + self.marks[mark2]
+            out[c] = ids
+        joined = rest
+        if not self.word_end:
+            alone = [c for c in rest if not c or c[0].isspace() or c[-1].isspace()]
+            out.update(zip(alone, self._plain([" " + c for c in alone])))
+            joined = [c for c in rest if c and not c[0].isspace() and not c[-1].isspace()]
+        out.update(zip(joined, self._together(joined)))
         return out
 
-    def _remember(self, found: dict[str, bytes]) -> None:
-        """Keep those of these chunks that were met before."""
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Put the ids of all these chunks (without their leading space) into the younger
+        generation; returns those that are not to stay there."""
+        missing = chunks - self.young.keys()
+        moved = missing & self.old.keys()
+        for c in moved:
+            ids = self.old[c]
+            self.young[c] = ids
+            self.size += _ENTRY + 2 * len(c) + len(ids)
+        found = self._encode_chunks(list(missing - moved))
+        self.young.update(found)
+        return found
+
+    def _forget(self, found: dict[str, bytes]) -> None:
+        """Keep of these chunks those that were met before; make room."""
         if self.marked > len(self.seen) // 4:
             self.seen[:] = False
             self.marked = 0
@@ -128,31 +169,14 @@ class ChunkEncoder:
         again = self.seen[h]
         self.seen[h] = True
         self.marked += len(h) - int(again.sum())
-        for c, hit in zip(found, again.tolist()):
-            if hit:
-                self._keep(c, found[c])
-
-    def _keep(self, chunk: str, ids: bytes) -> None:
-        size = _ENTRY + 2 * len(chunk) + len(ids)
-        if size > self.remembered // 1024:
-            return
-        if self.size + size > self.remembered:
+        for (c, ids), hit in zip(found.items(), again.tolist()):
+            size = _ENTRY + 2 * len(c) + len(ids)
+            if hit and size <= self.remembered // 1024:
+                self.size += size
+            else:
+                del self.young[c]
+        if self.size > self.remembered:
             self.old, self.young, self.size = self.young, {}, 0
-        self.young[chunk] = ids
-        self.size += size
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of all these chunks (without their leading space)."""
-        here = {c: self.young[c] for c in chunks & self.young.keys()}
-        moved = {c: self.old[c] for c in (chunks & self.old.keys()) - here.keys()}
-        here.update(moved)
-        found = self._encode_chunks([c for c in chunks if c not in here]) if len(here) < len(chunks) else {}
-        here.update(found)
-        for c, ids in moved.items():
-            self._keep(c, ids)
-        if found:
-            self._remember(found)
-        return here
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -168,20 +192,20 @@ class ChunkEncoder:
                 chunks.update(parts[i])
         for i in whole:
             out[i] = next(self._plain([texts[i]]))
-        get = self._learn(chunks).__getitem__
+        found = self._learn(chunks)
+        get = self.young.__getitem__
         heads = list(set(firsts.values()))
         head = dict(zip(heads, self._plain(heads)))
         for i, p in parts.items():
             out[i] = head[firsts[i]] + b"".join(map(get, p))
+        self._forget(found)
         return out
 
 
-def text_slices(column: pa.Array | list[str | None], max_bytes: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def text_slices(column: pa.Array, max_bytes: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
     """Cut an Arrow column of texts into slices of bounded bytes, of which only one
     at a time is a list of Python strings; a null text is empty.  A text beyond
     the bound is a slice of its own."""
-    if not isinstance(column, (pa.Array, pa.ChunkedArray)):
-        column = pa.array(column, pa.string())
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo, n = 0, len(column)
     while lo < n:
