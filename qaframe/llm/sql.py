@@ -146,3 +146,51 @@ s AS (SELECT *, least(23, ((2 * start + size) * 24 // (2 * total)))::INT AS shar
 SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
        (row_number() OVER (PARTITION BY shard ORDER BY start) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
 FROM s"""
+
+
+def _value(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_value, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+# crc32 of a decimal number, bit by bit over its digits
+SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, {_leaf('text')}) AS r, *, {_leaf('text')} AS leaf FROM documents),
+step(x, bit, c) AS (SELECT x, 0, x FROM range(256) t(x)
+  UNION ALL SELECT x, bit + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE bit < 8),
+crc(r, digits, c) AS (SELECT r, doc_id::VARCHAR, 4294967295 FROM d WHERE doc_id IS NOT NULL
+  UNION ALL SELECT r, digits[2:], xor(crc.c >> 8, s.c) FROM crc JOIN step s ON s.bit = 8
+    AND s.x = xor(crc.c, ascii(digits[1])) & 255 WHERE digits <> ''),
+picked AS (SELECT r FROM crc WHERE digits = '' AND xor(c, 4294967295) % 2 = 0),
+leaves AS (SELECT r, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+    row_number() OVER (PARTITION BY source ORDER BY r) - 1 AS pos, count(*) OVER (PARTITION BY source) AS cnt, leaf,
+    CASE WHEN r IN (SELECT r FROM picked) THEN {_leaf("replace(text, chr(10), '')")} ELSE leaf END AS seen FROM d),
+inner_tree(level, g, pos, cnt, h) AS (SELECT 0, g, pos, cnt, leaf FROM leaves
+  UNION ALL SELECT any_value(level) + 1, g, pos // 3, (any_value(cnt) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos))
+    FROM inner_tree WHERE cnt > 1 GROUP BY g, pos // 3),
+subroots AS (SELECT g, h AS subroot, level AS height, count(*) OVER () AS n FROM inner_tree WHERE cnt = 1),
+outer_tree(level, pos, cnt, h) AS (SELECT 0, g, n, subroot FROM subroots
+  UNION ALL SELECT any_value(level) + 1, pos // 3, (any_value(cnt) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos))
+    FROM outer_tree WHERE cnt > 1 GROUP BY pos // 3),
+root AS (SELECT h AS root, level AS height FROM outer_tree WHERE cnt = 1),
+nodes AS (SELECT level, g, pos, cnt, h, false AS above FROM inner_tree WHERE cnt > 1
+  UNION ALL SELECT level, 0, pos, cnt, h, true FROM outer_tree WHERE cnt > 1),
+siblings AS (SELECT a.level, a.g, a.pos, a.above, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.level = b.level AND a.g = b.g AND a.above = b.above AND a.pos // 3 = b.pos // 3
+  GROUP BY a.level, a.g, a.pos, a.above),
+walk(r, g, node, level, above, proof, h) AS (SELECT r, g, pos, 0, false, '', seen FROM leaves
+  UNION ALL
+  SELECT w.r, CASE WHEN s.level IS NULL THEN 0 ELSE w.g END, CASE WHEN s.level IS NULL THEN w.g ELSE w.node // 3 END,
+    CASE WHEN s.level IS NULL THEN 0 ELSE w.level + 1 END, s.level IS NULL OR w.above,
+    w.proof || coalesce(s.l || s.r, ''), CASE WHEN s.level IS NULL THEN w.h ELSE sha256(s.l || w.h || s.r) END
+  FROM walk w LEFT JOIN siblings s ON s.level = w.level AND s.g = w.g AND s.pos = w.node AND s.above = w.above
+  WHERE s.level IS NOT NULL OR NOT w.above),
+done AS (SELECT r, proof, h FROM walk, root WHERE above AND level = root.height)
+SELECT d.doc_id, d.leaf, s.subroot, root.root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = root.root AS verified
+FROM d JOIN leaves USING (r) JOIN subroots s USING (g) JOIN done w USING (r), root
+"""
