@@ -8,7 +8,9 @@ linear Arrow UDFs.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,46 +104,88 @@ def solution_steps(response) -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
-def windows_of(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
-    """(start, window) of a text.  A window is `size` characters from the current
-    start; unless it reaches the end, it is cut after the last sentence end when
-    that starts past half the window.  The next start is always `end - overlap`,
-    also after the last window (so short redundant tails appear, as in the
-    original).  Linear in the text."""
-    out, start = [], 0
-    while start < len(text):
-        window = text[start:start + size]
-        end = start + size
-        if end < len(text):
-            cut = max(window.rfind(e) for e in C.SENTENCE_ENDS)
-            if cut > size // 2:
-                window, end = window[:cut + 1], start + cut + 1
-        out.append((start, window))
-        start = end - overlap
-    return out
+def window_bounds(texts: list[str], size: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the windows of all texts, by text and start.
+
+    A window holds `size` characters; unless it reaches the end of its text, it ends
+    after the last sentence end that lies past half of it.  The next one starts
+    `overlap` characters before that, until a start lies at the end of the text or
+    beyond (so the last window may be a short tail of the one before it).
+
+    All texts advance together, a window each at a time: sentence ends are looked up
+    in one sorted array, so the work is linear in the characters."""
+    width = len(C.SENTENCE_ENDS[0])
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    base = np.cumsum(lengths) - lengths
+    joined = "".join(texts)
+    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    found = np.zeros(max(len(chars) - width + 1, 0), dtype=bool)
+    for marker in C.SENTENCE_ENDS:
+        found |= np.logical_and.reduce([chars[k:len(found) + k] == ord(c) for k, c in enumerate(marker)])
+    marks = np.flatnonzero(found)
+    texts_at, starts, ends = [], [], []
+    live = np.flatnonzero(lengths > 0)
+    start = base[live]
+    while len(live):
+        limit = base[live] + lengths[live]
+        end = np.minimum(start + size, limit)
+        if len(marks):
+            last = marks[np.maximum(np.searchsorted(marks, start + size - width, side="right") - 1, 0)]
+            inside = (start + size < limit) & (last > start + size // 2) & (last <= start + size - width)
+            end = np.where(inside, last + 1, end)
+            step = np.where(inside, last + 1, start + size) - overlap
+        else:
+            step = start + size - overlap
+        texts_at.append(live)
+        starts.append(start - base[live])
+        ends.append(end - base[live])
+        going = step < limit
+        live, start = live[going], step[going]
+    if not texts_at:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    at, lo, hi = np.concatenate(texts_at), np.concatenate(starts), np.concatenate(ends)
+    order = np.lexsort((lo, at))
+    return at[order], lo[order], hi[order]
+
+
+def _list_offsets(owners: np.ndarray, n: int) -> np.ndarray:
+    """Offsets of n lists from the sorted list numbers of their elements."""
+    return np.searchsorted(owners, np.arange(n + 1)).astype(np.int32)
+
+
+def _lists(offsets: np.ndarray, values: pa.Array, null: np.ndarray) -> pa.ListArray:
+    """Lists of values; those marked null (which hold none) become null."""
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(null))
 
 
 def sliding_windows(text, size: int = C.WINDOW, overlap: int = C.OVERLAP) -> Column:
     """array<struct<start:int, text:string>> of the raw windows (not stripped);
     null for a null text.  An Arrow UDF: a fold of SQL expressions reads the text
     from its start for every window, which is quadratic in its length."""
-    @F.pandas_udf("array<struct<start:int, text:string>>")
-    def windows(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [
-            {"start": s, "text": w} for s, w in windows_of(t, size, overlap)])
+    if overlap >= size // 2 + 2:
+        raise ValueError("the overlap must leave room to move on")
+
+    @F.arrow_udf("array<struct<start:int, text:string>>")
+    def windows(column: pa.Array) -> pa.Array:
+        texts = column.fill_null("").to_pylist()
+        at, lo, hi = window_bounds(texts, size, overlap)
+        cut = [texts[t][a:b] for t, a, b in zip(at.tolist(), lo.tolist(), hi.tolist())]
+        rows = pa.StructArray.from_arrays([pa.array(lo, pa.int32()), pa.array(cut, pa.string())], ["start", "text"])
+        return _lists(_list_offsets(at, len(texts)), rows, column.is_null().to_numpy(zero_copy_only=False))
     return windows(col_(text))
 
 
-def merged(parts: list[str], min_part: int) -> list[str]:
-    """Every part shorter than `min_part` (except the first) is appended to the
-    previous merged part with one space."""
-    groups: list[list[str]] = []
-    for p in parts:
-        if groups and len(p) < min_part:
-            groups[-1].append(p)
-        else:
-            groups.append([p])
-    return [" ".join(g) for g in groups]
+def merge_short(parts: pa.Array, offsets: np.ndarray, min_part: int) -> tuple[pa.Array, np.ndarray]:
+    """Lists of parts, given by offsets, with every part shorter than `min_part` glued
+    by a space to the one before it in its list; returns parts and offsets.
+
+    A part that is long enough, or the first of its list, begins a group; the groups
+    are joined all at once."""
+    begins = pc.utf8_length(parts).to_numpy(zero_copy_only=False) >= min_part
+    begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    heads = np.flatnonzero(begins)
+    groups = pa.ListArray.from_arrays(pa.array(np.append(heads, len(parts)), pa.int32()), parts)
+    return pc.binary_join(groups, " "), np.searchsorted(heads, offsets).astype(np.int32)
 
 
 def steps_for_response(response_name: str, size: int = C.WINDOW, overlap: int = C.OVERLAP,
@@ -153,17 +197,24 @@ def steps_for_response(response_name: str, size: int = C.WINDOW, overlap: int =
     `split_name` names a column that already holds `solution_steps(response)`."""
     split = F.col(split_name) if split_name else solution_steps(F.col(response_name))
 
-    @F.pandas_udf("array<string>")
-    def steps(splits: pd.Series, texts: pd.Series) -> pd.Series:
-        out = []
-        for parts, t in zip(splits, texts):
-            if t is None:
-                out.append(None)
-                continue
-            if len(parts) <= 1:
-                parts = [w.strip() for _, w in windows_of(t, size, overlap)]
-            out.append(merged(list(parts), min_part))
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("array<string>")
+    def steps(splits: pa.Array, column: pa.Array) -> pa.Array:
+        null = column.is_null().to_numpy(zero_copy_only=False)
+        sizes = splits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(sizes) - sizes                 # of each row's parts in the flat array
+        rows = np.flatnonzero((sizes <= 1) & ~null)      # cut into windows instead
+        texts = column.take(pa.array(rows)).to_pylist()
+        at, lo, hi = window_bounds(texts, size, overlap)
+        cut = [texts[t][a:b].strip() for t, a, b in zip(at.tolist(), lo.tolist(), hi.tolist())]
+        flat = pa.concat_arrays([splits.flatten().cast(pa.string()), pa.array(cut, pa.string())])
+        offsets = _list_offsets(at, len(rows))
+        first[rows] = len(flat) - len(cut) + offsets[:-1]
+        sizes[rows] = np.diff(offsets)
+        sizes[null] = 0
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        parts = flat.take(pa.array(np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])))
+        glued, ends = merge_short(parts, ends, min_part)
+        return _lists(ends, glued, null)
     return steps(split, F.col(response_name))
 
 

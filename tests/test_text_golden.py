@@ -1,7 +1,12 @@
 """Golden micro-cases for cleaning, windows, step split and chunks."""
 
+import random
+import time
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from qaframe import constants as C
 from qaframe.functions import text as X
 from qaframe.operators import chunking
 
@@ -53,6 +58,52 @@ def test_sentence_cut(spark):
     assert [len(w) for w in windows(spark, "a" * 128 + ". " + "b" * 200)] == [256, 154]
 
 
+def all_windows(text, size=C.WINDOW, overlap=C.OVERLAP):
+    """By definition: the last allowed cut of every window, from a list of all of them."""
+    ends = [i for i in range(len(text)) if text[i:i + 2] in C.SENTENCE_ENDS]
+    start = 0
+    while start < len(text):
+        allowed = [i for i in ends if start + size // 2 < i <= start + size - 2] if start + size < len(text) else []
+        stop = allowed[-1] + 1 if allowed else start + size
+        yield start, text[start:stop]
+        start = stop - overlap
+
+
+def test_windows_of_many_texts(spark):
+    rng = random.Random(5)
+    texts = [None, "", ".", ". ", "a. " * 200] + [
+        "".join(rng.choice(["a", "é", "𝒳", ". ", "!", " ", ".\n", "word "]) for _ in range(rng.randrange(900))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    rows = {r["i"]: r["w"] for r in df.select("i", X.sliding_windows("t", 60, 13).alias("w")).collect()}
+    for i, t in enumerate(texts):
+        want = None if t is None else list(all_windows(t, 60, 13))
+        assert (rows[i] if rows[i] is None else [(w["start"], w["text"]) for w in rows[i]]) == want
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if t], "sample_id long, response string").repartition(3)
+    got = {}
+    for r in chunking.final_steps(table).collect():
+        got.setdefault(r["sample_id"], {})[r["step_idx"]] = r["step"]
+    for i, t in enumerate(texts):
+        if t:                                            # no step markers here: the windows, short ones glued
+            parts = [w.strip() for _, w in all_windows(t)]
+            heads = [k for k, p in enumerate(parts) if k == 0 or len(p) >= C.MIN_PART] + [len(parts)]
+            assert [got[i][k] for k in range(len(got[i]))] == [" ".join(parts[a:b]) for a, b in zip(heads, heads[1:])]
+
+
+def test_windows_are_linear():
+    """Twice the text, about twice the time."""
+    text = "some words here and there. " * 40_000
+    times = []
+    for t in (text, text * 2):
+        best = []
+        for _ in range(3):
+            t0 = time.perf_counter()
+            at, lo, hi = X.window_bounds([t], C.WINDOW, C.OVERLAP)
+            best.append(time.perf_counter() - t0)
+        assert hi[-1] == len(t) and (np.diff(lo) > 0).all()
+        times.append(min(best))
+    assert times[1] < 4 * times[0]
+
+
 def test_step_split(spark):
     r = "Bước 1: tính tổng hai số đã cho\nBước 2: kết luận là mười hai ok nhé\nVậy x"
     assert steps(spark, r) == ["Bước 1: tính tổng hai số đã cho",
