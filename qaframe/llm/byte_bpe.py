@@ -3,7 +3,7 @@
 Every task holds a private in-memory DuckDB.  A slice of texts is cut into
 words (the matches of the vocabulary's pattern); the words it has not met yet
 become token-position rows, one per byte: (word, byte offset, byte length,
-token).  A recursive query joins neighbouring rows with the merge table,
+token, token after it).  A recursive query joins them with the merge table,
 contracts each word's pair of lowest rank (of equal ranks the leftmost) and
 goes on with the words that changed, until no pair of any word is in the table.
 The merge table holds every split of every token into two tokens: a pair merges
@@ -46,20 +46,21 @@ QUERY_IDS = 250_000      # ids decoded in one query
 REMEMBERED = 300_000     # words a worker remembers
 
 CONTRACT = """
-WITH RECURSIVE tokens(w, round, p, l, tok) AS (
-    SELECT w, 0, p, 1, tok FROM start
+WITH RECURSIVE tokens(w, round, p, l, tok, nxt) AS (
+    SELECT w, 0, p, 1, tok, nxt FROM start
   UNION ALL
-    SELECT t.w, t.round + 1, t.p, CASE WHEN t.p = b.p THEN b.l ELSE t.l END,
-           CASE WHEN t.p = b.p THEN b.merged ELSE t.tok END
+    SELECT t.w, t.round + 1, CASE WHEN t.p = b.p + b.cut THEN b.p ELSE t.p END,
+           CASE WHEN t.p = b.p + b.cut THEN t.l + b.cut ELSE t.l END,
+           CASE WHEN t.p = b.p + b.cut THEN b.merged ELSE t.tok END,
+           CASE WHEN t.p + t.l = b.p THEN b.merged ELSE t.nxt END
     FROM tokens t JOIN (
-        SELECT x.w, arg_min(x.p, m.merged::BIGINT << 32 | x.p) AS p, min(m.merged::BIGINT << 32 | x.p) >> 32 AS merged,
-               arg_min(x.l, m.merged::BIGINT << 32 | x.p) AS cut, arg_min(x.l + y.l, m.merged::BIGINT << 32 | x.p) AS l
-        FROM tokens x JOIN tokens y ON y.w = x.w AND y.p = x.p + x.l
-             JOIN merges m ON m.pair = x.tok::BIGINT << 32 | y.tok
-        GROUP BY x.w) b ON b.w = t.w
-    WHERE t.p <> b.p + b.cut
+        -- a word's least (rank, offset, byte length): its leftmost pair of lowest rank
+        SELECT w, (best // 65536 % 65536)::INTEGER AS p, (best // 4294967296)::INTEGER AS merged, (best % 65536)::INTEGER AS cut
+        FROM (SELECT x.w, min(m.merged * 4294967296 + x.p * 65536 + x.l) AS best
+              FROM tokens x JOIN merges m ON m.pair = x.tok::BIGINT * 4294967296 + x.nxt GROUP BY x.w)) b ON b.w = t.w
+    WHERE t.p <> b.p          -- the left row of the pair goes, the right one becomes the merged token
 )
-SELECT w, p, tok FROM tokens QUALIFY round = max(round) OVER (PARTITION BY w) ORDER BY w, p
+SELECT w, p, tok FROM tokens JOIN (SELECT w, max(round) AS round FROM tokens GROUP BY w) USING (w, round) ORDER BY w, p
 """
 
 DECODE = """
@@ -91,7 +92,7 @@ class ByteBpe:
                     pairs.append(a << 32 | b)
                     merged.append(rank)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
-        self._table("merges", pair=pa.array(pairs, pa.int64()), merged=pa.array(merged, pa.int32()))
+        self._table("merges", pair=pa.array(pairs, pa.int64()), merged=pa.array(merged, pa.int64()))
         self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int64()),
                     piece=pa.array([t.hex() for t in self.ranks], pa.string()))
         self.known: dict[str, bytes] = {}
@@ -108,9 +109,11 @@ class ByteBpe:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         first = np.cumsum(sizes) - sizes
+        tok = self.byte_rank[data]
+        nxt = np.append(tok[1:], np.int32(-1))
+        nxt[first + sizes - 1] = -1                      # the last of a word
         self._table("start", w=pa.array(np.repeat(np.arange(len(words), dtype=np.int32), sizes)),
-                    p=pa.array((np.arange(len(data)) - np.repeat(first, sizes)).astype(np.int32)),
-                    tok=pa.array(self.byte_rank[data]))
+                    p=pa.array(np.arange(len(data)) - np.repeat(first, sizes)), tok=pa.array(tok), nxt=pa.array(nxt))
         rows = self.db.execute(CONTRACT).fetchnumpy()
         ids = rows["tok"].astype("<u4").tobytes()
         ends = (4 * np.cumsum(np.bincount(rows["w"], minlength=len(words)))).tolist()
