@@ -1,39 +1,53 @@
 """Byte-level BPE: learn merges, encode, decode, on Spark.
 
-Learning.  Pre-token counting is one distributed aggregate over all texts.
-The merge loop then works on the table of distinct words (symbol-id arrays
-with their counts), which Spark keeps partitioned: each round explodes
-adjacent pairs, sums their counts (partial aggregation), and brings the top
-few candidate pairs (a bounded list) to the driver.  Several merges are taken
-in one round only when that provably gives the same order as one merge per
-round:
-
-  scan candidates by (count desc, left id, right id).  Merging (x, y) changes only
-  the pairs that end in x or begin with y, since no other pair can overlap an
-  occurrence of it; accept a pair q while neither it nor its result token is changed
-  by a pair accepted before it.  The first changed pair r ends the round.  Nothing
-  can come before q: a merge only lowers the counts of existing pairs, and a new pair
-  (x, new) or (new, z) occurs at most as often as the changed pair (x, y) or (y, z) it
-  came from, which is r or a later one.  At the same count it is still after q, as
-  (x, y) is, because `new` is the largest id.  A pair (x, x) also makes pairs of its
-  own result, at most half as many, which bound the round as well.
-
-Words are rewritten by one fold per round (occurrences of the accepted pairs do not
-overlap, so their order inside the round does not matter).  Lineage is cut by
-`checkpoint()` into the shared checkpoint folder every few rounds.
+Learning.  Pre-token counting is one distributed aggregate over all texts.  Two
+tables carry the rest: the distinct words (symbol ids, frequency) and the pair counts
+(pair, count, symbols of the words that hold it).  The pair counts are made once;
+every round after that adds the differences that the changed words give.
+
+A round takes as many merges as can be decided exactly:
+
+  The pairs are listed by (count desc, left id, right id), as long as the words that hold
+  them stay within `ROUND_SYMBOLS` symbols.  These words are fetched, a bounded set,
+  and merges are done on them one at a time.  For the listed pairs and for all pairs
+  with a token made in this round, the counts there are the counts of the whole corpus,
+  since no other word holds them.  A merge only lowers the counts of the pairs that
+  were not listed, so none of these can come before the first of them in the list
+  order: merges go on until the next one would lie behind that place, or would give a
+  token that existed before the round.
+
+  Where the first pair alone is held by more words than that, as in the first rounds
+  over a large corpus, merges are taken from the list itself: scan it in order.  Merging
+  (x, y) changes only the pairs that end in x or begin with y, since no other pair can
+  overlap an occurrence of it; accept a pair q while neither it nor its result token is
+  changed by a pair accepted before it.  The first changed pair r ends the round.
+  Nothing can come before q: a new pair (x, new) or (new, z) occurs at most as often as
+  the changed pair (x, y) or (y, z) it came from, which is r or a later one.  At the same
+  count it is still after q, as (x, y) is, because `new` is the largest id.  A pair (x, x)
+  also makes pairs of its own result, at most half as many, which bound the round as well.
+
+The merges of a round are then applied to all words that hold one of them, in an Arrow
+UDF that finds these words by whole arrays.  Lineage is cut by `checkpoint()` into the
+shared checkpoint folder every few rounds.
 
 Encoding.  Special tokens are split off first, the rest is NFKC-normalised and
-pre-tokenised, and every pre-token is merged by rank, all inside one Arrow UDF.
+pre-tokenised, and every pre-token is merged by rank from a heap (so a very long one
+costs no more than n log n), all inside one Arrow UDF.
 Decoding maps ids to bytes and bytes to UTF-8, likewise.  Both tables are
 broadcast; their size is bounded by the vocabulary size.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,19 +118,150 @@ def pretoken_counts(texts: DataFrame, text: str = "text") -> DataFrame:
 
 # ------------------------------------------------------------------------- learning
 
-def _pairs_sql(col: str) -> str:
-    return (f"transform(sequence(1, size({col}) - 1), i -> "
-            f"named_struct('a', element_at({col}, i), 'b', element_at({col}, i + 1)))")
-
-
-def _apply_sql(col: str, batch: list[tuple[int, int, int]]) -> str:
-    """One left-to-right pass merging every (a, b) of the batch into t."""
-    keys = ", ".join(f"{(a << 32) + b}L, {t}" for a, b, t in batch)
-    m = f"map({keys})"
-    return (f"aggregate({col}, cast(array() as array<int>), (out, x) -> "
-            f"CASE WHEN size(out) > 0 AND map_contains_key({m}, shiftleft(cast(element_at(out, -1) as bigint), 32) + x) "
-            f"THEN concat(slice(out, 1, size(out) - 1), array(element_at({m}, shiftleft(cast(element_at(out, -1) as bigint), 32) + x))) "
-            f"ELSE array_append(out, x) END)")
+ROUND_SYMBOLS = 4_000_000      # symbols of the words of one round, on the driver
+MAX_CANDIDATES = 20_000        # pairs listed in one round
+
+
+def merge_symbols(sym: list[int], ranks: dict, again: bool = True) -> list[int]:
+    """Merge the adjacent pair of lowest rank (of these the leftmost) until none is in
+    `ranks` ((left, right) -> (rank, id)).  With `again` false the merges are passed once, in
+    order: a pair that only arises after its turn stays."""
+    n = len(sym)
+    sym, after, before = list(sym), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(ranks[p][0], i, p) for i, p in enumerate(zip(sym, sym[1:])) if p in ranks]
+    heapq.heapify(heap)
+    done = -1
+    while heap:
+        rank, i, p = heapq.heappop(heap)
+        j = after[i]
+        if sym[i] != p[0] or j >= n or sym[j] != p[1]:    # one of the two has changed since
+            continue
+        done = max(done, rank)
+        sym[i], sym[j] = ranks[p][1], -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+        for a, b in ((before[i], i), (i, k)):
+            if a >= 0 and b < n:
+                found = ranks.get((sym[a], sym[b]))
+                if found and (again or found[0] >= done):
+                    heapq.heappush(heap, (found[0], a, (sym[a], sym[b])))
+    return [x for x in sym if x >= 0]
+
+
+def _codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code of every adjacent pair, its word) of a column of symbol arrays."""
+    sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = words.flatten().to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    inside = owner[1:] == owner[:-1]
+    return ((flat[:-1] << 32) | flat[1:])[inside], owner[1:][inside]
+
+
+def _holders(words: pa.Array, codes: np.ndarray) -> np.ndarray:
+    """Numbers of the words that hold one of the (sorted) pair codes."""
+    pairs, owner = _codes(words)
+    at = np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)
+    return np.unique(owner[codes[at] == pairs])
+
+
+def _code(a: int, b: int) -> int:
+    return a << 32 | b
+
+
+def _pair_rows(words: DataFrame, sign: int = 1) -> DataFrame:
+    """(p, c, l) of every word and pair: pair code, occurrences x frequency, the word's symbols."""
+    @F.arrow_udf("array<struct<p:bigint, n:bigint>>")
+    def pairs(column: pa.Array) -> pa.Array:
+        codes, owner = _codes(column)
+        order = np.lexsort((codes, owner))
+        codes, owner = codes[order], owner[order]
+        first = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])))) \
+            if len(codes) else np.zeros(0, dtype=np.int64)
+        times = np.diff(first, append=len(codes))
+        rows = pa.StructArray.from_arrays([pa.array(codes[first]), pa.array(times)], ["p", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[first], np.arange(len(column) + 1)), pa.int32()), rows)
+    each = X.explode_rows(words, ["f", "l"], pairs(F.col("s")), "_at", "_p")
+    return each.select("_p.p", (F.col("_p.n") * F.col("f") * sign).alias("c"), (F.col("l") * sign).alias("l"))
+
+
+def _sum_pairs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("p").agg(F.sum("c").alias("c"), F.sum("l").alias("l")).where("c > 0")
+
+
+def _merge_words(spark: SparkSession, words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """The words (s, f, l) with `old`: the symbols before this round, null where nothing changed."""
+    # merges of one round: bounded by the vocabulary size
+    bc = spark.sparkContext.broadcast(({(a, b): (i, t) for i, (a, b, t) in enumerate(merges)},
+                                       np.unique([_code(a, b) for a, b, _ in merges])))
+
+    @F.arrow_udf("array<int>")
+    def merged(column: pa.Array) -> pa.Array:
+        ranks, codes = bc.value
+        at = _holders(column, codes).tolist()
+        new: list = [None] * len(column)
+        for i, sym in zip(at, column.take(pa.array(at, pa.int64())).to_pylist()):
+            new[i] = merge_symbols(sym, ranks, again=False)
+        return pa.array(new, pa.list_(pa.int32()))
+    changed = words.select("s", "f", merged(F.col("s")).alias("new"))
+    return changed.select(F.coalesce("new", "s").alias("s"), "f", F.size(F.coalesce("new", "s")).cast("long").alias("l"),
+                          F.when(F.col("new").isNotNull(), F.col("s")).alias("old"))
+
+
+def _replay(words: list[tuple[list[int], int]], counts: dict, limit: tuple | None, vocab_strings: list[str],
+            token_id: dict, room: int, min_frequency: int) -> list[tuple[int, int, int]]:
+    """Merges on the fetched words, one at a time, in the order of (count desc, ids).
+
+    `counts` holds the listed pairs; `limit` is the place (-count, left, right) of the first
+    pair that is not listed.  New tokens are added to the vocabulary."""
+    known = len(vocab_strings)
+    holders: dict[tuple, set] = defaultdict(set)
+    for w, (sym, _) in enumerate(words):
+        for p in zip(sym, sym[1:]):
+            if p in counts:
+                holders[p].add(w)
+    heap = [(-c, *p) for p, c in counts.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[int, int, int]] = []
+    while heap and len(merges) < room:
+        place = heapq.heappop(heap)
+        p = place[1:]
+        if counts.get(p, 0) != -place[0]:
+            continue                                     # counted anew since
+        if -place[0] < min_frequency or (limit is not None and place >= limit):
+            break
+        s = vocab_strings[p[0]] + vocab_strings[p[1]]
+        old = token_id.get(s)
+        if old is not None and old < known and merges:
+            break                                        # an earlier token: pairs around it occur elsewhere too
+        new = len(vocab_strings) if old is None else old
+        if old is None:
+            vocab_strings.append(s)
+            token_id[s] = new
+        merges.append((*p, new))
+        if old is not None and old < known:
+            break
+        changes: dict[tuple, int] = defaultdict(int)
+        for w in holders.pop(p):
+            sym, f = words[w]
+            out, i, end = [], 0, len(sym)
+            while i < end:
+                hit = i + 1 < end and sym[i] == p[0] and sym[i + 1] == p[1]
+                out.append(new if hit else sym[i])
+                i += 1 + hit
+            for q in zip(sym, sym[1:]):
+                changes[q] -= f
+            for q in zip(out, out[1:]):
+                changes[q] += f
+                if q[0] >= known or q[1] >= known:
+                    holders[q].add(w)
+            words[w] = (out, f)
+        for q, d in changes.items():
+            if d and (q in counts or q[0] >= known or q[1] >= known):
+                counts[q] = c = counts.get(q, 0) + d
+                if c > 0:
+                    heapq.heappush(heap, (-c, *q))
+    return merges
 
 
 def _select_batch(cands, vocab_strings, token_id, room, min_frequency, complete):
@@ -156,64 +301,84 @@ def _select_batch(cands, vocab_strings, token_id, room, min_frequency, complete)
     return batch
 
 
+def word_table(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(s, f, l): symbols, frequency and length of every distinct pre-token of two symbols or more
+    (one symbol never yields a pair)."""
+    words = pretoken_counts(texts, text).select(initial_symbols(F.col("token")).alias("s"), F.col("freq").cast("long").alias("f"))
+    return words.filter(F.size("s") >= 2).withColumn("l", F.size("s").cast("long"))
+
+
+def pair_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(p, c, l) of every adjacent pair of initial symbols: code, occurrences, symbols of its words."""
+    return _sum_pairs(_pair_rows(word_table(texts, text)))
+
+
 def learn_bpe(spark: SparkSession, texts: DataFrame, text: str = "text", vocab_size: int = C.VOCAB_SIZE,
-              min_frequency: int = C.MIN_FREQUENCY, candidates: int = 256,
-              checkpoint_every: int = 10) -> tuple[DataFrame, DataFrame]:
+              min_frequency: int = C.MIN_FREQUENCY, round_symbols: int = ROUND_SYMBOLS,
+              checkpoint_every: int = 8) -> tuple[DataFrame, DataFrame]:
     """Learn merges.  Returns (vocab(token, id), merges(rank, left, right, id))."""
-    counts = pretoken_counts(texts, text)
-    words = counts.select(initial_symbols(F.col("token")).alias("s"), F.col("freq").cast("long").alias("f"))
-    # a single-symbol word never yields a pair again: only longer words are kept
-    # the distinct-word table may come out of the aggregate as one partition
-    # (AQE coalesces small results); every round works on it, so give it one
-    # partition per core at least
+    # the distinct-word table may come out of the aggregate as one partition (AQE
+    # coalesces small results); every round works on it, so give it one partition per
+    # core at least
     target = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = words.filter(F.size("s") >= 2).repartition(target).checkpoint(eager=True)
+    words = word_table(texts, text).repartition(target).checkpoint(eager=True)
+    pairs = _sum_pairs(_pair_rows(words)).checkpoint(eager=True)
 
     vocab_strings = list(C.SPECIAL_TOKENS) + ALPHABET
     token_id = {t: i for i, t in enumerate(vocab_strings)}
     merges: list[tuple[int, int, int]] = []
     rounds = 0
-    stale: list[DataFrame] = []
+    older: list[DataFrame] = []
+    newer: list[DataFrame] = []
     while len(vocab_strings) < vocab_size:
-        pairs = (words.filter(F.size("s") >= 2)      # sequence(1, 0) would count down
-                 .select(F.explode(F.expr(_pairs_sql("s"))).alias("p"), "f")
-                 .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("f").alias("c")))
-        top = pairs.orderBy(F.col("c").desc(), "a", "b").limit(candidates).collect()
-        for d in stale:
+        top = (pairs.where(F.col("c") >= min_frequency).orderBy(F.col("c").desc(), "p").limit(MAX_CANDIDATES + 1).collect())
+        for d in older:           # the caches of the round before this one's are filled from them now
             d.unpersist()
-        stale.clear()
-        cands = [(int(r["a"]), int(r["b"]), int(r["c"])) for r in top]
-        if not cands or cands[0][2] < min_frequency:
+        older = newer
+        if not top:
             break
         room = vocab_size - len(vocab_strings)
-        chosen = _select_batch(cands, vocab_strings, token_id, room, min_frequency, len(cands) < candidates)
-        if not chosen:
-            break
-        applied = []
-        for a, b, t, s, _ in chosen:
-            if t is None:
-                t = len(vocab_strings)
-                vocab_strings.append(s)
-                token_id[s] = t
-            merges.append((a, b, t))
-            applied.append((a, b, t))
-        prev = words
-        words = words.withColumn("s", F.expr(_apply_sql("s", applied)))
+        listed = [(r["p"] >> 32, r["p"] & 0xFFFFFFFF, r["c"]) for r in top]
+        held = itertools.accumulate(r["l"] for r in top[:MAX_CANDIDATES])
+        n = sum(1 for x in itertools.takewhile(lambda x: x <= round_symbols, held))
+        if n:
+            codes = np.sort(np.array([r["p"] for r in top[:n]]))
+
+            @F.arrow_udf("boolean")
+            def holds(column: pa.Array) -> pa.Array:
+                found = np.zeros(len(column), dtype=bool)
+                found[_holders(column, codes)] = True
+                return pa.array(found)
+            # at most round_symbols symbols
+            fetched = words.where(holds(F.col("s"))).select("s", "f").toArrow()
+            own = list(zip(fetched.column("s").to_pylist(), fetched.column("f").to_pylist()))
+            limit = (-listed[n][2], listed[n][0], listed[n][1]) if n < len(listed) else None
+            chosen = _replay(own, {(a, b): c for a, b, c in listed[:n]}, limit, vocab_strings, token_id, room, min_frequency)
+        else:
+            chosen = []
+            for a, b, t, s, _ in _select_batch(listed[:256], vocab_strings, token_id, room, min_frequency, len(listed) <= 256):
+                if t is None:
+                    t = token_id[s] = len(vocab_strings)
+                    vocab_strings.append(s)
+                chosen.append((a, b, t))
+        merges += chosen
         rounds += 1
-        # each round reads the previous round's words from memory (a lost
-        # cached block is recomputed from lineage); lineage itself is cut by
-        # a reliable checkpoint every few rounds
+        # each round reads the tables of the round before from memory (a lost cached
+        # block is recomputed from lineage); lineage itself is cut by a reliable
+        # checkpoint every few rounds
+        both = _merge_words(spark, words, chosen).persist()
+        changed = both.where(F.col("old").isNotNull())
+        before = changed.select(F.col("old").alias("s"), "f", F.size("old").cast("long").alias("l"))
+        pairs = _sum_pairs(pairs.unionByName(_pair_rows(before, -1)).unionByName(_pair_rows(changed.select("s", "f", "l"))))
+        words = both.where("l >= 2").drop("old")
         if rounds % checkpoint_every == 0:
-            words = words.filter(F.size("s") >= 2).checkpoint(eager=True)
+            pairs, words = pairs.checkpoint(eager=True), words.checkpoint(eager=True)
+            newer = [both]
         else:
-            words = words.persist()
-        # the previous cache is released only after the next round's job has
-        # filled the new one from it (releasing it earlier makes every round
-        # recompute all merges since the last checkpoint)
-        stale.append(prev)
-    for d in stale:
+            pairs = pairs.persist()
+            newer = [both, pairs]
+    for d in older + newer:
         d.unpersist()
-    words.unpersist()
     learn_bpe.last_rounds = rounds
     vocab = spark.createDataFrame(list(zip(vocab_strings, range(len(vocab_strings)))), "token string, id int")
     merge_df = spark.createDataFrame([(i, a, b, t) for i, (a, b, t) in enumerate(merges)],
@@ -231,23 +396,7 @@ WORD_MEMORY = 200_000          # words a Python worker remembers
 
 
 def _encode_word(token: str, ranks: dict) -> list[int]:
-    """Merge the adjacent pair of lowest rank, everywhere, until none is left."""
-    sym = [BYTE_ID[b] for b in token.encode("utf-8")]
-    while len(sym) > 1:
-        known = [r for r in (ranks.get(p) for p in zip(sym, sym[1:])) if r]
-        if not known:
-            break
-        rank, new = min(known)
-        out, i = [], 0
-        while i < len(sym):
-            if i + 1 < len(sym) and ranks.get((sym[i], sym[i + 1]), (None,))[0] == rank:
-                out.append(new)
-                i += 2
-            else:
-                out.append(sym[i])
-                i += 1
-        sym = out
-    return sym
+    return merge_symbols([BYTE_ID[b] for b in token.encode("utf-8")], ranks)
 
 
 def encode(texts: DataFrame, key: str, text: str, vocab: DataFrame, merges: DataFrame,

@@ -64,25 +64,31 @@ SELF_PAIRS = [(["aaaa"] * 100 + ["cd"] * 90 + ["ef"] * 40, 4), (["aaa"] * 50 + [
               (["0000000"] * 7 + ["00"] * 9 + ["10"] * 8 + ["ab0"] * 5, 6)]
 
 
+@pytest.mark.parametrize("budget", [1, 10**6])
 @pytest.mark.parametrize("words,n", SELF_PAIRS)
-def test_bpe_runs_of_one_symbol(spark, words, n):
+def test_bpe_runs_of_one_symbol(spark, words, n, budget):
     """A merge of a symbol with itself makes pairs of its own result."""
     size = 267 + n
-    vocab, merges = bpe.learn_bpe(spark, spark.createDataFrame([(w,) for w in words], "text string"), vocab_size=size)
+    vocab, merges = bpe.learn_bpe(spark, spark.createDataFrame([(w,) for w in words], "text string"), vocab_size=size,
+                                  round_symbols=budget)
     v = {r["id"]: r["token"] for r in vocab.collect()}
     model = json.loads(hf_tokenizer(words, size).to_str())["model"]
     hf_merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
     assert [(v[r["left"]], v[r["right"]]) for r in merges.orderBy("rank").collect()] == hf_merges
 
 
-def test_bpe_order_with_many_ties(spark):
-    """Small counts: most pairs tie, and whole runs of them are merged in one round."""
+@pytest.mark.parametrize("budget,rounds", [(300, 60), (1500, 20), (10**6, 1)])
+def test_bpe_order_with_many_ties(spark, budget, rounds):
+    """Small counts: most pairs tie.  Rounds that list few pairs, some, and all of them;
+    the counts kept by differences equal those counted anew."""
     import random
     rng = random.Random(3)
     syllables = ["ba", "ce", "di", "fo", "gu", "ha", "je", "ki"]
     words = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(400)] + ["aa" * 3, "zz" * 5] * 3
     size = 267 + 400
-    vocab, merges = bpe.learn_bpe(spark, spark.createDataFrame([(" ".join(words),)], "text string"), vocab_size=size)
+    vocab, merges = bpe.learn_bpe(spark, spark.createDataFrame([(" ".join(words),)], "text string"), vocab_size=size,
+                                  round_symbols=budget)
+    assert bpe.learn_bpe.last_rounds <= rounds
     v = {r["id"]: r["token"] for r in vocab.collect()}
     model = json.loads(hf_tokenizer([" ".join(words)], size).to_str())["model"]
     hf_merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -95,7 +101,7 @@ def test_registered_bpe_queries_equal_the_library(spark):
     from qaframe.plans import catalog
     sf = "/root/testdata/sf0.001"
     texts = {r["sample_id"]: r["text"] for r in catalog.training_texts_df(spark, sf).collect()}
-    hf = hf_tokenizer([texts[k] for k in sorted(texts)], catalog.BPE_VOCAB)
+    hf = hf_tokenizer([texts[k] for k in sorted(texts)], C.VOCAB_SIZE)
     q = {n: E.queries()[n](spark, sf) for n in ("nfkc_texts", "pretoken_counts", "bpe_merges", "encode_texts",
                                                 "padded_encoded_batches", "vocab_specials")}
     import collections
@@ -132,6 +138,36 @@ def test_registered_bpe_queries_equal_the_library(spark):
     assert specials == {t: model["vocab"][t] for t in C.SPECIAL_TOKENS}
 
 
+def test_pair_counts_by_differences(spark):
+    """After merges, the updated pair table equals one made from the changed words."""
+    words = spark.createDataFrame([([1, 2, 1, 2, 3], 5), ([1, 1, 1], 2), ([3, 2], 7), ([2, 1, 2, 3, 1, 2], 1)],
+                                  "s array<int>, f long").withColumn("l", F.size("s").cast("long"))
+    pairs = bpe._sum_pairs(bpe._pair_rows(words))
+    both = bpe._merge_words(spark, words, [(1, 2, 9), (9, 3, 10)])
+    changed = both.where("old is not null")
+    before = changed.select(F.col("old").alias("s"), "f", F.size("old").cast("long").alias("l"))
+    updated = bpe._sum_pairs(pairs.unionByName(bpe._pair_rows(before, -1)).unionByName(bpe._pair_rows(changed.drop("old"))))
+    anew = bpe._sum_pairs(bpe._pair_rows(both.drop("old")))
+    assert sorted(map(tuple, updated.collect())) == sorted(map(tuple, anew.collect()))
+    assert sorted(r["s"] for r in both.collect()) == [[1, 1, 1], [2, 10, 9], [3, 2], [9, 10]]
+
+
+def test_merge_of_a_long_word():
+    """A run of letters without a space: n log n, and the library's result."""
+    import time
+    hf = hf_tokenizer(TEXTS + ["na" * 50, "aaaa" * 9], 400)
+    model = json.loads(hf.to_str())["model"]
+    ranks = {}
+    for i, m in enumerate(model["merges"]):
+        a, b = m if isinstance(m, list) else m.split(" ")
+        ranks[model["vocab"][a], model["vocab"][b]] = (i, model["vocab"][a + b])
+    word = "banana" * 30_000 + "aaaaa" * 4_000
+    t0 = time.perf_counter()
+    got = bpe._encode_word(word, ranks)
+    assert time.perf_counter() - t0 < 20
+    assert got == hf.encode(word).ids
+
+
 def test_special_ids_and_byte_map():
     assert bpe.CHAR_ID[bpe.ALPHABET[0]] == len(C.SPECIAL_TOKENS)
     assert len(set(bpe.BYTE_CHARS)) == 256
