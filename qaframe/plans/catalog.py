@@ -17,6 +17,7 @@ from ..functions import text as X
 from ..operators import ann, batches, bpe, chunking, ids, prep, retrieval, search, sessions, vectors
 from ..sources import corpus as src
 from ..sources import points as pts_src
+from ..sources.versioned import Collection
 from ..session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,12 +195,21 @@ def batch_manifest(spark, sf_dir):
 
 # --- 4. vectors --------------------------------------------------------------------
 
+MAX_BROADCAST_STARTS = 1_000_000     # 16 bytes each
+
+
 def build_points(spark, sf_dir) -> DataFrame:
-    """The chunk index: dense chunk ids, hashed vectors, payload columns."""
-    c = chunks_df(spark, sf_dir)
-    counts = c.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    starts = ids.prefix_starts(counts, ["sample_id"], "n").drop("n")
-    pts = vectors.hash_embed(c, "text", "vector").join(starts, "sample_id")
+    """The chunk index: dense chunk ids, hashed vectors, payload columns.
+
+    An id is the start of its sample plus the chunk's place in it.  The starts come
+    from one narrow row per sample and are joined to the samples before these are
+    chunked: neither chunks nor vectors move."""
+    qa = qa_vi(spark, sf_dir)
+    counts = chunking.chunk_counts(qa)
+    starts = ids.prefix_starts(counts, ["sample_id"], "n").drop("n").checkpoint()
+    if starts.count() <= MAX_BROADCAST_STARTS:
+        starts = F.broadcast(starts)
+    pts = vectors.hash_embed(chunking.chunk_samples(qa.join(starts, "sample_id"), carry=["start"]), "text", "vector")
     return pts.select((F.col("start") + F.col("chunk_pos")).alias("chunk_id"), "vector", "sample_id", "chunk_type",
                       "step_idx", "text", "math_type", "query_ref")
 
@@ -210,10 +220,11 @@ INDEX_VERSION = 2        # raise when the chunks or vectors of unchanged texts c
 def points_df(spark, sf_dir) -> DataFrame:
     """The chunk index, built once per corpus content and saved in the shared
     checkpoint folder (the original builds its index in a separate job and
-    answers from it).  Its folder is named by the content of the columns it is
-    made of and by every parameter, so a changed corpus gets a new index."""
-    docs = src.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    tag = "-".join(map(str, (pts_src.fingerprint(docs), INDEX_VERSION, C.HASH_DIM, C.WINDOW, C.OVERLAP, C.MIN_PART,
+    answers from it).  Its folder is named by the names, sizes and times of the
+    corpus files and by every parameter, so a changed corpus gets a new index and no
+    question scans the corpus."""
+    files = pts_src.stamp(spark, src.table_path(sf_dir, "documents"))
+    tag = "-".join(map(str, (files, INDEX_VERSION, C.HASH_DIM, C.WINDOW, C.OVERLAP, C.MIN_PART,
                              C.FULL_MAX, C.QUERY_REF_MAX)))
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/index-{tag}"
     if not pts_src._complete(spark, path):
@@ -448,16 +459,34 @@ def resume_pending(spark, sf_dir):
 def collection_state(spark, sf_dir):
     """A collection created when absent, filled, and opened again."""
     from ..session import scratch_dir
-    emb = src.read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"),
-                                                             F.lit(0).alias("id_bucket"))
+    emb = src.read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     path = scratch_dir(spark, "collection")
-    was_empty = pts_src.is_empty(pts_src.ensure_collection(spark, path, emb.schema, 64))
-    emb.write.mode("append").parquet(path)
-    again = pts_src.ensure_collection(spark, path, emb.schema, 64)
+    made = Collection.ensure(spark, path, emb.schema, "id", vector="vector", dim=64)
+    was_empty = made.read().isEmpty()
+    made.upsert(emb)
+    again = Collection.ensure(spark, path, emb.schema, "id", vector="vector", dim=64).read()
     return again.agg(F.lit(was_empty).alias("was_empty"), F.count(F.lit(1)).alias("n_points"),
                      F.count_if(vectors.contract_status("vector", 64) != "ok").alias("n_violations"))
 
 
+@query("upsert_versions")
+def upsert_versions(spark, sf_dir):
+    """Every version of a collection after three commits, vectors included: labels 0-6 stored,
+    labels 3-9 arriving with negated vectors, the second load repeated under its epoch."""
+    from ..session import scratch_dir
+    emb = src.read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    first = emb.where("label <= 6")
+    second = emb.where("label >= 3").withColumn("label", F.col("label") + 100).withColumn(
+        "embedding", F.transform("embedding", lambda x: -x))
+    table = Collection.ensure(spark, scratch_dir(spark, "versions"), emb.schema, "vec_id", 16, vector="embedding", dim=64)
+    numbers = [table.upsert(first, stream="loads", epoch=0), table.upsert(second, stream="loads", epoch=1),
+               table.upsert(first, stream="loads", epoch=1)]          # comes again: changes nothing
+    rows = [table.read(n).withColumn("version", F.lit(n).cast("long")) for n in sorted(set(numbers))]
+    both = rows[0].unionByName(rows[1])
+    total = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return both.select("version", "vec_id", "label", F.round(total, 5).alias("weighted_sum"))
+
+
 # --- 7. sessions -------------------------------------------------------------------------
 
 def messages_df(spark, sf_dir) -> DataFrame:
@@ -558,28 +587,25 @@ def padded_batches(spark, sf_dir):
 
 
 # --- 9. byte-level BPE ------------------------------------------------------------------------
-# Rows-only in the driver (NFKC and the pre-token lookahead have no DuckDB
-# form); tests check parity with the public `tokenizers` package.
-
-BPE_VOCAB = 512          # vocabulary of the registered queries (267 base tokens + merges)
-
+# NFKC and the tokens of a learned vocabulary have no DuckDB form: those rows are
+# compared with the public `tokenizers` package in the tests.
 
 def training_texts_df(spark, sf_dir) -> DataFrame:
     return prep.training_texts(qa_vi(spark, sf_dir))
 
 
-def bpe_model(spark, sf_dir, vocab_size: int = BPE_VOCAB) -> tuple[DataFrame, DataFrame]:
+def bpe_model(spark, sf_dir, vocab_size: int = C.VOCAB_SIZE) -> tuple[DataFrame, DataFrame]:
     """Learn once and save (vocab, merges) under the shared checkpoint folder;
     later calls load the saved tables, like a saved tokenizer folder.  The folder
-    is named by the content of the texts and by the parameters."""
-    texts = training_texts_df(spark, sf_dir)
-    tag = f"{pts_src.fingerprint(texts)}-{vocab_size}-{C.MIN_FREQUENCY}"
+    is named by the files of the texts and by the parameters."""
+    tag = f"{pts_src.stamp(spark, src.table_path(sf_dir, 'documents'))}-{vocab_size}-{C.MIN_FREQUENCY}"
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/bpe-{tag}"
     if not pts_src._complete(spark, base + "/merges"):
-        vocab, merges = bpe.learn_bpe(spark, texts, vocab_size=vocab_size)
-        vocab.write.mode("overwrite").parquet(base + "/vocab")
-        merges.write.mode("overwrite").parquet(base + "/merges")       # the last one written
-    return spark.read.parquet(base + "/vocab"), spark.read.parquet(base + "/merges")
+        vocab, merges = bpe.learn_bpe(spark, training_texts_df(spark, sf_dir), vocab_size=vocab_size)
+        vocab.coalesce(1).write.mode("overwrite").parquet(base + "/vocab")
+        merges.coalesce(1).write.mode("overwrite").parquet(base + "/merges")       # the last one written
+    return spark.read.schema("token string, id int").parquet(base + "/vocab"), \
+        spark.read.schema("rank int, left int, right int, id int").parquet(base + "/merges")
 
 
 @query("nfkc_texts")
@@ -593,9 +619,16 @@ def pretoken_counts(spark, sf_dir):
     return bpe.pretoken_counts(training_texts_df(spark, sf_dir))
 
 
+@query("pair_counts")
+def pair_counts(spark, sf_dir):
+    """Adjacent pairs of initial symbols over all pre-tokens: the counts that learning starts from."""
+    p = bpe.pair_counts(training_texts_df(spark, sf_dir))
+    return p.select(F.shiftright("p", 32).alias("left"), F.col("p").bitwiseAND(0xFFFFFFFF).alias("right"), F.col("c").alias("n"))
+
+
 @query("bpe_merges")
 def bpe_merges(spark, sf_dir):
-    vocab, merges = bpe.learn_bpe(spark, training_texts_df(spark, sf_dir), vocab_size=BPE_VOCAB)
+    vocab, merges = bpe.learn_bpe(spark, training_texts_df(spark, sf_dir))
     return merges.join(vocab, "id").select("rank", "left", "right", "id", "token")
 
 
@@ -705,23 +738,58 @@ def session_after_clear_stream(spark, sf_dir):
     return mem.select("session_id", "seq", "role", "content")
 
 
+def index_stream_table(spark, sf_dir, base: str, checkpoint: str, files: str = "documents.parquet", on_batch=None):
+    from ..streaming import index as I
+    schema = spark.read.option("pathGlobFilter", files).parquet(sf_dir).schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    return I.run_index_stream(spark, stream, base + "/points", base + f"/{checkpoint}",
+                              lambda b: src.project_lang(src.qa_from_documents(src.spread(b, "doc_id")), "vi"),
+                              n_buckets=16, name=checkpoint, on_batch=on_batch)
+
+
+def stored_points(p: DataFrame) -> DataFrame:
+    """Payload of stored points, with the number of their vector's terms and a weighted sum of it."""
+    weighted = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return p.select("sample_id", "chunk_pos", "chunk_type", "step_idx", "text", "math_type", "query_ref",
+                    F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("n_terms"),
+                    F.round(weighted, 5).alias("vector_sum"))
+
+
 @query("index_stream")
 def index_stream(spark, sf_dir):
-    """Chunk + embed + upsert as a stream over the corpus, run twice (the
-    second run re-reads everything into a fresh checkpoint): the point table
-    must equal the batch chunk table."""
+    """Chunk + embed + upsert as a stream over the corpus, run twice (the second run
+    re-reads everything under a fresh checkpoint): the collection must equal the batch
+    chunk table, vectors included."""
     from ..session import scratch_dir
-    from ..streaming import index as I
     base = scratch_dir(spark, "index-stream")
-    schema = src.read_table(spark, sf_dir, "documents").schema
     for run in range(2):
-        stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-                  .option("maxFilesPerTrigger", 1).parquet(sf_dir))
-        I.run_index_stream(spark, stream, base + "/points", base + f"/checkpoint-{run}",
-                           lambda b: src.project_lang(src.qa_from_documents(src.spread(b, "doc_id")), "vi"),
-                           n_buckets=16)
-    p = spark.read.parquet(base + "/points")
-    return p.select("sample_id", "chunk_pos", "chunk_type", "step_idx", "text", "math_type", "query_ref")
+        table = index_stream_table(spark, sf_dir, base, f"checkpoint-{run}")
+    return stored_points(table.read())
+
+
+@query("index_stream_resumed")
+def index_stream_resumed(spark, sf_dir):
+    """The stream over the corpus in four files, broken off before batch 1 is committed and
+    after batch 2 is, and started again from its checkpoint each time."""
+    from pyspark.errors import StreamingQueryException
+    from ..session import scratch_dir
+    base = scratch_dir(spark, "index-resumed")
+    src.read_table(spark, sf_dir, "documents").repartition(4, "doc_id").write.parquet(f"{base}/files")
+    breaks = {(1, "before"), (2, "after")}
+
+    def on_batch(epoch: int, when: str) -> None:
+        if (epoch, when) in breaks:
+            breaks.remove((epoch, when))
+            raise RuntimeError(f"broken off {when} batch {epoch}")
+
+    for _ in range(len(breaks) + 1):
+        try:
+            table = index_stream_table(spark, f"{base}/files", base, "checkpoint", "*.parquet", on_batch)
+        except StreamingQueryException:
+            continue
+    if breaks or table.versions()[-1] != table.version().epochs["checkpoint"] + 1:
+        raise RuntimeError("a batch was left out or applied twice")
+    return stored_points(table.read())
 
 
 FLAGSHIP = "route_questions"

@@ -426,6 +426,15 @@ inc AS (SELECT vec_id, (label + 100)::BIGINT AS label FROM embeddings WHERE labe
 SELECT * FROM ex WHERE vec_id NOT IN (SELECT vec_id FROM inc)
 UNION ALL SELECT * FROM inc"""
 
+ORACLE["upsert_versions"] = """
+WITH e AS (SELECT vec_id, label::BIGINT AS label,
+                  list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)) AS total FROM embeddings),
+v1 AS (SELECT vec_id, label, total FROM e WHERE label <= 6),
+v2 AS (SELECT vec_id, label, total FROM e WHERE label < 3
+       UNION ALL SELECT vec_id, label + 100, -total FROM e WHERE label >= 3)
+SELECT 1::BIGINT AS version, vec_id, label, round(total, 5) AS weighted_sum FROM v1
+UNION ALL SELECT 2::BIGINT, vec_id, label, round(total, 5) FROM v2"""
+
 ORACLE["resume_pending"] = with_chunks("""
 SELECT chunk_id, sample_id, chunk_type FROM chunk_ids
 WHERE sample_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')""", CHUNK_IDS_CTE)
@@ -498,13 +507,35 @@ SELECT sample_id, batch_id, n_tokens, padded_len, padded_len - n_tokens AS n_pad
 
 ORACLE["session_memory_stream"] = ORACLE["session_memory"]
 ORACLE["session_after_clear_stream"] = ORACLE["session_after_clear"]
-ORACLE["index_stream"] = ORACLE["chunks"].replace("SELECT * FROM chunks",
-    "SELECT sample_id, chunk_pos, chunk_type, step_idx, text, math_type, query_ref FROM chunks")
+ORACLE["index_stream"] = with_hits("""
+SELECT c.sample_id, c.chunk_pos, c.chunk_type, c.step_idx, c.text, c.math_type, c.query_ref, coalesce(v.n, 0) AS n_terms,
+       round(coalesce(v.s, 0.0), 5) AS vector_sum
+FROM chunk_ids c LEFT JOIN (SELECT k, count(*) AS n, sum((bucket + 1) * w) AS s FROM pv GROUP BY k) v ON v.k = c.chunk_id""")
+ORACLE["index_stream_resumed"] = ORACLE["index_stream"]
 
 ORACLE["index_points"] = with_hits("""
 SELECT c.chunk_id, c.sample_id, c.chunk_type, coalesce(v.n, 0) AS n_terms, round(coalesce(v.nrm, 0.0), 6) AS norm
 FROM chunk_ids c LEFT JOIN (SELECT k, count(*) AS n, sqrt(sum(w * w)) AS nrm FROM pv GROUP BY k) v ON v.k = c.chunk_id""")
 
+# No character of the tables is changed by NFKC.  The pattern's look-ahead is a mark
+# put before the last blank of a run that a visible character follows.
+PRETOKENS_CTES = [r"""pre AS (
+  SELECT unnest(regexp_extract_all(regexp_replace(text, '(\s+)(\s\S)', '\1' || chr(1) || '\2', 'g'),
+    '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+')) AS token FROM training)""",
+  "freqs AS (SELECT token, count(*) AS freq FROM pre GROUP BY token)"]
+ORACLE["pretoken_counts"] = with_qa("SELECT token, freq FROM freqs", CLEAN_CTE, TRAINING_CTE, *PRETOKENS_CTES)
+
+# initial symbols: the 256 byte characters in the order of their code points, after the special tokens
+ORACLE["pair_counts"] = with_qa("""
+SELECT a.id AS left, b.id AS right, sum(freq) AS n FROM pairs JOIN ids a ON a.byte = x JOIN ids b ON b.byte = y GROUP BY a.id, b.id""",
+    CLEAN_CTE, TRAINING_CTE, *PRETOKENS_CTES,
+    f"""ids AS (SELECT byte, {len(C.SPECIAL_TOKENS)} - 1 + row_number() OVER (ORDER BY shown, byte) AS id
+  FROM (SELECT byte, byte NOT BETWEEN 33 AND 126 AND byte NOT BETWEEN 161 AND 172 AND byte NOT BETWEEN 174 AND 255 AS shown
+        FROM range(256) t(byte)))""",
+    """hexed AS (SELECT hex(encode(token)) AS h, freq FROM freqs),
+pairs AS (SELECT ('0x' || h[2 * i - 1:2 * i])::INTEGER AS x, ('0x' || h[2 * i + 1:2 * i + 2])::INTEGER AS y, freq
+  FROM (SELECT h, freq, unnest(range(1, len(h) // 2)) AS i FROM hexed))""")
+
 # whole texts come back; a word of NFKC text is never lost
 ORACLE["roundtrip_mismatches"] = with_qa(
     "SELECT sample_id, true AS roundtrip_ok FROM training", CLEAN_CTE, TRAINING_CTE)

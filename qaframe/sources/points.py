@@ -1,35 +1,34 @@
 """Point tables over time: idempotent upsert, key-based resume, sinks.
 
-Plain Parquet has no MERGE.  The file form keeps the table partitioned by
-`id_bucket`, rewrites only the buckets an upsert touches (dynamic partition
-overwrite) from a staged copy, and never overwrites a path it is reading.
-Re-running the same upsert gives the same table (a crash between the two
-writes is repaired by running it again).
+The upsert of two frames; `versioned.Collection` keeps its result on files.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def last_by_key(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """One row per key: the one with the largest `order`, and among equals (or
-    without an order) the largest by all columns, so the choice does not depend
-    on partitioning.  Partial aggregation: a hot key sends one row per task."""
-    everything = F.struct(*[F.col(c) for c in rows.columns])
-    rank = F.struct(F.col(order), everything) if order else everything
-    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(everything, rank).alias("_row")).select("_row.*")
-
-
-def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    without an order) the one of largest row hash, so the choice does not depend on
+    partitioning.  Only keys, orders and hashes are compared, never whole rows; the
+    cut to one row is made before the shuffle too (a group limit), so a hot key sends
+    one row per task."""
+    everything = [x for c in rows.columns for x in (F.col(c).isNull(), F.col(c))]
+    by = ([F.col(order).desc()] if order else []) + [F.xxhash64(*everything).desc(), F.hash(*everything).desc()]
+    ranked = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*by)))
+    return ranked.where("_nth = 1").drop("_nth")
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id", order: str | None = None,
+           unique: bool = False) -> DataFrame:
     """Insert-or-replace by key: the incoming row wins, and of several incoming
-    rows with one key the last by `order`.  The anti join reads only the incoming
-    keys, so AQE can broadcast them when the batch is small."""
-    last = last_by_key(incoming, key, order)
+    rows with one key the last by `order` (`unique`: there is only one).  The anti
+    join reads only the incoming keys, so AQE can broadcast them when the batch is small."""
+    last = incoming if unique else last_by_key(incoming, key, order)
     keep = existing.join(last.select(key), key, "left_anti")
     return keep.unionByName(last.select(*existing.columns))
 
@@ -51,51 +50,6 @@ def _complete(spark: SparkSession, path: str) -> bool:
     return _fs_exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def id_bucket(key: str, n_buckets: int):
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int")
-
-
-def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, key: str = "id",
-                 n_buckets: int = 64, order: str | None = None) -> None:
-    """Upsert `incoming` into the Parquet table at `path` (created if absent)."""
-    inc = last_by_key(incoming, key, order).withColumn("id_bucket", id_bucket(key, n_buckets))
-    if not _complete(spark, path):
-        inc.write.mode("overwrite").partitionBy("id_bucket").parquet(path)
-        return
-    existing = spark.read.parquet(path)
-    touched = inc.select("id_bucket").distinct()
-    # runtime partition pruning: only files of touched buckets are read
-    old = existing.join(touched, "id_bucket", "left_semi")
-    merged = upsert(old, inc.select(*existing.columns), key)
-    staging = path.rstrip("/") + f"__staging-{uuid.uuid4().hex}"
-    merged.write.partitionBy("id_bucket").parquet(staging)
-    (spark.read.parquet(staging).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("id_bucket").parquet(path))
-    _delete(spark, staging)
-
-
-def ensure_collection(spark: SparkSession, path: str, schema: T.StructType, dim: int, vec: str = "vector") -> DataFrame:
-    """The collection at `path`, created empty if absent.  Its declared vector size
-    is kept with it; opening it with another size is an error."""
-    declared = path.rstrip("/") + "__declared"
-    if not _complete(spark, path):
-        spark.createDataFrame([(vec, dim)], "vector string, dim int").write.mode("overwrite").parquet(declared)
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
-    found = spark.read.parquet(declared).first()
-    if (found["vector"], found["dim"]) != (vec, dim):
-        raise ValueError(f"the collection declares {found['vector']} of size {found['dim']}, not {vec} of size {dim}")
-    return spark.read.schema(schema).parquet(path)
-
-
-def is_empty(collection: DataFrame) -> bool:
-    return collection.isEmpty()
-
-
 def materialize_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """Write `df` to `path` unless a complete copy is there already, then read
     the copy back (fetch once, then always load the saved copy).  The remains of
@@ -105,6 +59,18 @@ def materialize_once(spark: SparkSession, df: DataFrame, path: str) -> DataFrame
     return spark.read.parquet(path)
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """Name of a table's present state: names, sizes and times of its files, without reading them."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, files = fs.listFiles(p, True), []
+    while found.hasNext():
+        f = found.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(files)).encode()).hexdigest()[:24]
+
+
 def fingerprint(df: DataFrame) -> str:
     """Order-independent fingerprint of a table's content: row count and the
     sum of 64-bit row hashes (one distributed aggregate).  Nulls are hashed as

@@ -1,21 +1,20 @@
 """Incremental index build on a stream.
 
-New corpus rows are chunked, embedded and upserted into the point table in
-every micro-batch (`foreachBatch`).  Points are keyed by (sample_id,
-chunk_pos), which does not depend on what else is in the batch, and the
-upsert replaces by key, so replaying a micro-batch after a failure, or
-running the whole stream twice, leaves the same table.  Progress lives in
-the stream's checkpoint, not in a row count.
+New corpus rows are chunked, embedded and upserted into the collection in every
+micro-batch (`foreachBatch`).  Points are keyed by (sample_id, chunk_pos), which does
+not depend on what else is in the batch.  A batch commits its rows and its number
+together, as one version of the collection: a batch that runs again after a failure
+changes nothing, and a stream that was stopped goes on from its checkpoint.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import chunking, vectors
-from ..sources import points
+from .. import constants as C
+from ..sources.versioned import Collection
 
 KEY = ["sample_id", "chunk_pos"]
 
@@ -26,17 +25,28 @@ def index_batch(corpus_vi: DataFrame) -> DataFrame:
     return vectors.hash_embed(c, "text", "vector")
 
 
-def run_index_stream(spark: SparkSession, stream: DataFrame, table_path: str, checkpoint: str,
-                     to_corpus, n_buckets: int = 64) -> None:
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        # the upsert reads the new points several times; they are chunked once
-        pts = index_batch(to_corpus(batch)).withColumn(
-            "point_key", F.concat_ws(":", *[F.col(k).cast("string") for k in KEY])).persist()
-        try:
-            points.upsert_table(batch.sparkSession, table_path, pts, "point_key", n_buckets)
-        finally:
-            pts.unpersist()
+def points_of(corpus_vi: DataFrame) -> DataFrame:
+    """The points of a corpus with their key."""
+    return index_batch(corpus_vi).withColumn("point_key", F.concat_ws(":", *[F.col(k).cast("string") for k in KEY]))
+
+
+def run_index_stream(spark: SparkSession, stream: DataFrame, table_path: str, checkpoint: str, to_corpus,
+                     n_buckets: int = 64, name: str = "index", on_batch=None) -> Collection:
+    """Run the stream over what has arrived; returns the collection.
+
+    `name` tells streams into one collection apart.  `on_batch` is called with each
+    batch's number and "before" or "after" its commit."""
+    schema = points_of(to_corpus(spark.createDataFrame([], stream.schema))).schema
+    table = Collection.ensure(spark, table_path, schema, "point_key", n_buckets, vector="vector", dim=C.HASH_DIM)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        if on_batch:
+            on_batch(epoch, "before")
+        Collection(batch.sparkSession, table_path).upsert(points_of(to_corpus(batch)), stream=name, epoch=epoch)
+        if on_batch:
+            on_batch(epoch, "after")
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    return table

@@ -3,10 +3,13 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from qaframe.operators import batches, ids, sessions
 from qaframe.sources import points
+from qaframe.sources.versioned import Collection
 
 
 def ids_df(spark, n, parts=3):
@@ -56,30 +59,98 @@ def test_dense_positions_partition_independent(spark):
         assert [g[2] for g in got] == list(range(len(got)))
 
 
+def collection(spark, schema, key="id", n_buckets=4, **declared):
+    path = os.path.join(tempfile.mkdtemp(prefix="qaframe-test-"), "c")
+    return Collection.ensure(spark, path, spark.createDataFrame([], schema).schema, key, n_buckets, **declared)
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
 def test_upsert_twice_is_once(spark):
-    base = tempfile.mkdtemp(prefix="qaframe-test-")
-    path = os.path.join(base, "points")
+    table = collection(spark, "id long, p string")
     a = spark.createDataFrame([(i, f"a{i}") for i in range(20)], "id long, p string")
     b = spark.createDataFrame([(i, f"b{i}") for i in range(10, 30)], "id long, p string")
-    points.upsert_table(spark, path, a, "id", n_buckets=4)
-    points.upsert_table(spark, path, b, "id", n_buckets=4)
-    once = sorted(tuple(r) for r in spark.read.parquet(path).select("id", "p").collect())
-    points.upsert_table(spark, path, b, "id", n_buckets=4)
-    twice = sorted(tuple(r) for r in spark.read.parquet(path).select("id", "p").collect())
-    assert once == twice
-    assert once == [(i, f"a{i}") for i in range(10)] + [(i, f"b{i}") for i in range(10, 30)]
+    assert table.read().count() == 0
+    table.upsert(a)
+    table.upsert(b)
+    once = rows_of(table.read())
+    table.upsert(b)
+    assert rows_of(table.read()) == once == [(i, f"a{i}") for i in range(10)] + [(i, f"b{i}") for i in range(10, 30)]
+    table.upsert(a.limit(0))
+    assert rows_of(table.read()) == once
 
 
 def test_upsert_keeps_the_last_of_equal_keys(spark):
-    old = spark.createDataFrame([(1, 0, "old"), (2, 0, "kept")], "id long, seq long, p string")
-    new = spark.createDataFrame([(1, 1, "z first"), (1, 2, "a last"), (3, 1, "x"), (3, 1, "x")], "id long, seq long, p string")
+    schema = "id long, seq long, p string"
+    old = spark.createDataFrame([(1, 0, "old"), (2, 0, "kept")], schema)
+    new = spark.createDataFrame([(1, 1, "z first"), (1, 2, "a last"), (3, 1, "x"), (3, 1, "x")], schema)
     want = [(1, 2, "a last"), (2, 0, "kept"), (3, 1, "x")]
-    assert sorted(tuple(r) for r in points.upsert(old, new.repartition(3), "id", "seq").collect()) == want
-    path = os.path.join(tempfile.mkdtemp(prefix="qaframe-test-"), "t")
-    points.upsert_table(spark, path, new, "id", 4, "seq")
-    assert sorted(tuple(r) for r in spark.read.parquet(path).select("id", "seq", "p").collect()) == [want[0], want[2]]
-    points.upsert_table(spark, path, old, "id", 4, "seq")
-    assert [d for d in os.listdir(os.path.dirname(path)) if "staging" in d] == []
+    assert rows_of(points.upsert(old, new.repartition(3), "id", "seq")) == want
+    table = collection(spark, schema)
+    table.upsert(new, "seq")
+    assert rows_of(table.read()) == [want[0], want[2]]
+    ties = spark.createDataFrame([(7, 1, f"t{i}") for i in range(9)] + [(7, 1, None)], schema)
+    picked = {rows_of(points.last_by_key(ties.repartition(n), "id", "seq"))[0] for n in (1, 3, 7)}
+    assert len(picked) == 1                              # whatever the partitioning
+
+
+def test_versions_are_whole(spark):
+    """A reader between two commits sees one version; a writer that dies changes nothing."""
+    table = collection(spark, "id long, p string", dim=3)
+    first = spark.createDataFrame([(i, "a") for i in range(40)], "id long, p string")
+    second = spark.createDataFrame([(i, "b") for i in range(0, 60, 5)], "id long, p string")
+    n1 = table.upsert(first)
+    pinned = table.read()
+    before = rows_of(pinned)
+    n2 = table.upsert(second)
+    assert rows_of(pinned) == before == rows_of(table.read(n1))        # read after the commit, still the old version
+    now = rows_of(table.read(n2))
+    assert now == sorted([(i, "b") for i in range(0, 60, 5)] + [(i, "a") for i in range(40) if i % 5])
+
+    class Dies(Collection):
+        def _commit(self, version):
+            raise KeyboardInterrupt
+    with pytest.raises(KeyboardInterrupt):
+        Dies(spark, table.path).upsert(first.withColumn("p", F.lit("lost")))
+    assert rows_of(table.read()) == now and table.versions() == [0, n1, n2]
+    files = {os.path.join(d, f) for d, _, names in os.walk(table.path) for f in names if f.endswith(".parquet")}
+    gone = table.vacuum(keep=1)
+    left = {os.path.join(d, f) for d, _, names in os.walk(table.path) for f in names if f.endswith(".parquet")}
+    assert gone and left < files and table.versions() == [n2] and rows_of(table.read()) == now
+    with pytest.raises(ValueError):
+        Collection.ensure(spark, table.path, first.schema, "id", dim=4)
+
+
+def test_two_writers(spark):
+    """A writer that finds its version taken starts again from the newer one."""
+    table = collection(spark, "id long, p string")
+    other = Collection(spark, table.path)
+    mine = spark.createDataFrame([(1, "mine"), (2, "mine")], "id long, p string")
+    theirs = spark.createDataFrame([(2, "theirs"), (3, "theirs")], "id long, p string")
+
+    class Late(Collection):
+        raced = False
+
+        def _commit(self, version):
+            if not Late.raced:
+                Late.raced = True
+                other.upsert(theirs)
+            return super()._commit(version)
+    assert Late(spark, table.path).upsert(mine) == 2
+    assert rows_of(table.read()) == [(1, "mine"), (2, "mine"), (3, "theirs")]
+
+
+def test_epochs_are_applied_once(spark):
+    table = collection(spark, "id long, p string")
+    batch = lambda p: spark.createDataFrame([(1, p)], "id long, p string")
+    assert table.upsert(batch("a"), stream="s", epoch=0) == 1
+    assert table.upsert(batch("again"), stream="s", epoch=0) == 1
+    assert table.upsert(batch("b"), stream="other", epoch=0) == 2
+    assert table.upsert(batch("c"), stream="s", epoch=1) == 3
+    assert table.upsert(batch("late"), stream="s", epoch=0) == 3
+    assert rows_of(table.read()) == [(1, "c")]
 
 
 def test_prefix_starts_with_sparse_keys(spark):
