@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+# The pattern of the public byte-level vocabularies, written for the standard library's
+# faster matcher over characters whose classes are plain: ASCII, Latin letters, and
+# punctuation from U+2010 to U+2027.
+GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_ODD = re.compile(f"[^\t\n\r -~{_L}\u2010-\u2027]").search
+_PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\\s{_L}0-9]+|\\s+(?!\\S)|\\s+").findall
+
+
+def words_by(findall, pattern: str):
+    """The function that cuts a text into the matches of the pattern."""
+    if pattern != GPT_PATTERN:
+        return findall
+    return lambda text: findall(text) if _ODD(text) else _PLAIN(text)
+
+
 class ByteBpe:
     """Encoder and decoder of one worker process, around a private DuckDB."""
 
@@ -82,7 +99,7 @@ class ByteBpe:
         import duckdb
         import regex
         self.ranks = load_ranks(path)
-        self.words_of = regex.compile(pattern).findall
+        self.words_of = words_by(regex.compile(pattern).findall, pattern)
         self.byte_rank = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs, merged = [], []
         for token, rank in self.ranks.items():
@@ -170,14 +187,16 @@ class ByteBpe:
         """Ids of each text, little-endian unsigned 32-bit."""
         cut = [self.words_of(t) for t in texts]
         distinct = set().union(*cut) if cut else set()
-        new = sorted(distinct.difference(self.known))
-        found = self._learn(new)
-        if len(self.known) + len(found) > REMEMBERED:
-            self.known = {w: self.known[w] for w in distinct & self.known.keys()}
-        self.known.update((w, i) for w, i in found.items() if len(i) <= 4 * LONG_WORD)
-        get = {**self.known, **found}.__getitem__ if len(found) > len(self.known) else \
-            (lambda w, a=self.known, b=found: a[w] if w in a else b[w])
-        return [b"".join(map(get, words)) for words in cut]
+        found = self._learn(sorted(distinct - self.known.keys()))
+        self.known.update(found)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, words)) for words in cut]
+        if len(self.known) > REMEMBERED:                 # words of this slice that were known before it stay
+            self.known = {w: self.known[w] for w in distinct - found.keys()}
+        for w in found:
+            if len(w) > LONG_WORD:
+                self.known.pop(w, None)
+        return out
 
     # ---- decoding
 
@@ -209,7 +228,7 @@ def _encoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path, pattern)
         for batch in batches:
-            for lo, texts in text_slices(batch.column(1), 2_000_000):
+            for lo, texts in text_slices(batch.column(1), 4_000_000):
                 rows = model.encode(texts)
                 ends = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows])))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))

@@ -59,6 +59,19 @@ def test_every_character_is_cut_as_by_the_library(library):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
 
 
+def test_plain_characters_are_cut_alike(library):
+    """Texts for which the faster matcher is used."""
+    assert byte_bpe.GPT_PATTERN == public_tokenizers.PATTERN
+    model = byte_bpe.model_of(RANKS, public_tokenizers.PATTERN)
+    chars = [chr(c) for c in range(0x2100) if not byte_bpe._ODD(chr(c))]
+    assert len(chars) > 500 and not {"\x1c", "\x85", "\xa0", "\u2028", "\xb2", "\xbd", "\xd7"} & set(chars)
+    texts = ["".join(f"a{c}1{c} {c}.{c}\n" for c in chars[lo:lo + 64]) for lo in range(0, len(chars), 64)]
+    texts += ["it's WE'LL 'll", " a  b \n\n c\t", "\u201cx\u201d \u2026y\u2014z\u2019s"]
+    assert not any(map(byte_bpe._ODD, texts))
+    for text, ids in zip(texts, model.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=40))
 def test_byte_bpe_any_text(library, text):
