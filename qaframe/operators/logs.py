@@ -1,9 +1,10 @@
 """Training-log report: JSONL lines -> rounded metrics, log lines, best step.
 
-Lines are appended as JSON objects (`step`, `epoch`, optional `loss`,
-`eval_loss`, `learning_rate`, `timestamp`); read back with an explicit
-nullable schema, so missing keys are nulls and files from many runs or
-writers are read in parallel.
+A line is a JSON object: `step` and `epoch`, then whatever a step reports
+(`loss`, `eval_loss`, `learning_rate`, any other metric), then `timestamp`.  Keys are
+dynamic: an entry holds its metrics as a map, a metric without a value is no key,
+and of equal keys the later wins.  Lines are read back as VARIANT, so no schema limits
+their keys, and files from many runs or writers are read in parallel.
 """
 
 from __future__ import annotations
@@ -14,12 +15,41 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.TRAINING_LOG).json(path)
+def log_lines(entries: DataFrame) -> DataFrame:
+    """JSON lines of entries (step, epoch, metrics: map of doubles, timestamp).
+
+    The metrics come after step and epoch, the timestamp last: a metric named like
+    one that stands before it replaces its value."""
+    first = F.expr("map('step', cast(step as variant), 'epoch', cast(epoch as variant))")
+    last = F.expr("map_filter(map('timestamp', cast(timestamp as variant)), (k, v) -> timestamp is not null)")
+    metrics = F.transform_values(F.map_filter("metrics", lambda k, v: v.isNotNull() & (k != "timestamp")),
+                                 lambda k, v: v.cast("variant"))
+    own = F.map_filter(first, lambda k, v: ~F.coalesce(F.map_contains_key(metrics, k), F.lit(False)))
+    return entries.select(F.to_json(F.map_concat(own, metrics, last)).alias("value"))
 
 
 def append_log(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").json(path)
+    """Append the entries' lines to the log at `path`."""
+    log_lines(entries).write.mode("append").text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line: variant) of the log; a broken line is null."""
+    return spark.read.text(path).select(F.try_parse_json("value").alias("line"))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The known keys of every whole line as columns; a missing key is null."""
+    lines = read_lines(spark, path).where("line is not null")
+    return lines.select(*[F.try_variant_get("line", f"$.{f.name}", f.dataType.simpleString()).alias(f.name)
+                          for f in S.TRAINING_LOG.fields])
+
+
+def log_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(key, n_lines): every key that lines of the log have."""
+    lines = read_lines(spark, path).where("line is not null")
+    keys = lines.select(F.explode(F.map_keys(F.from_json(F.to_json("line"), "map<string,string>"))).alias("key"))
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def _num(c: str):

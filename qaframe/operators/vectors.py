@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,19 +85,25 @@ def embed_with_model(df: DataFrame, text: str, out: str, load_model: Callable[[]
                      dim: int, prefix: str = C.PASSAGE_PREFIX, batch: int = 64) -> DataFrame:
     """Model slot: `load_model()` runs once per task and returns
     f(list[str]) -> array (n, dim); vectors are L2-normalised here.  Texts go
-    through in Arrow batches of `batch` rows."""
+    through `batch` rows at a time; a null text counts as empty, a zero vector stays zero.
+
+    The other columns pass through Arrow untouched."""
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType(), False))])
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load_model()
-        for pdf in it:
-            vecs = []
-            texts = [prefix + (t or "") for t in pdf[text].tolist()]
-            for i in range(0, len(texts), batch):
-                m = np.asarray(model(texts[i:i + batch]), dtype=np.float64)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for rows in it:
+            if model is None:
+                model = load_model()
+            for lo in range(0, rows.num_rows, batch):
+                part = rows.slice(lo, batch)
+                texts = [prefix + (t or "") for t in part.column(text).to_pylist()]
+                m = np.asarray(model(texts), dtype=np.float64)
+                if m.shape != (len(texts), dim):
+                    raise ValueError(f"the model gave vectors of shape {m.shape}, not {(len(texts), dim)}")
                 n = np.linalg.norm(m, axis=1, keepdims=True)
-                vecs.extend(list(np.divide(m, n, out=np.zeros_like(m), where=n > 0)))
-            pdf[out] = vecs
-            yield pdf
+                m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * dim, pa.int32()), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], names=[*part.schema.names, out])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)

@@ -433,6 +433,36 @@ def prefixed_embeddings(spark, sf_dir):
     return entries(docs, "passage", C.PASSAGE_PREFIX).unionByName(entries(asked, "query", C.QUERY_PREFIX))
 
 
+PROJECTION_DIM = 8
+
+
+def letter_projection(path: str):
+    """A small model kept in a file: letter counts of a text times a matrix of 26 rows."""
+    import numpy as np
+    from ..sources.files import read_bytes
+    matrix = np.frombuffer(read_bytes(path), dtype="<f8").reshape(26, PROJECTION_DIM)
+
+    def embed(texts: list[str]):
+        counts = np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], dtype=np.float64)
+        return counts.reshape(-1, 26) @ matrix
+    return embed
+
+
+@query("model_embeddings")
+def model_embeddings(spark, sf_dir):
+    """Documents embedded by a model that every task loads once from a file in the shared folder."""
+    import numpy as np
+    from ..session import scratch_dir
+    from ..sources.files import write_bytes
+    path = scratch_dir(spark, "model") + "/projection.f8"
+    matrix = np.array([[((7 * b + 3 * d) % 11 - 5) / 10 for d in range(PROJECTION_DIM)] for b in range(26)])
+    write_bytes(path, matrix.astype("<f8").tobytes())
+    docs = src.read_text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    e = vectors.embed_with_model(docs, "text", "vector", lambda: letter_projection(path), PROJECTION_DIM)
+    values = X.explode_rows(e, ["doc_id"], F.col("vector"), "pos", "value")
+    return values.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
 # --- 6. tables over time --------------------------------------------------------------
 
 @query("upsert_points")
@@ -445,6 +475,35 @@ def upsert_points(spark, sf_dir):
     return pts_src.upsert(existing, incoming, "vec_id")
 
 
+@query("saved_corpus")
+def saved_corpus(spark, sf_dir):
+    """The corpus fetched once and kept: the second call reads the saved copy, not its input."""
+    from ..session import scratch_dir
+    path = scratch_dir(spark, "corpus") + "/qa"
+    pts_src.materialize_once(spark, src.qa_corpus(spark, sf_dir), path)
+    return pts_src.materialize_once(spark, src.qa_corpus(spark, sf_dir).limit(0), path)
+
+
+@query("saved_chunks")
+def saved_chunks(spark, sf_dir):
+    """The chunk table kept under the fingerprint of its corpus, read back."""
+    from ..session import scratch_dir
+    base = scratch_dir(spark, "chunks")
+    for _ in range(2):                                   # the second call finds the folder
+        saved = pts_src.chunk_sink(spark, qa_vi(spark, sf_dir), chunking.chunk_samples, base)
+    return saved
+
+
+@query("saved_splits")
+def saved_splits(spark, sf_dir):
+    """The splits written one folder each, and each read back by itself."""
+    from ..session import scratch_dir
+    path = scratch_dir(spark, "splits")
+    pts_src.write_splits(batches.train_eval_split(accepted_ids(spark, sf_dir)).select("sample_id", "split"), path)
+    parts = [spark.read.parquet(f"{path}/split={x}").withColumn("split", F.lit(x)) for x in ("train", "eval")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("resume_pending")
 def resume_pending(spark, sf_dir):
     """Chunks still to index when the chunks of English documents were
@@ -532,8 +591,12 @@ def session_pairs(spark, sf_dir):
 def session_lookup(spark, sf_dir):
     """Every known session and as many unknown ones; those are empty."""
     m = messages_df(spark, sf_dir)
-    asked = m.select("session_id").unionByName(m.select(F.concat(F.lit("unknown-"), "session_id").alias("session_id")))
-    return sessions.lookup_history(asked, sessions.last_n(m, C.SESSION_MEMORY))
+    return sessions.lookup_history(lookup_requests(spark, sf_dir), sessions.last_n(m, C.SESSION_MEMORY))
+
+
+def lookup_requests(spark, sf_dir) -> DataFrame:
+    m = messages_df(spark, sf_dir)
+    return m.select("session_id").unionByName(m.select(F.concat(F.lit("unknown-"), "session_id").alias("session_id")))
 
 
 @query("session_titles")
@@ -689,17 +752,42 @@ def bpe_length_stats(spark, sf_dir):
 
 # --- 10. training log ---------------------------------------------------------------------------
 
-def training_log_df(spark, sf_dir) -> DataFrame:
-    """A training log derived from `events`: views and clicks log a loss, errors an
-    evaluation, the others neither; the learning rate decays with the step."""
+def training_log_entries(spark, sf_dir) -> DataFrame:
+    """Log entries derived from `events`: views and clicks log a loss, errors an
+    evaluation, the others neither; the learning rate decays with the step.  Purchases
+    add a metric of their own; every seventh step reports `epoch` again, which replaces it."""
     e = src.read_table(spark, sf_dir, "events")
     kind, step = F.col("event_type"), F.col("event_id")
-    return e.select(
-        step.cast("long").alias("step"), (step / 1000).cast("double").alias("epoch"),
-        F.when(kind.isin("view", "click"), F.col("value") / 7).alias("loss"),
-        F.when(kind == "error", F.col("value") / 11).alias("eval_loss"),
-        F.when(kind != "signup", F.lit(2e-4) * (1 + F.pmod(step, F.lit(9)))).alias("learning_rate"),
-        F.date_format("ts", "HH:mm:ss").alias("timestamp"))
+    metrics = {"loss": F.when(kind.isin("view", "click"), F.col("value") / 7),
+               "eval_loss": F.when(kind == "error", F.col("value") / 11),
+               "learning_rate": F.when(kind != "signup", F.lit(2e-4) * (1 + F.pmod(step, F.lit(9)))),
+               "grad_norm": F.when(kind == "purchase", F.col("value")),
+               "epoch": F.when(step % 7 == 0, (step / 1000).cast("double"))}
+    return e.select(step.cast("long").alias("step"),
+                    F.when(step % 7 == 0, -1.0).otherwise((step / 1000).cast("double")).alias("epoch"),
+                    F.create_map(*[x for k, v in metrics.items() for x in (F.lit(k), v)]).alias("metrics"),
+                    F.date_format("ts", "HH:mm:ss").alias("timestamp"))
+
+
+def training_log_df(spark, sf_dir) -> DataFrame:
+    """The entries written as JSON lines, by two writers, and read back."""
+    from ..operators import logs
+    from ..session import scratch_dir
+    path = scratch_dir(spark, "training-log")
+    entries = training_log_entries(spark, sf_dir)
+    logs.append_log(entries.where("step % 2 = 0"), path)
+    logs.append_log(entries.where("step % 2 <> 0"), path)
+    return logs.read_log(spark, path)
+
+
+@query("training_log_keys")
+def training_log_keys(spark, sf_dir):
+    """Every key of the written lines and the number of lines that have it."""
+    from ..operators import logs
+    from ..session import scratch_dir
+    path = scratch_dir(spark, "training-log")
+    logs.append_log(training_log_entries(spark, sf_dir), path)
+    return logs.log_keys(spark, path)
 
 
 @query("training_log_report")
@@ -738,6 +826,47 @@ def session_after_clear_stream(spark, sf_dir):
     return mem.select("session_id", "seq", "role", "content")
 
 
+def events_as_messages(ev: DataFrame) -> DataFrame:
+    """Events as rows of a session: a user's events in the order of time, then id (below 1,000
+    events of a user in one microsecond)."""
+    ts = F.col("ts").cast("timestamp")
+    return ev.select(F.col("user_id").cast("string").alias("session_id"),
+                     (F.unix_micros(ts) * 1000 + F.pmod("event_id", F.lit(1000))).alias("seq"),
+                     F.col("event_type").alias("role"), F.col("event_id").cast("string").alias("content"), ts.alias("ts"))
+
+
+@query("session_memory_events_stream")
+def session_memory_events_stream(spark, sf_dir):
+    """session_memory_events by a stream in event time."""
+    from ..streaming import sessions as S
+    ev = src.read_table(spark, sf_dir, "events")
+    mem = S.run_event_memory_stream(spark, sf_dir, "events.parquet", ev.schema, events_as_messages, C.SESSION_MEMORY)
+    kept = mem.select(F.col("content").cast("long").alias("event_id"))
+    return ev.join(kept, "event_id", "left_semi").select("user_id", "event_id", "event_type", "value")
+
+
+@query("session_count_stream")
+def session_count_stream(spark, sf_dir):
+    """Whether a stream's sketch estimates the number of conversations within 3 percent."""
+    from ..streaming import sessions as S
+    counted = S.run_session_count(spark, sf_dir, "conversations.parquet", _conv_schema(spark, sf_dir),
+                                  sessions.messages_from_conversations)
+    exact = sessions.session_count(messages_df(spark, sf_dir))
+    both = counted.select(F.col("n_sessions").alias("e"), F.lit(None).cast("long").alias("n")).unionByName(
+        exact.select(F.lit(None).cast("long").alias("e"), F.col("n_sessions").alias("n")))
+    return both.agg(F.max("n").alias("n_sessions"),
+                    (F.abs(F.max("e") - F.max("n")) <= 0.03 * F.max("n")).alias("within_bound"))
+
+
+@query("session_state_lookup")
+def session_state_lookup(spark, sf_dir):
+    """session_lookup answered from the stream's state store."""
+    from ..streaming import sessions as S
+    checkpoint = S.run_state(spark, sf_dir, "conversations.parquet", _conv_schema(spark, sf_dir),
+                             sessions.messages_from_conversations, C.SESSION_MEMORY)
+    return sessions.lookup_history(lookup_requests(spark, sf_dir), S.state_memory(spark, checkpoint))
+
+
 def index_stream_table(spark, sf_dir, base: str, checkpoint: str, files: str = "documents.parquet", on_batch=None):
     from ..streaming import index as I
     schema = spark.read.option("pathGlobFilter", files).parquet(sf_dir).schema

@@ -575,3 +575,32 @@ FROM log"""
 ORACLE["best_checkpoint"] = f"""
 WITH {LOG_CTE}
 SELECT step AS best_step, round(eval_loss, 6) AS best_eval_loss FROM log WHERE eval_loss IS NOT NULL ORDER BY eval_loss, step LIMIT 1"""
+
+# --- kept tables, models, streams: the SQL of what they must give
+
+ORACLE["saved_corpus"] = ORACLE["scan_qa"]
+ORACLE["saved_chunks"] = ORACLE["index_stream"].split("SELECT c.sample_id")[0] + \
+    "SELECT sample_id, chunk_pos, chunk_type, step_idx, text, math_type, query_ref FROM chunks"
+ORACLE["saved_splits"] = ORACLE["train_eval_split"]
+
+ORACLE["model_embeddings"] = f"""
+WITH letters AS (SELECT doc_id, b, lo, length(t) - length(replace(t, lo, '')) AS n
+  FROM (SELECT doc_id, '{C.PASSAGE_PREFIX}' || coalesce(text, '') AS t FROM documents),
+       (SELECT unnest(range(26)) AS b, chr((97 + unnest(range(26)))::INT) AS lo)),
+sums AS (SELECT doc_id, d, sum(n * (((7 * b + 3 * d) % 11 - 5) / 10.0::DOUBLE)) AS s
+  FROM letters, (SELECT unnest(range(8)) AS d) GROUP BY doc_id, d),
+norms AS (SELECT doc_id, sqrt(sum(s * s)) AS nrm FROM sums GROUP BY doc_id)
+SELECT doc_id, d::BIGINT AS pos, round(CASE WHEN nrm = 0 THEN 0.0 ELSE s / nrm END, 6) AS value FROM sums JOIN norms USING (doc_id)"""
+
+ORACLE["session_memory_events_stream"] = ORACLE["session_memory_events"]
+ORACLE["session_count_stream"] = f"SELECT n_sessions, true AS within_bound FROM ({ORACLE['session_count']})"
+ORACLE["session_state_lookup"] = ORACLE["session_lookup"]
+
+ORACLE["training_log_keys"] = """
+SELECT key, count(*) AS n_lines FROM (
+  SELECT unnest(['step', 'epoch', 'timestamp']) AS key FROM events
+  UNION ALL SELECT 'loss' FROM events WHERE event_type IN ('view', 'click') AND value IS NOT NULL
+  UNION ALL SELECT 'eval_loss' FROM events WHERE event_type = 'error' AND value IS NOT NULL
+  UNION ALL SELECT 'learning_rate' FROM events WHERE event_type <> 'signup'
+  UNION ALL SELECT 'grad_norm' FROM events WHERE event_type = 'purchase' AND value IS NOT NULL)
+GROUP BY key"""
