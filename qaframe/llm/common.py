@@ -18,10 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OPENED: list[str] = []
+
+
 def workdir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
+    """A fresh folder under the shared checkpoint folder.  It stays until `release`:
+    the frame that an operator returns reads from it."""
     ship_package(spark)
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _OPENED.append(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _OPENED[-1]
+
+
+def release(spark: SparkSession, keep: str | None = None) -> None:
+    """Remove the folders that `workdir` gave out so far, but `keep`: once the results
+    of the operators have been written elsewhere, nothing reads them any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in [f for f in _OPENED if f != keep]:
+        p = hadoop(folder)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _OPENED.remove(folder)
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:

@@ -25,7 +25,8 @@ Defined results: vectors that are null, empty, zero, or hold a null or non-finit
 component have no links and are their own component.  Vectors of different
 sizes are not linked.  A row with a null id links with nothing, its component is
 null and it is kept.  Rows count one by one, so repeated rows link with each
-other; rows that share an id are one node of the components.
+other; rows that share an id are one node of the components.  An empty table gives
+an empty result; columns besides the id and the vector are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ bits identify a line.
 Defined results: a null or empty text is one empty line.  Lines whose key is
 shorter than `min_chars` always stay.  Every row counts as a document of its
 own, so repeated rows count as often as they occur, and rows that share the
-largest id all keep their lines.  A null id is smaller than any other id.
+largest id all keep their lines.  A null id is smaller than any other id.  Lines are
+hashed whole, however long.  An empty table gives an empty result.
 Only the id and text columns are read.
 """
 

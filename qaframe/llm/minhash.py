@@ -8,11 +8,12 @@
    member that shares most buckets, and again with a second hub for members that
    are not yet connected.
 3. What is still not connected inside a bucket is compared exhaustively, in tiles
-   of bounded blocks and only across components: by signatures first, each pair in
-   the first band that it shares, and the members of agreeing pairs by their full
-   sets in a second pass.  A tile emits at most one link for every two components
-   that it joins, never its pairs.  So no link between candidates is lost, and a
-   bucket of k connected members costs k comparisons.
+   of bounded blocks and only across components: each member outside the largest
+   component with all of the others, by signatures first, each pair in the first band
+   that it shares, and the members of agreeing pairs by their full sets in a second
+   pass.  A tile emits at most one link for every two components that it joins, never
+   its pairs.  So no link between candidates is lost, and a bucket of k connected
+   members costs k comparisons.
 4. A pair compared with a hub is first verified by its signatures (agreement far
    below the threshold ends it), then confirmed on the full shingle sets.
 5. Confirmed links are closed by alternating large-star and small-star.
@@ -20,7 +21,9 @@
 Defined results: a null or empty text, or one without words, has no shingles
 and is linked with nothing.  A row with a null id is linked with nothing, its
 component is null and it is kept.  Rows that share an id are one document, linked
-by any of its texts.  Only the id and text columns are read.
+by any of its texts; repeated rows are equal classes.  Ties of the component's name
+go to the smallest id.  Texts are shingled whole, however long.  An empty table gives
+an empty result.  Only the id and text columns are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaframe.llm.common import stage, workdir
+from qaframe.llm.common import shuffle_width, stage, workdir
 from qaframe.llm.components import components
 from qaframe.llm.shingles import Bands, set_keys, shingle_sets, signatures
 from qaframe.llm.tokens import text_slices
@@ -113,31 +116,24 @@ class _Verifier:
                 .select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
 
 
-def _minors(comp: np.ndarray) -> np.ndarray:
-    """Members outside the largest component of a tile: every pair of different
-    components has one of them."""
-    _, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
-    return np.flatnonzero(inverse != counts.argmax())
+TILE_ROW = "key long, i int, j int, side int, id long, comp long, minor boolean"
 
 
-def _across(tile: pd.DataFrame) -> np.ndarray | None:
-    """Block of each member in a tile of two blocks, which compares across them."""
-    side = tile["side"].to_numpy()
-    return side if int(tile["i"].iloc[0]) != int(tile["j"].iloc[0]) else None
-
-
-INVOLVED = "key long, i int, j int, side int, id long, comp long"
+def _targets(comp: np.ndarray, ids: np.ndarray, minor: np.ndarray, side: np.ndarray, m: int) -> np.ndarray:
+    """Members that the probe in row m is compared with: those of other components; of
+    two minors the one with the smaller id is the member."""
+    return np.flatnonzero((side == 0) & (comp != comp[m]) & (~minor | (ids < ids[m])))
 
 
 def _agreeing(least: int, b: Bands):
     def run(tile: pd.DataFrame) -> pd.DataFrame:
-        """Members of pairs of different components that share this band first and
-        whose signatures agree."""
-        comp, side, band = tile["comp"].to_numpy(), _across(tile), int(tile["band"].iloc[0])
+        """Members and probes of pairs that share this band first and whose signatures agree."""
+        cols = [tile[c].to_numpy() for c in ("comp", "id", "minor", "side")]
+        band = int(tile["band"].iloc[0])
         sigs = np.stack(tile["sig"].to_numpy())
         involved = np.zeros(len(tile), dtype=bool)
-        for m in _minors(comp):
-            at = np.flatnonzero((comp != comp[m]) if side is None else (comp != comp[m]) & (side != side[m]))
+        for m in np.flatnonzero(cols[3] == 1):
+            at = _targets(*cols, m)
             same = sigs[at] == sigs[m]
             near = same.sum(axis=1) >= least
             if near.any():
@@ -146,14 +142,14 @@ def _agreeing(least: int, b: Bands):
                 if len(at):
                     involved[at] = True
                     involved[m] = True
-        return tile.loc[involved, ["key", "i", "j", "side", "id", "comp"]]
+        return tile.loc[involved, ["key", "i", "j", "side", "id", "comp", "minor"]]
     return run
 
 
 def _linking(percent: int):
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         """Links between components by exact comparison of full sets."""
-        ids, comp, side = tile["id"].to_numpy(), tile["comp"].to_numpy(), _across(tile)
+        comp, ids, minor, side = cols = [tile[c].to_numpy() for c in ("comp", "id", "minor", "side")]
         sets = list(tile["shingles"])
         n = np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(len(sets)), n)
@@ -173,32 +169,52 @@ def _linking(percent: int):
             return c
 
         out = []
-        for m in _minors(comp):
+        for m in np.flatnonzero(side == 1):
             own = shingle[mine[m]:mine[m + 1]]
             lo, size = start[own], start[own + 1] - start[own]
             at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
             both = np.bincount(postings[at], minlength=len(sets))
-            linked = (100 * both >= percent * (n[m] + n - both)) & (comp != comp[m])
-            if side is not None:
-                linked &= side != side[m]
-            for c, x in zip(*np.unique(comp[linked], return_index=True)):
+            x = _targets(*cols, m)
+            x = x[100 * both[x] >= percent * (n[m] + n[x] - both[x])]
+            for c, first in zip(*np.unique(comp[x], return_index=True)):
                 if find(int(c)) != find(int(comp[m])):
                     root[find(int(c))] = find(int(comp[m]))
-                    out.append((int(ids[m]), int(ids[np.flatnonzero(linked)[x]])))
+                    out.append((int(ids[m]), int(ids[x[first]])))
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
     return run
 
 
 def _tiles(live: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, dealt to tiles of at
-    most two blocks."""
-    blocks = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int")
-    open_buckets = (live.groupBy("key").agg(blocks.alias("nb"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                    .where("lo <> hi").select("key", "nb"))
-    rows = live.join(open_buckets, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "key", "band", "id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+    """The members of buckets that hold several components, dealt to tiles.
+
+    Every pair of different components has a minor: a member outside the bucket's
+    largest component.  A tile compares a block of members (side 0) with a block of
+    minors (side 1): members go to every block of minors, minors to every block of
+    members.  So k members of which m are minors, one block of them, give
+    k + m * (blocks of members) rows.  The tiles have partitions of their own, not cut
+    down by their bytes, as their work is not in proportion to these."""
+    def blocks(n: str, rows: str):
+        return F.greatest(F.lit(1), F.ceil(F.greatest(F.col(rows) / TILE, F.col(n) / TILE_SHINGLES))).cast("int")
+    parts = live.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    sums = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("k"), F.sum("n").alias("kn"),
+                                    F.max(F.struct("c", "n", (-F.col("comp")).alias("minus"))).alias("top"))
+    open_buckets = sums.where("comps > 1").select(
+        "key", (-F.col("top.minus")).alias("largest"), "k", "kn", (F.col("k") - F.col("top.c")).alias("m"),
+        (F.col("kn") - F.col("top.n")).alias("mn")).select(
+        "key", "largest", blocks("kn", "k").alias("nb"), blocks("mn", "m").alias("mb"))
+    rows = live.join(open_buckets, "key").withColumn("minor", F.col("comp") != F.col("largest"))
+
+    def deal(rows: DataFrame, side: int, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
+        return rows.select("key", "band", "id", "comp", "minor", F.lit(side).alias("side"),
+                           F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int").alias(own),
+                           F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)).alias(other))
+    members = deal(rows, 0, "i", "j", "nb", "mb")
+    return members.unionByName(deal(rows.where("minor"), 1, "j", "i", "mb", "nb"))
+
+
+def _by_tile(rows: DataFrame):
+    width = 2 * shuffle_width(rows.sparkSession)
+    return rows.repartition(width, "key", "i", "j").groupBy("key", "i", "j")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: Bands = Bands(),
@@ -253,10 +269,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: B
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = links.unionByName(stage(verifier.links(pairs), f"{path}/links-{i}"))
         live = relabel(components(links), f"comps-{i}")
-    agreeing = stage(_tiles(live).join(sigs, "id").groupBy("key", "i", "j")
-                     .applyInPandas(_agreeing(verifier.least, bands), INVOLVED), f"{path}/agreeing")
-    rest = stage(agreeing.join(full, "id").groupBy("key", "i", "j")
-                 .applyInPandas(_linking(percent), "u long, v long"), f"{path}/links-rest")
+    agreeing = stage(_by_tile(_tiles(live).join(sigs, "id")).applyInPandas(_agreeing(verifier.least, bands), TILE_ROW),
+                     f"{path}/agreeing")
+    rest = stage(_by_tile(agreeing.join(full, "id")).applyInPandas(_linking(percent), "u long, v long"), f"{path}/links-rest")
     links = links.unionByName(rest)
     labels = stage(components(links), f"{path}/labels")
 

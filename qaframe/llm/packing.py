@@ -12,8 +12,9 @@ and increasing inside a partition (the partition number in its upper bits), not
 consecutive; it is the same when a lost task runs again.
 
 Defined results: a null or empty text is one end-of-document id.  Repeated rows
-are packed once per row.  A null id is packed under a null id.  Only the id and
-text columns are read.
+are packed once per row.  A null id is packed under a null id.  Pieces of equal length
+are placed in the order of their documents.  A long text is cut into as many pieces as
+it fills; an empty table gives no piece.  Only the id and text columns are read.
 """
 
 from __future__ import annotations

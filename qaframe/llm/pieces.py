@@ -17,8 +17,9 @@ The pieces of a model whose type is not Unigram have ranks instead of log
 scores; `load_pieces` then takes the Zipf estimate -ln(rank + 2).
 
 Defined results: a null or empty text has no ids and decodes to an empty text.
-Texts that hold the marker itself decode to a space in its place.  Only the id
-and text columns are read.
+Texts that hold the marker itself decode to a space in its place.  Repeated rows are encoded row by
+row, null ids kept; texts are encoded whole, however long; an empty table gives an empty
+result.  Only the id and text columns are read.
 """
 
 from __future__ import annotations

@@ -11,9 +11,10 @@ its characters is left.  All work stays inside one row: no shuffle, so neither
 a hot source nor a group of copies makes a hot task.
 
 Defined results: a null or empty text has no words and no lines, all counts
-0, `base_failed` true and `kept` false; its cleaned text is empty.  Repeated
-rows are judged row by row.  Only the id and text columns are read, so extra
-columns of any name do not matter.
+0, `base_failed` true and `kept` false; its cleaned text is empty.  A null id is
+judged like any other.  Repeated rows are judged row by row.  Lines and texts are
+judged whole, however long.  An empty table gives an empty result.  Only the id and
+text columns are read, so extra columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -27,11 +28,25 @@ from qaframe.llm.common import WS, WS_CHARS
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•·"
+# menu words and notices in the languages of the corpora: English, German, French, Spanish
 MENU_WORDS = ["home", "login", "log in", "sign in", "sign up", "register", "search", "menu", "next", "previous",
-              "contact", "contact us", "about", "about us", "share", "read more", "back to top"]
+              "contact", "contact us", "about", "about us", "share", "read more", "back to top",
+              "startseite", "anmelden", "registrieren", "suche", "suchen", "menü", "weiter", "zurück", "kontakt",
+              "impressum", "über uns", "teilen", "mehr lesen", "weiterlesen", "nach oben",
+              "accueil", "connexion", "se connecter", "inscription", "s'inscrire", "recherche", "rechercher", "suivant",
+              "précédent", "contactez-nous", "à propos", "partager", "lire la suite", "haut de page", "plan du site",
+              "inicio", "iniciar sesión", "registrarse", "buscar", "menú", "siguiente", "anterior", "contacto",
+              "acerca de", "sobre nosotros", "compartir", "leer más", "volver arriba", "mapa del sitio"]
 BOILERPLATE = ["all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy",
                "use cookies", "uses cookies", "enable javascript", "lorem ipsum", "licensed under", "released under",
-               "copyright ©", "copyright (c)", "subscribe to our newsletter"]
+               "copyright ©", "copyright (c)", "subscribe to our newsletter",
+               "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies",
+               "verwenden cookies", "javascript aktivieren", "lizenziert unter", "newsletter abonnieren",
+               "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales",
+               "utilise des cookies", "utilisons des cookies", "activer javascript", "abonnez-vous à notre newsletter",
+               "todos los derechos reservados", "términos de uso", "condiciones de uso", "política de privacidad",
+               "aviso legal", "utiliza cookies", "utilizamos cookies", "usamos cookies", "activar javascript",
+               "suscríbase a nuestro boletín"]
 CLOSING = '.!?…:;。！？"”»\')]'
 
 

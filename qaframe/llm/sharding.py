@@ -14,7 +14,8 @@ the two rows at its ends.
 Defined results: a null or empty text has size `overhead`; rows are ordered by
 id (nulls first), then size, then checksum, so ties and repeated rows are dealt
 in a fixed order and a hot id is spread over partitions as far as its sizes
-and checksums differ.  Only the id and text columns are read.
+and checksums differ.  Texts are measured whole, however long.  An empty table
+gives an empty result.  Only the id and text columns are read.
 """
 
 from __future__ import annotations

@@ -7,11 +7,17 @@ Token ids of tokenizer files (operators 2, 3 and 8) have no SQL form.
 
 from __future__ import annotations
 
+from qaframe.llm.quality import BOILERPLATE, MENU_WORDS
+
 SQL: dict[str, str] = {}
 
 A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+def _strings(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
 SQL["op1_quality_rules"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, string_split(t, chr(10)) AS lines FROM d),
@@ -21,19 +27,14 @@ again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c)
 covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
 line AS (SELECT r, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS x FROM w),
 s AS (SELECT r, i, x, trim(x, {BLANKS}) AS s FROM line),
-m AS (SELECT *, lower(s) AS low, length(s) - length(replace(s, ' ', '')) + 1 AS n_words,
+m AS (SELECT *, lower(s) AS low, len(regexp_extract_all(s, '[\x20\x09-\x0D]+')) + 1 AS n_words,
              len(regexp_extract_all(s, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(s, '[|»›•·]')) AS seps FROM s),
 judged AS (SELECT r, i, x, s <> '' AND (
       symbols * 100 > length(s) * 10
    OR (seps >= 3 AND seps * 6 >= n_words)
-   OR (n_words < 4 AND NOT contains('.!?…:;。！？"”»' || chr(39) || ')]', right(s, 1)))
-   OR low IN ('home', 'login', 'log in', 'sign in', 'sign up', 'register', 'search', 'menu', 'next', 'previous', 'contact',
-              'contact us', 'about', 'about us', 'share', 'read more', 'back to top')
-   OR (length(s) <= 300 AND (contains(low, 'all rights reserved') OR contains(low, 'terms of use') OR contains(low, 'terms of service')
-       OR contains(low, 'privacy policy') OR contains(low, 'cookie policy') OR contains(low, 'use cookies')
-       OR contains(low, 'uses cookies') OR contains(low, 'enable javascript') OR contains(low, 'lorem ipsum')
-       OR contains(low, 'licensed under') OR contains(low, 'released under') OR contains(low, 'copyright ©')
-       OR contains(low, 'copyright (c)') OR contains(low, 'subscribe to our newsletter')))
+   OR (n_words < 4 AND length(s) <= 40 AND NOT contains('.!?…:;。！？"”»' || chr(39) || ')]', right(s, 1)))
+   OR low IN ({_strings(MENU_WORDS)})
+   OR len(list_filter([{_strings(BOILERPLATE)}], lambda p: contains(low, p))) > 0
    OR (n_words >= 5 AND s = upper(s) AND s <> low)) AS fails FROM m),
 per AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE fails) AS n_failed,
                coalesce(sum(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (WHERE NOT fails), 0) AS kept_chars,

@@ -15,8 +15,10 @@ Canonical form: host without `www.` and default port, path without trailing
 slashes, query without tracking parameters and sorted, no scheme or fragment.
 
 Defined results: a null URL, or one without `://`, has empty host and path, fits
-no rule and is never listed: allowed.  Rows are judged one by one.  Only the id
-and URL columns are read.
+no rule and is never listed: allowed.  Rows are judged one by one, so repeated rows and
+null ids get a verdict each; of rules that fit, the longest wins, and of equal ones
+there is one only.  URLs are read whole, however long.  An empty table gives an empty
+result, an empty list blocks nothing.  Only the id and URL columns are read.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from qaframe.llm.common import ascii_lower, stage, workdir
 TRACKING = "^(utm_[^=]*|ref|fbclid|gclid|msclkid)(=|$)"
 KEYS_PER_BLOCK = 16                  # 16 bits per listed URL
 BROADCAST_BLOCKS = 500_000           # 48 bytes each
+BROADCAST_BYTES = 32 << 20           # of listed URLs
 
 
 @dataclass(frozen=True)
@@ -93,7 +96,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[UrlRule], id
     path = workdir(spark, "urls")
     keys = stage(listed.select(canonical(F.col(listed_col)).alias("canon")).where("canon is not null").distinct(),
                  f"{path}/listed")
-    n_blocks = max(1, -(-keys.count() // KEYS_PER_BLOCK))
+    size = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("canon")), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(1, -(-size["n"] // KEYS_PER_BLOCK))
     blocks = bloom_blocks(keys, n_blocks)
     if n_blocks <= BROADCAST_BLOCKS:
         blocks = F.broadcast(blocks)
@@ -113,7 +117,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[UrlRule], id
     probed = stage(probed.unionByName(rows.where("rule is not null or canon is null").withColumn("possible", F.lit(False))),
                    f"{path}/probed")
     hits = probed.where("possible")
-    small = n_blocks <= BROADCAST_BLOCKS // 16
+    small = size["n"] * 32 + size["bytes"] <= BROADCAST_BYTES
     right = F.broadcast(keys) if small else keys
     judged = (probed.where(~F.col("possible")).withColumn("listed", F.lit(False))
               .unionByName(hits.join(right, "canon", "left_semi").withColumn("listed", F.lit(True)))

@@ -12,8 +12,9 @@ through their local headers, and records are range-read in bounded blocks, never
 extracted.  Every payload is checked against its digest.
 
 Defined results: a null payload is empty.  Rows with a null id are always
-responses.  Repeated rows of the smallest id are all responses.  Only the id, URL
-and payload columns are read.
+responses.  Repeated rows of the smallest id are all responses.  Payloads are kept
+whole, however long.  An empty table gives an empty manifest and no records.  Only
+the id, URL and payload columns are read.
 """
 
 from __future__ import annotations

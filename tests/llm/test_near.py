@@ -5,10 +5,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qaframe.llm.components import components
 from qaframe.llm.embeddings import near_vectors
+from qaframe.llm import minhash
 from qaframe.llm.minhash import near_duplicates
 from qaframe.llm.shingles import Bands, shingle_sets, signatures, word_hashes
 
@@ -95,6 +97,35 @@ def test_hot_bucket(make_docs):
     assert got_near(near_duplicates(make_docs(rows), words=4)) == near_by_loop(rows, 4)
 
 
+def test_tiles_of_one_outsider(spark):
+    """A bucket of k members with m minors gives about k + m * blocks rows, not k * blocks."""
+    for k in (5_000, 80_000):
+        live = spark.range(k).select(F.lit(7).cast("long").alias("key"), F.lit(0).alias("band"), "id", F.lit(50).cast("long").alias("n"),
+                                     F.when(F.col("id") == 17, 17).otherwise(0).cast("long").alias("comp"))
+        tiles = minhash._tiles(live)
+        assert k <= tiles.count() <= k + k * 50 / minhash.TILE_SHINGLES + k / minhash.TILE + 2
+        worst = tiles.groupBy("key", "i", "j").count().agg(F.max("count")).first()[0]
+        assert worst <= 2 * minhash.TILE + 100
+
+
+def test_pairs_of_tiles(spark, monkeypatch):
+    """Every pair of different components meets in exactly one tile, as member and probe."""
+    monkeypatch.setattr(minhash, "TILE", 4)
+    rng = random.Random(5)
+    comps = {i: rng.choice([0, 0, 0, 0, 1, 2, i]) for i in range(60)}
+    live = spark.createDataFrame([(3, 0, i, 10, c) for i, c in comps.items()], "key long, band int, id long, n long, comp long")
+    tiles = collections.defaultdict(list)
+    for r in minhash._tiles(live).collect():
+        tiles[(r.key, r.i, r.j)].append(r)
+    met = collections.Counter()
+    for rows in tiles.values():
+        for p in rows:
+            for x in rows:
+                if p.side == 1 and x.side == 0 and p.comp != x.comp and (not x.minor or x.id < p.id):
+                    met[frozenset((p.id, x.id))] += 1
+    assert met == collections.Counter(frozenset((a, b)) for a in comps for b in comps if a < b and comps[a] != comps[b])
+
+
 def test_near_duplicates_empty(make_docs):
     assert near_duplicates(make_docs([])).count() == 0
     assert got_near(near_duplicates(make_docs([(1, None), (2, "")]))) == near_by_loop([(1, None), (2, "")], 5)

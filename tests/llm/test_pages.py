@@ -52,6 +52,15 @@ def pages(spark, urls):
     return df
 
 
+def test_very_long_urls(spark):
+    """URLs of megabytes are judged whole; the list is then too large in bytes for a broadcast of many."""
+    long = "http://long.net/" + "p/" * 600_000 + "?b=" + "x" * 300_000 + "&a=1#" + "f" * 1000
+    urls = [long, long.replace("&a=1", "&a=2"), "http://a." + "b." * 20_000 + "org/en", "x" * 500_000, "http://example.org/en/1" + "0" * 300_000]
+    out = judge_urls(pages(spark, urls), spark.createDataFrame([(long + "y",), ("http://q.net/",)], "url string"), URL_RULES).collect()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict, r.canonical_url) for r in out} == {
+        i: judged(u, [long + "y"]) for i, u in enumerate(urls)}
+
+
 def test_urls(spark):
     urls = URLS + URLS + ["http://hot.net/a"] * 300 + [f"http://n{i}.net/{i}" for i in range(300)]
     listed = ["https://www.y.net/p/?b=2&a=1", "http://hot.net/a#x", None, "bad", "http://n7.net/7?utm_x=1", "http://x.com/fr/1"]

@@ -64,3 +64,23 @@ def test_one_of_each_group_stays(make_docs, spark):
     rows = [(3, text), (1, text), (1, text), (2, text + " end"), (7, "other words"), (None, text), (None, text), (9, None)]
     out = P.near_duplicate_documents(spark, make_docs(rows), SF).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in out) == [(False, 0), (False, 0), (True, 1), (True, 7), (True, 9)]
+
+
+def test_rows_of_one_id_with_unequal_texts(make_docs, spark):
+    """The row that stays does not depend on the order or the partitioning."""
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"x{i}" for i in range(60))
+    rows = [(1, a), (1, b), (1, a + " more"), (2, "two"), (3, "three")]
+    kept = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        for parts in (1, 4):
+            out = P.near_duplicate_documents(spark, make_docs(order, clashes=True).repartition(parts), SF)
+            kept.add(tuple(sorted((r.doc_id, r.text) for r in out.collect())))
+    assert len(kept) == 1 and [i for i, _ in next(iter(kept))] == [1, 2, 3]
+
+
+def test_run_leaves_only_its_own_folder(spark):
+    import os
+    from qaframe.llm import common
+    P.run(spark, SF).collect()
+    own = [f for f in common._OPENED if "/pipeline-" in f and "near" not in f]
+    assert common._OPENED == own and os.path.isdir(own[-1].removeprefix("file:"))
