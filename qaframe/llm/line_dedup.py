@@ -1,7 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes (operator 6),
 DataFrame operations only.
 
-A run is a Parquet table sorted by line hash: (h1, h2, n_docs, max_doc, fresh).
+A run is a Parquet table sorted by line hash: (h1, h2, n_docs, max_doc, fresh).  It is
+stored in one sorted file per hash bucket, with one bucket count for all runs, and
+Spark knows it: merge joins of a batch with the runs, and of runs with each other,
+read the files as they are, without shuffling or sorting an earlier run again.
 `LineRuns` keeps runs in levels like a log-structured merge tree.  A new batch
 of documents is reduced to its distinct line hashes first (partial aggregation
 before the shuffle, so a line held by a third of the documents moves one row
@@ -23,12 +26,14 @@ Only the id and text columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaframe.llm.common import WS_CHARS, ascii_lower, stage, workdir
+from qaframe.llm.common import WS_CHARS, ascii_lower, shuffle_width, stage, workdir
 
 NULL_ID = -(1 << 63)
 
@@ -58,36 +63,77 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
             .select("d", "th", F.explode(marked).alias("h")).select("d", "th", "h.*"))
 
 
+# lets a scan of one sorted file per bucket count as sorted
+ORDERED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def ordered_scans(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(ORDERED_SCANS, None)
+    spark.conf.set(ORDERED_SCANS, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(ORDERED_SCANS)
+        else:
+            spark.conf.set(ORDERED_SCANS, before)
+
+
 class LineRuns:
-    """Levelled sorted runs of line hashes in a shared folder."""
+    """Levelled sorted runs of line hashes in a shared folder.
+
+    Their tables are external ones of the session's catalog; `forget` drops the
+    entries and leaves the files."""
 
     def __init__(self, spark: SparkSession, path: str, fanout: int = 3):
         self.spark, self.path, self.fanout = spark, path, fanout
+        self.buckets = shuffle_width(spark)
         self.levels: list[list[DataFrame]] = [[]]
-        self._n = 0
+        self.tables: list[str] = []
+
+    def _store(self, rows: DataFrame) -> DataFrame:
+        """Write rows in one sorted file per hash bucket."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        (rows.repartition(self.buckets, "h1", "h2").write.format("parquet").bucketBy(self.buckets, "h1", "h2")
+         .sortBy("h1", "h2").option("path", f"{self.path}/run-{len(self.tables):05d}").saveAsTable(name))
+        self.tables.append(name)
+        return self.spark.table(name)
 
-    def _write(self, run: DataFrame) -> DataFrame:
-        self._n += 1
-        return stage(run.sortWithinPartitions("h1", "h2"), f"{self.path}/run-{self._n:05d}")
+    def forget(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = []
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
+    @staticmethod
+    def _keys(run: DataFrame) -> DataFrame:
+        """The hashes that a run brought in; a hash is fresh in one run only, so the
+        runs' rows of this kind are the whole key set, without repetition."""
+        return run.where("fresh").select("h1", "h2").hint("merge")
+
+    def unseen(self, batch: DataFrame) -> DataFrame:
+        """Rows of a stored batch whose hash no run holds: merge anti joins, one after another."""
+        for run in self.runs():
+            batch = batch.join(self._keys(run), ["h1", "h2"], "left_anti")
+        return batch
+
     def add(self, batch: DataFrame) -> DataFrame:
         """Add a batch of line hashes; the returned run marks with `fresh` the
         hashes that no earlier run holds."""
-        own = stage(batch.groupBy("h1", "h2").agg(F.sum(F.col("first").cast("long")).alias("n_docs"),
-                                                  F.max("d").alias("max_doc")), f"{self.path}/batch-{self._n:05d}")
-        fresh = own
-        for run in self.runs():
-            # a hash is fresh in one run only, so these rows are its whole key set
-            fresh = fresh.join(run.where("fresh").select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        new = fresh.withColumn("fresh", F.lit(True))
-        if self.runs():
-            known = self._union([r.where("fresh").select("h1", "h2") for r in self.runs()])
-            seen = own.join(known.hint("merge"), ["h1", "h2"], "left_semi")
-            new = new.unionByName(seen.withColumn("fresh", F.lit(False)))
-        run = self._write(new)
+        own = batch.groupBy("h1", "h2").agg(F.sum(F.col("first").cast("long")).alias("n_docs"), F.max("d").alias("max_doc"))
+        if not self.runs():
+            run = self._store(own.withColumn("fresh", F.lit(True)))
+        else:
+            own = self._store(own)
+            with ordered_scans(self.spark):
+                new = self.unseen(own).withColumn("fresh", F.lit(True))
+                for earlier in self.runs():
+                    seen = own.join(self._keys(earlier), ["h1", "h2"], "left_semi")
+                    new = new.unionByName(seen.withColumn("fresh", F.lit(False)))
+                run = self._store(new)
         self.levels[0].append(run)
         self._compact()
         return run
@@ -99,11 +145,18 @@ class LineRuns:
             out = out.unionByName(f)
         return out
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        if len(runs) == 1:
-            return runs[0]
-        return self._union(runs).groupBy("h1", "h2").agg(
-            F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("fresh").alias("fresh"))
+    @staticmethod
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        """One run of several, by full merge joins: of the first two as their files are, then
+        of the result, which is dealt by hash again, with the next."""
+        out = runs[0]
+        for i, run in enumerate(runs[1:]):
+            other = run.select("h1", "h2", F.col("n_docs").alias("n2"), F.col("max_doc").alias("m2"), F.col("fresh").alias("f2"))
+            out = out.join(other.hint("merge"), ["h1", "h2"], "full").select(
+                "h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n_docs"),
+                F.greatest("max_doc", "m2").alias("max_doc"),
+                (F.coalesce("fresh", F.lit(False)) | F.coalesce("f2", F.lit(False))).alias("fresh"))
+        return out
 
     def _compact(self) -> None:
         k = 0
@@ -111,7 +164,8 @@ class LineRuns:
             if len(self.levels[k]) >= self.fanout:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(self._write(self._merged(self.levels[k])))
+                with ordered_scans(self.spark):
+                    self.levels[k + 1].append(self._store(self._merged(self.levels[k])))
                 self.levels[k] = []
             k += 1
 
@@ -145,6 +199,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for b in range(batches):
         runs.add(hashes.where(F.col("batch") == b))
     listed = stage(runs.totals().where(F.col("n_docs") >= min_docs), f"{path}/listed")
+    runs.forget()
     # positions of the lines to drop; a common line is split by the skew join
     drops = (hashes.join(listed, ["h1", "h2"]).where("d <> max_doc")
              .groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone")))

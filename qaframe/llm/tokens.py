@@ -22,10 +22,12 @@ bounded in bytes: two generations, the older goes when the younger is full.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
 from array import array
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ _LATIN = "[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"    # bu
 _WORDS = re.compile(f"({_LATIN})([{MARKS}]?)(?:\n({_LATIN})([{MARKS}]?))?").fullmatch
 SIGN = "\ue000"                  # a private-use character, put between chunks
 REMEMBERED_BYTES = 48 << 20      # of one generation
-SEEN_BITS = 23                   # size of the filter of chunks met once: 2 ** SEEN_BITS marks
+SEEN_BITS = 22                   # size of the filter of chunks met once: 2 ** SEEN_BITS marks
 _ENTRY = 240                     # bytes of a remembered chunk besides its text and ids
 # characters that byte-level vocabularies write for bytes: printable ones for themselves, the others from 256 on
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -104,12 +106,6 @@ class ChunkEncoder:
             data = ids.tobytes()
             yield from [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
 
-    def _word(self, word: str, space: str) -> bytes:
-        """Ids of one pre-token of plain letters, by the library's model itself."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return array("I", [t.id for t in self.model.tokenize(space + word)]).tobytes()
-
     def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of " " + chunk.
 
@@ -119,26 +115,30 @@ class ChunkEncoder:
         more than the model."""
         out: dict[str, bytes] = {}
         rest = []
+        tokenize, marks, lower = self.model.tokenize, self.marks, self.word_end
+        space, newline = ("", b"") if lower else ("\u0120", marks["\n"])
         words: dict[str, bytes] = {}
+        known = words.get
 
-        def ids_of(word: str, space: str) -> bytes:
-            found = words.get(space + word)
+        def word(w: str, lead: str) -> bytes:
+            found = known(lead + w)
             if found is None:
-                found = words[space + word] = self._word(word, space)
+                plain = w.lower() if lower else w
+                if not w.isascii():
+                    plain = plain.encode().decode("latin-1").translate(_BYTE_CHARS)
+                found = words[lead + w] = array("I", [t.id for t in tokenize(lead + plain)]).tobytes()
             return found
 
-        space = "" if self.word_end else "\u0120"
-        end = b"" if self.word_end else self.marks["\n"]
         for c in chunks:
+            if c.isalpha() and c.isascii():
+                out[c] = word(c, space)
+                continue
             m = _WORDS(c)
             if m is None:
                 rest.append(c)
                 continue
-            first, mark, second, mark2 = m.groups() if not self.word_end else [g and g.lower() for g in m.groups()]
-            ids = ids_of(first, space) + self.marks[mark]
-            if second:
-                ids += end + ids_of(second, "") + self.marks[mark2]
-            out[c] = ids
+            first, mark, second, mark2 = m.groups()
+            out[c] = word(first, space) + marks[mark] + (newline + word(second, "") + marks[mark2] if second else b"")
         joined = rest
         if not self.word_end:
             alone = [c for c in rest if not c or c[0].isspace() or c[-1].isspace()]
@@ -169,9 +169,10 @@ class ChunkEncoder:
         again = self.seen[h]
         self.seen[h] = True
         self.marked += len(h) - int(again.sum())
-        for (c, ids), hit in zip(found.items(), again.tolist()):
-            size = _ENTRY + 2 * len(c) + len(ids)
-            if hit and size <= self.remembered // 1024:
+        deque(map(self.young.__delitem__, itertools.compress(found, ~again)), maxlen=0)
+        for c in itertools.compress(found, again):
+            size = _ENTRY + 2 * len(c) + len(found[c])
+            if size <= self.remembered // 1024:
                 self.size += size
             else:
                 del self.young[c]

@@ -9,7 +9,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from qaframe.llm.line_dedup import LineRuns, line_dedup, line_hashes
+from qaframe.llm.line_dedup import LineRuns, line_dedup, line_hashes, ordered_scans
 from qaframe.llm.quality import QualityRules, _repeats, quality
 from qaframe.llm.sharding import shard_by_bytes
 
@@ -164,6 +164,23 @@ def test_line_runs_are_levelled(make_docs, spark, tmp_path):
     assert runs.totals().agg(F.sum("n_docs")).first()[0] == hashes.where("first").count()
 
 
+def test_runs_are_joined_as_they_are(make_docs, spark, tmp_path):
+    """Neither the anti joins of a batch nor the merge of two runs shuffles or sorts a run again."""
+    hashes = line_hashes(make_docs(line_rows()), "doc_id", "text", 20).cache()
+    runs = LineRuns(spark, f"{tmp_path}/runs", fanout=9)
+    for b in range(3):
+        runs.add(hashes.where(F.pmod("d", F.lit(3)) == b))
+    batch = runs._store(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("d").alias("max_doc")))
+    with ordered_scans(spark):
+        for frame, joins in ((runs.unseen(batch), 3), (runs._merged(runs.runs()[:2]), 1)):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == joins and "Exchange" not in plan and "Sort [" not in plan
+        assert runs.unseen(batch).count() == 0
+    names = list(runs.tables)
+    runs.forget()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
 def test_line_totals_follow_the_anti_join(make_docs, spark, tmp_path, monkeypatch):
     """A hash is listed by the row that brought it in as new; without the anti-join
     every batch brings its hashes in, and the totals show it."""
