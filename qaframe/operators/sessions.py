@@ -46,14 +46,25 @@ def after_last_clear(messages: DataFrame, is_clear, session: str = "session_id",
             .drop("_clear", "_last_clear"))
 
 
-def completed_pairs(messages: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:
+def completed_pairs(messages: DataFrame, session: str = "session_id", seq: str = "seq", block: int = 4096) -> DataFrame:
     """Messages of completed exchanges: a user message and the assistant message
-    that follows it.  Questions without an answer are never remembered."""
-    w = Window.partitionBy(session).orderBy(seq)
-    m = messages.withColumn("_next", F.lead("role").over(w)).withColumn("_before", F.lag("role").over(w))
-    asked = (F.col("role") == "user") & (F.col("_next") == "assistant")
-    answered = (F.col("role") == "assistant") & (F.col("_before") == "user")
-    return m.where(asked | answered).drop("_next", "_before")
+    that follows it.  Questions without an answer are never remembered.
+
+    Neighbours are found inside ranges of `block` sequence numbers; across their ends
+    by one row per range (its first and last role, an aggregate).  So a long session
+    is many tasks, and only its ranges, not its messages, meet in one."""
+    m = messages.withColumn("_block", F.floor(F.col(seq) / block))
+    role = F.struct(F.col("role").alias("r"))            # a null role is a neighbour too
+    ends = m.groupBy(session, "_block").agg(F.min_by(role, seq).alias("_first"), F.max_by(role, seq).alias("_last"))
+    ranges = Window.partitionBy(session).orderBy("_block")
+    ends = ends.select(session, "_block", F.lead("_first").over(ranges).alias("_after"), F.lag("_last").over(ranges).alias("_prior"))
+    inside = Window.partitionBy(session, "_block").orderBy(seq)
+    m = m.withColumn("_next", F.lead(role).over(inside)).withColumn("_before", F.lag(role).over(inside))
+    m = m.join(ends, [session, "_block"])
+    after, before = F.coalesce("_next", "_after")["r"], F.coalesce("_before", "_prior")["r"]
+    asked = (F.col("role") == "user") & (after == "assistant")
+    answered = (F.col("role") == "assistant") & (before == "user")
+    return m.where(asked | answered).select(*messages.columns)
 
 
 def lookup_history(requests: DataFrame, memory: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as X
-from ..operators import ann, batches, bpe, chunking, ids, prep, retrieval, search, sessions, vectors
+from ..operators import ann, batches, bpe, chunking, ids, prep, retrieval, search, sessions, sparse, vectors
 from ..sources import corpus as src
 from ..sources import points as pts_src
 from ..sources.versioned import Collection
@@ -241,11 +241,11 @@ def questions_df(spark, sf_dir) -> DataFrame:
 MAX_BROADCAST_HITS = 1_000_000       # 32 bytes each
 
 
-def hits_df(spark, sf_dir) -> DataFrame:
+def hits_df(spark, sf_dir, find=search.search_topk) -> DataFrame:
     """Top-5 chunks per benchmark question (floor 0.45) with their payload."""
     pts = points_df(spark, sf_dir)
     asked = questions_df(spark, sf_dir)
-    top = search.search_topk(asked, pts, C.TOP_K, C.FLOOR, key="chunk_id")
+    top = find(asked, pts, C.TOP_K, C.FLOOR, key="chunk_id")
     # at most k rows per question: the payload of a large index is not shuffled for them
     if asked.count() * C.TOP_K <= MAX_BROADCAST_HITS:
         top = F.broadcast(top)
@@ -359,6 +359,13 @@ def search_chunks(spark, sf_dir):
     return h.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score", "sample_id", "chunk_type")
 
 
+@query("search_topk_sparse")
+def search_topk_sparse(spark, sf_dir):
+    """search_chunks by inverted lists."""
+    h = hits_df(spark, sf_dir, sparse.search_sparse)
+    return h.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score", "sample_id", "chunk_type")
+
+
 @query("dedup_hits")
 def dedup_hits(spark, sf_dir):
     d = retrieval.dedup_hits(hits_df(spark, sf_dir))

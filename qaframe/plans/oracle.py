@@ -377,6 +377,8 @@ FROM ({ORACLE["search_vectors"]})"""
 
 ORACLE["search_chunks"] = with_hits("SELECT query_id, rank, id, score, sample_id, chunk_type FROM hits")
 
+ORACLE["search_topk_sparse"] = ORACLE["search_chunks"]
+
 ORACLE["dedup_hits"] = with_hits("SELECT query_id, sample_id, id, score, rank FROM dedup")
 
 ORACLE["build_context"] = with_hits("SELECT query_id, context FROM context", CONTEXT_CTE)

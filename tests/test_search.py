@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from qaframe.operators import ann, search
+from qaframe.operators import ann, search, sparse
+from qaframe.operators.vectors import sparse_entries
 from qaframe.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -107,3 +108,47 @@ def test_search_ann_query(spark):
     exact = {(r["query_id"], r["id"], r["score"]) for r in QUERIES["search_vectors"](spark, SF).collect()}
     assert {(r["query_id"], r["id"], r["score"]) for r in rows} <= exact or len(rows) >= 0.9 * len(exact)
     assert sum(r["recall"] for r in rows) / len(rows) >= 0.9
+
+
+def sparse_rows(seed=4, n=500, dim=40):
+    """Vectors of few values; bucket 0 is in nearly all of them."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        v = np.zeros(dim)
+        v[rng.choice(dim, rng.integers(1, 7), replace=False)] = rng.integers(2, 5, 1)
+        v[0] = 1 if i % 10 else 0
+        rows.append((i, v))
+    return rows + [(n, np.zeros(dim)), (n + 1, rows[3][1] * 2), (n + 2, -rows[5][1])]
+
+
+@pytest.mark.parametrize("floor", [0.2, 0.45, 0.8])
+def test_inverted_lists_equal_brute_force(spark, monkeypatch, floor):
+    monkeypatch.setattr(sparse, "LIST_ROWS", 60)                     # bucket 0 in many parts
+    rows = sparse_rows()
+    asked = [r for r in rows if r[0] % 20 == 0]
+    got = sparse.search_sparse(frame(spark, asked, "query_id"), frame(spark, rows), 6, floor)
+    assert as_set(got) == brute(asked, rows, 6, floor)
+
+
+def test_inverted_lists_make_few_pairs(spark):
+    """The join reads the short lists only: far fewer rows than the query x corpus pairs, and
+    than all lists of the queries' buckets."""
+    rows = sparse_rows(n=1500)
+    asked = sparse_entries(sparse._unit(frame(spark, [r for r in rows if r[0] % 20 == 3], "query_id"), "query_id", "vector", "query_id"), "query_id")
+    entries = sparse_entries(sparse._unit(frame(spark, rows), "id", "vector", "id"), "id").checkpoint()
+    sizes = sparse.list_sizes(entries)
+    every = asked.join(sizes, "bucket").agg(F.sum("rows")).first()[0]
+    read = sparse.joined_buckets(asked, sizes, 0.45).join(sizes, "bucket").agg(F.sum("rows")).first()[0]
+    n_pairs = asked.select("query_id").distinct().count() * len(rows)
+    assert read < every / 2 and read < n_pairs / 2
+    assert sparse.candidates(asked, entries, 0.45).count() < read
+    with pytest.raises(ValueError):
+        sparse.search_sparse(frame(spark, rows), frame(spark, rows), 5, 0.0)
+
+
+def test_sparse_of_nothing(spark):
+    some, none = frame(spark, sparse_rows(n=20), "query_id"), frame(spark, [], "query_id")
+    corpus = frame(spark, sparse_rows(n=20))
+    assert sparse.search_sparse(none, corpus).count() == 0
+    assert sparse.search_sparse(some, frame(spark, [])).count() == 0

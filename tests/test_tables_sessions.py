@@ -216,3 +216,23 @@ def test_titles(spark):
     m = spark.createDataFrame([("s", 1, "user", "x" * 40), ("s", 3, "user", "late")],
                               "session_id string, seq long, role string, content string")
     assert sessions.titles(m).first()["title"] == "x" * 28 + "…"
+
+
+def test_completed_pairs_across_ranges(spark):
+    """Pairs do not depend on where the sequence ranges end; gaps and null roles included."""
+    import random
+    rng = random.Random(4)
+    rows = []
+    for k in ("a", "b", "c"):
+        for q in sorted(rng.sample(range(400), 120)):
+            rows.append((k, q, rng.choice(["user", "assistant", "assistant", "system", None]), f"{k}{q}"))
+    df = spark.createDataFrame(rows, "session_id string, seq long, role string, content string").repartition(5)
+    want = set()
+    for k in ("a", "b", "c"):
+        own = [r for r in rows if r[0] == k]
+        for x, y in zip(own, own[1:]):
+            if (x[2], y[2]) == ("user", "assistant"):
+                want |= {x[3], y[3]}
+    for block in (1, 7, 4096):
+        out = sessions.completed_pairs(df, block=block)
+        assert out.columns == df.columns and {r["content"] for r in out.collect()} == want
