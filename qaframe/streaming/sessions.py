@@ -27,6 +27,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import constants as C
 from ..session import scratch_dir
+from ..sources.corpus import stream_table
 
 OUT = T.StructType([
     T.StructField("session_id", T.StringType()),
@@ -130,12 +131,12 @@ def event_memory_stream(events: DataFrame, n: int = C.SESSION_MEMORY, delay: str
             .applyInPandasWithState(_event_memory_fn(n, idle_ms), OUT, EVENT_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
-def _run(spark: SparkSession, source_dir: str, file_glob: str, schema: T.StructType, snapshots) -> str:
+def _run(spark: SparkSession, source_dir: str, file_glob: str, schema: T.StructType, snapshots,
+         per_trigger: int | None = 1) -> str:
     """Run a stream over the files present now into a Parquet sink; returns its folder
     (`out` and `checkpoint`) under the shared checkpoint folder."""
     base = scratch_dir(spark, "session-stream")
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", 1).parquet(source_dir))
+    src = stream_table(spark, source_dir, file_glob, schema, per_trigger)
     q = (snapshots(src).writeStream.format("parquet").option("checkpointLocation", base + "/checkpoint")
          .option("path", base + "/out").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -150,9 +151,10 @@ def run_memory_stream(spark: SparkSession, source_dir: str, file_glob: str, sche
 
 
 def run_event_memory_stream(spark: SparkSession, source_dir: str, file_glob: str, schema: T.StructType, to_events,
-                            n: int, **params) -> DataFrame:
-    """The same in event time."""
-    base = _run(spark, source_dir, file_glob, schema, lambda src: event_memory_stream(to_events(src), n, **params))
+                            n: int, per_trigger: int | None = 1, **params) -> DataFrame:
+    """The same in event time.  Files that are not in the order of time have to come in one
+    trigger (`per_trigger` None), or the watermark of the first ones drops rows of the others."""
+    base = _run(spark, source_dir, file_glob, schema, lambda src: event_memory_stream(to_events(src), n, **params), per_trigger)
     return latest_snapshot(spark.read.schema(OUT).parquet(base + "/out"))
 
 
@@ -185,8 +187,7 @@ def run_session_count(spark: SparkSession, source_dir: str, file_glob: str, sche
     Every trigger writes its sketch under its number; a trigger that runs again
     writes the same one."""
     base = scratch_dir(spark, "session-count")
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", 1).parquet(source_dir))
+    src = stream_table(spark, source_dir, file_glob, schema)
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).coalesce(1).write.mode("overwrite").parquet(f"{base}/sketches/{epoch:09d}")

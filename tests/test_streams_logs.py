@@ -146,3 +146,28 @@ def test_chunk_ids_without_moving_chunks(spark, monkeypatch):
     rows = p.select("chunk_id", "sample_id").orderBy("chunk_id").collect()
     assert [r["chunk_id"] for r in rows] == list(range(len(rows)))
     assert [r["sample_id"] for r in rows] == sorted(r["sample_id"] for r in rows)
+
+
+@pytest.fixture(scope="module")
+def folder_tables(spark, tmp_path_factory):
+    """The tables as folders of three files each."""
+    d = str(tmp_path_factory.mktemp("folders"))
+    for t in ("documents", "conversations", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(60).repartition(3).write.parquet(f"{d}/{t}.parquet")
+    return d
+
+
+@pytest.mark.parametrize("stream,batch", [("session_count_stream", None), ("session_state_lookup", "session_lookup"),
+                                          ("session_memory_stream", "session_memory"),
+                                          ("session_memory_events_stream", "session_memory_events"),
+                                          ("index_stream", "chunks")])
+def test_streams_over_tables_that_are_folders(spark, folder_tables, stream, batch):
+    """A table of several files in a folder is read as one file is."""
+    got = catalog.QUERIES[stream](spark, folder_tables)
+    if batch is None:
+        assert got.first().n_sessions > 0 and got.first().within_bound
+        return
+    want = catalog.QUERIES[batch](spark, folder_tables)
+    both = [c for c in want.columns if c in got.columns]
+    rows = lambda df: sorted(map(repr, df.select(*both).collect()))
+    assert rows(got) == rows(want) and got.count() > 0
