@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,13 +71,14 @@ def score_blocks(Q: np.ndarray, batches, k: int, decimals: int) -> tuple[np.ndar
     return best
 
 
-def _matrix(series: pd.Series, dim: int) -> np.ndarray:
+def _matrix(vectors: pd.Series | pa.Array, dim: int) -> np.ndarray:
     """Unit rows (zero vectors stay zero); a vector of another size is an error."""
-    if len(series) == 0:
+    if len(vectors) == 0:
         return np.zeros((0, dim))
-    if any(v is None or len(v) != dim for v in series):
+    column = vectors if isinstance(vectors, pa.Array) else pa.array(vectors, pa.list_(pa.float64()))
+    if column.null_count or (column.value_lengths().to_numpy(zero_copy_only=False) != dim).any():
         raise ValueError(f"a vector has not the declared size {dim}; list them with vectors.contract_status")
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     n = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
@@ -84,13 +86,13 @@ def _matrix(series: pd.Series, dim: int) -> np.ndarray:
 def search_topk(queries: DataFrame, corpus: DataFrame, k: int = C.TOP_K, floor: float | None = C.FLOOR,
                 query_key: str = "query_id", query_vec: str = "vector", key: str = "id",
                 vec: str = "vector", decimals: int = 6, max_block_bytes: int = MAX_BLOCK_BYTES,
-                dim: int = C.HASH_DIM) -> DataFrame:
+                dim: int = C.HASH_DIM, score=score_blocks) -> DataFrame:
     """Top-k corpus rows per query by cosine; a zero vector scores 0.
 
     `dim` is the collection's declared size: a null vector or one of another
     size on either side is an error, never left out.  Returns (query_id, id,
     score, rank); rank starts at 1.  `floor` is applied after the top-k cut, as
-    in the original search."""
+    in the original search.  `score` finds a task's best rows (as `score_blocks` does)."""
     spark = queries.sparkSession
     q = queries.select(F.col(query_key).cast("long").alias("query_id"),
                        F.col(query_vec).cast("array<double>").alias("qv"))
@@ -101,20 +103,22 @@ def search_topk(queries: DataFrame, corpus: DataFrame, k: int = C.TOP_K, floor:
     if stats["wrong"]:
         raise ValueError(f"{stats['wrong']} queries have not the declared size {dim}")
     if n_q == 0:
-        return spark.createDataFrame([], PARTIAL_SCHEMA.add("rank", T.IntegerType(), False))
+        return spark.createDataFrame([], T.StructType([*PARTIAL_SCHEMA.fields, T.StructField("rank", T.IntegerType(), False)]))
     n_blocks = max(1, -(-n_q * dim * 8 // max_block_bytes))
 
     def ranked(block: pd.DataFrame):
         """Top-k of one query block, and its broadcast: the corpus is read where it is."""
         bc = spark.sparkContext.broadcast((block["query_id"].to_numpy(np.int64), _matrix(block["qv"], dim)))
 
-        def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def partial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, Q = bc.value
-            batches = ((pdf["id"].to_numpy(np.int64), _matrix(pdf["cv"], dim)) for pdf in it)
-            query, found, scores = score_blocks(Q, batches, k, decimals)
-            yield pd.DataFrame({"query_id": ids[query], "id": found, "score": scores})
+            batches = ((rows.column("id").to_numpy(zero_copy_only=False).astype(np.int64), _matrix(rows.column("cv"), dim))
+                       for rows in it)
+            query, found, scores = score(Q, batches, k, decimals)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(found), pa.array(scores)],
+                                             names=["query_id", "id", "score"])
 
-        return rank_hits(c.mapInPandas(partial, PARTIAL_SCHEMA), k, floor), bc
+        return rank_hits(c.mapInArrow(partial, PARTIAL_SCHEMA), k, floor), bc
 
     if n_blocks == 1:
         return ranked(q.toPandas())[0]

@@ -9,21 +9,33 @@ of the other, shorter lists, which are joined.  What a candidate has scored ther
 plus the most that the rest can still give (by Cauchy and Schwarz, from what is left
 of both unit vectors), must reach the floor; only these pairs are scored in full.
 
-No query x corpus pairs are made: pairs come from the joined lists alone.  A list is cut
-into parts of about `LIST_ROWS` vectors, each with the queries that ask for it, so a
+`search_sparse` does that inside the tasks: a slice of corpus rows is turned into its
+lists (the columns of a matrix), these bounds are taken from the slice's own list
+lengths and largest weights, and what a slice's lists have found is scored in full at
+once.  Neither entries nor candidate pairs are rows of a shuffle; only a task's best k
+a query are.  In few dimensions, where a list holds most vectors, the pairs of a join
+would be nearly all pairs, many times over.
+
+`candidates` is the same by joins, for entries that are not kept as vectors.  A list is
+cut into parts of about `LIST_ROWS` vectors, each with the queries that ask for it, so a
 bucket that nearly all vectors share is many units of work.
 """
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from . import search
 from .search import rank_hits
-from .vectors import l2_normalize, sparse_entries
+from .vectors import l2_normalize
 
 LIST_ROWS = 1_000_000
+FULL_SCORES = 65_536       # pairs scored in full at once
 SLACK = 1e-6               # bounds are kept this much below the floor: scores are rounded
 
 
@@ -68,16 +80,50 @@ def candidates(asked: DataFrame, entries: DataFrame, floor: float) -> DataFrame:
     return sums.where(most >= floor - SLACK).select("query_id", "id")
 
 
+def score_lists(Q: np.ndarray, batches, k: int, decimals: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of every query (a row of `Q`) above the floor over a stream of (ids, matrix)
+    batches, by the lists of slices of rows."""
+    best = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+    for ids, M in batches:
+        found = [best]
+        for lo in range(0, len(ids), search.ROW_SLICE):
+            rows = M[lo:lo + search.ROW_SLICE]
+            longest_first = np.argsort(-(rows != 0).sum(axis=0), kind="stable")
+            lists = rows[:, longest_first]
+            squares, top = lists * lists, np.abs(lists).max(axis=0)
+            for a in range(0, len(Q), search.QUERY_SLICE):
+                W = Q[a:a + search.QUERY_SLICE][:, longest_first]
+                length, most = np.sqrt(np.cumsum(W * W, axis=1)), np.cumsum(np.abs(W) * top, axis=1)
+                needed = (W != 0) & (np.minimum(length, most) >= floor - SLACK)
+                rest = np.where((W != 0) & ~needed, length, 0.0).max(axis=1)
+                known = squares @ needed.T.astype(np.float64)
+                bound = lists @ (W * needed).T + rest * np.sqrt(np.maximum(0.0, 1 - known))
+                r, c = np.nonzero((known > 0) & (bound >= floor - SLACK))
+                scores = np.empty(len(r))
+                for i in range(0, len(r), FULL_SCORES):          # bounded copies of both sides
+                    part = slice(i, i + FULL_SCORES)
+                    scores[part] = np.einsum("ij,ij->i", rows[r[part]], Q[a + c[part]])
+                scores = np.round(scores, decimals)
+                hit = scores >= floor
+                found.append((c[hit] + a, ids[lo + r[hit]], scores[hit]))
+        best = search.best_k(*map(np.concatenate, zip(*found)), k)
+    return best
+
+
 def search_sparse(queries: DataFrame, corpus: DataFrame, k: int = C.TOP_K, floor: float = C.FLOOR,
                   query_key: str = "query_id", query_vec: str = "vector", key: str = "id", vec: str = "vector",
                   decimals: int = 6) -> DataFrame:
     """(query_id, id, score, rank): the rows of the exact search with this floor, which must
-    be above zero (a vector without a bucket in common scores 0)."""
+    be above zero (a vector without a bucket in common scores 0).  Rows without a key, and
+    vectors that are null, hold a null or have another size than the queries', have no hits."""
     if floor <= 0:
         raise ValueError("inverted lists need a floor above zero")
-    asked, rows = _unit(queries, query_key, query_vec, "query_id"), _unit(corpus, key, vec, "id")
-    pairs = candidates(sparse_entries(asked, "query_id"), sparse_entries(rows, "id"), floor)
-    both = (pairs.join(rows, "id").join(asked.withColumnRenamed("vector", "q"), "query_id")
-            .select("query_id", "id", F.round(F.aggregate(
-                F.zip_with("vector", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), decimals).alias("score")))
-    return rank_hits(both.where(F.col("score") >= floor), k, None)
+    def whole(df, name, v):
+        return df.where(F.col(name).isNotNull() & F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull()))
+    asked, rows = whole(queries, query_key, query_vec), whole(corpus, key, vec)
+    sizes = [r[0] for r in asked.select(F.size(query_vec)).distinct().collect()]
+    parts = [search.search_topk(asked.where(F.size(query_vec) == n), rows.where(F.size(vec) == n), k, floor, query_key,
+                                query_vec, key, vec, decimals, dim=n, score=partial(score_lists, floor=floor))
+             for n in sizes or [C.HASH_DIM]]
+    # a key that has vectors of several sizes is ranked over all of them
+    return parts[0] if len(parts) == 1 else rank_hits(reduce(DataFrame.unionByName, parts).drop("rank"), k, floor)

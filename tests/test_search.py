@@ -152,3 +152,15 @@ def test_sparse_of_nothing(spark):
     corpus = frame(spark, sparse_rows(n=20))
     assert sparse.search_sparse(none, corpus).count() == 0
     assert sparse.search_sparse(some, frame(spark, [])).count() == 0
+
+
+def test_sparse_search_makes_no_pairs(spark):
+    """Neither entries nor candidates are shuffled: the plan holds no join, and a null key, a null
+    component or another size gives no hit."""
+    rows = data(seed=4)
+    got = sparse.search_sparse(frame(spark, rows[:40], "query_id"), frame(spark, rows), 5, 0.45)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    odd = spark.createDataFrame([(None, [1.0, 1.0]), (1, [1.0, None]), (2, None), (3, [1.0, 1.0]), (4, [1.0])],
+                                "id long, vector array<double>")
+    hits = sparse.search_sparse(odd.withColumnRenamed("id", "query_id"), odd, 5, 0.45)
+    assert {(r.query_id, r.id) for r in hits.collect()} == {(3, 3), (4, 4)}
