@@ -156,3 +156,33 @@ def test_template_check(spark):
 def test_math_spans(spark):
     df = spark.createDataFrame([("a $$x$$ b $y$ \\[z\\] \\(w\\)",)], "t string")
     assert df.select(X.math_spans("t").alias("m")).first()["m"] == ["$$x$$", "$y$", "\\[z\\]", "\\(w\\)"]
+
+
+def test_long_texts_are_handled_in_slices(spark, monkeypatch):
+    """A batch is cut into slices of bounded bytes, a null and a text beyond the bound among them;
+    windows and steps are those of the whole batch."""
+    import pyarrow as pa
+    column = pa.array(["a" * 30, None, "b" * 30, "", "c" * 500, "d"])
+    assert X.row_slices(column, 64) == [(0, 4), (4, 1), (5, 1)]
+    assert X.row_slices(column.slice(2), 64) == [(0, 2), (2, 1), (3, 1)]
+    assert X.row_slices(column.slice(0, 0), 64) == [(0, 0)]
+    rng = random.Random(9)
+    words = ["one", "two. ", "Bước 2: ", "x", "\nVậy "]
+    texts = [None, ""] + [" ".join(rng.choice(words) for _ in range(rng.randrange(400))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "sample_id long, response string").coalesce(1)
+
+    def results():
+        steps = sorted(map(tuple, chunking.final_steps(df).collect()))
+        return steps, sorted(map(tuple, chunking.text_windows(df, "sample_id", "response").collect()))
+    whole = results()
+    cut = X.row_slices                        # pickled with the UDF by value: workers see it
+    monkeypatch.setattr(X, "row_slices", lambda column: cut(column, 2000))
+    assert results() == whole and len(whole[0]) > 60
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Where the session says nothing, an Arrow batch holds 16 MB at most."""
+    from qaframe.session import BATCH_BYTES, bound_batches
+    spark.conf.unset(BATCH_BYTES)
+    bound_batches(spark)
+    assert int(spark.conf.get(BATCH_BYTES)) == 16 * 1024 * 1024
