@@ -66,19 +66,23 @@ def chunk_samples(df: DataFrame, query: str = "query", response: str = "response
     step_idx (solutions only), text, math_type, query_ref, and the columns to carry."""
     carry = carry or []
     d = with_steps(df.select("sample_id", query, response, math_type, *carry), response, window, overlap, min_part)
-    d = d.withColumn("_chunks", chunk_array(query, response, "_steps", full_max, ref_max))
+    return chunk_steps(d, query, response, math_type, full_max, ref_max, carry)
+
+
+def chunk_steps(steps: DataFrame, query: str = "query", response: str = "response", math_type: str = "math_type",
+                full_max: int = C.FULL_MAX, ref_max: int = C.QUERY_REF_MAX, carry: list[str] | None = None) -> DataFrame:
+    """`chunk_samples` of samples that have their steps (`with_steps`)."""
+    carry = carry or []
+    d = steps.withColumn("_chunks", chunk_array(query, response, "_steps", full_max, ref_max))
     return (X.explode_rows(d, ["sample_id", F.col(math_type).alias("math_type"), *carry], F.col("_chunks"), "chunk_pos", "c")
             .select("sample_id", F.col("chunk_pos").cast("int").alias("chunk_pos"),
                     "c.chunk_type", "c.step_idx", "c.text", "math_type", "c.query_ref", *carry))
 
 
-def chunk_counts(df: DataFrame, query: str = "query", response: str = "response", window: int = C.WINDOW,
-                 overlap: int = C.OVERLAP, min_part: int = C.MIN_PART) -> DataFrame:
-    """(sample_id, n): the number of chunks of every sample, without making their texts."""
-    d = with_steps(df.select("sample_id", query, response), response, window, overlap, min_part)
+def chunk_count(query: str = "query", response: str = "response", steps_col: str = "_steps") -> Column:
+    """The size of `chunk_array`, without making the chunks' texts."""
     q, r = X.present(query), X.present(response)
-    n = q.cast("long") + F.when(r, F.size("_steps")).otherwise(0) + (q & r).cast("long")
-    return d.select("sample_id", n.alias("n"))
+    return q.cast("long") + F.when(r, F.size(steps_col)).otherwise(0) + (q & r).cast("long")
 
 
 def split_parts(df: DataFrame, response: str = "response") -> DataFrame:

@@ -1,17 +1,17 @@
 """Embedding, normalisation and vector-table checks.
 
 The default embedder is a deterministic hashed bag of words computed inside the
-row: tokens -> md5 buckets (SQL expressions) -> counts -> L2 unit vector (an Arrow
-UDF, linear in the tokens whatever the dimension).  No shuffle.  A model-backed embedder plugs in through
+row: tokens (SQL expressions) -> md5 buckets -> counts -> L2 unit vector (an Arrow
+UDF over all tokens of a batch, linear in them whatever the dimension).  No shuffle.  A model-backed embedder plugs in through
 `embed_with_model`, an Arrow iterator UDF that loads the model once per task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,24 +23,34 @@ from ..functions import text as X
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def token_buckets(text: Column, dim: int) -> Column:
-    """array<int>: the md5 bucket of every lower-case word token."""
-    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.pmod(
-        F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
+def word_tokens(text: Column) -> Column:
+    """array<string>: the lower-case word tokens, and empty strings where a text begins or ends with none."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT)
 
 
-def unit_counts(buckets: Column, dim: int) -> Column:
-    """array<double>(dim): L2-normalised counts; each token is counted once."""
-    @F.pandas_udf(T.ArrayType(T.DoubleType(), False))
-    def counts(rows: pd.Series) -> pd.Series:
-        out = []
-        for r in rows:
-            c = np.bincount(np.asarray(r, dtype=np.int64), minlength=dim).astype(np.float64)
-            n = np.sqrt((c * c).sum())
-            out.append(c / n if n > 0 else c)
-        return pd.Series(out, dtype=object)
-    return counts(buckets)
+def token_buckets(tokens: pa.Array, dim: int) -> np.ndarray:
+    """The md5 bucket of every token, -1 of an empty one; each distinct token is hashed once."""
+    coded = tokens.dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    heads = np.frombuffer(b"".join([md5(w).digest()[:4] for w in words]), ">u4") % dim
+    buckets = np.where(np.array([bool(w) for w in words], dtype=bool), heads.astype(np.int64), -1)
+    return buckets[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def unit_counts(tokens: Column, dim: int) -> Column:
+    """array<double>(dim): L2-normalised counts of the tokens' buckets; each token is counted once."""
+    @F.arrow_udf(T.ArrayType(T.DoubleType(), False))
+    def counts(column: pa.Array) -> pa.Array:
+        n = len(column)
+        flat = column.flatten()
+        buckets = token_buckets(flat, dim)
+        rows = np.repeat(np.arange(n), column.value_lengths().to_numpy(zero_copy_only=False))
+        some = buckets >= 0
+        c = np.bincount(rows[some] * dim + buckets[some], minlength=n * dim).astype(np.float64).reshape(n, dim)
+        length = np.sqrt((c * c).sum(axis=1, keepdims=True))
+        unit = np.divide(c, length, out=c, where=length > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(unit.ravel()))
+    return counts(tokens)
 
 
 def hash_embed(df: DataFrame, text: str, out: str = "vector", dim: int = C.HASH_DIM,
@@ -50,7 +60,7 @@ def hash_embed(df: DataFrame, text: str, out: str = "vector", dim: int = C.HASH_
     embedder leaves it off by default, since it adds the same token to every
     text."""
     source = F.col(text) if prefix is None else F.concat(F.lit(prefix), F.coalesce(F.col(text), F.lit("")))
-    return df.withColumn(out, unit_counts(token_buckets(source, dim), dim))
+    return df.withColumn(out, unit_counts(word_tokens(source), dim))
 
 
 def sparse_entries(df: DataFrame, key: str, vector: str = "vector") -> DataFrame:

@@ -18,7 +18,7 @@ from ..operators import ann, batches, bpe, chunking, ids, prep, retrieval, searc
 from ..sources import corpus as src
 from ..sources import points as pts_src
 from ..sources.versioned import Collection
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -201,15 +201,20 @@ MAX_BROADCAST_STARTS = 1_000_000     # 16 bytes each
 def build_points(spark, sf_dir) -> DataFrame:
     """The chunk index: dense chunk ids, hashed vectors, payload columns.
 
-    An id is the start of its sample plus the chunk's place in it.  The starts come
-    from one narrow row per sample and are joined to the samples before these are
-    chunked: neither chunks nor vectors move."""
-    qa = qa_vi(spark, sf_dir)
-    counts = chunking.chunk_counts(qa)
-    starts = ids.prefix_starts(counts, ["sample_id"], "n").drop("n").checkpoint()
+    An id is the start of its sample plus the chunk's place in it.  The samples are cut
+    into steps once, and written with them.  The starts come from one narrow row per
+    sample and are joined to the samples before these are chunked: neither chunks nor
+    vectors move."""
+    docs = src.spread_wide(src.read_table(spark, sf_dir, "documents"), "doc_id")
+    qa = src.project_lang(src.qa_from_documents(docs), "vi")
+    path = scratch_dir(spark, "index-steps")
+    (chunking.with_steps(qa.select("sample_id", "query", "response", "math_type"))
+     .withColumn("n", chunking.chunk_count()).write.parquet(path))
+    cut = spark.read.parquet(path)
+    starts = ids.prefix_starts(cut.select("sample_id", "n"), ["sample_id"], "n").drop("n").checkpoint()
     if starts.count() <= MAX_BROADCAST_STARTS:
         starts = F.broadcast(starts)
-    pts = vectors.hash_embed(chunking.chunk_samples(qa.join(starts, "sample_id"), carry=["start"]), "text", "vector")
+    pts = vectors.hash_embed(chunking.chunk_steps(cut.join(starts, "sample_id"), carry=["start"]), "text", "vector")
     return pts.select((F.col("start") + F.col("chunk_pos")).alias("chunk_id"), "vector", "sample_id", "chunk_type",
                       "step_idx", "text", "math_type", "query_ref")
 
@@ -880,7 +885,7 @@ def index_stream_table(spark, sf_dir, base: str, checkpoint: str, files: str = "
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{files}").schema
     stream = src.stream_table(spark, sf_dir, files, schema)
     return I.run_index_stream(spark, stream, base + "/points", base + f"/{checkpoint}",
-                              lambda b: src.project_lang(src.qa_from_documents(src.spread(b, "doc_id")), "vi"),
+                              lambda b: src.project_lang(src.qa_from_documents(src.spread_wide(b, "doc_id")), "vi"),
                               n_buckets=16, name=checkpoint, on_batch=on_batch)
 
 

@@ -171,3 +171,42 @@ def test_streams_over_tables_that_are_folders(spark, folder_tables, stream, batc
     both = [c for c in want.columns if c in got.columns]
     rows = lambda df: sorted(map(repr, df.select(*both).collect()))
     assert rows(got) == rows(want) and got.count() > 0
+
+
+def test_stream_batches_are_dealt_to_all_cores(spark, tmp_path):
+    """A batch is a file, which may be one row group, that is one task of chunking and embedding."""
+    from qaframe.session import TEXT_PARTITIONS
+    from qaframe.sources import corpus
+    spark.range(100).selectExpr("id doc_id", "cast(id as string) text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    before = spark.conf.get(TEXT_PARTITIONS)
+    spark.conf.set(TEXT_PARTITIONS, "0")
+    try:
+        wide = corpus.spread_wide(docs, "doc_id")
+        assert wide.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+        assert wide.select(F.spark_partition_id().alias("p")).distinct().count() > spark.sparkContext.defaultParallelism
+        assert sorted(r.doc_id for r in wide.collect()) == list(range(100))
+        plan = catalog.build_points(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(TEXT_PARTITIONS, before)
+    assert "steps(" not in plan and "counts(" in plan        # texts are cut into steps once, before
+
+
+def test_each_distinct_token_is_hashed_once(spark, monkeypatch):
+    import hashlib
+    import pyarrow as pa
+    hashed = []
+    monkeypatch.setattr(vectors, "md5", lambda b: hashed.append(b) or hashlib.md5(b))
+    tokens = ["a", "", "été", "a", "日本", "a", "été"]
+    got = vectors.token_buckets(pa.array(tokens), 64).tolist()
+    assert got == [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 64 if t else -1 for t in tokens]
+    assert len(hashed) == len(set(hashed)) <= 4
+    monkeypatch.undo()
+    texts = [None, "", " ", "A b, B", "x" * 50, "é É e", "1 2 3 1"]
+    rows = vectors.hash_embed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t").collect()
+    for r in rows:
+        want = np.zeros(64)
+        for t in "".join(c if c.isalnum() else " " for c in (r.t or "").lower()).split():
+            want[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 64] += 1
+        n = np.sqrt((want * want).sum())
+        assert r.vector == (want / n if n else want).tolist()
