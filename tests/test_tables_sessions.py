@@ -236,3 +236,30 @@ def test_completed_pairs_across_ranges(spark):
     for block in (1, 7, 4096):
         out = sessions.completed_pairs(df, block=block)
         assert out.columns == df.columns and {r["content"] for r in out.collect()} == want
+
+
+def test_upsert_leaves_untouched_parts(spark, monkeypatch):
+    """New keys are added as parts of their own; only a part that holds a replaced key is written again."""
+    from qaframe.sources import versioned
+    table = collection(spark, "id long, p string")
+    rows = lambda lo, hi, p: spark.createDataFrame([(i, p) for i in range(lo, hi)], "id long, p string")
+    parts = lambda: {p for held in table.version().buckets.values() for p in held}
+    seen = [set()]
+    for i in range(3):
+        table.upsert(rows(40 * i, 40 * i + 40, "a"))
+        assert seen[-1] < parts()                        # nothing written before is written again
+        seen.append(parts())
+    table.upsert(rows(50, 51, "b"))
+    assert seen[1] <= parts() and len(seen[2] - parts()) == 1
+    want = sorted((i, "b" if i == 50 else "a") for i in range(120))
+    assert rows_of(table.read()) == want
+    none = spark.createDataFrame([(None, "x")], "id long, p string")
+    table.upsert(none)
+    table.upsert(none)                                   # a null key equals none
+    assert rows_of(table.read().where("id is null")) == [(None, "x")] * 2
+    monkeypatch.setattr(versioned, "MAX_PARTS", 3)
+    table.upsert(rows(200, 240, "c"))
+    assert max(map(len, table.version().buckets.values())) <= 3
+    assert rows_of(table.read().where("id is not null")) == sorted([*want, *((i, "c") for i in range(200, 240))])
+    table.vacuum(keep=1)
+    assert rows_of(table.read().where("id is not null")) == sorted([*want, *((i, "c") for i in range(200, 240))])
