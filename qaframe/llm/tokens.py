@@ -45,6 +45,7 @@ _ENTRY = 240                     # bytes of a remembered chunk besides its text
 # characters that byte-level vocabularies write for bytes: printable ones for themselves, the others from 256 on
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_CHAR_OF_BYTE = np.array([_BYTE_CHARS.get(b, b) for b in range(256)], dtype="<u2")
 _PER_PROCESS: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
@@ -52,6 +53,7 @@ class ChunkEncoder:
     def __init__(self, path: str, remembered: int = REMEMBERED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # one task, one thread
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
@@ -62,7 +64,12 @@ class ChunkEncoder:
         vocab = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocab.values()) + 1, dtype=bool)     # ids that begin with a space
         self.begins[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
+        self.closes = np.zeros(len(self.begins), dtype=bool)            # ids that end a word
+        self.closes[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
+        self.space = vocab.get("\u0120")
         self.model = self.tokenizer.model
+        self.words = Tokenizer(self.model)                              # the model alone: words between white space
+        self.words.pre_tokenizer = WhitespaceSplit()
         self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in MARKS + "\n"}
         self.marks[""] = b""
         self.remembered = remembered
@@ -106,6 +113,42 @@ class ChunkEncoder:
             data = ids.tobytes()
             yield from [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
 
+    def _encode_words(self, words: list[str], space: bool) -> dict[str, bytes]:
+        """Ids of words of Latin letters, `space`: behind a space.
+
+        Thousands go to the model in one call, parted at white space, and their ids are
+        parted by the ids themselves: the id that begins with the space, the id that ends
+        a word, or the id of the space put between words that have none.  Where the count
+        does not come out, they go to the model one by one."""
+        out: dict[str, bytes] = {}
+        for lo in range(0, len(words), 4096):
+            part = words[lo:lo + 4096]
+            plain = "/".join(part)                       # no letter, and a vocabulary character of its own
+            if self.word_end:
+                plain = plain.lower()
+            if not plain.isascii():
+                plain = _CHAR_OF_BYTE[np.frombuffer(plain.encode(), np.uint8)].tobytes().decode("utf-16-le")
+            lead = "\u0120" if space else ""
+            text = lead + plain.replace("/", f"\n{lead}" if space or self.word_end else "\n\u0120\n")
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            if space:
+                starts = np.flatnonzero(self.begins[ids])
+                ends = np.concatenate((starts[1:], [len(ids)]))
+            elif self.word_end:
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                starts = np.concatenate(([0], ends[:-1]))
+            else:
+                at = np.flatnonzero(ids == self.space)
+                starts = np.concatenate(([0], at + 1))
+                ends = np.concatenate((at, [len(ids)]))
+            if len(starts) == len(part) and (starts < ends).all() and starts[0] == 0 and ends[-1] == len(ids):
+                data = ids.tobytes()
+                out.update(zip(part, [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]))
+            else:
+                out.update((w, array("I", [t.id for t in self.model.tokenize(lead + p)]).tobytes())
+                           for w, p in zip(part, plain.split("/")))
+        return out
+
     def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of " " + chunk.
 
@@ -114,31 +157,34 @@ class ChunkEncoder:
         words go to the model of the library without its text pipeline, which costs
         more than the model."""
         out: dict[str, bytes] = {}
-        rest = []
-        tokenize, marks, lower = self.model.tokenize, self.marks, self.word_end
-        space, newline = ("", b"") if lower else ("\u0120", marks["\n"])
-        words: dict[str, bytes] = {}
-        known = words.get
-
-        def word(w: str, lead: str) -> bytes:
-            found = known(lead + w)
-            if found is None:
-                plain = w.lower() if lower else w
-                if not w.isascii():
-                    plain = plain.encode().decode("latin-1").translate(_BYTE_CHARS)
-                found = words[lead + w] = array("I", [t.id for t in tokenize(lead + plain)]).tobytes()
-            return found
-
+        rest, led, bare = [], [], []         # other chunks; words behind a space, and behind a line break
+        single, marked, lines = [], [], []   # chunks of a word, with a mark, of two lines
         for c in chunks:
             if c.isalpha() and c.isascii():
-                out[c] = word(c, space)
+                single.append(c)
                 continue
             m = _WORDS(c)
             if m is None:
                 rest.append(c)
                 continue
-            first, mark, second, mark2 = m.groups()
-            out[c] = word(first, space) + marks[mark] + (newline + word(second, "") + marks[mark2] if second else b"")
+            word = m[1]
+            led.append(word)
+            if word == c:
+                single.append(c)
+            elif m[3] is None:
+                marked.append(c)
+            else:
+                lines.append(c)
+                bare.append(m[3])
+        first = self._encode_words(list({*single, *led}), not self.word_end)
+        # a word-end vocabulary has no ids for what stands before a word
+        second = self._encode_words(list(set(bare)), False)
+        marks, newline = self.marks, b"" if self.word_end else self.marks["\n"]
+        out.update(zip(single, map(first.__getitem__, single)))
+        out.update(zip(marked, [first[c[:-1]] + marks[c[-1]] for c in marked]))
+        for c in lines:
+            a, mark, b, mark2 = _WORDS(c).groups()
+            out[c] = first[a] + marks[mark] + newline + second[b] + marks[mark2]
         joined = rest
         if not self.word_end:
             alone = [c for c in rest if not c or c[0].isspace() or c[-1].isspace()]

@@ -260,3 +260,35 @@ def test_token_queries(spark, libraries):
     for r in QUERIES["op8_packing"](spark, sf).collect():
         ids = np.array(libraries["byte_bpe_50k.json"].encode(docs[r.doc_id], add_special_tokens=False).ids + [1], "<u4")
         assert (r.ids_crc32, r.doc_tokens) == (zlib.crc32(ids[r.start:r.start + r.length].tobytes()), len(ids))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_go_to_the_model_together(libraries, name):
+    """Distinct words cost one call a thousand; where their ids cannot be parted, one call each."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZéñüĐơƒßÿ"
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 12))) for _ in range(9000)]
+    text = "a " + " ".join(w + rng.choice(["", ",", ".", "\n" + rng.choice(words), "!\n" + rng.choice(words) + "?"]) for w in words)
+    want = libraries[name].encode(text, add_special_tokens=False).ids
+
+    class Counted:
+        calls = 0
+
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, word):
+            Counted.calls += 1
+            return self.model.tokenize(word)
+
+    class Unparted:
+        def encode_batch_fast(self, texts, **options):
+            return libraries[name].encode_batch([t[:7] for t in texts], **options)
+
+    for unparted in (False, True):
+        encoder = ChunkEncoder(public_tokenizers.path(name))
+        encoder.model, Counted.calls = Counted(encoder.model), 0
+        if unparted:
+            encoder.words = Unparted()
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want
+        assert Counted.calls > 5000 if unparted else Counted.calls == 0
