@@ -210,3 +210,73 @@ def test_each_distinct_token_is_hashed_once(spark, monkeypatch):
             want[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 64] += 1
         n = np.sqrt((want * want).sum())
         assert r.vector == (want / n if n else want).tolist()
+
+
+def test_points_are_written_where_they_are_made(spark, folder_tables, monkeypatch):
+    """A batch exchanges its texts, never its points; files that nothing refers to go after each batch,
+    and parts whose points all came again are not written anew."""
+    from qaframe.sources.versioned import Collection
+    written, seen = [], []
+    write, vacuum = Collection._write, Collection.vacuum
+    monkeypatch.setattr(Collection, "_write", lambda self, rows: written.append(
+        rows._jdf.queryExecution().executedPlan().toString()) or write(self, rows))
+    monkeypatch.setattr(Collection, "vacuum", lambda self, keep=2: (vacuum(self, keep), seen.append(self))[0])
+    got = catalog.QUERIES["index_stream"](spark, folder_tables)
+    assert len(written) == len(seen) == 6                   # three files, twice
+    for plan in written:
+        assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+        assert plan.index("Exchange hashpartitioning") > plan.index("counts(")          # below the embedding
+    table = seen[-1]
+    assert len(table.versions()) == 2
+    used = {p for n in table.versions() for parts in table.version(n).buckets.values() for p in parts}
+    assert {p.split("/")[1] for p in used} == set(table.folder.names("data"))
+    assert got.count() == got.select("sample_id", "chunk_pos").distinct().count() > 0
+
+
+def test_collection_by_place(spark, tmp_path):
+    """Rows lie by a column that the key determines: replaced in part, in whole, merged."""
+    from qaframe.sources import versioned
+    from qaframe.sources.versioned import Collection
+    schema = "k string, doc long, p string"
+
+    def rows(docs, p, copies=1):
+        made = [(f"{d}:{i}" if d is not None else f"{i}", d, f"{p}{d}{c}") for d in docs for i in range(3) for c in range(copies)]
+        return spark.createDataFrame(made, schema).repartition(8, "doc")
+    table = Collection.ensure(spark, f"{tmp_path}/c", spark.createDataFrame([], schema).schema, "k", 4, "doc")
+    with pytest.raises(ValueError):
+        Collection.ensure(spark, f"{tmp_path}/c", spark.createDataFrame([], schema).schema, "k", 4)
+    want = {}
+
+    def upsert(docs, p, copies=1):
+        incoming = rows(docs, p, copies)
+        for r in points.last_by_key(incoming, "k").collect():
+            want[r["k"]] = r["p"]
+        table.upsert(incoming)
+        have = table.read().collect()
+        assert {r["k"]: r["p"] for r in have} == want and len(have) == len(want)
+    upsert([*range(20), None], "a", copies=3)
+    upsert([*range(10, 30), None], "b")
+    before = table.folder.names("data")
+    upsert([*range(10, 30), None], "c", copies=2)
+    assert len(table.folder.names("data")) == len(before) + 1       # the rows of "b" went without a write
+    table.vacuum(1)
+    assert len(table.folder.names("data")) <= 3
+    keep = versioned.BROADCAST_KEYS
+    for versioned.BROADCAST_KEYS in (0, keep):
+        upsert([3, 12], f"d{versioned.BROADCAST_KEYS}")
+    most = versioned.MAX_PARTS
+    versioned.MAX_PARTS = 2
+    try:
+        upsert(range(40, 60), "e")
+    finally:
+        versioned.MAX_PARTS = most
+    assert all(len(parts) <= 2 for parts in table.version().buckets.values())
+
+
+def test_runs_of_keys():
+    import pyarrow as pa
+    runs = lambda keys, before=None: points.begins_run(pa.array(keys, pa.string()), before).tolist()
+    assert runs(["a", "a", None, None, "b"]) == [True, False, True, False, True]
+    assert runs(["a", None], pa.array(["a"])) == [False, True]
+    assert runs([None, "a"], pa.array([None], pa.string())) == [False, True]
+    assert runs([None]) == [True]
