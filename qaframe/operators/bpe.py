@@ -16,8 +16,18 @@ A round takes as many merges as can be decided exactly:
   order: merges go on until the next one would lie behind that place, or would give a
   token that existed before the round.
 
-  Where the first pair alone is held by more words than that, as in the first rounds
-  over a large corpus, or where the list itself gives more merges, they are taken from the list itself: scan it in order.  Merging
+  Where these words are too many for a list of some length, as over a large corpus, every word is
+  cut between its symbols that are no listed pair, and only the distinct segments of two
+  symbols or more are fetched, with the sums of their words' frequencies.  They are as good
+  as the words, as long as every token of this round has been made of one pair: where two
+  tokens meet that this round has made, their neighbouring symbols of before the round are
+  one certain pair.  If this is listed all its places are inside of segments, if not the two
+  tokens meet at most as often as that pair did, and come after it at the same count, that
+  is, behind the place where the round ends.  A merge that gives a token made
+  by another pair ends the round.  The list is shortened until the segments stay within
+  `ROUND_SYMBOLS`, and made longer in the next round where they leave room.
+
+  Where even that gives fewer merges than the list itself, they are taken from the list: scan it in order.  Merging
   (x, y) changes only the pairs that end in x or begin with y, since no other pair can
   overlap an occurrence of it; accept a pair q while neither it nor its result token is
   changed by a pair accepted before it.  The first changed pair r ends the round.
@@ -27,7 +37,7 @@ A round takes as many merges as can be decided exactly:
   also makes pairs of its own result, at most half as many, which bound the round as well.
 
 The merges of a round are then applied to all words that hold one of them, in an Arrow
-UDF that finds these words by whole arrays.  Lineage is cut by `checkpoint()` into the
+UDF that cuts the words into the same segments by whole arrays and merges each distinct one once.  Lineage is cut by `checkpoint()` into the
 shared checkpoint folder every few rounds.
 
 Encoding.  Special tokens are split off first, the rest is NFKC-normalised and
@@ -39,6 +49,7 @@ broadcast; their size is bounded by the vocabulary size.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import unicodedata
@@ -48,6 +59,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,16 +95,16 @@ BYTE_ID = [CHAR_ID[c] for c in BYTE_CHARS]            # byte value -> initial id
 SPECIAL_ALT = "|".join(t.replace("[", r"\[").replace("]", r"\]").replace("/", r"\/") for t in C.SPECIAL_TOKENS)
 
 
+def _nfkc(t: str) -> str:
+    return t if t.isascii() else unicodedata.normalize("NFKC", t)
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC normalisation (no SQL built-in); Arrow batches."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def pretokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PRETOKEN_PATTERN), 0)
-
-
 _SYMBOL_OF_BYTE = np.array(BYTE_ID, dtype=np.int32)
 
 
@@ -107,17 +119,104 @@ def initial_symbols(token: Column) -> Column:
     return symbols(token)
 
 
+# the pre-token pattern for Python's `regex` module, with the Unicode white space of (?U)
+_PRETOKEN = regex.compile(PRETOKEN_PATTERN.removeprefix("(?U)").replace(r"[^\s", r"[^\p{White_Space}")
+                          .replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}"))
+_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+
+
+@functools.cache
+def _char_kinds() -> np.ndarray:
+    """The kind of every code point, as the pattern tells them apart."""
+    kinds = np.full(0x110000, _OTHER, dtype=np.uint8)
+    every = "".join(map(chr, range(0x110000)))
+    for kind, of in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
+        for m in regex.finditer(of, every):
+            kinds[m.start():m.end()] = kind
+    return kinds
+
+
+_JVM_KINDS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _jvm_kinds(spark: SparkSession) -> tuple[np.ndarray, np.ndarray]:
+    """The code points to which the JVM, by its version of Unicode, gives other kinds, and these.
+    Counting takes the JVM's kinds."""
+    if not _JVM_KINDS:
+        pattern = spark.sparkContext._jvm.java.util.regex.Pattern
+        every = "".join(chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000)
+        kinds = np.full(0x110000, _OTHER, dtype=np.uint8)
+        for kind, of in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")):
+            found = pattern.compile(f"(?U)[^{of}]+").matcher(every).replaceAll("")
+            kinds[np.frombuffer(found.encode("utf-32-le"), "<u4")] = kind
+        at = np.flatnonzero(kinds != _char_kinds())
+        _JVM_KINDS.append((at, kinds[at]))
+    return _JVM_KINDS[0]
+
+
+def cut_pretokens(texts: list[str], whole: np.ndarray | None = None,
+                  kind_of: np.ndarray | None = None) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The pre-tokens of texts, as `_PRETOKEN` finds them, and the number of each one's text.
+    Texts marked `whole` are one pre-token; `kind_of` replaces the kinds of the code points.
+
+    A pre-token begins where the kind of the characters changes; but the last one of a run of
+    white space before another character stands alone, and joins that one if it is a plain space; and an
+    apostrophe alone before certain letters takes these."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    n = len(chars)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    kinds = (_char_kinds() if kind_of is None else kind_of)[chars]
+    begins = np.ones(n + 1, dtype=bool)
+    begins[1:n] = kinds[1:] != kinds[:-1]
+    begins[starts] = True
+    opens = np.zeros(n + 1, dtype=bool)                  # first characters of texts
+    opens[starts] = opens[n] = True
+    follows = np.flatnonzero(begins[1:n] & (kinds[:-1] == _SPACE) & ~opens[1:n]) + 1
+    begins[follows - 1] = True
+    begins[follows] = chars[follows - 1] != ord(" ")
+    at = np.flatnonzero((chars[:-1] == ord("'")) & begins[:n - 1] & (kinds[1:] == _LETTER) & ~opens[1:n]) if n > 1 else np.zeros(0, np.int64)
+    if len(at):
+        one, two = chars[at + 1], chars[np.minimum(at + 2, n - 1)]
+        more = ~opens[at + 2]                            # the text goes on behind the first letter
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = more & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+        begins[at[short | long] + 1] = False
+        begins[at[short] + 2] = True
+        begins[at[long] + 3] = True
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    if whole is not None:
+        begins[:n][whole[owner] & ~opens[:n]] = False
+    first = np.flatnonzero(begins[:n])
+    width = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+    bounds = np.concatenate(([0], np.cumsum(width)))[np.append(first, n)]
+    data = "".join(texts).encode()
+    return pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(data)]), owner[first]
+
+
 def pretoken_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(token, freq) over NFKC-normalised texts; partial aggregation per task."""
-    n = texts.select(nfkc(F.col(text)).alias("_t"))
-    toks = X.explode_rows(n, [], pretokens(F.col("_t")), "_p", "token")
-    return toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    """(token, freq) over NFKC-normalised texts; counted in every slice of texts, then summed."""
+    bc = texts.sparkSession.sparkContext.broadcast(_jvm_kinds(texts.sparkSession))      # some 10,000 code points
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind_of = _char_kinds().copy()
+        kind_of[bc.value[0]] = bc.value[1]
+        for batch in batches:
+            column = batch.column(0)
+            for lo, n in X.row_slices(column):
+                found = cut_pretokens([_nfkc(t) for t in column.slice(lo, n).to_pylist() if t], kind_of=kind_of)[0].value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")],
+                                                 names=["token", "n"])
+    return texts.select(F.col(text).alias("t")).mapInArrow(counts, "token string, n long") \
+        .groupBy("token").agg(F.sum("n").alias("freq"))
 
 
 # ------------------------------------------------------------------------- learning
 
 ROUND_SYMBOLS = 12_000_000     # symbols of the words of one round, on the driver (about 40 bytes each)
 MAX_CANDIDATES = 20_000        # pairs listed in one round
+FIRST_LIST = 64                # pairs listed in the first round over segments
+SEGMENT_MEMORY = 100_000       # segments a Python worker remembers
 
 
 def merge_symbols(sym: list[int], ranks: dict, again: bool = True) -> list[int]:
@@ -192,20 +291,91 @@ def _sum_pairs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("p").agg(F.sum("c").alias("c"), F.sum("l").alias("l")).where("c > 0")
 
 
-def _merge_words(spark: SparkSession, words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """The words (s, f, l) with `old`: the symbols before this round, null where nothing changed."""
+def _segments(words: pa.Array, codes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A column of symbol arrays as one array, the number of each symbol's word, and the first and
+    last-but-one places of the segments: the longest runs of symbols of a word whose adjacent pairs
+    all are among the (sorted) codes.  Without codes every word is one."""
+    sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.ascontiguousarray(words.flatten().to_numpy(), dtype=np.int32)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    live = owner[1:] == owner[:-1]
+    if codes is not None:
+        at = np.flatnonzero(live)
+        pairs = (flat[at].astype(np.int64) << 32) | flat[at + 1]
+        live[at] = codes[np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)] == pairs
+    edge = np.diff(live.astype(np.int8), prepend=0, append=0)
+    return flat, owner, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+
+
+def _distinct(flat: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.DictionaryArray:
+    """The segments as bytes, numbered."""
+    bounds = np.concatenate(([0], np.cumsum(end - first)))
+    symbols = flat[np.repeat(first - bounds[:-1], end - first) + np.arange(bounds[-1])]
+    return pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(4 * bounds), pa.py_buffer(symbols)]) \
+        .dictionary_encode()
+
+
+def _segment_counts(words: DataFrame, codes: np.ndarray) -> DataFrame:
+    """(g, f): every distinct segment of the words (s, f), and the sum of its words' frequencies."""
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, owner, first, end = _segments(batch.column("s"), codes)
+            if len(first):
+                found = _distinct(flat, first, end)
+                freq = batch.column("f").to_numpy(zero_copy_only=False)[owner[first]]
+                sums = np.zeros(len(found.dictionary), dtype=np.int64)
+                np.add.at(sums, found.indices.to_numpy(zero_copy_only=False), freq)
+                yield pa.RecordBatch.from_arrays([found.dictionary.cast(pa.binary()), pa.array(sums)], names=["g", "f"])
+    return words.select("s", "f").mapInArrow(segments, "g binary, f long").groupBy("g").agg(F.sum("f").alias("f"))
+
+
+def _merged_words(words: pa.Array, codes: np.ndarray | None, ranks: dict, known: dict) -> pa.Array:
+    """The words after the merges, null where nothing changed; `known` remembers segments."""
+    flat, owner, first, end = _segments(words, codes)
+    found = _distinct(flat, first, end)
+    if len(known) > SEGMENT_MEMORY:
+        known.clear()
+    new = []
+    for g in found.dictionary.to_pylist():
+        if g not in known:
+            sym = np.frombuffer(g, np.int32).tolist()
+            m = merge_symbols(sym, ranks, again=False)
+            known[g] = np.array(m, dtype=np.int32) if len(m) < len(sym) else None
+        new.append(known[g])
+    number = found.indices.to_numpy(zero_copy_only=False)
+    hit = np.array([m is not None for m in new], dtype=bool)[number]
+    first, end, number = first[hit], end[hit], number[hit]
+    changed = np.zeros(len(words), dtype=bool)
+    changed[owner[first]] = True
+    # every place gives itself, but the first of a segment that changed what this became, and its others nothing
+    size = np.array([0 if m is None else len(m) for m in new], dtype=np.int64)
+    gives, source = changed[owner].astype(np.int64), np.arange(len(flat))
+    inside = np.zeros(len(flat) + 1, dtype=np.int64)
+    inside[first] += 1
+    inside[end] -= 1
+    gives[np.cumsum(inside[:-1]) > 0] = 0
+    gives[first], source[first] = size[number], len(flat) + (np.cumsum(size) - size)[number]
+    pool = np.concatenate([flat, *(m for m in new if m is not None)])
+    ends = np.cumsum(gives)
+    values = pool[np.repeat(source - (ends - gives), gives) + np.arange(ends[-1] if len(ends) else 0)]
+    bounds = np.concatenate(([0], ends))[np.searchsorted(owner, np.arange(len(words) + 1))]
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()), mask=pa.array(~changed))
+
+
+def _merge_words(spark: SparkSession, words: DataFrame, merges: list[tuple[int, int, int]],
+                 codes: np.ndarray | None = None) -> DataFrame:
+    """The words (s, f, l) with `old`: the symbols before this round, null where nothing changed.
+
+    No merge joins two neighbours of before the round whose code is not among `codes` (sorted; None: any)."""
     # merges of one round: bounded by the vocabulary size
-    bc = spark.sparkContext.broadcast(({(a, b): (i, t) for i, (a, b, t) in enumerate(merges)},
-                                       np.unique([_code(a, b) for a, b, _ in merges])))
+    bc = spark.sparkContext.broadcast(({(a, b): (i, t) for i, (a, b, t) in enumerate(merges)}, codes))
 
     @F.arrow_udf("array<int>")
-    def merged(column: pa.Array) -> pa.Array:
+    def merged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ranks, codes = bc.value
-        at = _holders(column, codes).tolist()
-        new: list = [None] * len(column)
-        for i, sym in zip(at, column.take(pa.array(at, pa.int64())).to_pylist()):
-            new[i] = merge_symbols(sym, ranks, again=False)
-        return pa.array(new, pa.list_(pa.int32()))
+        known: dict = {}
+        for column in batches:
+            yield _merged_words(column, codes, ranks, known)
     changed = words.select("s", "f", merged(F.col("s")).alias("new"))
     return changed.select(F.coalesce("new", "s").alias("s"), "f", F.size(F.coalesce("new", "s")).cast("long").alias("l"),
                           F.when(F.col("new").isNotNull(), F.col("s")).alias("old"))
@@ -278,11 +448,12 @@ class _Chain:
 
 
 def _replay(chain: _Chain, counts: dict[int, int], limit: tuple | None, vocab_strings: list[str],
-            token_id: dict, room: int, min_frequency: int) -> list[tuple[int, int, int]]:
+            token_id: dict, room: int, min_frequency: int, once: bool = False) -> list[tuple[int, int, int]]:
     """Merges on the fetched words, one at a time, in the order of (count desc, ids).
 
     `counts` holds the listed pairs by their codes; `limit` is the place (-count, code) of the
-    first pair that is not listed.  New tokens are added to the vocabulary."""
+    first pair that is not listed.  New tokens are added to the vocabulary.  With `once` a merge that
+    gives a token of an earlier one ends the round."""
     known = len(vocab_strings)
     heap = [(-c, p) for p, c in counts.items()]
     heapq.heapify(heap)
@@ -297,7 +468,7 @@ def _replay(chain: _Chain, counts: dict[int, int], limit: tuple | None, vocab_st
         a, b = p >> 32, p & 0xFFFFFFFF
         s = vocab_strings[a] + vocab_strings[b]
         old = token_id.get(s)
-        if old is not None and old < known and merges:
+        if old is not None and (once or old < known) and merges:
             break                                        # an earlier token: pairs around it occur elsewhere too
         new = len(vocab_strings) if old is None else old
         if old is None:
@@ -377,7 +548,7 @@ def learn_bpe(spark: SparkSession, texts: DataFrame, text: str = "text", vocab_s
     vocab_strings = list(C.SPECIAL_TOKENS) + ALPHABET
     token_id = {t: i for i, t in enumerate(vocab_strings)}
     merges: list[tuple[int, int, int]] = []
-    rounds = 0
+    rounds, wide = 0, FIRST_LIST
     older: list[DataFrame] = []
     newer: list[DataFrame] = []
     while len(vocab_strings) < vocab_size:
@@ -392,7 +563,27 @@ def learn_bpe(spark: SparkSession, texts: DataFrame, text: str = "text", vocab_s
         held = itertools.accumulate(r["l"] for r in top[:MAX_CANDIDATES])
         n = sum(1 for x in itertools.takewhile(lambda x: x <= round_symbols, held))
         batch = _select_batch(listed[:256], vocab_strings, token_id, room, min_frequency, len(listed) <= 256)
-        if n and n >= len(batch):
+        codes = segments = None
+        k = min(wide, len(top), MAX_CANDIDATES)
+        while max(n, len(batch)) < k:
+            segments = _segment_counts(words, np.sort(np.array([r["p"] for r in top[:k]]))).persist()
+            size = (segments.agg(F.sum(F.length("g"))).first()[0] or 0) // 4
+            if size <= round_symbols:
+                wide = 4 * k if size < round_symbols // 16 else 2 * k if size < round_symbols // 4 else k
+                break
+            segments.unpersist()
+            segments, wide, k = None, k // 2, k // 2
+        if segments is not None:
+            codes = np.sort(np.array([r["p"] for r in top[:k]]))
+            fetched = segments.toArrow()                 # at most round_symbols symbols
+            own = fetched.column("g").combine_chunks().cast(pa.large_binary())
+            chain = _Chain(pc.binary_length(own).to_numpy() // 4, np.frombuffer(b"".join(own.to_pylist()), np.int32),
+                           fetched.column("f").to_numpy(), codes)
+            segments.unpersist()
+            limit = (-top[k]["c"], top[k]["p"]) if k < len(top) else None
+            chosen = _replay(chain, {r["p"]: r["c"] for r in top[:k]}, limit, vocab_strings, token_id, room, min_frequency, once=True)
+            del fetched, own, chain
+        elif n and n >= len(batch):
             codes = np.sort(np.array([r["p"] for r in top[:n]]))
 
             @F.arrow_udf("boolean")
@@ -408,6 +599,8 @@ def learn_bpe(spark: SparkSession, texts: DataFrame, text: str = "text", vocab_s
             limit = (-top[n]["c"], top[n]["p"]) if n < len(top) else None
             chosen = _replay(chain, {r["p"]: r["c"] for r in top[:n]}, limit, vocab_strings, token_id, room, min_frequency)
             del fetched, own, chain
+            if len({t for _, _, t in chosen}) < len(chosen):
+                codes = None                             # a token of two pairs may meet others over pairs that are not listed
         else:
             chosen = []
             for a, b, t, s, _ in batch:
@@ -415,12 +608,13 @@ def learn_bpe(spark: SparkSession, texts: DataFrame, text: str = "text", vocab_s
                     t = token_id[s] = len(vocab_strings)
                     vocab_strings.append(s)
                 chosen.append((a, b, t))
+            codes = np.sort(np.array([_code(a, b) for a, b, _ in chosen]))
         merges += chosen
         rounds += 1
         # each round reads the tables of the round before from memory (a lost cached
         # block is recomputed from lineage); lineage itself is cut by a reliable
         # checkpoint every few rounds
-        both = _merge_words(spark, words, chosen).persist()
+        both = _merge_words(spark, words, chosen, codes).persist()
         changed = both.where(F.col("old").isNotNull())
         before = changed.select(F.col("old").alias("s"), "f", F.size("old").cast("long").alias("l"))
         pairs = _sum_pairs(pairs.unionByName(_pair_rows(before, -1)).unionByName(_pair_rows(changed.select("s", "f", "l"))))
@@ -442,9 +636,6 @@ def learn_bpe(spark: SparkSession, texts: DataFrame, text: str = "text", vocab_s
 
 # ------------------------------------------------------------------------- encoding
 
-# the pre-token pattern for Python's `regex` module, with the Unicode white space of (?U)
-_PRETOKEN = regex.compile(PRETOKEN_PATTERN.removeprefix("(?U)").replace(r"[^\s", r"[^\p{White_Space}")
-                          .replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}"))
 _SPECIALS = regex.compile(f"({SPECIAL_ALT})")
 WORD_MEMORY = 200_000          # words a Python worker remembers
 
@@ -453,37 +644,102 @@ def _encode_word(token: str, ranks: dict) -> list[int]:
     return merge_symbols([BYTE_ID[b] for b in token.encode("utf-8")], ranks)
 
 
+class _Ranks:
+    """The merges as arrays: sorted codes of the pairs, their ranks, and the id that a rank gives."""
+
+    def __init__(self, merges: list):
+        self.table = {(r["left"], r["right"]): (r["rank"], r["id"]) for r in merges}
+        codes = np.array([_code(a, b) for a, b in self.table] or [-1], dtype=np.int64)
+        ranks = np.array([r for r, _ in self.table.values()] or [0], dtype=np.int64)
+        self.codes, self.ranks = np.sort(codes), ranks[np.argsort(codes)]
+        self.ids = np.zeros(int(ranks.max()) + 1, dtype=np.int64)
+        for rank, t in self.table.values():
+            self.ids[rank] = t
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, NEVER for what is no merge."""
+        code = left << 32 | right
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.ranks[at], NEVER)
+
+
+NEVER = 1 << 31
+LONG_WORD = 64                 # bytes; a longer word is merged by itself, from a heap
+
+
+def _encode_words(words: list[str], ranks: _Ranks) -> list[list[int]]:
+    """Ids of words.  Each step merges in every word its pair of lowest rank, of these the leftmost."""
+    data = [w.encode("utf-8") for w in words]
+    out: list = [merge_symbols([BYTE_ID[b] for b in d], ranks.table) if len(d) > LONG_WORD else None for d in data]
+    live = np.array([i for i, ids in enumerate(out) if ids is None], dtype=np.int64)
+    sizes = np.array([len(data[i]) for i in live], dtype=np.int64)
+    sym = _SYMBOL_OF_BYTE[np.frombuffer(b"".join(data[i] for i in live), dtype=np.uint8)].astype(np.int64)
+    rank = np.full(len(sym), NEVER, dtype=np.int64)
+    rank[:-1] = ranks.of(sym[:-1], sym[1:])
+    rank[np.cumsum(sizes) - 1] = NEVER                   # of the pair that begins at each place
+    while len(live):
+        n, ends = len(sym), np.cumsum(sizes)
+        lowest = np.minimum.reduceat(rank * n + np.arange(n), ends - sizes)
+        going = lowest < NEVER * n
+        for i, lo, hi in zip(live[~going].tolist(), (ends - sizes)[~going].tolist(), ends[~going].tolist()):
+            out[i] = sym[lo:hi].tolist()
+        at, first, end = lowest[going] % n, (ends - sizes)[going], ends[going]
+        new = ranks.ids[lowest[going] // n]
+        sym[at] = new
+        behind, before = at + 2 < end, at > first
+        rank[at] = NEVER
+        rank[at[behind]] = ranks.of(new[behind], sym[at[behind] + 2])
+        rank[at[before] - 1] = ranks.of(sym[at[before] - 1], new[before])
+        keep = np.repeat(going, sizes)
+        keep[at + 1] = False
+        sym, rank, live, sizes = sym[keep], rank[keep], live[going], sizes[going] - 1
+    return out
+
+
 def encode(texts: DataFrame, key: str, text: str, vocab: DataFrame, merges: DataFrame,
            max_len: int | None = C.MAX_SEQ_LEN) -> DataFrame:
     """(key, input_ids, attention_mask, labels, n_ids, truncated); `max_len` None: never cut.
 
     Each text is encoded where it is, in Arrow batches: no exchange, so neither a
-    frequent token nor a long text meets others.  A worker remembers a bounded
-    number of words."""
+    frequent token nor a long text meets others.  The texts of a slice are cut by whole
+    arrays, distinct words merged together, and a worker remembers a bounded number of words."""
     # bounded by the vocabulary size: the merge table is broadcast to the tasks
-    ranks = {(r["left"], r["right"]): (r["rank"], r["id"]) for r in merges.collect()}
-    bc = texts.sparkSession.sparkContext.broadcast(ranks)
+    bc = texts.sparkSession.sparkContext.broadcast(_Ranks(merges.collect()))
     special_ids = {t: i for i, t in enumerate(C.SPECIAL_TOKENS)}
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table, words = bc.value, {}
-        for batch in batches:
-            out = []
-            for t in batch:
-                ids: list[int] = []
-                for piece in _SPECIALS.split(t or ""):
-                    if piece in special_ids:
-                        ids.append(special_ids[piece])
-                        continue
-                    for token in _PRETOKEN.findall(unicodedata.normalize("NFKC", piece)):
-                        if token not in words:
-                            if len(words) >= WORD_MEMORY:
-                                words.clear()
-                            words[token] = _encode_word(token, table)
-                        ids += words[token]
-                out.append(ids)
-            yield pd.Series(out)
+    def ids_of_slice(texts: list[str], ranks: _Ranks, words: dict) -> pa.ListArray:
+        parts, of, whole = [], [], []
+        for i, t in enumerate(texts):
+            for k, piece in enumerate(_SPECIALS.split(t)):       # every second one is a special token
+                if piece:
+                    parts.append(piece if k % 2 else _nfkc(piece))
+                    of.append(i)
+                    whole.append(k % 2 == 1)
+        tokens, part = cut_pretokens(parts, np.array(whole, dtype=bool))
+        found = tokens.dictionary_encode()
+        if len(words) > WORD_MEMORY:
+            words.clear()
+        distinct = found.dictionary.to_pylist()
+        words.update((t, [i]) for t, i in special_ids.items())
+        fresh = [t for t in distinct if t not in words]
+        words.update(zip(fresh, _encode_words(fresh, ranks)))
+        ids = [words[t] for t in distinct]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(size.sum()))
+        number = found.indices.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size[number])
+        n = int(ends[-1]) if len(ends) else 0
+        values = flat[np.repeat((np.cumsum(size) - size)[number] - (ends - size[number]), size[number]) + np.arange(n)]
+        row = np.array(of, dtype=np.int64)[part]         # of every token
+        bounds = np.concatenate(([0], ends))[np.searchsorted(row, np.arange(len(texts) + 1))]
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ranks, words = bc.value, {}
+        for column in batches:
+            yield pa.concat_arrays([ids_of_slice(column.slice(lo, n).fill_null("").to_pylist(), ranks, words)
+                                    for lo, n in X.row_slices(column)])
 
     res = texts.select(key, ids_of(F.col(text)).alias("_all"))
     ids = F.col("_all") if max_len is None else F.slice("_all", 1, max_len)

@@ -249,3 +249,89 @@ def test_chunk_sink_fingerprint(spark):
     second = points.chunk_sink(spark, b, lambda d: d.withColumn("n", F.length("v")), base)
     assert sorted(r["v"] for r in first.collect()) == ["x", "y"]
     assert sorted(r["v"] for r in second.collect()) == ["x", "z"]     # changed input, new chunks
+
+
+def test_pretokens_by_whole_arrays():
+    """The cutter finds what the pattern finds; texts marked whole stay one piece."""
+    import random
+    import numpy as np
+    rng = random.Random(1)
+    alphabet = list("abstrevlmd''   \n\t.,!-19éđ日本　́٢½\U0001f600\x85")
+    for _ in range(3000):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 5))]
+        whole = np.array([rng.random() < 0.2 for _ in texts])
+        tokens, owner = bpe.cut_pretokens(texts, whole)
+        got = [[] for _ in texts]
+        for token, i in zip(tokens.to_pylist(), owner.tolist()):
+            got[i].append(token)
+        assert got == [[t] * bool(t) if w else bpe._PRETOKEN.findall(t) for t, w in zip(texts, whole)]
+
+
+def test_pretoken_counts_of_odd_texts(spark):
+    import collections
+    texts = [None, "", " ", "it's 'll  x\n", "ﬁne ½", "we're 'tis \n\n 12a", "it's"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    import unicodedata
+    want = collections.Counter(x for t in texts for x in bpe._PRETOKEN.findall(unicodedata.normalize("NFKC", t or "")))
+    assert {r["token"]: r["freq"] for r in bpe.pretoken_counts(df).collect()} == dict(want)
+    assert bpe.pretoken_counts(df.limit(0)).count() == 0
+
+
+def test_words_are_encoded_together():
+    """As from a heap word by word: lowest rank first, of these the leftmost; merges that give
+    an earlier token again, runs of one letter, long words."""
+    import random
+    rng = random.Random(2)
+    pool = [bpe.CHAR_ID[c] for c in "abcd"]
+    string = dict(zip(pool, "abcd"))
+    ids = {s: i for i, s in string.items()}
+    merges, seen = [], set()
+    while len(merges) < 200:
+        a, b = rng.choice(pool), rng.choice(pool)
+        s = string[a] + string[b]
+        if (a, b) in seen or len(s) > 6:
+            continue
+        seen.add((a, b))
+        if s not in ids:
+            ids[s] = 267 + len(ids)
+            string[ids[s]] = s
+            pool.append(ids[s])
+        merges.append({"rank": len(merges), "left": a, "right": b, "id": ids[s]})
+    assert len({m["id"] for m in merges}) < len(merges)
+    ranks = bpe._Ranks(merges)
+    words = ["".join(rng.choice("abcdXé") for _ in range(rng.randrange(1, 90))) for _ in range(2000)] + ["a" * 30, "ab" * 31, "X"]
+    assert bpe._encode_words(words, ranks) == [bpe._encode_word(w, ranks.table) for w in words]
+    assert bpe._encode_words([], ranks) == [] and bpe._encode_words(["ab"], bpe._Ranks([])) == [[bpe.CHAR_ID["a"], bpe.CHAR_ID["b"]]]
+
+
+def test_rounds_over_segments(spark, monkeypatch):
+    """Words far beyond the budget of a round: few rounds, as their distinct segments fit, and the
+    library's merges."""
+    import random
+    rng = random.Random(4)
+    syllables = [a + b for a in "bcdfghjklm" for b in "aeiou"] + ["an", "str", "oo"]
+    text = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(2, 7))) for _ in range(500)) for _ in range(12)]
+    replays = []
+    replay = bpe._replay
+    monkeypatch.setattr(bpe, "_replay", lambda *a, **k: replays.append((len(a[0].sym), k.get("once"))) or replay(*a, **k))
+    size = 267 + 500
+    vocab, merges = bpe.learn_bpe(spark, spark.createDataFrame([(t,) for t in text], "text string"), vocab_size=size, round_symbols=9000)
+    v = {r["id"]: r["token"] for r in vocab.collect()}
+    model = json.loads(hf_tokenizer(text, size).to_str())["model"]
+    hf_merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    assert [(v[r["left"]], v[r["right"]]) for r in merges.orderBy("rank").collect()] == hf_merges
+    assert any(once for _, once in replays) and max(n for n, _ in replays) <= 9000
+    assert bpe.learn_bpe.last_rounds <= 8
+
+
+def test_merges_inside_of_segments(spark):
+    """Cutting at pairs that no merge joins changes nothing."""
+    import numpy as np
+    words = spark.createDataFrame([([1, 2, 1, 2, 3], 5), ([1, 1, 1], 2), ([3, 2], 7), ([2, 1, 2, 3, 1, 2], 1), ([4, 1, 2, 4, 1, 2, 3], 1)],
+                                  "s array<int>, f long").withColumn("l", F.size("s").cast("long"))
+    merges = [(1, 2, 9), (9, 3, 10)]
+    rows = lambda df: sorted(map(repr, df.collect()))
+    codes = np.sort(np.array([bpe._code(1, 2), bpe._code(2, 3)]))
+    assert rows(bpe._merge_words(spark, words, merges, codes)) == rows(bpe._merge_words(spark, words, merges))
+    counts = {tuple(np.frombuffer(r["g"], np.int32).tolist()): r["f"] for r in bpe._segment_counts(words, codes).collect()}
+    assert counts == {(1, 2): 5 + 1 + 1, (1, 2, 3): 5 + 1 + 1}
