@@ -57,7 +57,7 @@ def clean_text(c) -> Column:
     """Corpus cleaner: absent -> '', CRLF -> LF, 3+ LF -> 2, and outside
     `$...$` spans runs of 2+ spaces become one.  No trimming."""
     x = F.coalesce(col_(c), F.lit(""))
-    x = F.regexp_replace(x, r"\r\n", "\n")
+    x = F.replace(x, F.lit("\r\n"), F.lit("\n"))
     x = F.regexp_replace(x, r"\n{3,}", "\n\n")
     # a math span is kept as is (group 1); a space run keeps one space (group 2)
     return F.regexp_replace(x, r"(\$[^$]*\$)|( ) +", "$1$2")

@@ -163,7 +163,8 @@ def cut_pretokens(texts: list[str], whole: np.ndarray | None = None,
     white space before another character stands alone, and joins that one if it is a plain space; and an
     apostrophe alone before certain letters takes these."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    joined = "".join(texts)
+    chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
     n = len(chars)
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     kinds = (_char_kinds() if kind_of is None else kind_of)[chars]
@@ -184,14 +185,16 @@ def cut_pretokens(texts: list[str], whole: np.ndarray | None = None,
         begins[at[short | long] + 1] = False
         begins[at[short] + 2] = True
         begins[at[long] + 3] = True
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    if whole is not None:
-        begins[:n][whole[owner] & ~opens[:n]] = False
     first = np.flatnonzero(begins[:n])
-    width = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
-    bounds = np.concatenate(([0], np.cumsum(width)))[np.append(first, n)]
-    data = "".join(texts).encode()
-    return pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(data)]), owner[first]
+    owner = np.searchsorted(np.cumsum(sizes), first, side="right")
+    if whole is not None:
+        stay = ~whole[owner] | opens[first]
+        first, owner = first[stay], owner[stay]
+    bounds = np.append(first, n)
+    if not joined.isascii():                             # bytes of the characters, summed up by pre-tokens
+        width = (chars >= 0x80).view(np.uint8) + (chars >= 0x800).view(np.uint8) + (chars >= 0x10000).view(np.uint8)
+        bounds[1:] += np.cumsum(np.add.reduceat(width, first, dtype=np.int64))
+    return pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(joined.encode())]), owner
 
 
 def pretoken_counts(texts: DataFrame, text: str = "text") -> DataFrame:

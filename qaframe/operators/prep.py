@@ -23,8 +23,13 @@ def accept_condition(query="query", response="response", min_len: int = 2):
 
 
 def accepted_pairs(df: DataFrame) -> DataFrame:
-    """Cleaned pairs whose two texts are both longer than two characters."""
-    return clean_pairs(df).filter(accept_condition())
+    """Cleaned pairs whose two texts are both longer than two characters.
+
+    The pairs come out of a generator of one row, below which the optimizer does not push the
+    filter: it would clean every text twice."""
+    pair = F.struct(X.clean_text("query").alias("query"), X.clean_text("response").alias("response"))
+    cleaned = df.select("sample_id", F.explode_outer(F.array(pair)).alias("c"))
+    return cleaned.filter(accept_condition(F.col("c.query"), F.col("c.response"))).select("sample_id", "c.query", "c.response")
 
 
 def acceptance_report(df: DataFrame) -> DataFrame:
